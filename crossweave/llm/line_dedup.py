@@ -22,22 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crossweave.llm import textkit
 from crossweave.llm.common import keep_first_names, materialise, row_id, shuffle_partitions
 
-STRIP = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 _MARKS = "kind int, h1 long, h2 long, id long, t long, pos int, docs long"
 _DROP, _OPEN, _RUN = 0, 1, 2
 _COLS = ("h1", "h2", "id", "t", "pos")
 
 
+def _keys(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            ids, t = (got.column(c).to_numpy(zero_copy_only=False) for c in ("id", "t"))
+            for lo, _, data, offsets in textkit.byte_chunks(got.column("text")):
+                starts, ends, row, pos = textkit.lines(data, offsets)
+                starts, ends = textkit.stripped(data, starts, ends)
+                long = textkit.code_points(data, starts, ends) >= min_chars
+                starts, ends, row, pos = starts[long], ends[long], row[long] + lo, pos[long]
+                hashes = [textkit.span_hashes(data, starts, ends, seed=k).view(np.int64) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, ids[row], t[row], pos.astype(np.int32))], names=list(_COLS))
+
+    return run
+
+
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, id, t, pos) of each line whose key has at least `min_chars` code points; t tells texts of one doc_id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(row_id().alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    key = F.translate(F.btrim(F.col("line"), F.lit(STRIP)), UPPER, LOWER)
-    return lines.select("id", "t", "pos", key.alias("key")).where(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "id", "t", "pos")
+    return docs.select(row_id().alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_keys(min_chars), "h1 long, h2 long, id long, t long, pos int")
 
 
 def _marker(min_docs: int):
@@ -109,7 +120,8 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(id, t, keep) of the documents that lose a line."""
     n = shuffle_partitions(docs.sparkSession)
-    dealt = line_keys(docs, min_chars).repartitionByRange(n, "h1", "h2", "id").sortWithinPartitions("h1", "h2", F.col("id").desc(), "t", "pos")
+    # written first: dealing by range reads its input twice
+    dealt = materialise(line_keys(docs, min_chars), "line-keys").repartitionByRange(n, "h1", "h2", "id").sortWithinPartitions("h1", "h2", F.col("id").desc(), "t", "pos")
     marks = materialise(dealt.mapInArrow(_marker(min_docs), _MARKS), "line-marks")
     split_runs = marks.where(F.col("kind") == _RUN).groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
     # at most two runs a partition

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.line_dedup import dedup_lines
+from crossweave.llm.ngram_join import gram_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, num=75, den=100)
+
+
 QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -83,10 +83,44 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each span of bytes, the same wherever it stands; A-Z count as a-z if `lower`."""
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and position in its row of each line; a row without text is one empty line."""
+    n = len(offsets) - 1
+    breaks = np.flatnonzero(data == 10)
+    of = np.searchsorted(offsets, breaks, side="right") - 1
+    counts = np.bincount(of, minlength=n) + 1
+    first = np.concatenate([[0], np.cumsum(counts)])
+    rows = np.repeat(np.arange(n), counts)
+    pos = np.arange(first[-1]) - first[rows]
+    starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    head = pos == 0
+    starts[head], starts[~head] = offsets[:-1], breaks + 1
+    tail = pos == counts[rows] - 1
+    ends[tail], ends[~tail] = offsets[1:], breaks
+    return starts, ends, rows, pos
+
+
+def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without ASCII white space at either end."""
+    solid = np.flatnonzero(~_SPACE[data])
+    if not len(solid):
+        return starts, starts
+    i, j = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    some = i <= j
+    return np.where(some, solid[np.minimum(i, len(solid) - 1)], starts), np.where(some, solid[j] + 1, starts)
+
+
+def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=sums[1:])
+    return sums[ends] - sums[starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes, the same wherever it stands; A-Z count as a-z if `lower`. Each seed has a hash of its own."""
     up, down = _powers(len(data) + 1)
-    terms = _TABLE[_LOWER[data]] if lower else _TABLE[data]
+    table = mix64(_TABLE + np.uint64(seed)) if seed else _TABLE
+    terms = table[_LOWER[data]] if lower else table[data]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(terms * up[:-1], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
