@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.llm.decontaminate import contaminated
 from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
 
@@ -26,9 +27,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, num=75, den=100)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

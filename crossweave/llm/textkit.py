@@ -64,9 +64,9 @@ def byte_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of bytes other than ASCII white space (a row's end ends a word)."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes other than those `apart`, ASCII white space (a row's end ends a word)."""
+    inside = ~apart[data]
     edge = np.empty(len(data), dtype=bool)
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
