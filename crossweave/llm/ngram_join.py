@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from crossweave.llm.common import cut, materialise, shuffle_partitions
 from crossweave.llm.graph import components
 
 #: Bytes of text whose postings are packed together.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 4 << 20
 #: Documents of one pack that hold a gram, from which the gram counts as frequent.
 FREQUENT = 64
 #: Order of grams: the number of documents, up to RARE - 1; RARE itself stands for a frequent gram.
@@ -48,7 +49,7 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _numbers(x: bytes) -> np.ndarray:
+def _numbers(x: pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
@@ -75,6 +76,12 @@ class _Rows:
         self.rows = []
 
 
+def _stretches(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each stretch of one key."""
+    edges = [*np.flatnonzero(np.diff(sorted_keys, prepend=-1)), len(sorted_keys)]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
 def _doc_bucket(uid: np.ndarray, n_docs: int) -> np.ndarray:
     return (textkit.mix64(uid) % np.uint64(n_docs)).astype(np.int64)
 
@@ -83,8 +90,7 @@ def _by_document(rows: _Rows, uid: np.ndarray, gram: np.ndarray, rank: np.ndarra
     to = _doc_bucket(uid, n_docs)
     order = np.argsort(to, kind="stable")
     to, uid, gram, rank = to[order], uid[order], gram[order], rank[order]
-    at = np.flatnonzero(np.diff(to, prepend=-1))
-    for i, j in zip(at, [*at[1:], len(to)], strict=True):
+    for i, j in _stretches(to):
         rows.add(int(to[i]), _HELD, _planes(uid[i:j]), _planes(gram[i:j]), rank[i:j].astype(np.uint8).tobytes())
 
 
@@ -123,8 +129,7 @@ def _post(words: int, n_grams: int, n_docs: int):
                     marked = grams[:0]
                 for kind, g in ((_POSTINGS, grams), (_MARKS, marked)):
                     to = (g // span).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(to, prepend=-1))
-                    for i, j in zip(cuts, [*cuts[1:], len(to)], strict=True):
+                    for i, j in _stretches(to):
                         rows.add(int(to[i]), kind, _planes(g[i:j]), _planes(uid[i:j]) if kind == _POSTINGS else b"")
                 docs = np.arange(first, next_uid, dtype=np.uint64)
                 to = _doc_bucket(docs, n_docs)
@@ -140,17 +145,20 @@ def _post(words: int, n_grams: int, n_docs: int):
 
 
 def _shared(n_docs: int):
-    """Postings by range of gram to the grams that two or more documents hold, by document."""
+    """Postings by range of gram to the grams that two or more documents hold, by document; what is by document already goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         marks: dict[int, list[np.ndarray]] = {}
         for got in batches:
-            for to, kind, a, b in zip(*(got.column(c).to_pylist() for c in ("to", "kind", "a", "b")), strict=True):
-                if kind == _POSTINGS:
-                    packs.setdefault(to, []).append((_numbers(a), _numbers(b)))
-                else:
-                    marks.setdefault(to, []).append(_numbers(a))
+            late = pc.greater(got.column("kind"), _MARKS)
+            if pc.any(late).as_py():
+                yield got.filter(late)
+            for to, kind, a, b in zip(*(got.column(c) for c in ("to", "kind", "a", "b")), strict=True):
+                if (kind := kind.as_py()) == _POSTINGS:
+                    packs.setdefault(to.as_py(), []).append((_numbers(a.as_buffer()), _numbers(b.as_buffer())))
+                elif kind == _MARKS:
+                    marks.setdefault(to.as_py(), []).append(_numbers(a.as_buffer()))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for to in sorted(packs):
             grams, uid = (np.concatenate(x) for x in zip(*packs.pop(to), strict=True))
@@ -187,11 +195,12 @@ def _documents(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], []
         for got in batches:
-            for kind, a, b, c in zip(*(got.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
-                if kind == _DOCS:
+            for kind, *packed in zip(*(got.column(x) for x in ("kind", "a", "b", "c")), strict=True):
+                a, b, c = (x.as_buffer() for x in packed)
+                if kind.as_py() == _DOCS:
                     docs.append((_numbers(a), _numbers(b), _numbers(c)))
                 else:
-                    held.append((_numbers(a), _numbers(b), np.frombuffer(c, np.uint8)))
+                    held.append((_numbers(a), _numbers(b), np.frombuffer(c, np.uint8).copy()))
         if not docs:
             return
         uid, ids, size = (np.concatenate(x) for x in zip(*docs, strict=True))
@@ -231,10 +240,8 @@ def document_grams(docs: DataFrame, words: int, num: int, den: int) -> DataFrame
     p = shuffle_partitions(docs.sparkSession)
     n_grams, n_docs = 4 * p, 4 * p
     packs = docs.select("doc_id", "text").mapInArrow(_post(words, n_grams, n_docs), _PACKS)
-    packs = materialise(packs, "gram-packs") if False else packs.repartition(p, F.col("kind") <= _MARKS, "to")
-    held = packs.where(F.col("kind") <= _MARKS).mapInArrow(_shared(n_docs), _PACKS)
-    direct = packs.where(F.col("kind") > _MARKS)
-    return materialise(held.unionByName(direct).repartition(p, "to").mapInArrow(_documents(num, den), _DOC_ROWS), "document-grams")
+    by_gram = packs.repartition(p, F.col("kind") <= _MARKS, "to").mapInArrow(_shared(n_docs), _PACKS)
+    return materialise(by_gram.repartition(p, "to").mapInArrow(_documents(num, den), _DOC_ROWS), "document-grams")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:

@@ -121,8 +121,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     up, down = _powers(len(data) + 1)
     table = mix64(_TABLE + np.uint64(seed)) if seed else _TABLE
     terms = table[_LOWER[data]] if lower else table[data]
+    terms *= up[:-1]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(terms * up[:-1], out=sums[1:])
+    np.cumsum(terms, out=sums[1:])
+    del terms
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
