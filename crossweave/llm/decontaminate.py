@@ -113,7 +113,10 @@ class _Part:
             n = hi[p] - lo[p]
             pair = np.repeat(np.arange(len(p)), n)
             at = np.repeat(lo[p], n) + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-            key = np.unique(pair * len(self.terms) + term[at])  # a term counts once a passage
+            t = term[at]
+            own = self.most[t, b[pair]] > 0  # postings of this block only
+            key = np.sort(pair[own] * len(self.terms) + t[own])
+            key = key[np.diff(key, prepend=-1) > 0]  # a term counts once a passage
             pair, t = np.divmod(key, len(self.terms))
             scores = np.zeros((len(p), ITEMS_A_BLOCK), np.float32)
             first = np.flatnonzero(np.diff(pair, prepend=-1))
