@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossweave.llm.bpe import decode_documents, encode_documents
 from crossweave.llm.decontaminate import contaminated
+from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
 
@@ -32,6 +33,12 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(decode_documents(ids, path))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -47,6 +54,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Query] = {
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
