@@ -12,6 +12,7 @@ from crossweave.llm.decontaminate import contaminated
 from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
+from crossweave.llm.quality_rules import base_failed, judged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,12 +53,18 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,6 +85,31 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
+OP9_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(8) t(k) GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM docs d LEFT JOIN covered c USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR 10 * len(regexp_extract_all(text, '\p{{Lu}}')) > 4 * word_chars OR 5 * len(regexp_extract_all(text, '[!?]')) > n_words
+            OR 10 * len(regexp_extract_all(text, '[0-9]')) > 3 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM base
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
