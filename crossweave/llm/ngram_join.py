@@ -38,6 +38,8 @@ PACK_BYTES = 4 << 20
 FREQUENT = 64
 #: Order of grams: the number of documents, up to RARE - 1; RARE itself stands for a frequent gram.
 RARE = 255
+#: Ranks from which a band of grams begins. Two documents share no more grams of a band than either has there.
+BANDS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, RARE)
 _SHIFT = np.uint64(8)  # hashes keep 56 bits
 
 _PACKS = "to int, kind int, a binary, b binary, c binary"
@@ -180,7 +182,7 @@ def _shared(n_docs: int):
     return run
 
 
-_DOC_ROWS = "uid long, doc_id long, n long, alone long, same long, prefix array<long>, shared array<long>"
+_DOC_ROWS = "uid long, doc_id long, n long, alone long, same long, bands array<int>, prefix array<long>, shared array<long>"
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -210,14 +212,17 @@ def _documents(num: int, den: int):
             of, gram, rank = (np.concatenate(x) for x in zip(*held, strict=True))
             del held
             order = np.lexsort((gram, rank, of))
-            of, gram = of[order], gram[order]
+            of, gram, rank = of[order], gram[order], rank[order]
         else:
-            of = gram = np.zeros(0, np.uint64)
+            of = gram = rank = np.zeros(0, np.uint64)
         first = np.searchsorted(of, uid, side="left")
         shared = np.searchsorted(of, uid, side="right") - first
         alone = n - shared
         prefix = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0) - alone
         some = prefix > 0
+        upto = [np.concatenate([[0], np.cumsum(np.searchsorted(BANDS, rank, side="right") - 1 == k)]) for k in range(len(BANDS))]
+        bands = np.stack([u[first + shared] - u[first] for u in upto], axis=1).astype(np.int32)
+        del rank, upto
         step = max(1, int(256_000 // max(1, shared.mean())))
         mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textkit.mix64(gram + np.uint64(1)))])
         for i in range(0, len(uid), step):
@@ -228,8 +233,8 @@ def _documents(num: int, den: int):
             # equal for equal sets: only a set without a gram of its own has an equal
             same = np.where(alone[k] == 0, mixed[f + shared[k]] - mixed[f], textkit.mix64(uid[k] * np.uint64(2) + np.uint64(1))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid[k].astype(np.int64)), pa.array(ids[k], mask=~known[k]), pa.array(n[k]), pa.array(alone[k]), pa.array(same), _lists(pick(p), p, ~on), _lists(pick(s), s, ~on)],
-                names=["uid", "doc_id", "n", "alone", "same", "prefix", "shared"],
+                [pa.array(uid[k].astype(np.int64)), pa.array(ids[k], mask=~known[k]), pa.array(n[k]), pa.array(alone[k]), pa.array(same), pa.FixedSizeListArray.from_arrays(pa.array(bands[k].ravel()), len(BANDS)).cast(pa.list_(pa.int32())), _lists(pick(p), p, ~on), _lists(pick(s), s, ~on)],
+                names=["uid", "doc_id", "n", "alone", "same", "bands", "prefix", "shared"],
             )
 
     return run
@@ -275,15 +280,20 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     nodes = held.join(nodes_of.select(F.col("node").alias("uid")), "uid", "left_semi").withColumn("p", F.xxhash64("prefix"))
     groups = nodes.groupBy("n", "alone", "p").agg(F.min("uid").alias("gid"))
     grouped = cut(nodes.select("uid", "n", "alone", "p").join(groups, ["n", "alone", "p"]).select("uid", "gid", "n", "alone"))
+    # A document shares at most its grams that others hold, which bounds the size of a partner from above.
+    top = F.least(F.floor(den * F.col("n") / num), F.floor((num + den) * (F.col("n") - F.col("alone")) / num) - F.col("n")).cast("long")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else F.col("n").cast("int")
     heads = grouped.where("uid = gid").select("gid", "n", "alone")
-    posts = nodes.select(F.col("uid").alias("gid"), "prefix").join(heads, "gid").select("gid", "n", size_class.alias("c"), "alone", F.posexplode("prefix").alias("i", "gram"))
-    # the position in the whole prefix, which begins with the grams of this document alone
-    posts = materialise(posts.select("gram", "gid", "n", "c", (F.col("i") + F.col("alone")).alias("pos")), "gram-posts")
+    posts = nodes.select(F.col("uid").alias("gid"), "prefix").join(heads, "gid").select("gid", "n", size_class.alias("c"), top.alias("top"), "alone", F.posexplode("prefix").alias("i", "gram"))
+    # before: grams ahead of this one that others hold; behind: this one and those after it
+    posts = materialise(posts.select("gram", "gid", "n", "c", "top", "alone", F.col("i").alias("before"), (F.col("n") - F.col("alone") - F.col("i")).alias("behind")), "gram-posts")
 
-    def star(pivot, known: DataFrame | None) -> DataFrame:
-        """Pairs of a group's members with the pivot of each bucket of the group, in its size class and the next; of different components only."""
-        pivots = posts.groupBy("gram", "c").agg(pivot("gid").alias("y"))
+    def star(sign: int, known: DataFrame | None) -> DataFrame:
+        """Pairs of a group's members with the pivot of each bucket of the group, in its size class and the next; of different components only.
+
+        The pivot has the fewest grams of its own: an original rather than one of its altered copies, which may not link among themselves.
+        """
+        pivots = posts.groupBy("gram", "c").agg(F.min(F.struct("alone", (sign * F.col("gid")).alias("g"))).alias("p")).select("gram", "c", (sign * F.col("p.g")).alias("y"))
         at = posts.select("gram", "gid", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
         group_pairs = at.join(pivots, ["gram", "c"]).select("gid", "y").distinct()
         pairs = group_pairs.join(grouped.select("gid", F.col("uid").alias("x")), "gid").select("x", "y").unionByName(grouped.select(F.col("uid").alias("x"), F.col("gid").alias("y")))
@@ -294,22 +304,27 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
         cx, cy = comps.select(F.col("uid").alias("x"), F.col("comp").alias("cx")), comps.select(F.col("uid").alias("y"), F.col("comp").alias("cy"))
         return pairs.join(cx, "x").join(cy, "y").where("cx <> cy").select("x", "y")
 
-    edges = cut(_verified(star(F.min, None), nodes, num, den))
+    edges = cut(_verified(star(1, None), nodes, num, den))
     comps = cut(_labelled(grouped, edges))
-    edges = cut(edges.unionByName(_verified(star(F.max, comps), nodes, num, den)))
+    edges = cut(edges.unionByName(_verified(star(-1, comps), nodes, num, den)))
     comps = cut(_labelled(grouped, edges))
     # buckets that still hold more than one component
-    at = posts.join(grouped.select("gid", "uid"), "gid").join(comps, "uid").select("gram", "uid", "n", "pos", "comp")
-    at = materialise(at, "gram-rest")
+    member = nodes.select("uid", "bands", "prefix").join(grouped.select("gid", "uid"), "uid").join(comps, "uid")
+    at = materialise(posts.join(member, "gid").select("gram", "uid", "n", "top", "before", "behind", "bands", "prefix", "comp"), "gram-rest")
     mixed = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
     at = at.join(mixed, "gram")
-    inside = at.groupBy("gram", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (inside.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "least", "most"))) for k in (1, 2))
-    meet = one.join(two, "gram").where("comp1 < comp2").where((den * F.col("most1") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least1"))).select("gram", "comp1", "comp2")
-    left, right = (at.select("gram", F.col("comp").alias(f"comp{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "pos"))) for k in (1, 2))
-    # what two documents can share, when they share the grams at these places of their orders
-    most = F.least("pos1", "pos2") + 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1
-    rest = meet.join(left, ["gram", "comp1"]).join(right, ["gram", "comp2"]).where(_sizes_fit("n1", "n2", num, den) & ((num + den) * most >= num * (F.col("n1") + F.col("n2"))))
+    inside = at.groupBy("gram", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("top"))
+    one, two = (inside.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "size", "least", "most", "top"))) for k in (1, 2))
+    fits = (den * F.col("most1") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least1")) & (F.col("least1") <= F.col("top2")) & (F.col("least2") <= F.col("top1"))
+    # the smaller component is taken apart first
+    meet = one.join(two, "gram").where(F.struct("size1", "comp1") < F.struct("size2", "comp2")).where(fits).select("gram", "comp1", "comp2")
+    left, right = (at.select("gram", F.col("comp").alias(f"comp{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "top", "before", "behind", "bands", "prefix"))) for k in (1, 2))
+    # a pair counts at its first shared gram, from which on the two can share no more than what is behind it, nor more than by band
+    by_band = sum((F.least(F.col("bands1")[k], F.col("bands2")[k]) for k in range(1, len(BANDS))), F.least(F.col("bands1")[0], F.col("bands2")[0]))
+    needed = num * (F.col("n1") + F.col("n2"))
+    enough = (F.col("n1") <= F.col("top2")) & (F.col("n2") <= F.col("top1")) & ((num + den) * F.least("behind1", "behind2") >= needed) & ((num + den) * by_band >= needed)
+    enough &= ~F.arrays_overlap(F.slice("prefix1", 1, F.col("before1")), F.slice("prefix2", 1, F.col("before2")))
+    rest = meet.join(left, ["gram", "comp1"]).join(right, (right["gram"] == meet["gram"]) & (right["comp2"] == meet["comp2"]) & enough)
     rest = rest.select(F.least("uid1", "uid2").alias("x"), F.greatest("uid1", "uid2").alias("y")).distinct()
     edges = cut(edges.unionByName(_verified(rest, nodes, num, den)))
     comps = _labelled(grouped, edges)
