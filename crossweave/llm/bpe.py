@@ -33,10 +33,15 @@ LEAF = 512
 #: Tokens on each side of a join that are re-encoded first.
 WINDOW = 8
 #: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of a batch that goes back to Spark.
 BATCH_BYTES = 4 << 20
 
+#: Between an ASCII letter and an ASCII mark other than an apostrophe, which may begin a contraction.
+_MARK = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+#: Letters whose classes no Unicode version has changed: ASCII and Latin-1, lower case.
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+
 
 class Encoder:
     """The tokenizer of a file. encode() gives the ids that the library gives for a whole text, without special tokens added."""
@@ -50,24 +55,31 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        plain = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
-        self.last = Tokenizer.from_str(json.dumps(plain))
-        self.inner = Tokenizer.from_str(json.dumps(plain | {"model": spec["model"] | {"end_of_word_suffix": None}}))
+        self.plain = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
+        self._models: dict[bool, object] = {}
         added = spec.get("added_tokens") or []
         self.special = {x["content"]: x["id"] for x in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         # trees and pieces need a splitter that drops white space, and added tokens that take nothing around them
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
         self.by_space = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps) and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in added) and spec["model"]["type"] == "BPE"
-        size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.tokens = [self.whole.id_to_token(i) or "" for i in range(size)]
-        self.bare = [t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.tokens]
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        self.lowers = self.by_space and bool(self.suffix) and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and all(x["content"].startswith("<") for x in added)
+        tokens = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
+        self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in tokens])
+        self.bare = [t[: -len(self.suffix)] if e else t for t, e in zip(tokens, self.ends, strict=True)]
         self.known: dict[bytes, bytes] = {}
 
     # -- trees
 
     def _ids(self, text: str, final: bool) -> list[int]:
-        return (self.last if final else self.inner).encode(text, add_special_tokens=False).ids
+        """The merges alone, with the suffix that ends a word or without it."""
+        if final not in self._models:
+            from tokenizers import Tokenizer
+
+            model = self.plain["model"] | ({} if final else {"end_of_word_suffix": None})
+            self._models[final] = Tokenizer.from_str(json.dumps(self.plain | {"model": model}))
+        return self._models[final].encode(text, add_special_tokens=False).ids
 
     def join(self, left: list[int], right: list[int], final: bool) -> list[int]:
         """The encoding of the texts of two encodings, one after the other; final: the right one ends the word."""
@@ -107,41 +119,78 @@ class Encoder:
 
     # -- texts
 
+    def pieces(self, text: bytes) -> list[bytes]:
+        """Stretches of a text that the tokenizer treats one by one, each lower-cased if the tokenizer does that anyway."""
+        if not self.lowers or b"<" in text:  # special tokens are looked for before anything is lower-cased
+            return text.split()
+        # a letter always ends a word before these marks, as before white space
+        return _MARK.sub(b" ", text.lower()).split()
+
     def learn(self, pieces: set[bytes]) -> None:
         new = [x for x in pieces if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(pieces)
-        short = [x for x in new if len(x) <= LONG]
-        for x, got in zip(short, self.whole.encode_batch_fast([x.decode(errors="replace") for x in short], add_special_tokens=False), strict=True):
-            self.known[x] = np.array(got.ids, "<u4").tobytes()
+        short, words = [], []
         for x in new:
             if len(x) > LONG:
                 self.known[x] = np.array(self.long_piece(x.decode(errors="replace")), "<u4").tobytes()
+            elif self.lowers and _WORD.fullmatch(y := x.decode(errors="replace")):
+                words.append((x, y))
+            else:
+                short.append(x)
+        # words of plain letters in one call: each ends with the token that has the suffix
+        if words:
+            ids = np.array(self.whole.encode_batch_fast([" ".join(y for _, y in words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words):
+                for (x, _), i, j in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    self.known[x] = ids[i:j].tobytes()
+            else:
+                short += [x for x, _ in words]
+        for x, got in zip(short, self.whole.encode_batch_fast([x.decode(errors="replace") for x in short], add_special_tokens=False), strict=True):
+            self.known[x] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_space:
             return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast([x.decode(errors="replace") for x in texts], add_special_tokens=False)]
-        split = [x.split() for x in texts]
+        split = [self.pieces(x) for x in texts]
         self.learn({piece for pieces in split for piece in pieces})
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in split]
 
+
+class Decoder:
+    """Ids to text as the library's decode(ids, skip_special_tokens=False)."""
+
+    def __init__(self, path: str) -> None:
+        spec = json.load(open(path, encoding="utf-8"))
+        self.library = None
+        if spec.get("decoder") is not None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
+            return
+        named = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
+        self.tokens = [""] * (max(named.values()) + 1)
+        for token, i in named.items():
+            self.tokens[i] = token
+
     def decode(self, ids: np.ndarray) -> str:
-        if self.whole.decoder is None:
+        if self.library is None:  # without a decoder the library puts spaces between tokens
             tokens = self.tokens
             return " ".join([tokens[i] for i in ids.tolist()])
-        return self.whole.decode(ids.tolist(), skip_special_tokens=False)
+        return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_encoders: dict[str, Encoder] = {}
+_made: dict[tuple, Encoder | Decoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file, made once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _once(kind: type, path: str):
+    """The worker's encoder or decoder of a file, made once."""
+    if (kind, path) not in _made:
+        _made[kind, path] = kind(path)
+    return _made[kind, path]
 
 
 def _runs(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -177,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str, column: str = "text") -> DataFr
     """`docs` with ids (binary) and n_tokens (long) of each whole text."""
 
     def work(texts: list[bytes | None]) -> list[pa.Array]:
-        ids = encoder(path).encode([x or b"" for x in texts])
+        ids = _once(Encoder, path).encode([x or b"" for x in texts])
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
     return _mapped(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, work)
@@ -187,6 +236,6 @@ def decode_documents(docs: DataFrame, path: str, column: str = "ids") -> DataFra
     """`docs` with decoded, the text of its ids, special tokens included."""
 
     def work(values: list[bytes | None]) -> list[pa.Array]:
-        return [pa.array([encoder(path).decode(np.frombuffer(x or b"", "<u4")) for x in values], pa.string())]
+        return [pa.array([_once(Decoder, path).decode(np.frombuffer(x or b"", "<u4")) for x in values], pa.string())]
 
     return _mapped(docs, column, {"decoded": T.StringType()}, work)
