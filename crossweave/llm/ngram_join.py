@@ -309,8 +309,8 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     edges = cut(edges.unionByName(_verified(star(-1, comps), nodes, num, den)))
     comps = cut(_labelled(grouped, edges))
     # buckets that still hold more than one component
-    member = nodes.select("uid", "bands", "prefix").join(grouped.select("gid", "uid"), "uid").join(comps, "uid")
-    at = materialise(posts.join(member, "gid").select("gram", "uid", "n", "top", "before", "behind", "bands", "prefix", "comp"), "gram-rest")
+    member = grouped.select("gid", "uid").join(comps, "uid")
+    at = materialise(posts.join(member, "gid").select("gram", "uid", "n", "top", "before", "behind", "comp"), "gram-rest")
     mixed = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
     at = at.join(mixed, "gram")
     inside = at.groupBy("gram", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("top"))
@@ -318,7 +318,9 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     fits = (den * F.col("most1") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least1")) & (F.col("least1") <= F.col("top2")) & (F.col("least2") <= F.col("top1"))
     # the smaller component is taken apart first
     meet = one.join(two, "gram").where(F.struct("size1", "comp1") < F.struct("size2", "comp2")).where(fits).select("gram", "comp1", "comp2")
-    left, right = (at.select("gram", F.col("comp").alias(f"comp{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "top", "before", "behind", "bands", "prefix"))) for k in (1, 2))
+    meet = materialise(meet, "gram-meet")
+    arrays = nodes.select("uid", "bands", "prefix")
+    left, right = (at.join(meet.select("gram", F.col(f"comp{k}").alias("comp")).distinct(), ["gram", "comp"], "left_semi").join(arrays, "uid").select("gram", F.col("comp").alias(f"comp{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "top", "before", "behind", "bands", "prefix"))) for k in (1, 2))
     # a pair counts at its first shared gram, from which on the two can share no more than what is behind it, nor more than by band
     by_band = sum((F.least(F.col("bands1")[k], F.col("bands2")[k]) for k in range(1, len(BANDS))), F.least(F.col("bands1")[0], F.col("bands2")[0]))
     needed = num * (F.col("n1") + F.col("n2"))
