@@ -14,6 +14,7 @@ from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
 from crossweave.llm.quality_rules import base_failed, judged
 from crossweave.llm.sharding import sharded
+from crossweave.llm.url_filter import UrlRule, judged_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +60,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+URL_RULES = (
+    UrlRule("block", "com", "/en/"),
+    UrlRule("allow", "example.com", "/en/7"),
+    UrlRule("block", "net", "/de/"),
+    UrlRule("block", "example.net", "/de/8"),
+    UrlRule("block", "org", "/es/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
@@ -71,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }
 
