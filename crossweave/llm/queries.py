@@ -13,6 +13,7 @@ from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
 from crossweave.llm.quality_rules import base_failed, judged
+from crossweave.llm.secret_scan import BASE, listed, of_kinds, secret_spans
 from crossweave.llm.sharding import sharded
 from crossweave.llm.url_filter import UrlRule, judged_urls
 
@@ -78,6 +79,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (F.size(of_kinds("spans", k)).cast("long").alias(f"n_{k}") for k in BASE)
+    return rows.select("doc_id", *counts, F.sha2(listed(of_kinds("spans", *BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_language_id": op3_language_id,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op7_sharding": op7_sharding,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
