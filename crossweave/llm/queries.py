@@ -15,6 +15,7 @@ from crossweave.llm.ngram_join import gram_components
 from crossweave.llm.quality_rules import base_failed, judged
 from crossweave.llm.secret_scan import BASE, listed, of_kinds, secret_spans
 from crossweave.llm.sharding import sharded
+from crossweave.llm.token_output import byte_tokens, shard_folder, write_shards
 from crossweave.llm.url_filter import UrlRule, judged_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the shards; their bytes are in the shared folder."""
+    docs = _table(spark, sf_dir, "documents").select("text")
+    return write_shards(docs, byte_tokens(), shard_folder(docs))
+
+
 def token_digests(decoded: DataFrame) -> DataFrame:
     """doc_id and n_tokens, with digests of the ids and of the decoded text."""
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -86,6 +93,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_shards": op1_token_shards,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
