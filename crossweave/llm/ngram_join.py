@@ -262,6 +262,11 @@ def _sizes_fit(a: str, b: str, num: int, den: int):
     return (den * F.least(a, b) >= num * F.greatest(a, b))
 
 
+def _by_band(x: str, y: str):
+    """The most grams that two documents can share, by band."""
+    return sum((F.least(F.col(x)[k], F.col(y)[k]).cast("int") for k in range(1, len(BANDS))), F.least(F.col(x)[0], F.col(y)[0]).cast("int"))
+
+
 def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(uid, comp): the component, or the node itself where no edge touches it."""
     return nodes.select("uid").join(components(edges).withColumnRenamed("id", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp"))
@@ -313,18 +318,22 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     at = materialise(posts.join(member, "gid").select("gram", "uid", "n", "top", "before", "behind", "comp"), "gram-rest")
     mixed = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
     at = at.join(mixed, "gram")
-    inside = at.groupBy("gram", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("top"))
-    one, two = (inside.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "size", "least", "most", "top"))) for k in (1, 2))
+    inside = at.groupBy("gram", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("top"), F.max("behind").alias("behind"))
+    one, two = (inside.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "size", "least", "most", "top", "behind"))) for k in (1, 2))
     fits = (den * F.col("most1") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least1")) & (F.col("least1") <= F.col("top2")) & (F.col("least2") <= F.col("top1"))
+    fits &= (num + den) * F.least("behind1", "behind2") >= num * (F.col("least1") + F.col("least2"))
     # the smaller component is taken apart first
-    meet = one.join(two, "gram").where(F.struct("size1", "comp1") < F.struct("size2", "comp2")).where(fits).select("gram", "comp1", "comp2")
-    meet = materialise(meet, "gram-meet")
+    meet = one.join(two, "gram").where(F.struct("size1", "comp1") < F.struct("size2", "comp2")).where(fits).select("gram", "comp1", "comp2", "least1", "least2")
+    whole = nodes.select("uid", *(F.col("bands")[k].alias(f"b{k}") for k in range(len(BANDS)))).join(comps, "uid").groupBy("comp").agg(*(F.max(f"b{k}").cast("short").alias(f"b{k}") for k in range(len(BANDS))))
+    whole = cut(whole.select("comp", F.array(*(f"b{k}" for k in range(len(BANDS)))).alias("bands")))
+    for k in (1, 2):
+        meet = meet.join(whole.select(F.col("comp").alias(f"comp{k}"), F.col("bands").alias(f"bands{k}")), f"comp{k}")
+    meet = materialise(meet.where((num + den) * _by_band("bands1", "bands2") >= num * (F.col("least1") + F.col("least2"))).select("gram", "comp1", "comp2"), "gram-meet")
     arrays = nodes.select("uid", "bands", "prefix")
     left, right = (at.join(meet.select("gram", F.col(f"comp{k}").alias("comp")).distinct(), ["gram", "comp"], "left_semi").join(arrays, "uid").select("gram", F.col("comp").alias(f"comp{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "top", "before", "behind", "bands", "prefix"))) for k in (1, 2))
     # a pair counts at its first shared gram, from which on the two can share no more than what is behind it, nor more than by band
-    by_band = sum((F.least(F.col("bands1")[k], F.col("bands2")[k]) for k in range(1, len(BANDS))), F.least(F.col("bands1")[0], F.col("bands2")[0]))
     needed = num * (F.col("n1") + F.col("n2"))
-    enough = (F.col("n1") <= F.col("top2")) & (F.col("n2") <= F.col("top1")) & ((num + den) * F.least("behind1", "behind2") >= needed) & ((num + den) * by_band >= needed)
+    enough = (F.col("n1") <= F.col("top2")) & (F.col("n2") <= F.col("top1")) & ((num + den) * F.least("behind1", "behind2") >= needed) & ((num + den) * _by_band("bands1", "bands2") >= needed)
     enough &= ~F.arrays_overlap(F.slice("prefix1", 1, F.col("before1")), F.slice("prefix2", 1, F.col("before2")))
     rest = meet.join(left, ["gram", "comp1"]).join(right, (right["gram"] == meet["gram"]) & (right["comp2"] == meet["comp2"]) & enough)
     rest = rest.select(F.least("uid1", "uid2").alias("x"), F.greatest("uid1", "uid2").alias("y")).distinct()
