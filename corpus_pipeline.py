@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.bpe import decode_documents, encode_documents
+from crossweave.llm.bpe import round_trip
 from crossweave.llm.common import materialise
 from crossweave.llm.decontaminate import decontaminate
 from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
+from crossweave.llm.queries import token_digests
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +46,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, as op2 gives them."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode_documents(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
-    return decode_documents(ids, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return token_digests(round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [

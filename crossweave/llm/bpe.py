@@ -33,9 +33,9 @@ LEAF = 512
 #: Tokens on each side of a join that are re-encoded first.
 WINDOW = 8
 #: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Bytes of a batch that goes back to Spark.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: Between an ASCII letter and an ASCII mark other than an apostrophe, which may begin a contraction.
 _MARK = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
@@ -55,7 +55,7 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.plain = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
+        self.path, self.plain = path, {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
         self._models: dict[bool, object] = {}
         added = spec.get("added_tokens") or []
         self.special = {x["content"]: x["id"] for x in added}
@@ -77,8 +77,9 @@ class Encoder:
         if final not in self._models:
             from tokenizers import Tokenizer
 
-            model = self.plain["model"] | ({} if final else {"end_of_word_suffix": None})
-            self._models[final] = Tokenizer.from_str(json.dumps(self.plain | {"model": model}))
+            spec = json.load(open(self.path, encoding="utf-8"))
+            model = spec["model"] | ({} if final else {"end_of_word_suffix": None})
+            self._models[final] = Tokenizer.from_str(json.dumps(spec | self.plain | {"model": model}))
         return self._models[final].encode(text, add_special_tokens=False).ids
 
     def join(self, left: list[int], right: list[int], final: bool) -> list[int]:
@@ -232,6 +233,17 @@ def encode_documents(docs: DataFrame, path: str, column: str = "text") -> DataFr
     return _mapped(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, work)
 
 
+def round_trip(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """`docs` with ids and n_tokens, and decoded, the text of these ids, in one pass."""
+
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
+        ids = _once(Encoder, path).encode([x or b"" for x in texts])
+        decode = _once(Decoder, path).decode
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())]
+
+    return _mapped(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}, work)
+
+
 def decode_documents(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """`docs` with decoded, the text of its ids, special tokens included."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.bpe import decode_documents, encode_documents
+from crossweave.llm.bpe import round_trip
 from crossweave.llm.decontaminate import contaminated
 from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
@@ -39,9 +39,7 @@ def token_digests(decoded: DataFrame) -> DataFrame:
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
-    return token_digests(decode_documents(ids, path))
+    return token_digests(round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
