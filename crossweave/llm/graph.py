@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crossweave.llm.common import cut
 
+EDGES_A_PARTITION = 250_000
+
 
 def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -29,12 +31,15 @@ def _round(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the vertices of edges (a, b), both long: the least id that links reach. Every round is a reliable checkpoint."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # edges never become more; a graph of one partition needs no exchange at all
+    parts = 1 + edges.count() // EDGES_A_PARTITION
+    edges = edges.coalesce(parts)
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before, edges = now, cut(_round(edges))
+        before, edges = now, cut(_round(edges).coalesce(parts))
     children = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = children.select(F.col("component").alias("id"), "component").distinct()
     return children.unionByName(roots)

@@ -262,6 +262,11 @@ def _sizes_fit(a: str, b: str, num: int, den: int):
     return (den * F.least(a, b) >= num * F.greatest(a, b))
 
 
+def _few(table: DataFrame, rows_a_partition: int = 100_000) -> DataFrame:
+    """A written table of few columns in as many partitions as its rows need: every later exchange reads that many."""
+    return table.coalesce(1 + table.count() // rows_a_partition)
+
+
 def _by_band(x: str, y: str):
     """The most grams that two documents can share, by band."""
     return sum((F.least(F.col(x)[k], F.col(y)[k]).cast("int") for k in range(1, len(BANDS))), F.least(F.col(x)[0], F.col(y)[0]).cast("int"))
@@ -284,7 +289,7 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     nodes_of = held.groupBy("n", "same").agg(F.min("uid").alias("node"))
     nodes = held.join(nodes_of.select(F.col("node").alias("uid")), "uid", "left_semi").withColumn("p", F.xxhash64("prefix"))
     groups = nodes.groupBy("n", "alone", "p").agg(F.min("uid").alias("gid"))
-    grouped = cut(nodes.select("uid", "n", "alone", "p").join(groups, ["n", "alone", "p"]).select("uid", "gid", "n", "alone"))
+    grouped = _few(cut(nodes.select("uid", "n", "alone", "p").join(groups, ["n", "alone", "p"]).select("uid", "gid", "n", "alone")))
     # A document shares at most its grams that others hold, which bounds the size of a partner from above.
     top = F.least(F.floor(den * F.col("n") / num), F.floor((num + den) * (F.col("n") - F.col("alone")) / num) - F.col("n")).cast("long")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else F.col("n").cast("int")
@@ -309,10 +314,10 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
         cx, cy = comps.select(F.col("uid").alias("x"), F.col("comp").alias("cx")), comps.select(F.col("uid").alias("y"), F.col("comp").alias("cy"))
         return pairs.join(cx, "x").join(cy, "y").where("cx <> cy").select("x", "y")
 
-    edges = cut(_verified(star(1, None), nodes, num, den))
-    comps = cut(_labelled(grouped, edges))
-    edges = cut(edges.unionByName(_verified(star(-1, comps), nodes, num, den)))
-    comps = cut(_labelled(grouped, edges))
+    edges = _few(cut(_verified(star(1, None), nodes, num, den)))
+    comps = _few(cut(_labelled(grouped, edges)))
+    edges = _few(cut(edges.unionByName(_verified(star(-1, comps), nodes, num, den))))
+    comps = _few(cut(_labelled(grouped, edges)))
     # buckets that still hold more than one component
     member = grouped.select("gid", "uid").join(comps, "uid")
     at = materialise(posts.join(member, "gid").select("gram", "uid", "n", "top", "before", "behind", "comp"), "gram-rest")
@@ -337,7 +342,7 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     enough &= ~F.arrays_overlap(F.slice("prefix1", 1, F.col("before1")), F.slice("prefix2", 1, F.col("before2")))
     rest = meet.join(left, ["gram", "comp1"]).join(right, (right["gram"] == meet["gram"]) & (right["comp2"] == meet["comp2"]) & enough)
     rest = rest.select(F.least("uid1", "uid2").alias("x"), F.greatest("uid1", "uid2").alias("y")).distinct()
-    edges = cut(edges.unionByName(_verified(rest, nodes, num, den)))
+    edges = _few(cut(edges.unionByName(_verified(rest, nodes, num, den))))
     comps = _labelled(grouped, edges)
     member = held.select("uid", "doc_id", "n", "same").join(nodes_of, ["n", "same"]).join(comps.withColumnRenamed("uid", "node"), "node").select("uid", "doc_id", "n", "comp")
     member = cut(member)

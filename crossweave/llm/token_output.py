@@ -32,6 +32,7 @@ from crossweave.llm import textkit
 from crossweave.llm.common import shared_dir
 
 END_BYTE = b"\xff"
+SHARDS_A_TASK = 4
 
 
 @dataclass(frozen=True)
@@ -175,7 +176,7 @@ def write_shards(docs: DataFrame, tokens: Column, folder: str, layout: Layout =
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     n_shards = -(-(-(-total // layout.length)) // layout.rows)
     pieces = rows.mapInArrow(_pieces(offsets, total, layout), "shard long, slot long, at int, data binary")
-    dealt = pieces.repartition(n_shards, "shard") if n_shards == 1 else pieces.repartitionByRange(n_shards, "shard")
+    dealt = pieces.repartitionByRange(-(-n_shards // SHARDS_A_TASK), "shard")
     manifest = dealt.sortWithinPartitions("shard", "slot", "at").mapInArrow(_writer(folder, layout), _SHARDS)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(_SHARDS).parquet(f"{folder}/manifest")
