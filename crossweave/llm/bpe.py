@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole documents with a tokenizer file.
 
 Ordinary text: ASCII white space always separates pieces, whatever the tokenizer's own splitting, if the file says so (its normaliser and
-splitter drop white space); pieces are encoded by the library once a worker and then looked up. Long unsplit text, one piece of more than
+splitter drop white space); pieces are encoded by the library once and then looked up. Long unsplit text, one piece of more than
 LONG bytes, is encoded by tree concatenation: its parts between the tokenizer's own splits are halved down to leaves, the leaves are
 encoded in parallel, and two neighbours are joined by re-encoding a window around the join that grows until its first token is the left
 side's and its last token is the right side's. A sequence of tokens is the BPE encoding of its text if every two neighbours are that of
@@ -32,8 +32,8 @@ LONG = 2048
 LEAF = 512
 #: Tokens on each side of a join that are re-encoded first.
 WINDOW = 8
-#: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 150_000
+#: Pieces that a task remembers; then it starts afresh.
+REMEMBERED = 120_000
 #: Bytes of a batch that goes back to Spark.
 BATCH_BYTES = 2 << 20
 
@@ -188,7 +188,7 @@ _made: dict[tuple, Encoder | Decoder] = {}
 
 
 def _once(kind: type, path: str):
-    """The worker's encoder or decoder of a file, made once."""
+    """The task's encoder or decoder of a file, made once."""
     if (kind, path) not in _made:
         _made[kind, path] = kind(path)
     return _made[kind, path]
@@ -215,10 +215,13 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work) -> Dat
     schema = T.StructType([f for f in df.schema.fields if f.name != "__in"] + [T.StructField(k, v) for k, v in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            for at, values in _runs(got.column("__in"), BATCH_BYTES):
-                part = got.slice(at, len(values))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values)], names=[*rest, *new])
+        try:
+            for got in batches:
+                for at, values in _runs(got.column("__in"), BATCH_BYTES):
+                    part = got.slice(at, len(values))
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values)], names=[*rest, *new])
+        finally:
+            _made.clear()  # a worker that goes on with other work doesn't hold the vocabulary
 
     return df.mapInArrow(run, schema)
 

@@ -39,13 +39,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, out=out)
 
 
-_POW = [powers(_BASE, 1 << 16), powers(_UNBASE, 1 << 16)]
+_UP, _DOWN, _LOW = (powers(_BASE, 1 << 16), powers(_UNBASE, 1 << 16), np.int64((1 << 16) - 1))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        _POW[:] = powers(_BASE, n), powers(_UNBASE, n)
-    return _POW[0][:n], _POW[1][:n]
+def _power(of: np.ndarray, base: np.uint64, at: np.ndarray) -> np.ndarray:
+    """base ** at; of: its first 2**16 powers."""
+    high = powers(np.uint64(pow(int(base), 1 << 16, 1 << 64)), int(at.max(initial=0) >> 16) + 1)
+    return of[at & _LOW] * high[at >> 16]
+
+
+def _first_powers(n: int) -> np.ndarray:
+    high = powers(np.uint64(pow(int(_BASE), 1 << 16, 1 << 64)), (n >> 16) + 1)
+    return (_UP * high[:, None]).reshape(-1)[:n]
 
 
 def byte_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -118,14 +123,13 @@ def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
     """64-bit hash of each span of bytes, the same wherever it stands; A-Z count as a-z if `lower`. Each seed has a hash of its own."""
-    up, down = _powers(len(data) + 1)
     table = mix64(_TABLE + np.uint64(seed)) if seed else _TABLE
     terms = table[_LOWER[data]] if lower else table[data]
-    terms *= up[:-1]
+    terms *= _first_powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(terms, out=sums[1:])
     del terms
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
+    return mix64((sums[ends] - sums[starts]) * _power(_DOWN, _UNBASE, starts) + (ends - starts).astype(np.uint64) * _BASE)
 
 
 _STEP = [powers(np.uint64(0xD1342543DE82EF95), 64)]
