@@ -188,4 +188,31 @@ SQL: dict[str, str] = {
         SELECT arg_min(nav, date) AS f, arg_max(nav, date) AS l, date_diff('day', min(date), max(date)) AS days, stddev_samp(r) * sqrt(52) AS vol, min(dd) AS max_drawdown FROM (SELECT date, nav, nav / lag(nav) OVER (ORDER BY date) - 1 AS r, nav / max(nav) OVER (ORDER BY date) - 1 AS dd FROM bt)))"""),
     "holdings_matrix": _sql("rk", "date stock1 stock2 stock3 stock4 stock5", "", "SELECT date, " + ", ".join(f"max(ticker) FILTER (rank = {k}) AS stock{k}" for k in range(1, 6)) + " FROM rk WHERE rank <= 5 GROUP BY date"),
     "events_by_day": _sql("", "day event_type n", "total", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"),
+    "last_lambdas": _sql("lam", "date factor slope intercept r2", "", "SELECT date, 'beta' AS factor, round(100 * slope, 2) AS slope, round(100 * intercept, 2) AS intercept, round(100 * r2, 2) AS r2 FROM lam QUALIFY row_number() OVER (ORDER BY date DESC) <= 5"),
+    "universe_filter": _sql("px sec f0", "ticker", "", """SELECT ticker FROM (SELECT ticker, count(*) FILTER (date IN (SELECT date FROM (SELECT DISTINCT date FROM px WHERE date < DATE '1998-01-05') ORDER BY date DESC LIMIT 252)) AS n FROM px GROUP BY ticker)
+        WHERE ((SELECT count(DISTINCT date) FROM px WHERE date < DATE '1998-01-05') < 252 OR n >= 200) AND ticker IN (SELECT ticker FROM sec) AND ticker IN (SELECT ticker FROM f0)"""),
+    "capw_mean": _sql("cs", "date sector n", "mean", "SELECT date, sector, count(*) AS n, sum(x * volume) / sum(volume) AS mean FROM cs GROUP BY 1, 2 HAVING count(*) >= 3"),
+    "harmonic_multiple": _sql("cs", "date sector", "multiple", "SELECT date, sector, sum(volume) / nullif(sum(volume / x), 0) AS multiple FROM cs WHERE x <> 0 GROUP BY 1, 2"),
+    "factor_return_ls": _sql("sig", "date", "spread", """SELECT date, avg(fwd) FILTER (r >= hi) - avg(fwd) FILTER (r <= lo) AS spread FROM (SELECT *, quantile_cont(r, 0.8) OVER w AS hi, quantile_cont(r, 0.2) OVER w AS lo FROM (
+        SELECT date, fwd, (rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1) / 2.0) / count(*) OVER (PARTITION BY date) AS r FROM sig) WINDOW w AS (PARTITION BY date)) GROUP BY date"""),
+    "residualized": _sql("sig", _TD, "resid", "SELECT * FROM (SELECT ticker, date, fwd - regr_intercept(fwd, x) OVER w - regr_slope(fwd, x) OVER w * x AS resid FROM sig WHERE fwd IS NOT NULL WINDOW w AS (PARTITION BY date)) WHERE resid IS NOT NULL"),
+    "common_dates": _sql("wk", "date", "", "SELECT DISTINCT date FROM wk INTERSECT SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) FROM orders"),
+    "sector_spread": _sql("ret sec", "date", "spread", "SELECT date, max(c) - min(c) AS spread FROM (SELECT date, sum(coalesce(m, 0)) OVER (PARTITION BY sector ORDER BY date) AS c FROM (SELECT date, sector, avg(ret) AS m FROM ret JOIN sec USING (ticker) GROUP BY 1, 2)) GROUP BY date"),
+    "ou_fit": _sql("resid", _TD, "weight distance", """SELECT ticker, date, least(30.0 / (ln(2) / -ln(b)), 10.0) AS weight, (xl - a / (1 - b)) / nullif(sqrt(greatest(syy - b * sxy, 0) / m) / sqrt(2 * -ln(b)), 0) AS distance FROM (
+        SELECT ticker, date, count(x) OVER f AS n, regr_slope(x, p) OVER g AS b, regr_intercept(x, p) OVER g AS a, regr_syy(x, p) OVER g AS syy, regr_sxy(x, p) OVER g AS sxy, regr_count(x, p) OVER g AS m, p AS xl FROM (
+          SELECT *, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS p FROM (SELECT ticker, date, exp(sum(ln(1 + resid)) OVER (PARTITION BY ticker ORDER BY date)) AS x FROM resid WHERE resid IS NOT NULL AND resid > -1))
+        WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), g AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING)) WHERE n >= 30 AND b > 0 AND b < 1 AND a / (1 - b) > 0"""),
+    "resid_beta_sector": _sql("ret sec", _TD, "beta63 resid", """SELECT ticker, date, beta63, resid FROM (SELECT *, e - avg(e) OVER (PARTITION BY date, sector) AS resid FROM (SELECT *, fwd - beta63 * avg(fwd) OVER (PARTITION BY date) AS e FROM (
+        SELECT *, coalesce(CASE WHEN count(mk) OVER f >= 20 THEN covar_samp(ret, mkt) OVER f / nullif(var_samp(mk) OVER f, 0) END, 1.0) AS beta63 FROM (
+          SELECT r.ticker, r.date, s.sector, r.ret, r.mkt, CASE WHEN r.ret IS NOT NULL THEN r.mkt END AS mk, lead(d.close, 4) OVER (PARTITION BY r.ticker ORDER BY r.date) / d.close - 1 AS fwd FROM ret r JOIN dense d ON d.ticker = r.ticker AND d.date = r.date JOIN sec s ON s.ticker = r.ticker)
+        WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)))) WHERE resid IS NOT NULL"""),
+    "orthogonalize_1": _sql("beta", _TD, "perp", """SELECT ticker, date, CASE WHEN n >= 5 THEN x - (mx + coalesce((sxp - mp * mx) / CASE WHEN spp - mp * mp > 1e-14 THEN spp - mp * mp END, 0) * (p - mp)) ELSE x END AS perp FROM (
+        SELECT *, count(x) OVER d AS n, sum(v * p) OVER d / sum(v) OVER d AS mp, sum(v * x) OVER d / sum(v) OVER d AS mx, sum(v * p * p) OVER d / sum(v) OVER d AS spp, sum(v * p * x) OVER d / sum(v) OVER d AS sxp FROM (
+          SELECT ticker, date, beta AS p, z AS x, CASE WHEN sum(CASE WHEN z IS NOT NULL THEN w0 END) OVER (PARTITION BY date) > 0 THEN CASE WHEN z IS NOT NULL THEN w0 END ELSE CASE WHEN z IS NOT NULL THEN 1.0 END END AS v FROM (
+            SELECT *, coalesce((s - avg(s) OVER (PARTITION BY date)) / nullif(stddev_samp(s) OVER (PARTITION BY date), 0), 0) AS z, greatest(s, 0) AS w0 FROM (SELECT ticker, date, beta, ln(greatest(coalesce(cap, 1), 1)) AS s FROM beta)) WHERE beta IS NOT NULL)
+        WINDOW d AS (PARTITION BY date))"""),
+    "feq_estimate": _sql("want f0", "ticker date feq", "", """SELECT n.ticker, n.date, coalesce(min(c.period) FILTER (abs(c.v1 - c.v0) / greatest(abs(c.v1), 1) > 0.01), any_value(n.guess))::BIGINT AS feq FROM (
+        SELECT w.ticker, w.date, max(f.download) FILTER (f.download <= w.date) AS before, min(f.download) FILTER (f.download > w.date) AS after, 1997 * 4 - round_even(date_diff('day', w.date, DATE '1997-01-15') / 90.0, 0)::BIGINT AS guess FROM want w JOIN (SELECT DISTINCT ticker, download FROM f0) f ON f.ticker = w.ticker GROUP BY w.ticker, w.date) n
+        LEFT JOIN LATERAL (SELECT t.k + n.guess AS period, (SELECT revenue FROM f0 a WHERE a.ticker = n.ticker AND a.period = t.k + n.guess AND a.download = n.before) AS v0, (SELECT revenue FROM f0 b WHERE b.ticker = n.ticker AND b.period = t.k + n.guess AND b.download = n.after) AS v1 FROM (SELECT unnest([-1, 0, 1]) AS k) t) c ON true
+        WHERE n.before IS NOT NULL GROUP BY n.ticker, n.date"""),
 }

@@ -12,10 +12,11 @@ from crossweave.operators import fundamentals as Q
 from crossweave.operators import panel as P
 from crossweave.operators import portfolio as B
 from crossweave.operators import regress as R
+from crossweave.operators import reports as N
 from crossweave.operators import signals as I
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
-from crossweave.plans import panels
+from crossweave.plans import panels, steps
 from crossweave.plans.oracle import NUDGE
 from crossweave.sources import tables
 from crossweave.streaming.incremental import windowed_events
@@ -249,7 +250,7 @@ def drawdown(spark, d):
 @query
 def ou_fit(spark, d):
     rows = W.ou_fit(_resid(spark, d).select("ticker", "date", "resid"))
-    return rows.where(F.col("half_life").isNotNull()).select("ticker", "date", "half_life", "distance")
+    return rows.where(F.col("half_life").isNotNull()).select("ticker", "date", S.ou_weight(F.col("half_life")).alias("weight"), "distance")
 
 
 @query
@@ -483,3 +484,96 @@ def holdings_matrix(spark, d):
 @query
 def events_by_day(spark, d):
     return windowed_events(tables.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"))
+
+
+# -- reports and the whole model
+
+def _model_rows(spark, d):
+    rows = _sized(spark, d)
+    macro = P.Window.partitionBy("series")
+    o = tables.table(spark, d, "orders").groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("date")).agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("orders"))
+    series = o.unpivot(["date"], ["price", "orders"], "series", "level")
+    series = series.withColumn("value", F.col("level") / F.lag("level").over(macro.orderBy("date")) - 1).where(F.col("value").isNotNull()).select("date", "series", "value")
+    betas = W.macro_betas(panels.returns(spark, d).select("ticker", "date", "i", "ret"), series).groupBy("ticker", "date").pivot("series", ["price", "orders"]).agg(F.first("z")).withColumnsRenamed({"price": "macro_price", "orders": "macro_orders"})
+    names = sorted(r["sector"] for r in panels.sectors(spark, d).select("sector").distinct().collect())  # a handful of sectors
+    dummies = X.sector_dummies(panels.sectors(spark, d), names).select("ticker", *(F.col("x")[k].alias(f"sector{k}") for k in range(5)))
+    quality = quality_composite(spark, d).select("ticker", "date", F.col("score").alias("quality"))
+    value = X.rank01(X.reflected_value(_disc(spark, d).withColumn("x", F.round(F.col("x") - 0.05, 9)), "x", "v"), "v", "value", ("date", "sector"), least=3).select("ticker", "date", "value")
+    si = si_composite(spark, d)
+    vol = X.zscore(W.garman_klass(panels.ohlc(spark, d)).where(F.col("gk").isNotNull()), "gk", "z").select("ticker", "date", F.col("z").alias("gk"))
+    out = rows.select("ticker", "date", "ret", "w", "w0", "beta", "size").join(dummies, "ticker", "left")
+    for part in (betas, quality, value, si, vol):
+        out = out.join(part, ["ticker", "date"], "left")
+    return out
+
+
+def _chain(spark, d, version):
+    return steps.run_steps(_model_rows(spark, d), version, MIN_NAMES)
+
+
+@query
+def factor_chain_v1(spark, d):
+    return _chain(spark, d, steps.V1)[0]
+
+
+@query
+def factor_chain_v2(spark, d):
+    return _chain(spark, d, steps.V2)[0]
+
+
+@query
+def variance_table(spark, d):
+    return N.variance_table(_chain(spark, d, steps.V1[:3])[1])
+
+
+@query
+def consolidated_intercept(spark, d):
+    return N.consolidated_intercept(factor_chain(spark, d))
+
+
+@query
+def last_lambdas(spark, d):
+    return N.last_lambdas(_lambdas(spark, d))
+
+
+@query
+def universe_filter(spark, d):
+    rows = panels.prices(spark, d)
+    return N.universe(rows, panels.sectors(spark, d), panels.facts(spark, d).select("ticker").distinct(), "1998-01-05", 252, 200)
+
+
+@query
+def vol_comparison(spark, d):
+    return N.vol_comparison(W.close_vol(panels.returns(spark, d)).select("date", "ticker", "vol").join(W.garman_klass(panels.ohlc(spark, d)).select("date", "ticker", "gk"), ["date", "ticker"]))
+
+
+@query
+def capw_mean(spark, d):
+    rows = _disc(spark, d).withColumn("cap", F.col("volume"))
+    return N.cap_weighted(rows, "x")
+
+
+@query
+def harmonic_multiple(spark, d):
+    return N.harmonic_multiple(_disc(spark, d).withColumn("cap", F.col("volume")), "x")
+
+
+@query
+def factor_return_ls(spark, d):
+    return N.long_short(X.percent_rank(_signal(spark, d), "x", "r"), "r", "fwd")
+
+
+@query
+def residualized(spark, d):
+    return R.residualised(_signal(spark, d).where(F.col("fwd").isNotNull()), "fwd", "x", "resid").where(F.col("resid").isNotNull()).select("ticker", "date", "resid")
+
+
+@query
+def common_dates(spark, d):
+    return N.common_dates(panels.weekly(spark, d), tables.table(spark, d, "orders").select(F.date_trunc("week", "o_orderdate").cast("date").alias("date")))
+
+
+@query
+def sector_spread(spark, d):
+    rows = panels.sectored(spark, d).groupBy("date", F.col("sector").alias("factor")).agg(F.avg("ret").alias("slope"))
+    return N.sector_spread(rows)
