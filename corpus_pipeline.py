@@ -18,21 +18,27 @@ from crossweave.llm.ngram_join import gram_components
 from crossweave.llm.queries import token_digests
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row in a struct: an operator's columns can't meet columns of the same name."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those predicted `und`, without any letter, go. Trained on the rows that op3 trains on."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predict(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+    return predict(_packed(docs), model).where(F.col("lang_pred") != "und").select("whole_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one that had text and has no word left goes. n_chars follows the text."""
-    cut = dedup_lines(docs)
+    cut = dedup_lines(_packed(docs))
     kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("whole_row.n_chars"))}
+    return kept.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col("whole_row")[c]).alias(c) for c in docs.columns))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The document with the smallest doc_id of each group of near copies; rows of one doc_id are one document, rows without one stay."""
     others = gram_components(docs.select("doc_id", "text")).where(F.col("component_id") < F.col("doc_id")).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

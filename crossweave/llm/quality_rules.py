@@ -35,10 +35,11 @@ class Rule:
     rejects: str
 
 
-#: Text that is not prose: symbol junk, tables, shouting, repeated lines, digits, chopped or glued words.
+#: Text that is not prose: symbol junk, tables, shouting, repeated lines and words, digits, chopped or glued words.
 RULES = (
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule("stuttering", r"5 * regexp_count(text, '(?<!\\S)(\\S+)(?=\\s+\\1(?!\\S))') > n_words"),
     Rule("shouting", "10 * regexp_count(text, '\\\\p{Lu}') > 4 * word_chars"),
     Rule("exclaiming", "5 * regexp_count(text, '[!?]') > n_words"),
     Rule("digits", "10 * regexp_count(text, '[0-9]') > 3 * word_chars"),

@@ -135,11 +135,12 @@ WITH docs AS (
 ), base AS (
   SELECT d.doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+         len(list_filter(list_zip(words[:-2], words[2:]), lambda x: x[1] = x[2])) AS n_stutters,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM docs d LEFT JOIN covered c USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines) OR 5 * n_stutters > n_words
             OR 10 * len(regexp_extract_all(text, '\p{{Lu}}')) > 4 * word_chars OR 5 * len(regexp_extract_all(text, '[!?]')) > n_words
             OR 10 * len(regexp_extract_all(text, '[0-9]')) > 3 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM base

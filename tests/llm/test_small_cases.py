@@ -125,3 +125,20 @@ def test_shards_of_odd_rows(spark, docs, none, tmp_path):
     total = sum(len((t or "").encode()) + 1 for _, t, *_ in ROWS)
     assert sum(r.n_rows for r in manifest) == -(-total // 16)
     assert token_output.write_shards(none, token_output.byte_tokens(), str(tmp_path / "b"), layout).collect() == []
+
+
+def test_pipeline_of_odd_rows(spark, docs, none, tmp_path):
+    import corpus_pipeline as cp
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "nothing like the texts at all, really")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for start in (docs, none):
+        now = start
+        for name, stage in cp.STAGES:
+            out = stage(spark, now, folder)
+            if name != "bpe":
+                assert out.schema.names == start.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in start.schema]
+                assert {r["n_lines"] for r in out.select("n_lines").collect() if "n_lines" in start.columns} <= {"x"} if "n_lines" in start.columns else True
+            now = out
+        ids = {r.doc_id for r in now.collect()}
+        assert ids == ({3, None, 5} if start is docs else set())
