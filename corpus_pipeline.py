@@ -19,22 +19,26 @@ from crossweave.llm.queries import token_digests
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and the whole row in a struct: an operator's columns can't meet columns of the same name."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+    """doc_id and text, and the other columns in a struct: an operator's columns can't meet columns of the same name."""
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("row"), *(F.col(c).alias(f"_{c}") for c in docs.columns if c not in ("doc_id", "text"))).alias("others"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("others")[f"_{c}"].alias(c) for c in columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those predicted `und`, without any letter, go. Trained on the rows that op3 trains on."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return predict(_packed(docs), model).where(F.col("lang_pred") != "und").select("whole_row.*")
+    return predict(_packed(docs), model).where(F.col("lang_pred") != "und").transform(_unpacked, docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one that had text and has no word left goes. n_chars follows the text."""
     cut = dedup_lines(_packed(docs))
     kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("whole_row.n_chars"))}
-    return kept.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col("whole_row")[c]).alias(c) for c in docs.columns))
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others")["_n_chars"])
+    return kept.withColumn("others", F.col("others").withField("_n_chars", size)).transform(_unpacked, docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,16 +43,19 @@ BANDS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, RARE)
 _SHIFT = np.uint64(8)  # hashes keep 56 bits
 
 _PACKS = "to int, kind int, a binary, b binary, c binary"
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _POSTINGS, _MARKS, _HELD, _DOCS = 0, 1, 2, 3
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """The bytes of 64-bit numbers, all first bytes first: what is equal in neighbours lies together and compresses."""
-    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers, compressed with all first bytes first: what is equal in neighbours lies together."""
+    raw = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _numbers(x: pa.Buffer) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+    raw = _ZSTD.decompress(x.slice(8), decompressed_size=int.from_bytes(x[:8].to_pybytes(), "little"))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
 class _Rows:
