@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweave.functions.scalar import symmetric_growth
+from crossweave.functions.scalar import safe_ratio, symmetric_growth
+from crossweave.operators.xsection import demeaned, quantile_bucket
 
 
 def quarters(facts: DataFrame, wanted: DataFrame, metric: str, first: int, last: int, known_by_date: bool) -> DataFrame:
@@ -67,3 +68,34 @@ def first_estimated(facts: DataFrame, status: DataFrame, dates: DataFrame, metri
     b = a.join(values.withColumnsRenamed({"download": "after", "value": "v1"}), ["ticker", "period", "after"], "left")
     changed = F.abs(F.col("v1") - F.col("v0")) / F.greatest(F.abs("v1"), F.lit(1.0)) > tolerance
     return b.groupBy("ticker", "date", "guess").agg(F.min(F.when(changed, F.col("period"))).alias("hit")).select("ticker", "date", F.coalesce("hit", "guess").alias("feq"))
+
+
+def point_in_time_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sales: str, earnings: str, shares: str) -> DataFrame:
+    """(ticker, date, cap, ps, pe, gs, gs_vol, gs_adj) of wanted (ticker, date, feq), all tickers and dates in one plan.
+
+    Capitalisation: the last known share count times the price of the date. Multiples: capitalisation over four times the median quarter of the
+    last four. gs_vol: deviation of the four yearly growth rates in percent over 10, at least 1.
+    """
+    last4 = lambda metric, out: eight_back(facts, wanted, metric).where("k >= -4").groupBy("ticker", "date").agg(F.median(F.nullif("value", F.lit(0.0))).alias(out))
+    count = eight_back(facts, wanted, shares).groupBy("ticker", "date").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("shares"))
+    back = eight_back(facts, wanted, sales)
+    old = back.select("ticker", "date", (F.col("k") + 4).alias("k"), F.col("value").alias("before"))
+    growth = back.where("k >= -4").join(old, ["ticker", "date", "k"]).withColumn("g", 100 * symmetric_growth(F.col("value"), F.col("before")))
+    spread = growth.groupBy("ticker", "date").agg(F.when(F.count("g") >= 2, F.greatest(F.stddev_samp("g") / 10, F.lit(1.0))).otherwise(1.0).alias("gs_vol"))
+    out = count.join(prices.select("ticker", "date", "close"), ["ticker", "date"]).withColumn("cap", F.col("shares") * F.col("close"))
+    for part in (last4(sales, "__s"), last4(earnings, "__e"), blended_growth(facts, wanted, sales).select("ticker", "date", "gs"), spread):
+        out = out.join(part, ["ticker", "date"], "left")
+    return out.select("ticker", "date", "cap", safe_ratio(F.col("cap"), F.col("__s")).alias("ps"), safe_ratio(F.col("cap"), F.col("__e")).alias("pe"), "gs", "gs_vol", (F.col("gs") / F.col("gs_vol")).alias("gs_adj"))
+
+
+def growth_value_factor(metrics: DataFrame) -> DataFrame:
+    """Adds factor to (date, ticker, sector, gs_adj, multiples): growth less its sector's median, over the median quintile of the positive multiples."""
+    rows = demeaned(metrics, "gs_adj", "__g", by_median=True)
+    multiples = [c for c in ("ps", "pe", "pgp") if c in metrics.columns]
+    for c in multiples:
+        rows = quantile_bucket(rows.withColumn(f"__{c}", F.when(F.col(c) > 0, F.col(c))), f"__{c}", f"__q_{c}")
+    known = F.array_sort(F.filter(F.array(*(F.col(f"__q_{c}").cast("double") for c in multiples)), lambda x: x.isNotNull()))
+    n = F.size(known)
+    middle = F.when(n > 0, (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2)
+    out = rows.withColumn("factor", F.try_divide("__g", middle)).where(F.col("factor").isNotNull())
+    return out.select(*metrics.columns, "factor")

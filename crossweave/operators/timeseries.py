@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +108,40 @@ def rate_regime(series: DataFrame, window: int = 126, threshold: float = 50.0) -
     return rows.withColumn("q", F.when(F.col("mav").isNull(), 0.5).when(gap > threshold, 1.0).when(gap < -threshold, 0.0).otherwise(0.5))
 
 
+def rate_grid(series: DataFrame, windows: tuple[int, ...], thresholds: tuple[float, ...]) -> DataFrame:
+    """(window, threshold, date, q): rate_regime for every pair of parameters, in one plan."""
+    levels = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    out = None
+    for n in windows:
+        rows = rate_regime(series, n).select(F.lit(n).alias("window"), "date", "value", "mav", levels)
+        gap = F.col("value") - F.col("mav")
+        rows = rows.select("window", "threshold", "date", F.when(F.col("mav").isNull(), 0.5).when(gap > F.col("threshold"), 1.0).when(gap < -F.col("threshold"), 0.0).otherwise(0.5).alias("q"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def repaired(series: DataFrame, jump: float = 0.25, rounds: int = 20) -> DataFrame:
+    """(ticker, date, value): a value that jumps by more than `jump` and whose successor is closer to the one before it becomes their mean; again until none does.
+
+    One ticker's series is one group: as many rows as dates.
+    """
+
+    def run(pdf):
+        pdf = pdf.sort_values("date")
+        x = pdf["value"].to_numpy(float).copy()
+        for _ in range(rounds):
+            before, now, after = x[:-2], x[1:-1], x[2:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                odd = (np.abs(now / before - 1) > jump) & (np.abs(after - before) < np.abs(after - now))
+            if not odd.any():
+                break
+            k = int(np.argmax(odd)) + 1  # the first; its repair changes what its neighbours see
+            x[k] = (x[k - 1] + x[k + 1]) / 2
+        return pdf.assign(value=x)
+
+    return series.select("ticker", "date", "value").groupBy("ticker").applyInPandas(run, "ticker string, date date, value double")
+
+
 def rolling_t(lambdas: DataFrame, window: int = 252, value: str = "slope", keys: tuple[str, ...] = ("factor",)) -> DataFrame:
     """Adds t: mean over standard error of full windows."""
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(window - 1), 0)

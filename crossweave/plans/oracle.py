@@ -215,4 +215,8 @@ SQL: dict[str, str] = {
         SELECT w.ticker, w.date, max(f.download) FILTER (f.download <= w.date) AS before, min(f.download) FILTER (f.download > w.date) AS after, 1997 * 4 - round_even(date_diff('day', w.date, DATE '1997-01-15') / 90.0, 0)::BIGINT AS guess FROM want w JOIN (SELECT DISTINCT ticker, download FROM f0) f ON f.ticker = w.ticker GROUP BY w.ticker, w.date) n
         LEFT JOIN LATERAL (SELECT t.k + n.guess AS period, (SELECT revenue FROM f0 a WHERE a.ticker = n.ticker AND a.period = t.k + n.guess AND a.download = n.before) AS v0, (SELECT revenue FROM f0 b WHERE b.ticker = n.ticker AND b.period = t.k + n.guess AND b.download = n.after) AS v1 FROM (SELECT unnest([-1, 0, 1]) AS k) t) c ON true
         WHERE n.before IS NOT NULL GROUP BY n.ticker, n.date"""),
+    "grid_search": _sql("nav", "window threshold high low", "mean_q", """SELECT n AS "window", t AS threshold, avg(q) AS mean_q, count(*) FILTER (q = 1) AS high, count(*) FILTER (q = 0) AS low FROM (SELECT n, t, CASE WHEN m IS NULL THEN 0.5 WHEN v - m > t THEN 1.0 WHEN v - m < -t THEN 0.0 ELSE 0.5 END AS q FROM (
+        SELECT 26 AS n, nav * 100 AS v, CASE WHEN count(*) OVER w >= 13 THEN avg(nav * 100) OVER w END AS m FROM nav WINDOW w AS (ORDER BY date ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)
+        UNION ALL SELECT 52, nav * 100, CASE WHEN count(*) OVER w >= 26 THEN avg(nav * 100) OVER w END FROM nav WINDOW w AS (ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)
+        UNION ALL SELECT 104, nav * 100, CASE WHEN count(*) OVER w >= 52 THEN avg(nav * 100) OVER w END FROM nav WINDOW w AS (ORDER BY date ROWS BETWEEN 103 PRECEDING AND CURRENT ROW)) CROSS JOIN (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS t)) GROUP BY 1, 2""").replace("SELECT window,", 'SELECT CAST("window" AS BIGINT) AS "window",'),
 }

@@ -577,3 +577,13 @@ def common_dates(spark, d):
 def sector_spread(spark, d):
     rows = panels.sectored(spark, d).groupBy("date", F.col("sector").alias("factor")).agg(F.avg("ret").alias("slope"))
     return N.sector_spread(rows)
+
+
+@query
+def grid_search(spark, d):
+    return W.rate_grid(_market_path(spark, d).select("date", (F.col("nav") * 100).alias("value")), (26, 52, 104), (0.25, 0.5, 1.0)).groupBy("window", "threshold").agg(F.avg("q").alias("mean_q"), F.count_if(F.col("q") == 1).alias("high"), F.count_if(F.col("q") == 0).alias("low"))
+
+
+@query
+def outlier_repair(spark, d):
+    return W.repaired(panels.weekly(spark, d).select("ticker", "date", F.col("amount").alias("value")))

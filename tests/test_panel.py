@@ -296,3 +296,30 @@ def test_registered_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_point_in_time_metrics(spark):
+    rows = [("A", q, day(0), m, v(q)) for q in range(1, 10) for m, v in (("s", lambda q: 100.0 + q), ("e", lambda q: 10.0), ("n", lambda q: 2.0 if q < 9 else None))]
+    facts = frame(spark, rows, "ticker string, period int, download date, metric string, value double")
+    wanted = frame(spark, [("A", day(5), 10)], "ticker string, date date, feq int")
+    got = Q.point_in_time_metrics(facts, wanted, frame(spark, [("A", day(5), 50.0)], "ticker string, date date, close double"), "s", "e", "n").first()
+    assert got.cap == 100.0 and got.ps == round(100 / (4 * 107.5), 2) and got.pe == 2.5 and got.gs_vol == 1.0 and got.gs_adj == got.gs
+
+
+def test_growth_value_factor(spark):
+    rows = frame(spark, [(day(0), f"T{k}", "S", float(k), 1.0 + k, -1.0) for k in range(5)], "date date, ticker string, sector string, gs_adj double, ps double, pe double")
+    assert column(Q.growth_value_factor(rows), "factor", "ticker") == pytest.approx([-2.0, -0.5, 0.0, 0.25, 0.4])
+
+
+def test_pooled_regression(panel):
+    got = R.pooled_ols(panel, "y", ["x", "z"])
+    pdf = panel.toPandas()
+    a = np.column_stack([np.ones(len(pdf)), pdf["x"], pdf["z"]])
+    assert np.allclose(got["beta"], np.linalg.lstsq(a, pdf["y"], rcond=None)[0]) and got["n"] == len(pdf)
+    strong = panel.withColumn("y", F.col("x") * (1 - F.col("z")))
+    assert R.interaction_gain(strong, "y", "x", "z")["significant"] and not R.interaction_gain(panel, "y", "x", "z")["significant"]
+
+
+def test_repair(spark):
+    rows = frame(spark, [("A", day(i), v) for i, v in enumerate([10.0, 10.0, 100.0, 12.0, 12.0, 30.0, 30.0])], "ticker string, date date, value double")
+    assert column(W.repaired(rows), "value", "date") == [10.0, 10.0, 11.0, 12.0, 12.0, 30.0, 30.0]
