@@ -99,7 +99,7 @@ def _by_document(rows: _Rows, uid: np.ndarray, gram: np.ndarray, rank: np.ndarra
         rows.add(int(to[i]), _HELD, _planes(uid[i:j]), _planes(gram[i:j]), rank[i:j].astype(np.uint8).tobytes())
 
 
-def _post(words: int, n_grams: int, n_docs: int):
+def _post(words: int, n_grams: int, n_docs: int, frequent: int):
     """Documents to packed postings by range of gram, and what goes to the documents at once."""
     span = np.uint64((1 << 56) // n_grams + 1)
 
@@ -124,7 +124,7 @@ def _post(words: int, n_grams: int, n_docs: int):
                 uid = at.astype(np.uint64) + np.uint64(first)
                 begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
                 count = np.diff(np.append(begin, len(grams)))
-                hot = count >= FREQUENT
+                hot = count >= frequent
                 if hot.any():
                     in_hot = np.repeat(hot, count)
                     _by_document(rows, uid[in_hot], grams[in_hot], np.full(int(in_hot.sum()), RARE), n_docs)
@@ -243,11 +243,11 @@ def _documents(num: int, den: int):
     return run
 
 
-def document_grams(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def document_grams(docs: DataFrame, words: int, num: int, den: int, frequent: int = FREQUENT) -> DataFrame:
     """A row of _DOC_ROWS for each row of `docs`, written to the shared folder."""
     p = shuffle_partitions(docs.sparkSession)
     n_grams, n_docs = 4 * p, 4 * p
-    packs = docs.select("doc_id", "text").mapInArrow(_post(words, n_grams, n_docs), _PACKS)
+    packs = docs.select("doc_id", "text").mapInArrow(_post(words, n_grams, n_docs, frequent), _PACKS)
     by_gram = packs.repartition(p, F.col("kind") <= _MARKS, "to").mapInArrow(_shared(n_docs), _PACKS)
     return materialise(by_gram.repartition(p, "to").mapInArrow(_documents(num, den), _DOC_ROWS), "document-grams")
 
@@ -272,7 +272,7 @@ def _few(table: DataFrame, rows_a_partition: int = 100_000) -> DataFrame:
 
 def _by_band(x: str, y: str):
     """The most grams that two documents can share, by band."""
-    return sum((F.least(F.col(x)[k], F.col(y)[k]).cast("int") for k in range(1, len(BANDS))), F.least(F.col(x)[0], F.col(y)[0]).cast("int"))
+    return sum((F.least(F.col(x)[k], F.col(y)[k]) for k in range(1, len(BANDS))), F.least(F.col(x)[0], F.col(y)[0]))
 
 
 def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -280,13 +280,14 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("uid").join(components(edges).withColumnRenamed("id", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp"))
 
 
-def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text).
 
     Two documents link when den * |intersection| >= num * |union| of their sets of `words`-grams (words: runs other than ASCII white
     space, A-Z lower-cased). component_id is the smallest doc_id that links reach, itself included.
+    `frequent` changes the work, never the result.
     """
-    rows = document_grams(docs, words, num, den)
+    rows = document_grams(docs, words, num, den, frequent)
     held = rows.where(F.col("prefix").isNotNull())
     # equal sets: one node each
     nodes_of = held.groupBy("n", "same").agg(F.min("uid").alias("node"))
@@ -332,7 +333,7 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     fits &= (num + den) * F.least("behind1", "behind2") >= num * (F.col("least1") + F.col("least2"))
     # the smaller component is taken apart first
     meet = one.join(two, "gram").where(F.struct("size1", "comp1") < F.struct("size2", "comp2")).where(fits).select("gram", "comp1", "comp2", "least1", "least2")
-    whole = nodes.select("uid", *(F.col("bands")[k].alias(f"b{k}") for k in range(len(BANDS)))).join(comps, "uid").groupBy("comp").agg(*(F.max(f"b{k}").cast("short").alias(f"b{k}") for k in range(len(BANDS))))
+    whole = nodes.select("uid", *(F.col("bands")[k].alias(f"b{k}") for k in range(len(BANDS)))).join(comps, "uid").groupBy("comp").agg(*(F.max(f"b{k}").alias(f"b{k}") for k in range(len(BANDS))))
     whole = cut(whole.select("comp", F.array(*(f"b{k}" for k in range(len(BANDS)))).alias("bands")))
     for k in (1, 2):
         meet = meet.join(whole.select(F.col("comp").alias(f"comp{k}"), F.col("bands").alias(f"bands{k}")), f"comp{k}")

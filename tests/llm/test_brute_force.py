@@ -56,8 +56,8 @@ def test_ngram_join(docs, texts):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(s), want[d]) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_ngram_join_of_altered_copies(spark, seed):
+@pytest.mark.parametrize(("seed", "frequent"), [(0, 64), (1, 3), (2, 20), (3, 2)])
+def test_ngram_join_of_altered_copies(spark, seed, frequent):
     """Groups of copies with one to six words changed link through their original, through each other, or not."""
     rng = random.Random(seed)
     rows, at = [], 0
@@ -73,7 +73,7 @@ def test_ngram_join_of_altered_copies(spark, seed):
             at += 1
     sets = {d: grams(t) for d, t in rows}
     want = linked(sets)
-    got = ngram_join.gram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = ngram_join.gram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent=frequent).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
