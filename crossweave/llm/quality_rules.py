@@ -23,7 +23,7 @@ from crossweave.llm.common import keep_first_names, materialise
 SPACE = r"[\x20\x09-\x0D]"
 _STRIP = " \t\n\x0b\x0c\r"
 WINDOW = 8
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS, SAMPLE_A_PARTITION = 2000, 64
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -85,9 +85,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def plan(measured_docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order of rejections per second, from the first `sample_rows` rows."""
-    sample = materialise(measured_docs.select("text", *FIGURES).limit(sample_rows), "rule-sample")
+def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules in the order of rejections per second, from at most `sample_rows` rows, the first ones of each partition."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = docs.select("text").where(place < SAMPLE_A_PARTITION).limit(sample_rows)
+    sample = materialise(measured(first), "rule-sample")
     flags = [F.coalesce(F.expr(r.rejects), F.lit(False)) for r in rules]
     combos = sample.groupBy(F.concat(*(f.cast("int").cast("string") for f in flags)).alias("bits")).count().collect()  # at most 2 ** rules
     seconds = []
@@ -115,5 +117,4 @@ def cascade(measured_docs: DataFrame, ordered: Sequence[Rule]) -> DataFrame:
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """`docs` with the columns of measured(), failed_rule and kept."""
-    rows = measured(docs)
-    return cascade(rows, plan(rows, rules))
+    return cascade(measured(docs), plan(docs, rules))
