@@ -3,12 +3,12 @@
 Every run of 20 or more characters of base-64 alphabets is a candidate. Its encoding is inferred from its characters (decimal, hexadecimal,
 base 32, lower-case letters, base 62, base 64) and three statistics compare it with uniform random characters of that alphabet: chi-squared
 of the character counts, the number of runs of the alphabet's halves, and the correlation of neighbours; each as a normal deviate, combined
-as the root of their squares. A candidate is reported if the combined deviate is below what one random token in a thousand exceeds, and if
-false discoveries are controlled: the corpus's own long plain words, of the same or a shorter length band, are the null distribution, and
-each band's threshold is the largest at which the expected share of plain words among the reported stays within `rate`. Longer tokens tell
-more, so that each length band has its own threshold.
+as the root of their squares. A candidate is reported if the combined deviate is below what about one random token in a thousand exceeds, and
+if false discoveries are controlled: bundled statistics of words (pairs of letters, changes of case, digits, marks) give the likelihood of the
+token as text, uniform characters that of a random one, and text must have at most `rate` of the odds where both are equally common. Longer
+tokens tell more. Nothing depends on what else the corpus holds: a token gets the same verdict in every table.
 
-Texts are read once; what goes on are spans, and only counts by length band and rounded deviate are gathered.
+Texts are read once; what goes on are spans.
 
 Defined results: positions count code points; a null text is empty and has no spans; rows with equal doc_id are scanned one by one; equal
 texts give equal spans; an empty table gives an empty result; other columns are not read.
@@ -16,7 +16,9 @@ texts give equal spans; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm.common import materialise
@@ -47,7 +49,20 @@ _PLAIN_WORD = "^[A-Za-z][a-z]+$|^[A-Z]+$"
 #: The root of the 99.9 % point of chi-squared with three degrees of freedom.
 MOST_DEVIATE = 4.033
 RATE = 0.05
-_STEP = 0.05
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Row a, column b: how much likelier b is after a in words (English, German, French, Spanish, Italian, Dutch) than any letter; m is 0, a letter half a bit.
+_PAIRS = (
+    "kmnnfiljlhlpnqglfpnpljifkirjherfghpidphfpfbokiodgcjeqdlfpddrpamledrfcminmbbagaqgfjsghiqhfjhhqhbmlhnghdif"
+    "ljmmljlhmfjomrhkfrpnjjhkhiphhjpoigrffmggqicnlmndfehfqifirdlmodhlhmoibomkpdhchdrfehrediqbflikpecminnehbid"
+    "nkomokmeejjnmrokhmooglegfjrigmqjihphnjglpjehlgpjhegkriggrghmpeklhjpjclmnofkcifqhhlrhifrehpigphbelmmhedke"
+    "roggrfgdpbeimhpobgkimefdgdphmppjqgohjhgknfdfnqliebiiikmmkjlgjfknorlmeqnmnlkfhfqfihqhhlobgohfpndqlmneedge"
+    "nhhgjghglggihhjhiiijvgkghgqjkmrhkgqdjjlkphdlnnmihbjhohohqggnpejkihnmfhornghbjfqfifrffmqcfjgfpgaommmfhbkh"
+    "nllloklfngkonqimdpoogiihhhqfgftffdqdchfhqgckifjgeegcshhirghlqegiglphdklgkehgieoknkokhjqgiikhlqgjkrkhilki"
+    "rjkjogjfngilnnooekomnghfifrhigrfhjrhgihhofgggjofkein"
+)
+#: In words, paths and identifiers: what follows a lower-case letter, an upper-case one, a digit and a mark; and characters of each of these kinds.
+_FOLLOWS = ((0.88, 0.04, 0.03, 0.05), (0.15, 0.77, 0.04, 0.04), (0.06, 0.04, 0.75, 0.15), (0.55, 0.15, 0.2, 0.1))
+_SIZES = (26, 26, 10, 2)
 
 
 def _spans(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -75,14 +90,14 @@ def _spans(rows: DataFrame, kind: str, pattern: str, group: int, least: int) ->
 
 
 def _deviates(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, n and deviate to rows with a token."""
+    """Adds encoding, n, deviate and bits, the evidence for text, to rows with a token."""
     body = F.translate(F.rtrim(F.col("token"), F.lit("=")), "-_=", "+/")
     name, alphabet = F.lit("base64"), F.lit(ENCODINGS["base64"][1])
     for k, (shape, letters) in reversed(ENCODINGS.items()):
         if shape:
             name, alphabet = F.when(body.rlike(shape), k).otherwise(name), F.when(body.rlike(shape), letters).otherwise(alphabet)
     rows = tokens.withColumns({"encoding": name, "__a": alphabet, "__b": body}).withColumns({"n": F.length("__b"), "__k": F.length("__a").cast("double")})
-    rows = rows.where("n > 2").withColumn("__v", F.transform(F.split("__b", ""), lambda c: F.instr(F.col("__a"), c).cast("double") - 1))
+    rows = rows.where("n > 2").withColumn("bits", _text_bits(F.col("__b"), F.col("__k"))).withColumn("__v", F.transform(F.split("__b", ""), lambda c: F.instr(F.col("__a"), c).cast("double") - 1))
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     n, k = F.col("n").cast("double"), F.col("__k")
     rows = rows.withColumns({"__mean": total(F.col("__v")) / n, "__squares": total(F.transform(F.array_distinct("__v"), lambda x: F.pow(F.size(F.filter("__v", lambda y: y == x)).cast("double"), F.lit(2.0))))})
@@ -106,18 +121,22 @@ def _deviates(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("deviate", deviate).drop("__a", "__b", "__k", "__v", "__mean", "__squares", "__chi", "__low", "__runs", "__var", "__cov")
 
 
-def _thresholds(tested: DataFrame, rate: float) -> DataFrame:
-    """(band, most): the largest deviate at which plain words would be at most `rate` of what is reported, by length band."""
-    bins = tested.groupBy("band", F.least(F.floor(F.col("deviate") / _STEP), F.lit(int(MOST_DEVIATE / _STEP) + 1)).alias("bin")).agg(F.count_if("plain").alias("plain"), F.count_if(~F.col("plain")).alias("other"))
-    # every band and bin, a fixed number: plain words of shorter bands count in longer ones, where they would deviate more
-    spark = tested.sparkSession
-    grid = spark.range(33).select(F.col("id").cast("int").alias("band")).join(F.broadcast(spark.range(int(MOST_DEVIATE / _STEP) + 2).select(F.col("id").alias("bin"))))
-    full = grid.join(bins, ["band", "bin"], "left").na.fill(0, ["plain", "other"])
-    full = full.withColumn("plain", F.sum("plain").over(Window.partitionBy("bin").orderBy("band")))
-    upto, whole = Window.partitionBy("band").orderBy("bin"), Window.partitionBy("band")
-    full = full.withColumns({"p": (F.sum("plain").over(upto) + 1) / (F.sum("plain").over(whole) + 1), "found": F.sum("other").over(upto), "tests": F.sum("other").over(whole)})
-    good = (F.col("found") > 0) & (F.col("p") * F.col("tests") <= rate * F.col("found")) & (F.col("bin") <= int(MOST_DEVIATE / _STEP))
-    return full.where(good).groupBy("band").agg(((F.max("bin") + 1) * _STEP).alias("most"))
+def _text_bits(body: Column, k: Column) -> Column:
+    """log2 of the likelihood of characters as text over that as uniform ones of k; the first character tells nothing."""
+    chars = F.split(body, "")
+    kind = lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
+    follows = F.array(*(F.lit(math.log2(p / n)) for row in _FOLLOWS for p, n in zip(row, _SIZES, strict=True)))
+    coded = F.transform(chars, lambda c: F.struct(kind(c).alias("kind"), F.instr(F.lit(_LETTERS), F.lower(c)).alias("letter")))
+
+    def step(a: Column, x: Column) -> Column:
+        last = a["last"]
+        paired = (last["letter"] > 0) & (x["letter"] > 0) & ~((last["kind"] == 0) & (x["kind"] == 1))  # an inner capital begins a word
+        pair = F.when(paired, (F.ascii(F.substring(F.lit(_PAIRS), last["letter"] * 26 + x["letter"] - 26, F.lit(1))) - ord("m")) / 2).otherwise(0.0)
+        bits = F.when(last.isNull(), 0.0).otherwise(F.get(follows, last["kind"] * 4 + x["kind"]) + pair + F.log2(k))
+        return F.struct((a["bits"] + bits).alias("bits"), x.alias("last"))
+
+    begin = F.struct(F.lit(0.0).alias("bits"), F.lit(None).cast("struct<kind:int,letter:int>").alias("last"))
+    return F.aggregate(coded, begin, step, lambda a: a["bits"])
 
 
 def _ranked(kind: str, rank: int) -> Column:
@@ -139,10 +158,9 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     free = F.filter("random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     tokens = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("__text"), s["start"] + 1, s["end"] - s["start"]).alias("token")))
     held = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", tokens.alias("tokens")), "secret-spans")
-    tested = _deviates(held.select("row", F.explode("tokens").alias("t")).select("row", "t.*")).withColumns({"band": F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(32)).cast("int"), "plain": F.col("token").rlike(_PLAIN_WORD)})
-    tested = materialise(tested.select("row", "start", "end", "band", "plain", "deviate"), "secret-tokens")
-    # a row a length band
-    found = tested.where(~F.col("plain")).join(F.broadcast(_thresholds(tested, rate)), "band").where(F.col("deviate") < F.least(F.col("most"), F.lit(MOST_DEVIATE)))
+    tested = _deviates(held.select("row", F.explode("tokens").alias("t")).select("row", "t.*"))
+    tested = materialise(tested.select("row", "start", "end", F.col("token").rlike(_PLAIN_WORD).alias("plain"), "deviate", "bits"), "secret-tokens").where(~F.col("plain"))
+    found = tested.where((F.col("deviate") < MOST_DEVIATE) & (F.col("bits") < math.log2(rate / (1 - rate))))
     extra = found.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), "end")).alias("extra"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
     named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["end"].alias("end")))
