@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and tokens that a battery of randomness tests cannot tell from random, in DataFrame functions only.
 
-Every run of 20 or more characters of base-64 alphabets is a candidate. Its encoding is inferred from its characters (decimal, hexadecimal,
-base 32, lower-case letters, base 62, base 64) and three statistics compare it with uniform random characters of that alphabet: chi-squared
+Every run of 20 or more characters of base-64 alphabets is a candidate, letters alone too. Its encoding is inferred from its characters, the
+smallest alphabet that holds them all (decimal, hexadecimal, letters of one case or both, base 32 and 36 of either case, base 62, base 64),
+in which a random token is still uniform, and three statistics compare it with uniform random characters of that alphabet: chi-squared
 of the character counts, the number of runs of the alphabet's halves, and the correlation of neighbours; each as a normal deviate, combined
 as the root of their squares. A candidate is reported if the combined deviate is below what about one random token in a thousand exceeds, and
 if false discoveries are controlled: bundled statistics of words (pairs of letters, changes of case, digits, marks) give the likelihood of the
@@ -40,12 +41,16 @@ ENCODINGS = {
     "decimal": ("^[0-9]+$", "0123456789"),
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
     "HEX": ("^[0-9A-F]+$", "0123456789ABCDEF"),
-    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "lower": ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    "upper": ("^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base32_lower": ("^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    "base36": ("^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
+    "base36_lower": ("^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    "letters": ("^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base62": ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
-_PLAIN_WORD = "^[A-Za-z][a-z]+$|^[A-Z]+$"
 #: The root of the 99.9 % point of chi-squared with three degrees of freedom.
 MOST_DEVIATE = 4.033
 RATE = 0.05
@@ -159,7 +164,7 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     tokens = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("__text"), s["start"] + 1, s["end"] - s["start"]).alias("token")))
     held = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", tokens.alias("tokens")), "secret-spans")
     tested = _deviates(held.select("row", F.explode("tokens").alias("t")).select("row", "t.*"))
-    tested = materialise(tested.select("row", "start", "end", F.col("token").rlike(_PLAIN_WORD).alias("plain"), "deviate", "bits"), "secret-tokens").where(~F.col("plain"))
+    tested = materialise(tested.select("row", "start", "end", "deviate", "bits"), "secret-tokens")
     found = tested.where((F.col("deviate") < MOST_DEVIATE) & (F.col("bits") < math.log2(rate / (1 - rate))))
     extra = found.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), "end")).alias("extra"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))

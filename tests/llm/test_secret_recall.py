@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from crossweave.llm import secret_scan
@@ -26,3 +27,15 @@ def test_tokens_planted_in_documents_with_three_long_words(spark):
     share, others = recall(spark, UPPER + LOWER + DIGITS, (24, 32, 40, 64), docs)
     assert share >= 0.97 and not others
     assert recall(spark, UPPER + LOWER + DIGITS, (24, 32, 40, 64)) == (share, [])  # and alone
+
+
+@pytest.mark.parametrize("alphabet", [LOWER, UPPER, UPPER + "234567", LOWER + "234567", UPPER + DIGITS, LOWER + DIGITS])
+def test_keys_of_one_case(spark, alphabet):
+    assert recall(spark, alphabet, (24, 32, 48, 64, 128))[0] >= 0.97
+
+
+def test_long_words_are_not_reported(spark):
+    words = ["internationalisierung", "Incomprehensibilities", "COUNTERREVOLUTIONARY", "donaudampfschifffahrt", "anticonstitutionnellement", "desproporcionadamente", "uncharacteristically", "precipitevolissimevolmente"]
+    words += ["chpfheitschverheiten", "eauaitionouierelleaux", "losasmentementemente", "Thsttiontionthingesat", "some_long_name_of_a_column", "AbstractFactoryBeanProviders", "MAX_NUMBER_OF_ROWS_PER_TABLE", "usr/share/doc/packages/readme"]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secret_scan.secret_spans(rows).collect() if r.spans} == {}
