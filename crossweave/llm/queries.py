@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.bpe import round_trip
+from crossweave.llm.bpe import encode_documents, round_trip
+from crossweave.llm.common import materialise
 from crossweave.llm.decontaminate import contaminated
 from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
@@ -15,7 +16,7 @@ from crossweave.llm.ngram_join import gram_components
 from crossweave.llm.quality_rules import base_failed, judged
 from crossweave.llm.secret_scan import BASE, listed, of_kinds, secret_spans
 from crossweave.llm.sharding import sharded
-from crossweave.llm.token_output import byte_tokens, shard_folder, write_shards
+from crossweave.llm.token_output import id_layout, id_tokens, shard_folder, write_shards
 from crossweave.llm.url_filter import UrlRule, judged_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +27,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of the shards; their bytes are in the shared folder."""
-    docs = _table(spark, sf_dir, "documents").select("text")
-    return write_shards(docs, byte_tokens(), shard_folder(docs))
+    """The manifest of the shards of word-piece ids; their bytes are in the shared folder."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    layout = id_layout(path)
+    encoded = encode_documents(_table(spark, sf_dir, "documents").select("text"), path)
+    # encoded once: counts and shards both come from the written ids
+    ids = materialise(encoded.select(id_tokens(layout.width).alias("ids")), "token-ids")
+    return write_shards(ids, F.col("ids"), shard_folder(ids), layout)
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:
