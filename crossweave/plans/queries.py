@@ -523,7 +523,7 @@ def factor_chain_v2(spark, d):
 
 @query
 def variance_table(spark, d):
-    return N.variance_table(_chain(spark, d, steps.V1[:3])[1])
+    return N.variance_table(_chain(spark, d, steps.V1)[1])
 
 
 @query
