@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -319,12 +320,17 @@ def _lambdas(spark, d):
 
 @query
 def factor_chain(spark, d):
-    """Three steps: beta on returns, then size and momentum, each orthogonal to those before, on what is left."""
+    """Three steps: beta on returns, then size and the momentum of what is left, each orthogonal to those before, on what is left."""
     rows = _sized(spark, d)
     one, l1 = R.factor_step(rows, "ret", "beta", MIN_NAMES)
     two_rows = R.orthogonalised(rows, "size", "beta", MIN_NAMES).select("date", "ticker", "perp", "w").join(one, ["date", "ticker"])
     two, l2 = R.factor_step(two_rows, "resid", "perp", MIN_NAMES)
-    return l1.withColumn("factor", F.lit("beta")).unionByName(l2.withColumn("factor", F.lit("size")))
+    two = steps.checkpointed(two)
+    three_rows = rows.join(steps.momentum(two), ["date", "ticker"])
+    perp = R.orthogonalised_many(three_rows, "momentum", ["beta", "size"], MIN_NAMES).join(rows.select("date", "ticker", "w"), ["date", "ticker"]).join(two, ["date", "ticker"])
+    l3 = R.factor_step(perp, "resid", "perp", MIN_NAMES)[1]
+    named = (part.withColumn("factor", F.lit(factor)) for part, factor in ((l1, "beta"), (l2, "size"), (l3, "momentum")))
+    return functools.reduce(DataFrame.unionByName, named)
 
 
 @query
@@ -528,7 +534,7 @@ def variance_table(spark, d):
 
 @query
 def consolidated_intercept(spark, d):
-    return N.consolidated_intercept(factor_chain(spark, d))
+    return N.consolidated_intercept(_chain(spark, d, steps.V1)[0])
 
 
 @query

@@ -32,7 +32,7 @@ class Step:
     made: Callable[[DataFrame], DataFrame] | None = None
 
 
-def _momentum(resid: DataFrame) -> DataFrame:
+def momentum(resid: DataFrame) -> DataFrame:
     return X.zscore(W.idio_momentum(resid, 26, 4), "mom", "momentum", flat=0.0).select("date", "ticker", "momentum")
 
 
@@ -51,14 +51,14 @@ V1 = (
     Step("quality", ("quality",), ("beta", "size", *_MACRO, *_SECTOR)),
     Step("short_interest", ("si",), ("beta", "size", *_MACRO, *_SECTOR, "quality")),
     Step("vol", ("gk",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si")),
-    Step("momentum", ("momentum",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si", "gk"), made=_momentum),
+    Step("momentum", ("momentum",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si", "gk"), made=momentum),
     Step("value", ("value",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si", "gk", "momentum")),
     Step("reversion", ("reversion",), made=_reversion),
 )
 V2 = (
     Step("market", ("beta",)),
     Step("quality", ("quality",), ("beta",)),
-    Step("momentum", ("momentum",), ("beta", "quality"), made=_momentum),
+    Step("momentum", ("momentum",), ("beta", "quality"), made=momentum),
     Step("size", ("size",), ("beta", "quality", "momentum")),
     Step("value", ("value",), ("beta", "quality", "momentum", "size")),
     Step("short_interest", ("si",), ("beta", "quality", "momentum", "size", "value")),
