@@ -2,8 +2,10 @@
 
 Hosts are the vertices. Edges are the links in the pages' html from one host to another, and an edge either way between a host and its
 parent domain. Trust is a personalised PageRank whose seeds are the pages that rules allow; distrust is the same against the direction of the
-edges, from the pages that rules block: who links to the blocked is distrusted. A host whose distrust reaches `limit` times its trust is
-blocked, other hosts are allowed.
+edges, from the pages that rules block: who links to the blocked is distrusted. The blocked share of a host's surroundings is a walk against
+the edges that starts at hosts in proportion to their blocked share of pages, over the same walk from every host with pages: it exists
+without any trust, 0 where nothing is blocked and 1 where everything is. A host whose distrust exceeds `limit` times its trust and whose
+share exceeds `least` is blocked, other hosts are allowed: about half of a host's own pages blocked, or of the hosts' beside it.
 
 Only hosts, edges summed by host pair, and rules are joined with each other; pages are joined with their host's row once. A host with many
 pages is a large key of that last join alone, which adaptive execution splits.
@@ -28,6 +30,8 @@ _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS, ROUNDS_A_CUT = 0.7, 20, 5
 LIMIT = 2.0
+#: A walk ends at its own host with about half of its weight: half of the pages of a host blocked, and none beside it, reach this share.
+LEAST = 0.25
 
 
 @dataclass(frozen=True)
@@ -71,26 +75,30 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, trusted, blocked), weights of any scale."""
+    """(host, trust, distrust, share) from edges (src, dst, weight) and seeds (host, trusted, blocked, and pages if share is wanted), weights of any scale."""
     ways = edges.select(F.lit(True).alias("good"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(edges.select(F.lit(False).alias("good"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
     ways = ways.groupBy("good", "a", "b").agg(F.sum("weight").alias("weight"))
     out = ways.groupBy("good", "a").agg(F.sum("weight").alias("out"))
     ways = cut(ways.join(out, ["good", "a"]).select("good", "a", "b", (F.col("weight") / F.col("out")).alias("part")))
     total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("d"))
-    start = seeds.join(F.broadcast(total)).select("host", F.explode(F.array(F.struct(F.lit(True).alias("good"), F.try_divide("trusted", "t").alias("seed")), F.struct(F.lit(False).alias("good"), F.try_divide("blocked", "d").alias("seed")))).alias("x"))
-    start = cut(start.select("host", "x.good", F.col("x.seed").cast("double").alias("seed")).where("seed > 0"))
-    base = start.select("host", "good", (F.col("seed") * (1 - DAMPING)).alias("score"))
+    pages = F.col("pages") if "pages" in seeds.columns else F.lit(None).cast("double")
+    # walk: trust, distrust, blocked shares, every host
+    walks = ((True, F.try_divide("trusted", "t")), (False, F.try_divide("blocked", "d")), (False, F.try_divide("blocked", pages)), (False, F.when(pages > 0, 1.0)))
+    start = seeds.join(F.broadcast(total)).select("host", F.explode(F.array(*(F.struct(F.lit(k).alias("walk"), F.lit(good).alias("good"), seed.cast("double").alias("seed")) for k, (good, seed) in enumerate(walks)))).alias("x"))
+    start = cut(start.select("host", "x.walk", "x.good", "x.seed").where("seed > 0"))
+    base = start.select("host", "walk", "good", (F.col("seed") * (1 - DAMPING)).alias("score"))
     score = base
     for k in range(ROUNDS):
-        moved = ways.join(score.withColumnRenamed("host", "a"), ["good", "a"]).select(F.col("b").alias("host"), "good", (F.col("score") * F.col("part") * DAMPING).alias("score"))
-        score = moved.unionByName(base).groupBy("host", "good").agg(F.sum("score").alias("score"))
+        moved = ways.join(score.withColumnRenamed("host", "a"), ["good", "a"]).select(F.col("b").alias("host"), "walk", "good", (F.col("score") * F.col("part") * DAMPING).alias("score"))
+        score = moved.unionByName(base).groupBy("host", "walk", "good").agg(F.sum("score").alias("score"))
         if k % ROUNDS_A_CUT == ROUNDS_A_CUT - 1:
             score = cut(score)
-    return score.groupBy("host").agg(F.sum(F.when(F.col("good"), F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("good"), 0.0).otherwise(F.col("score"))).alias("distrust"))
+    of = lambda k: F.sum(F.when(F.col("walk") == k, F.col("score")).otherwise(0.0))
+    return score.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"), F.coalesce(F.try_divide(of(2), of(3)), F.lit(0.0)).alias("share"))
 
 
-def judged_urls(pages: DataFrame, rules: Sequence[UrlRule], limit: float = LIMIT) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) for each row of `pages` (page_id, url, html)."""
+def judged_urls(pages: DataFrame, rules: Sequence[UrlRule], limit: float = LIMIT, least: float = LEAST) -> DataFrame:
+    """(page_id, host, path, rule, verdict, trust, distrust, share) for each row of `pages` (page_id, url, html)."""
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html").withColumn("host", url_host(F.col("url")))
     # the rules are a list of the caller, not data that grows
@@ -101,9 +109,10 @@ def judged_urls(pages: DataFrame, rules: Sequence[UrlRule], limit: float = LIMIT
     thin = rows.select("page_id", "host", url_path(F.col("url")).alias("path")).join(fitting, "host", "left")
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["path"])))  # the longest, then block over allow
     ruled = cut(thin.select("page_id", "host", "path", best.alias("best")))
-    seeds = ruled.where(F.col("best").isNotNull()).groupBy("host").agg(F.count_if(F.col("best.verdict") == "allow").alias("trusted"), F.count_if(F.col("best.verdict") == "block").alias("blocked"))
+    seeds = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("best.verdict") == "allow").alias("trusted"), F.count_if(F.col("best.verdict") == "block").alias("blocked"))
     edges = link_edges(rows.select("host", "html")).unionByName(parent_edges(hosts))
     scores = propagated(edges, seeds)
     out = ruled.join(scores, "host", "left")
-    by_graph = F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) > limit * F.coalesce(F.col("trust"), F.lit(0.0)), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_graph).alias("verdict"), "trust", "distrust")
+    more = F.coalesce(F.col("distrust"), F.lit(0.0)) > limit * F.coalesce(F.col("trust"), F.lit(0.0))
+    by_graph = F.when(more & (F.coalesce(F.col("share"), F.lit(0.0)) > least), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_graph).alias("verdict"), "trust", "distrust", "share")
