@@ -1,16 +1,20 @@
 """Benchmark decontamination: which documents hold a test item.
 
-A BM25 inverted index of the test items is queried with every passage of every document, by block-max WAND: items lie in blocks of postings,
-each term has its largest contribution in each block, and a passage is scored against a block's items only if the sum of these maxima can
-reach the lowest threshold of the block. An item is retrieved when its score reaches `share` of its score against itself, so the threshold
-needs no tuning by corpus. Passages are half-overlapping windows as wide as the longest item, so that one of them holds at least half of
-any copy. Retrieved items are verified by the overlap of their word 5-grams, those of the question and those of the answer.
+A BM25 inverted index of the test items is queried with every passage of every document, by block-max WAND: items lie in blocks, each term has
+a posting list by block, with its largest contribution there, and a passage is scored against a block's items only if the sum of these maxima
+can reach the lowest threshold of the block. The cheapest terms of a block that cannot reach it together are never looked up in search; their
+sum is added to the bound instead. An item is retrieved when its score reaches `share` of its score against itself, so the threshold needs
+no tuning by corpus. Items of like length are searched together, with passages that overlap by half and are at least as wide as the item, so
+that one of them holds at least half of any copy. Retrieved items are verified by the overlap of their word 5-grams, those of the question
+and those of the answer.
 
 Item weights (document frequency, mean length) are computed over all items in Spark. The index is made in parts of a bounded number of
-words and sent to the tasks in rounds of at most PARTS_A_ROUND parts; a benchmark of any size so takes more rounds, not more memory.
+words, with memory in proportion to these words, and sent to the tasks in rounds of at most PARTS_A_ROUND parts; a benchmark of any size so
+takes more rounds over the documents, not more memory.
 
-Defined results: null and empty texts or items match nothing; rows of one doc_id, and of one item_id, count as one, with the largest
-figures; a null doc_id or item_id is reported as null; an empty table on either side gives an empty result; other columns are not read.
+Defined results: null and empty texts or items match nothing; very long texts are cut into more passages, a very long item has a part of its
+own; rows of one doc_id, and of one item_id, count as one, with the largest figures; items with equal scores are all reported; a null doc_id
+or item_id is reported as null; an empty table on either side gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ K1, B = 1.2, 0.75
 ITEMS_A_BLOCK = 16
 WORDS_A_PART = 40_000
 PARTS_A_ROUND = 32
+#: Words of the narrowest passages; items of more words get passages of twice the width, and so on.
+WIDTH = 64
+#: Places of temporary arrays in search: bounds memory, never what is searched.
+_ROOM = 1 << 20
 
 #: White space and ASCII punctuation separate words here: a passage put into other text often touches it without a space.
 _APART = np.zeros(256, dtype=bool)
@@ -63,35 +71,63 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(question, pa.int32())], names=["item_id", "words", "question"])
 
 
-class _Part:
-    """The index of some items: contributions by (term, item), their maxima by (term, block), thresholds, and the grams to verify with."""
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of `count` places from `begin`: the number of the stretch, and the place, of each."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) + np.repeat(begin - (np.cumsum(count) - count), count)
 
-    def __init__(self, items: list[tuple], frequency: dict[int, int], n_items: int, mean: float, share: float) -> None:
+
+class Part:
+    """The inverted index of items (id, words, document frequency of each word, words of the question), all of at most `width` words.
+
+    A posting list entry is a (term, block) with its largest contribution, and its postings are (item, contribution).
+    """
+
+    def __init__(self, items: list[tuple], n_items: int, mean: float, share: float, width: int) -> None:
         items.sort(key=lambda x: len(x[1]))  # alike items in a block, so that its lowest threshold says much
-        self.ids = [x[0] for x in items]
-        counts = [np.unique(np.array(x[1], np.int64).view(np.uint64), return_counts=True) for x in items]
-        self.terms = np.unique(np.concatenate([c[0] for c in counts]))
+        self.ids, self.width = [x[0] for x in items], width
         self.n_blocks = -(-len(items) // ITEMS_A_BLOCK)
-        weights = np.zeros((len(self.terms), self.n_blocks * ITEMS_A_BLOCK), np.float32)
-        df = np.array([frequency[int(t)] for t in self.terms.view(np.int64)], float)
+        length = np.array([len(x[1]) for x in items], np.int64)
+        words = np.concatenate([np.asarray(x[1], np.int64).view(np.uint64) for x in items])
+        df = np.concatenate([np.asarray(x[2], float) for x in items])
+        self.terms, term = np.unique(words, return_inverse=True)
+        item = np.repeat(np.arange(len(items)), length)
+        key, at, tf = np.unique(term * len(items) + item, return_index=True, return_counts=True)
+        term, item, df = term[at], item[at], df[at]
         idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-        for i, (terms, tf) in enumerate(counts):
-            at = np.searchsorted(self.terms, terms)
-            weights[at, i] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))
-        self.weights = weights.reshape(len(self.terms), self.n_blocks, ITEMS_A_BLOCK)
-        self.most = self.weights.max(axis=2)
-        least = np.full(self.n_blocks * ITEMS_A_BLOCK, np.inf, np.float32)
-        least[: len(items)] = share * weights[:, : len(items)].sum(axis=0)
-        self.least = least.reshape(self.n_blocks, ITEMS_A_BLOCK)
+        weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))).astype(np.float32)
+        least = np.full(self.n_blocks * ITEMS_A_BLOCK, np.inf)
+        least[: len(items)] = share * np.bincount(item, weight, len(items))
+        self.least = least.reshape(-1, ITEMS_A_BLOCK)
         self.block_least = self.least.min(axis=1)
+        # postings are in order of term, block and item
+        entry = term * self.n_blocks + item // ITEMS_A_BLOCK
+        first = np.flatnonzero(np.diff(entry, prepend=-1))
+        self.entry, self.begin = entry[first], np.append(first, len(entry))
+        self.slot, self.weight = (item % ITEMS_A_BLOCK).astype(np.int64), weight
+        most = np.maximum.reduceat(weight, first)
+        # by block, from the smallest maximum: what cannot reach the threshold together is spared
+        block = self.entry % self.n_blocks
+        order = np.lexsort((most, block))
+        sums = np.cumsum(most[order], dtype=float)
+        head = np.flatnonzero(np.diff(block[order], prepend=-1))
+        sums -= np.repeat(sums[head] - most[order][head], np.diff(np.append(head, len(order))))
+        spared = np.zeros(len(order), bool)
+        spared[order] = sums < self.block_least[block[order]] - 1e-3
+        self.spare = np.bincount(block[spared], most[spared], self.n_blocks)
+        needed = np.flatnonzero(~spared)
+        self.block, self.most = block[needed], most[needed]
+        self.term_begin = np.searchsorted(self.entry[needed] // self.n_blocks, np.arange(len(self.terms) + 1))
         self.hint = np.zeros(1 << 16, bool)
         self.hint[(self.terms >> np.uint64(48)).astype(np.int64)] = True
-        self.grams = []
-        for _, words, question in items:
-            words = np.array(words, np.int64).view(np.uint64)
-            grams, _ = textkit.window_hashes(words, np.zeros(len(words), np.int64), GRAM, 1)
-            # a gram belongs to the answer if its last word does
-            self.grams.append((grams, np.arange(len(grams)) + min(GRAM, len(words)) > question, min(GRAM, len(words))))
+        # grams to verify with; one belongs to the answer if its last word does
+        grams, answer = [], []
+        for _, w, _, question in items:
+            w = np.asarray(w, np.int64).view(np.uint64)
+            grams.append(textkit.window_hashes(w, np.zeros(len(w), np.int64), GRAM, 1)[0])
+            answer.append(np.arange(len(grams[-1])) + min(GRAM, len(w)) > question)
+        self.gram_begin = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+        self.grams, self.answer, self.gram_words = np.concatenate(grams), np.concatenate(answer), np.minimum(GRAM, length)
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms here, and the terms' numbers."""
@@ -100,30 +136,73 @@ class _Part:
         real = self.terms[at] == hashes[maybe]
         return maybe[real], at[real]
 
-    def retrieve(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(passage, item, score) of the passages [begin, end) of words that reach an item's threshold."""
+    def candidates(self, cell: np.ndarray, term: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cell, block) of passages, a cell of half its width and the next one, whose maxima can reach the block's threshold.
+
+        cell, term: of the words that are terms, in order of cell. last: whether a cell ends a text, so that its passage ends with it.
+        """
+        count = self.term_begin[term + 1] - self.term_begin[term]
+        before = np.concatenate([[0], np.cumsum(count)])
+        edge = np.searchsorted(cell, np.arange(len(last) + 1))
+        need = self.block_least - self.spare - 1e-3
+        at = 0
+        while at < len(last):
+            # the cell after the last one belongs to its passage
+            end = int(np.searchsorted(before[edge], before[edge[at]] + _ROOM, side="right")) - 1
+            end = min(max(end, at + 1), at + max(1, _ROOM // self.n_blocks), len(last))
+            stop = min(end + 1, len(last))
+            k = slice(edge[at], edge[stop])
+            of, place = _spread(self.term_begin[term[k]], count[k])
+            sums = np.bincount((cell[k][of] - at) * self.n_blocks + self.block[place], self.most[place], (stop - at) * self.n_blocks).reshape(stop - at, -1)
+            own = sums[: end - at]
+            after = np.zeros_like(own)
+            after[: stop - at - 1] = sums[1:]
+            after[last[at:end]] = 0
+            p, b = np.nonzero(own + after >= need)
+            yield p + at, b
+            at = end
+
+    def retrieve(self, hashes: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, first word, last word + 1, item, score) of the passages that reach an item's threshold; edges: of the texts in words."""
+        step = self.width // 2
+        size = np.diff(edges)
+        n_cells = -(-size // step)
+        cell_begin = np.concatenate([[0], np.cumsum(n_cells)])
+        text, number = _spread(np.zeros(len(size), np.int64), n_cells)
+        begin = edges[text] + number * step
+        end = np.minimum(begin + self.width, edges[text + 1])
+        last = number == n_cells[text] - 1
         place, term = self.lookup(hashes)
+        of = np.searchsorted(edges, place, side="right") - 1
+        cell = cell_begin[of] + (place - edges[of]) // step
         lo, hi = np.searchsorted(place, begin), np.searchsorted(place, end)
-        sums = np.zeros((len(place) + 1, self.n_blocks))
-        np.cumsum(self.most[term], axis=0, out=sums[1:])
-        passage, block = np.nonzero(sums[hi] - sums[lo] >= self.block_least - 1e-3)
-        del sums
-        for i in range(0, len(passage), 2048):
-            p, b = passage[i : i + 2048], block[i : i + 2048]
-            n = hi[p] - lo[p]
-            pair = np.repeat(np.arange(len(p)), n)
-            at = np.repeat(lo[p], n) + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-            t = term[at]
-            own = self.most[t, b[pair]] > 0  # postings of this block only
-            key = np.sort(pair[own] * len(self.terms) + t[own])
-            key = key[np.diff(key, prepend=-1) > 0]  # a term counts once a passage
-            pair, t = np.divmod(key, len(self.terms))
-            scores = np.zeros((len(p), ITEMS_A_BLOCK), np.float32)
-            first = np.flatnonzero(np.diff(pair, prepend=-1))
-            if len(first):
-                scores[pair[first]] = np.add.reduceat(self.weights[t, b[pair]], first, axis=0)
-            for k, item in zip(*np.nonzero(scores >= self.least[b] - 1e-4), strict=True):
-                yield int(p[k]), int(b[k]) * ITEMS_A_BLOCK + int(item), float(scores[k, item])
+        for p, b in self.candidates(cell, term, last):
+            cost = np.concatenate([[0], np.cumsum(hi[p] - lo[p])])
+            at = 0
+            while at < len(p):
+                to = max(at + 1, int(np.searchsorted(cost, cost[at] + _ROOM // 4, side="right")) - 1)
+                for k, item, score in self._scores(p[at:to], b[at:to], lo, hi, term):
+                    yield int(text[p[at + k]]), int(begin[p[at + k]]), int(end[p[at + k]]), item, score
+                at = to
+
+    def _scores(self, p: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        pair, at = _spread(lo[p], hi[p] - lo[p])
+        wanted = term[at] * self.n_blocks + b[pair]
+        at = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
+        real = self.entry[at] == wanted
+        key = np.sort(pair[real] * len(self.entry) + at[real])
+        key = key[np.diff(key, prepend=-1) > 0]  # a term counts once a passage
+        pair, at = np.divmod(key, len(self.entry))
+        of, post = _spread(self.begin[at], self.begin[at + 1] - self.begin[at])
+        scores = np.bincount(pair[of] * ITEMS_A_BLOCK + self.slot[post], self.weight[post], len(p) * ITEMS_A_BLOCK).reshape(-1, ITEMS_A_BLOCK)
+        for k, slot in zip(*np.nonzero(scores >= self.least[b] - 1e-4), strict=True):
+            yield int(k), int(b[k]) * ITEMS_A_BLOCK + int(slot), float(scores[k, slot])
+
+    def overlaps(self, item: int, hashes: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the item's grams of the question, of the answer, and of all, that a stretch of words holds."""
+        k = slice(self.gram_begin[item], self.gram_begin[item + 1])
+        hit, answer = np.isin(self.grams[k], _near(hashes, int(self.gram_words[item]))), self.answer[k]
+        return float(hit[~answer].mean()) if not answer.all() else 1.0, float(hit[answer].mean()) if answer.any() else 1.0, float(hit.mean())
 
 
 def _near(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -135,34 +214,21 @@ def _near(hashes: np.ndarray, length: int) -> np.ndarray:
     return textkit.window_hashes(flat, np.repeat(places, length), GRAM, len(places))[0]
 
 
-def _search(parts: list[_Part], width: int, both: float, whole: float):
-    step = width // 2
-
+def _search(parts: list[Part], both: float, whole: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
             ids = got.column("doc_id")
-            found: dict[tuple[int, int], tuple] = {}
+            found: dict[tuple[int, int, int], tuple] = {}
             for first, last, data, offsets in textkit.byte_chunks(got.column("text")):
                 starts, ends, row = textkit.words(data, offsets, _APART)
                 hashes = textkit.span_hashes(data, starts, ends)
                 edges = np.searchsorted(row, np.arange(last - first + 1))
-                size = np.diff(edges)
-                # windows of `width` every `step` words; the last ends with the text
-                n = np.where(size > 0, np.maximum(1, -(-(size - width) // step) + 1), 0)
-                doc = np.repeat(np.arange(len(size)), n)
-                begin = edges[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
-                end = np.minimum(begin + width, edges[doc + 1])
-                for part in parts:
-                    for p, item, score in part.retrieve(hashes, begin, end):
-                        d = int(doc[p])
-                        lo, hi = max(edges[d], begin[p] - width), min(edges[d + 1], end[p] + width)
-                        grams, answer, length = part.grams[item]
-                        hit = np.isin(grams, _near(hashes[lo:hi], length))
-                        q = float(hit[~answer].mean()) if not answer.all() else 1.0
-                        a = float(hit[answer].mean()) if answer.any() else 1.0
-                        o = float(hit.mean())
+                for number, part in enumerate(parts):
+                    for d, begin, end, item, score in part.retrieve(hashes, edges):
+                        lo, hi = max(edges[d], begin - part.width), min(edges[d + 1], end + part.width)
+                        q, a, o = part.overlaps(item, hashes[lo:hi])
                         if o >= whole or (q >= both and a >= both):
-                            key = (first + d, id(part) ^ item)
+                            key = (first + d, number, item)
                             if key not in found or found[key][-1] < o:
                                 found[key] = (ids[first + d].as_py(), part.ids[item], score, q, a, o)
             yield pa.RecordBatch.from_arrays(
@@ -173,32 +239,45 @@ def _search(parts: list[_Part], width: int, both: float, whole: float):
     return run
 
 
+def _items_by_part(items: DataFrame) -> tuple[DataFrame, list[tuple[int, int]], int, float]:
+    """Items with the frequency of each word and their part, written; (number, width) of the parts; number of items, mean length."""
+    words = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).mapInArrow(_item_words, _ITEMS).where(F.size("words") > 0)
+    words = materialise(words.withColumn("item", F.monotonically_increasing_id()), "test-items")
+    # items of up to WIDTH words are class 0, of up to twice that 1, and so on
+    words = words.withColumn("class", F.greatest(F.ceil(F.log2(F.size("words") / WIDTH)), F.lit(0)).cast("int"))
+    classes = sorted(words.groupBy("class").agg(F.count("*"), F.sum(F.size("words"))).collect())
+    n_items = sum(r[1] for r in classes)
+    if not n_items:
+        return words, [], 0, 0.0
+    parts, first = [], F.lit(None).cast("int")
+    for kind, _, total in classes:
+        n = math.ceil(total / WORDS_A_PART)
+        first = F.when(F.col("class") == kind, len(parts) + F.pmod(F.xxhash64("item"), F.lit(n))).otherwise(first)
+        parts += [(len(parts) + i, WIDTH << kind) for i in range(n)]
+    each = words.select("item", F.posexplode("words").alias("i", "word"))
+    frequency = each.select("item", "word").distinct().groupBy("word").count()
+    counted = each.join(frequency, "word").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "count"))).alias("x")).select("item", F.col("x.count").alias("df"))
+    out = words.join(counted, "item").select("item_id", "words", "df", "question", first.alias("part"))
+    return materialise(out, "test-index"), parts, n_items, sum(r[2] for r in classes) / n_items
+
+
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.4, both: float = 0.6, whole: float = 0.75) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, overlap) of documents (doc_id, text) that hold an item (item_id, text).
 
     share: of an item's BM25 score against itself, from which a passage is verified. A verified item counts if `both` of the 5-grams of its
     question and of its answer are near the passage, or `whole` of all its 5-grams.
     """
-    words = materialise(items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).mapInArrow(_item_words, _ITEMS).where(F.size("words") > 0), "test-items")
-    n_items, total, longest = words.agg(F.count("*"), F.sum(F.size("words")), F.max(F.size("words"))).first()
-    if not n_items:
-        return docs.sparkSession.createDataFrame([], _FOUND)
-    frequency = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
-    n_parts = math.ceil(total / WORDS_A_PART)
-    words = words.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(n_parts)))
-    width = max(64, longest + longest % 2)
+    table, numbers, n_items, mean = _items_by_part(items)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    out = None
-    for at in range(0, n_parts, PARTS_A_ROUND):
+    out = docs.sparkSession.createDataFrame([], _FOUND)
+    for at in range(0, len(numbers), PARTS_A_ROUND):
         parts = []
-        for k in range(at, min(at + PARTS_A_ROUND, n_parts)):
-            own = words.where(F.col("part") == k)
-            rows = [(r.item_id, r.words, r.question) for r in own.collect()]  # about WORDS_A_PART words
-            if rows:
-                counts = frequency.join(own.select(F.explode("words").alias("word")).distinct(), "word").collect()
-                parts.append(_Part(rows, {r["word"]: r["count"] for r in counts}, n_items, total / n_items, share))
-        got = docs.mapInArrow(_search(parts, width, both, whole), _FOUND)
-        out = got if out is None else out.unionByName(got)
+        for number, width in numbers[at : at + PARTS_A_ROUND]:
+            rows = table.where(F.col("part") == number).toArrow()  # about WORDS_A_PART words
+            if rows.num_rows:
+                lists = [[x.values.to_numpy() for x in rows.column(c)] for c in ("words", "df")]
+                parts.append(Part(list(zip(rows.column("item_id").to_pylist(), *lists, rows.column("question").to_pylist(), strict=True)), n_items, mean, share, width))
+        out = out.unionByName(docs.mapInArrow(_search(parts, both, whole), _FOUND))
     return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap", "overlap")))
 
 

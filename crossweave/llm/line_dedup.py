@@ -1,6 +1,6 @@
 """Line deduplication over a whole corpus.
 
-Each long enough line becomes (128-bit key hash, doc_id, position). These rows, never the texts, are dealt by range of (hash, doc_id) and
+Each long enough line becomes (128-bit digest of its key, doc_id, position). These rows, never the texts, are dealt by range of (hash, doc_id) and
 sorted by hash, then doc_id from the largest, then position; one pass over each partition streams the first occurrence of every hash and
 marks the others. A hash whose rows fill more than one range (a line that a third of all documents share) is split by doc_id over
 partitions: each partition then reports its number of documents and its largest doc_id for the runs at its two ends, and these at most two
@@ -39,8 +39,8 @@ def _keys(min_chars: int):
                 starts, ends = textkit.stripped(data, starts, ends)
                 long = textkit.code_points(data, starts, ends) >= min_chars
                 starts, ends, row, pos = starts[long], ends[long], row[long] + lo, pos[long]
-                hashes = [textkit.span_hashes(data, starts, ends, seed=k).view(np.int64) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, ids[row], t[row], pos.astype(np.int32))], names=list(_COLS))
+                hashes = textkit.span_digests(data, starts, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[:, 0], hashes[:, 1], ids[row], t[row], pos.astype(np.int32))], names=list(_COLS))
 
     return run
 
@@ -125,7 +125,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     marks = materialise(dealt.mapInArrow(_marker(min_docs), _MARKS), "line-marks")
     split_runs = marks.where(F.col("kind") == _RUN).groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
     # at most two runs a partition
-    late = marks.where(F.col("kind") == _OPEN).join(F.broadcast(split_runs), ["h1", "h2"]).where(F.col("id") < F.col("top"))
+    late = marks.where(F.col("kind") == _OPEN).join(split_runs, ["h1", "h2"]).where(F.col("id") < F.col("top"))
     gone = marks.where(F.col("kind") == _DROP).select("id", "t", "pos").unionByName(late.select("id", "t", "pos"))
     return gone.groupBy("id", "t").agg(F.collect_set("pos").alias("gone")).mapInArrow(_bitmaps, "id long, t long, keep binary")
 

@@ -5,13 +5,13 @@ Texts of a batch are handled as one byte array, so the cost per character is a f
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text handled at a time: bounds the size of the temporary arrays, never what is read.
 CHUNK_BYTES = 2 << 20
 
@@ -30,29 +30,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out, out=out)
-
-
-_UP, _DOWN, _LOW = (powers(_BASE, 1 << 16), powers(_UNBASE, 1 << 16), np.int64((1 << 16) - 1))
-
-
-def _power(of: np.ndarray, base: np.uint64, at: np.ndarray) -> np.ndarray:
-    """base ** at; of: its first 2**16 powers."""
-    high = powers(np.uint64(pow(int(base), 1 << 16, 1 << 64)), int(at.max(initial=0) >> 16) + 1)
-    return of[at & _LOW] * high[at >> 16]
-
-
-def _first_powers(n: int) -> np.ndarray:
-    high = powers(np.uint64(pow(int(_BASE), 1 << 16, 1 << 64)), (n >> 16) + 1)
-    return (_UP * high[:, None]).reshape(-1)[:n]
-
-
 def byte_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets) for runs of rows of about `size` bytes; null is an empty text."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -121,36 +98,61 @@ def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return sums[ends] - sums[starts]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each span of bytes, the same wherever it stands; A-Z count as a-z if `lower`. Each seed has a hash of its own."""
-    table = mix64(_TABLE + np.uint64(seed)) if seed else _TABLE
-    terms = table[_LOWER[data]] if lower else table[data]
-    terms *= _first_powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    del terms
-    return mix64((sums[ends] - sums[starts]) * _power(_DOWN, _UNBASE, starts) + (ends - starts).astype(np.uint64) * _BASE)
+#: Bytes from which a span is hashed by a digest of its own; shorter ones are mixed eight bytes at a time, all at once.
+LONG_SPAN = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each span of bytes, the same wherever it stands; A-Z count as a-z if `lower`.
+
+    Every eight bytes pass the finaliser before the next are added, so no change of bytes cancels another as in a sum. Spans of one length up to
+    eight bytes never collide.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * _BASE)
+    todo = np.flatnonzero(size < LONG_SPAN)
+    if len(todo) < len(size):
+        for i in np.flatnonzero(size >= LONG_SPAN):
+            out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    at, left, h = starts[todo], size[todo], out[todo]
+    while len(todo):
+        h = mix64(h ^ (wide[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        out[todo[~more]] = h[~more]
+        todo, at, left, h = todo[more], at[more] + 8, left[more] - 8, h[more]
+    return out
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digest of each span, A-Z as a-z: two columns of int64."""
+    low = _LOWER[data].tobytes()
+    made = b"".join(hashlib.blake2b(low[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
 
 
-_STEP = [powers(np.uint64(0xD1342543DE82EF95), 64)]
+#: Odd factors that tell the places of words in a window apart.
+_PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def window_hashes(hashes: np.ndarray, rows: np.ndarray, width: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each window of `width` words; a row with fewer words, but at least one, has its whole sequence as one."""
     counts = np.bincount(rows, minlength=n_rows)
     first = np.concatenate([[0], np.cumsum(counts)])
-    coef = _STEP[0]
     if len(hashes) >= width:
         acc = np.zeros(len(hashes) - width + 1, dtype=np.uint64)
         for i in range(width):
-            acc += hashes[i : len(hashes) - width + 1 + i] * coef[i]
+            acc += hashes[i : len(hashes) - width + 1 + i] * _PLACES[i]
         same = rows[: len(acc)] == rows[width - 1 :]
         got, at = mix64(acc[same]), rows[: len(acc)][same]
     else:
         got, at = np.zeros(0, np.uint64), np.zeros(0, rows.dtype)
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        extra = np.array([np.sum(hashes[first[r] : first[r + 1]] * coef[: counts[r]], dtype=np.uint64) + np.uint64(counts[r]) for r in short], dtype=np.uint64)
+        extra = np.array([np.sum(hashes[first[r] : first[r + 1]] * _PLACES[: counts[r]], dtype=np.uint64) + np.uint64(counts[r]) for r in short], dtype=np.uint64)
         got, at = np.concatenate([got, mix64(extra)]), np.concatenate([at, short])
         order = np.argsort(at, kind="stable")
         got, at = got[order], at[order]

@@ -307,25 +307,6 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want
 
 
-def test_block_max_bounds_lose_nothing():
-    """Every passage whose plain BM25 score reaches the threshold is retrieved."""
-    rng = np.random.default_rng(2)
-    vocabulary = textkit.mix64(np.arange(1, 400, dtype=np.uint64))
-    items = [(i, vocabulary[rng.integers(0, 399, rng.integers(5, 40))].view(np.int64).tolist(), 3) for i in range(70)]
-    df = collections.Counter(w for _, x, _ in items for w in set(x))
-    part = decontaminate._Part(items, df, len(items), sum(len(x[1]) for x in items) / len(items), 0.4)
-    hashes = vocabulary[rng.integers(0, 399, 3000)]
-    begin = np.arange(0, 2900, 32)
-    end = begin + 64
-    got = {(p, i) for p, i, _ in part.retrieve(hashes, begin, end)}
-    weights = part.weights.reshape(len(part.terms), -1)
-    for p, (a, b) in enumerate(zip(begin, end, strict=True)):
-        terms = np.unique(np.searchsorted(part.terms, hashes[a:b][np.isin(hashes[a:b], part.terms)]))
-        score = weights[terms].sum(axis=0)
-        want = {i for i in range(len(items)) if score[i] >= part.least.reshape(-1)[i]}
-        assert {i for q, i in got if q == p} == want
-
-
 def test_pipeline_stages(spark, texts):
     import corpus_pipeline as cp
 
