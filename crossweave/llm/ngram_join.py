@@ -1,24 +1,29 @@
 """Exact Jaccard self-join of documents on word n-grams, as linked components.
 
-Grouped prefix join. Grams are 56-bit hashes, ordered from rare to frequent, so that a passage shared by many documents never opens a
+Grouped prefix join. Grams are 64-bit hashes, ordered from rare to frequent, so that a passage shared by many documents never opens a
 prefix that something rarer can open. The order needs document frequencies: every task sends its (gram, document) postings, packed by
 range of gram, to the gram's partition; only grams that two or more documents hold come back to their documents. Grams of one document
 alone make up the front of its prefix without candidates, and no intersection needs them, so a text is read once and never moved.
-A gram that many documents of one task hold (copies, a common passage) isn't sent to its partition at all but straight to the documents,
-with a mark that orders it last; its partition gets the mark alone.
+A gram that `frequent` documents of one pack hold (copies, a common passage) isn't sent to its partition at all but straight to the
+documents, with a mark that orders it last; its partition gets the mark alone. Frequencies count one by one up to EXACT, then in steps of
+a fifth.
 
-Documents with one prefix and size form a group; groups meet where their prefixes share a gram. Not all pairs of such a bucket are
-checked, but each member with a pivot of the bucket and of the next size class; what these checks link is one component. Then pairs of
-different components that still share a prefix gram are checked, all of them, so that no link between components is lost. A check counts
-the grams that two documents share, exactly.
+Documents with equal sets are one node, by a 128-bit digest of their grams; nodes with one prefix and size form a group, and groups meet where
+their prefixes share a gram. Not all pairs of such a bucket are checked, but each member with a pivot of the bucket and of the next size
+class; what these checks link is one component. Then pairs of groups that still share a prefix gram with members in different components
+are filtered by size, place and frequency of grams, and what is left is expanded to members and checked, all of it, so that no link between
+components is lost. A check counts the grams that two documents share, exactly. Keys that may hold much of a table (a pivot, a component,
+a set of grams, a prefix) are spread over tasks.
 
 Defined results: null and empty texts have no grams and link with nothing; a text of fewer words than n has its whole sequence as one
-gram; rows are documents of their own, also with equal doc_id; a null doc_id never names a component that has another id; an empty table
-gives an empty result; other columns are not read.
+gram; very long texts are one pack of their own; rows are documents of their own, also with equal doc_id or equal text; among several equal
+candidates for a pivot the least (then the greatest) node is taken, which changes the work and not the result; a null doc_id never names a
+component that has another id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm import textkit
-from crossweave.llm.common import cut, materialise, shuffle_partitions
+from crossweave.llm.common import cut, materialise, shuffle_partitions, spread_join
 from crossweave.llm.graph import components
 
 #: Bytes of text whose postings are packed together.
 PACK_BYTES = 4 << 20
 #: Documents of one pack that hold a gram, from which the gram counts as frequent.
 FREQUENT = 64
-#: Order of grams: the number of documents, up to RARE - 1; RARE itself stands for a frequent gram.
-RARE = 255
+#: Order of grams by one byte: the number of documents up to EXACT, then a step for each factor of STEP; RARE itself stands for a frequent gram.
+RARE, EXACT, STEP = 255, 128, 1.2
 #: Ranks from which a band of grams begins. Two documents share no more grams of a band than either has there.
-BANDS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, RARE)
-_SHIFT = np.uint64(8)  # hashes keep 56 bits
+BANDS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 140, 160, RARE)
 
 _PACKS = "to int, kind int, a binary, b binary, c binary"
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -87,6 +91,12 @@ def _stretches(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1], edges[1:], strict=True)
 
 
+def _rank(count: np.ndarray) -> np.ndarray:
+    """The order of grams by the number of documents that hold them, below RARE."""
+    steps = EXACT + np.floor(np.log(np.maximum(count, EXACT) / EXACT) / np.log(STEP)).astype(np.int64)
+    return np.where(count < EXACT, count, np.minimum(steps, RARE - 1))
+
+
 def _doc_bucket(uid: np.ndarray, n_docs: int) -> np.ndarray:
     return (textkit.mix64(uid) % np.uint64(n_docs)).astype(np.int64)
 
@@ -101,7 +111,7 @@ def _by_document(rows: _Rows, uid: np.ndarray, gram: np.ndarray, rank: np.ndarra
 
 def _post(words: int, n_grams: int, n_docs: int, frequent: int):
     """Documents to packed postings by range of gram, and what goes to the documents at once."""
-    span = np.uint64((1 << 56) // n_grams + 1)
+    span = np.uint64((1 << 64) // n_grams + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_uid = TaskContext.get().partitionId() << 36
@@ -114,7 +124,6 @@ def _post(words: int, n_grams: int, n_docs: int, frequent: int):
                 starts, ends, at = textkit.words(data, offsets)
                 grams, at = textkit.window_hashes(textkit.span_hashes(data, starts, ends), at, words, n)
                 del starts, ends
-                grams >>= _SHIFT
                 order = np.argsort(grams, kind="stable")
                 grams, at = grams[order], at[order]
                 new = np.ones(len(grams), bool)
@@ -150,42 +159,51 @@ def _post(words: int, n_grams: int, n_docs: int, frequent: int):
 
 
 def _shared(n_docs: int):
-    """Postings by range of gram to the grams that two or more documents hold, by document; what is by document already goes on."""
+    """Postings in order of range of gram to the grams that two or more documents hold, by document; what is by document already goes on."""
+
+    def gathered(packs: list[tuple[np.ndarray, np.ndarray]], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        grams, uid = (np.concatenate(x) for x in zip(*packs, strict=True))
+        order = np.argsort(grams, kind="stable")
+        grams, uid = grams[order], uid[order]
+        begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
+        count = np.diff(np.append(begin, len(grams)))
+        rank = _rank(count)
+        if marks:
+            rank[np.isin(grams[begin], np.concatenate(marks))] = RARE
+        rank = np.repeat(rank, count)
+        many = rank > 1
+        rows = _Rows()
+        _by_document(rows, uid[many], grams[many], rank[many], n_docs)
+        yield from rows.batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        marks: dict[int, list[np.ndarray]] = {}
+        now, packs, marks = None, [], []
         for got in batches:
             late = pc.greater(got.column("kind"), _MARKS)
             if pc.any(late).as_py():
                 yield got.filter(late)
             for to, kind, a, b in zip(*(got.column(c) for c in ("to", "kind", "a", "b")), strict=True):
-                if (kind := kind.as_py()) == _POSTINGS:
-                    packs.setdefault(to.as_py(), []).append((_numbers(a.as_buffer()), _numbers(b.as_buffer())))
-                elif kind == _MARKS:
-                    marks.setdefault(to.as_py(), []).append(_numbers(a.as_buffer()))
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for to in sorted(packs):
-            grams, uid = (np.concatenate(x) for x in zip(*packs.pop(to), strict=True))
-            order = np.argsort(grams, kind="stable")
-            grams, uid = grams[order], uid[order]
-            begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
-            count = np.diff(np.append(begin, len(grams)))
-            rank = np.minimum(count, RARE - 1)
-            if to in marks:
-                rank[np.isin(grams[begin], np.concatenate(marks[to]))] = RARE
-            rank = np.repeat(rank, count)
-            many = rank > 1
-            held.append((uid[many], grams[many], rank[many]))
-        rows = _Rows()
-        if held:
-            _by_document(rows, *(np.concatenate(x) for x in zip(*held, strict=True)), n_docs)
-        yield from rows.batches()
+                if (kind := kind.as_py()) > _MARKS:
+                    continue
+                if (to := to.as_py()) != now:
+                    if packs:
+                        yield from gathered(packs, marks)
+                    now, packs, marks = to, [], []
+                if kind == _POSTINGS:
+                    packs.append((_numbers(a.as_buffer()), _numbers(b.as_buffer())))
+                else:
+                    marks.append(_numbers(a.as_buffer()))
+        if packs:
+            yield from gathered(packs, marks)
 
     return run
 
 
-_DOC_ROWS = "uid long, doc_id long, n long, alone long, same long, bands array<int>, prefix array<long>, shared array<long>"
+_DOC_ROWS = "uid long, doc_id long, n long, alone long, same binary, p binary, bands array<int>, prefix array<long>, shared array<long>"
+
+
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -195,25 +213,17 @@ def _lists(values: np.ndarray, lengths: np.ndarray, null: np.ndarray) -> pa.Arra
 
 
 def _documents(num: int, den: int):
-    """What the documents of a partition hold, in the order of grams. prefix and shared are null where the prefix has no shared gram."""
+    """What the documents of each bucket hold, in the order of grams; p: a digest of the prefix, same: one of the set, equal for equal sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held = [], []
-        for got in batches:
-            for kind, *packed in zip(*(got.column(x) for x in ("kind", "a", "b", "c")), strict=True):
-                a, b, c = (x.as_buffer() for x in packed)
-                if kind.as_py() == _DOCS:
-                    docs.append((_numbers(a), _numbers(b), _numbers(c)))
-                else:
-                    held.append((_numbers(a), _numbers(b), np.frombuffer(c, np.uint8).copy()))
-        if not docs:
-            return
+    prefix, p and shared are null where the prefix has no shared gram.
+    """
+
+    def bucket(docs: list[tuple], held: list[tuple]) -> Iterator[pa.RecordBatch]:
         uid, ids, size = (np.concatenate(x) for x in zip(*docs, strict=True))
         order = np.argsort(uid)
         uid, ids, known, n = uid[order], ids[order].view(np.int64), (size[order] & np.uint64(1)).astype(bool), (size[order] >> np.uint64(1)).astype(np.int64)
         if held:
             of, gram, rank = (np.concatenate(x) for x in zip(*held, strict=True))
-            del held
             order = np.lexsort((gram, rank, of))
             of, gram, rank = of[order], gram[order], rank[order]
         else:
@@ -227,19 +237,35 @@ def _documents(num: int, den: int):
         bands = np.stack([u[first + shared] - u[first] for u in upto], axis=1).astype(np.int32)
         del rank, upto
         step = max(1, int(256_000 // max(1, shared.mean())))
-        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textkit.mix64(gram + np.uint64(1)))])
         for i in range(0, len(uid), step):
             k = slice(i, min(i + step, len(uid)))
             on = some[k]
             p, s, f = np.where(on, prefix[k], 0), np.where(on, shared[k], 0), first[k]
             pick = lambda lengths: gram[np.repeat(f, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)]  # noqa: E731, B023
-            # equal for equal sets: only a set without a gram of its own has an equal
-            same = np.where(alone[k] == 0, mixed[f + shared[k]] - mixed[f], textkit.mix64(uid[k] * np.uint64(2) + np.uint64(1))).view(np.int64)
+            # only a set without a gram of its own has an equal
+            same = [_digest(gram[a : a + m]) if w and not x else int(u).to_bytes(8, "little") for a, m, x, w, u in zip(f, s, alone[k], on, uid[k], strict=True)]
+            heads = [_digest(gram[a : a + m]) if w else None for a, m, w in zip(f, p, on, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid[k].astype(np.int64)), pa.array(ids[k], mask=~known[k]), pa.array(n[k]), pa.array(alone[k]), pa.array(same), pa.FixedSizeListArray.from_arrays(pa.array(bands[k].ravel()), len(BANDS)).cast(pa.list_(pa.int32())), _lists(pick(p), p, ~on), _lists(pick(s), s, ~on)],
-                names=["uid", "doc_id", "n", "alone", "same", "bands", "prefix", "shared"],
+                [pa.array(uid[k].astype(np.int64)), pa.array(ids[k], mask=~known[k]), pa.array(n[k]), pa.array(alone[k]), pa.array(same, pa.binary()), pa.array(heads, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(bands[k].ravel()), len(BANDS)).cast(pa.list_(pa.int32())), _lists(pick(p), p, ~on), _lists(pick(s), s, ~on)],
+                names=["uid", "doc_id", "n", "alone", "same", "p", "bands", "prefix", "shared"],
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, held = None, [], []
+        for got in batches:
+            for to, kind, *packed in zip(*(got.column(x) for x in ("to", "kind", "a", "b", "c")), strict=True):
+                if (to := to.as_py()) != now:
+                    if docs:
+                        yield from bucket(docs, held)
+                    now, docs, held = to, [], []
+                a, b, c = (x.as_buffer() for x in packed)
+                if kind.as_py() == _DOCS:
+                    docs.append((_numbers(a), _numbers(b), _numbers(c)))
+                else:
+                    held.append((_numbers(a), _numbers(b), np.frombuffer(c, np.uint8).copy()))
+        if docs:
+            yield from bucket(docs, held)
+
     return run
 
 
@@ -248,15 +274,17 @@ def document_grams(docs: DataFrame, words: int, num: int, den: int, frequent: in
     p = shuffle_partitions(docs.sparkSession)
     n_grams, n_docs = 4 * p, 4 * p
     packs = docs.select("doc_id", "text").mapInArrow(_post(words, n_grams, n_docs, frequent), _PACKS)
-    by_gram = packs.repartition(p, F.col("kind") <= _MARKS, "to").mapInArrow(_shared(n_docs), _PACKS)
-    return materialise(by_gram.repartition(p, "to").mapInArrow(_documents(num, den), _DOC_ROWS), "document-grams")
+    early = F.col("kind") <= _MARKS
+    # in order, so that a task holds one range or bucket at a time
+    by_gram = packs.repartition(p, early, "to").sortWithinPartitions(early, "to").mapInArrow(_shared(n_docs), _PACKS)
+    return materialise(by_gram.repartition(p, "to").sortWithinPartitions("to").mapInArrow(_documents(num, den), _DOC_ROWS), "document-grams")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of nodes that link: shared grams against the union, both counted exactly."""
+    """The pairs (x, y) of nodes that link: shared grams against the union, both counted exactly. Many pairs may have one y, few one x."""
     x = nodes.select(F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
     y = nodes.select(F.col("uid").alias("y"), F.col("n").alias("ny"), F.col("shared").alias("sy"))
-    sized = pairs.join(x, "x").join(y, "y").where(_sizes_fit("nx", "ny", num, den))
+    sized = spread_join(pairs, y, ["y"], ["x"]).join(x, "x").where(_sizes_fit("nx", "ny", num, den))
     both = F.size(F.array_intersect("sx", "sy"))
     return sized.where(den * both >= num * (F.col("nx") + F.col("ny") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -290,66 +318,82 @@ def gram_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     rows = document_grams(docs, words, num, den, frequent)
     held = rows.where(F.col("prefix").isNotNull())
     # equal sets: one node each
-    nodes_of = held.groupBy("n", "same").agg(F.min("uid").alias("node"))
-    nodes = held.join(nodes_of.select(F.col("node").alias("uid")), "uid", "left_semi").withColumn("p", F.xxhash64("prefix"))
+    nodes_of = held.groupBy("n", "same").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"))
+    nodes = held.join(nodes_of.select(F.col("node").alias("uid")), "uid", "left_semi")
     groups = nodes.groupBy("n", "alone", "p").agg(F.min("uid").alias("gid"))
-    grouped = _few(cut(nodes.select("uid", "n", "alone", "p").join(groups, ["n", "alone", "p"]).select("uid", "gid", "n", "alone")))
+    grouped = _few(cut(spread_join(nodes.select("uid", "n", "alone", "p"), groups, ["n", "alone", "p"], ["uid"]).select("uid", "gid", "n", "alone")))
     # A document shares at most its grams that others hold, which bounds the size of a partner from above.
     top = F.least(F.floor(den * F.col("n") / num), F.floor((num + den) * (F.col("n") - F.col("alone")) / num) - F.col("n")).cast("long")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int") if num < den else F.col("n").cast("int")
     heads = grouped.where("uid = gid").select("gid", "n", "alone")
     posts = nodes.select(F.col("uid").alias("gid"), "prefix").join(heads, "gid").select("gid", "n", size_class.alias("c"), top.alias("top"), "alone", F.posexplode("prefix").alias("i", "gram"))
-    # before: grams ahead of this one that others hold; behind: this one and those after it
-    posts = materialise(posts.select("gram", "gid", "n", "c", "top", "alone", F.col("i").alias("before"), (F.col("n") - F.col("alone") - F.col("i")).alias("behind")), "gram-posts")
-
-    def star(sign: int, known: DataFrame | None) -> DataFrame:
-        """Pairs of a group's members with the pivot of each bucket of the group, in its size class and the next; of different components only.
-
-        The pivot has the fewest grams of its own: an original rather than one of its altered copies, which may not link among themselves.
-        """
-        pivots = posts.groupBy("gram", "c").agg(F.min(F.struct("alone", (sign * F.col("gid")).alias("g"))).alias("p")).select("gram", "c", (sign * F.col("p.g")).alias("y"))
+    # behind: grams from this one on that others hold
+    posts = materialise(posts.select("gram", "gid", "n", "c", "top", "alone", (F.col("n") - F.col("alone") - F.col("i")).alias("behind")), "gram-posts")
+    # A bucket's pivots have the fewest grams of their own: originals rather than altered copies, which may not link among themselves.
+    pivot = lambda sign: F.min(F.struct("alone", (sign * F.col("gid")).alias("g")))["g"] * sign
+    pivots = materialise(posts.groupBy("gram", "c").agg(pivot(1).alias("first"), pivot(-1).alias("last")), "gram-pivots")
+
+    def star(which: str, known: DataFrame | None) -> DataFrame:
+        """Pairs (member x, pivot y) of each bucket of a group, in its size class and the next; of different components only."""
         at = posts.select("gram", "gid", F.explode(F.array("c", F.col("c") + 1)).alias("c"))
-        group_pairs = at.join(pivots, ["gram", "c"]).select("gid", "y").distinct()
+        group_pairs = at.join(pivots.select("gram", "c", F.col(which).alias("y")), ["gram", "c"]).select("gid", "y").distinct()
         pairs = group_pairs.join(grouped.select("gid", F.col("uid").alias("x")), "gid").select("x", "y").unionByName(grouped.select(F.col("uid").alias("x"), F.col("gid").alias("y")))
-        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = pairs.where("x <> y").distinct()
         return pairs if known is None else _apart(pairs, known)
 
     def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         cx, cy = comps.select(F.col("uid").alias("x"), F.col("comp").alias("cx")), comps.select(F.col("uid").alias("y"), F.col("comp").alias("cy"))
         return pairs.join(cx, "x").join(cy, "y").where("cx <> cy").select("x", "y")
 
-    edges = _few(cut(_verified(star(1, None), nodes, num, den)))
+    edges = _few(cut(_verified(star("first", None), nodes, num, den)))
     comps = _few(cut(_labelled(grouped, edges)))
-    edges = _few(cut(edges.unionByName(_verified(star(-1, comps), nodes, num, den))))
+    edges = _few(cut(edges.unionByName(_verified(star("last", comps), nodes, num, den))))
     comps = _few(cut(_labelled(grouped, edges)))
-    # buckets that still hold more than one component
-    member = grouped.select("gid", "uid").join(comps, "uid")
-    at = materialise(posts.join(member, "gid").select("gram", "uid", "n", "top", "before", "behind", "comp"), "gram-rest")
+    edges = _few(cut(edges.unionByName(_verified(_rest(nodes, grouped, posts, comps, num, den), nodes, num, den))))
+    comps = cut(_labelled(grouped, edges))
+    # nodes to the least doc_id of their component, then documents to that of their set
+    names = comps.join(nodes_of.withColumnRenamed("node", "uid"), "uid").select("comp", "n", "same", "least", "uid")
+    named = spread_join(names, names.groupBy("comp").agg(F.min("least").alias("component_id")), ["comp"], ["uid"]).select("n", "same", "component_id")
+    member = spread_join(held.select("uid", "doc_id", "n", "same"), named, ["n", "same"], ["uid"])
+    lone = rows.where(F.col("prefix").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return member.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
+
+
+def _rest(nodes: DataFrame, grouped: DataFrame, posts: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of nodes of different components that could still link.
+
+    First components that meet in a bucket are filtered, then their groups, and only the members of group pairs that are left are paired.
+    """
+    bands = [F.col("bands")[k].alias(f"b{k}") for k in range(len(BANDS))]
+    most = F.array(*(F.max(f"b{k}") for k in range(len(BANDS)))).alias("bands")
+    member = nodes.select("uid", *bands).join(comps, "uid").join(grouped.select("uid", "gid"), "uid")
+    # a unit: the members of a group that are in one component
+    units = cut(member.groupBy("gid", "comp").agg(most))
+    at = materialise(posts.join(units.select("gid", "comp"), "gid").select("gram", "gid", "comp", "n", "top", "behind"), "gram-rest")
     mixed = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    at = at.join(mixed, "gram")
+    at = materialise(at.join(mixed, "gram", "left_semi"), "gram-mixed")
     inside = at.groupBy("gram", "comp").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("top"), F.max("behind").alias("behind"))
     one, two = (inside.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "size", "least", "most", "top", "behind"))) for k in (1, 2))
     fits = (den * F.col("most1") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least1")) & (F.col("least1") <= F.col("top2")) & (F.col("least2") <= F.col("top1"))
     fits &= (num + den) * F.least("behind1", "behind2") >= num * (F.col("least1") + F.col("least2"))
     # the smaller component is taken apart first
     meet = one.join(two, "gram").where(F.struct("size1", "comp1") < F.struct("size2", "comp2")).where(fits).select("gram", "comp1", "comp2", "least1", "least2")
-    whole = nodes.select("uid", *(F.col("bands")[k].alias(f"b{k}") for k in range(len(BANDS)))).join(comps, "uid").groupBy("comp").agg(*(F.max(f"b{k}").alias(f"b{k}") for k in range(len(BANDS))))
-    whole = cut(whole.select("comp", F.array(*(f"b{k}" for k in range(len(BANDS)))).alias("bands")))
+    whole = cut(units.select("comp", *bands).groupBy("comp").agg(most))
     for k in (1, 2):
         meet = meet.join(whole.select(F.col("comp").alias(f"comp{k}"), F.col("bands").alias(f"bands{k}")), f"comp{k}")
     meet = materialise(meet.where((num + den) * _by_band("bands1", "bands2") >= num * (F.col("least1") + F.col("least2"))).select("gram", "comp1", "comp2"), "gram-meet")
-    arrays = nodes.select("uid", "bands", "prefix")
-    left, right = (at.join(meet.select("gram", F.col(f"comp{k}").alias("comp")).distinct(), ["gram", "comp"], "left_semi").join(arrays, "uid").select("gram", F.col("comp").alias(f"comp{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "top", "before", "behind", "bands", "prefix"))) for k in (1, 2))
-    # a pair counts at its first shared gram, from which on the two can share no more than what is behind it, nor more than by band
+    left, right = (at.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "gid", "n", "top", "behind"))) for k in (1, 2))
+    # from the first shared gram on, two documents share no more than what is behind it
     needed = num * (F.col("n1") + F.col("n2"))
-    enough = (F.col("n1") <= F.col("top2")) & (F.col("n2") <= F.col("top1")) & ((num + den) * F.least("behind1", "behind2") >= needed) & ((num + den) * _by_band("bands1", "bands2") >= needed)
-    enough &= ~F.arrays_overlap(F.slice("prefix1", 1, F.col("before1")), F.slice("prefix2", 1, F.col("before2")))
-    rest = meet.join(left, ["gram", "comp1"]).join(right, (right["gram"] == meet["gram"]) & (right["comp2"] == meet["comp2"]) & enough)
-    rest = rest.select(F.least("uid1", "uid2").alias("x"), F.greatest("uid1", "uid2").alias("y")).distinct()
-    edges = _few(cut(edges.unionByName(_verified(rest, nodes, num, den))))
-    comps = _labelled(grouped, edges)
-    member = held.select("uid", "doc_id", "n", "same").join(nodes_of, ["n", "same"]).join(comps.withColumnRenamed("uid", "node"), "node").select("uid", "doc_id", "n", "comp")
-    member = cut(member)
-    names = member.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    lone = rows.where(F.col("prefix").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return member.join(names, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
+    fits = (F.col("n1") <= F.col("top2")) & (F.col("n2") <= F.col("top1")) & ((num + den) * F.least("behind1", "behind2") >= needed)
+    right = right.withColumnsRenamed({"gram": "g", "comp2": "k"})
+    found = meet.join(left, ["gram", "comp1"]).join(right, (F.col("g") == F.col("gram")) & (F.col("k") == F.col("comp2")) & fits)
+    found = found.select("gid1", "comp1", "n1", "gid2", "comp2", "n2").distinct()
+    for k in (1, 2):
+        found = found.join(units.select(F.col("gid").alias(f"gid{k}"), F.col("comp").alias(f"comp{k}"), F.col("bands").alias(f"bands{k}")), [f"gid{k}", f"comp{k}"])
+    found = found.where((num + den) * _by_band("bands1", "bands2") >= num * (F.col("n1") + F.col("n2"))).select("gid1", "comp1", "gid2", "comp2")
+    found = materialise(found, "group-pairs")
+    member = grouped.select("uid", "gid").join(comps, "uid")
+    for k, name in ((1, "x"), (2, "y")):
+        found = found.join(member.select(F.col("gid").alias(f"gid{k}"), F.col("comp").alias(f"comp{k}"), F.col("uid").alias(name)), [f"gid{k}", f"comp{k}"])
+    return found.select("x", "y")

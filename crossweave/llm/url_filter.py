@@ -7,28 +7,32 @@ the edges that starts at hosts in proportion to their blocked share of pages, ov
 without any trust, 0 where nothing is blocked and 1 where everything is. A host whose distrust exceeds `limit` times its trust and whose
 share exceeds `least` is blocked, other hosts are allowed: about half of a host's own pages blocked, or of the hosts' beside it.
 
-Only hosts, edges summed by host pair, and rules are joined with each other; pages are joined with their host's row once. A host with many
-pages is a large key of that last join alone, which adaptive execution splits.
+Only hosts, edges summed by host pair, and rules are joined with each other. Pages, without their html, are joined with their host's row; a
+host with many pages, or the empty host, is spread over tasks. Walks take as many rounds as leave TOLERANCE of their weight unsettled.
 
 Defined results: a null url, or one without `://`, has empty host and path and is allowed; hosts without pages take part in the graph but
 are not reported; rows with equal page_id are judged one by one; equal rules count once, and of equally long ones a block wins; without
-rules every page is allowed; a null html has no links; an empty table gives an empty result; other columns are not read.
+rules every page is allowed; a null or empty html has no links, and one of any length is searched whole; an empty table gives an empty
+result; other columns, also of the names of results, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import cut
+from crossweave.llm.common import cut, materialise, spread_join
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, ROUNDS_A_CUT = 0.7, 20, 5
+DAMPING, TOLERANCE, ROUNDS_A_CUT = 0.7, 1e-3, 5
+#: After k rounds exactly DAMPING ** k of a walk's weight at most is still on its way, on any graph.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 LIMIT = 2.0
 #: A walk ends at its own host with about half of its weight: half of the pages of a host blocked, and none beside it, reach this share.
 LEAST = 0.25
@@ -100,19 +104,19 @@ def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def judged_urls(pages: DataFrame, rules: Sequence[UrlRule], limit: float = LIMIT, least: float = LEAST) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust, share) for each row of `pages` (page_id, url, html)."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html").withColumn("host", url_host(F.col("url")))
+    thin = materialise(pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")), "urls")
     # the rules are a list of the caller, not data that grows
     literal = [F.struct(F.lit(r.host).alias("of"), F.lit(r.path).alias("path"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in rules]
     table = spark.range(1).select(F.explode(F.array(*literal)).alias("r")).select("r.*") if rules else spark.createDataFrame([], "of string, path string, rule string, verdict string")
-    hosts = rows.select("host").distinct().where("host <> ''")
+    hosts = thin.select("host").distinct().where("host <> ''")
     fitting = hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("of")).join(table, "of").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("size"), "verdict", "path", "rule")).alias("rules"))
-    thin = rows.select("page_id", "host", url_path(F.col("url")).alias("path")).join(fitting, "host", "left")
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["path"])))  # the longest, then block over allow
-    ruled = cut(thin.select("page_id", "host", "path", best.alias("best")))
+    ruled = spread_join(thin, fitting, ["host"], ["page_id"], "left").select("page_id", "host", "path", best.alias("best"))
+    ruled = materialise(ruled, "ruled-urls")
     seeds = ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("best.verdict") == "allow").alias("trusted"), F.count_if(F.col("best.verdict") == "block").alias("blocked"))
-    edges = link_edges(rows.select("host", "html")).unionByName(parent_edges(hosts))
+    edges = link_edges(pages.select(url_host(F.col("url")).alias("host"), "html")).unionByName(parent_edges(hosts))
     scores = propagated(edges, seeds)
-    out = ruled.join(scores, "host", "left")
+    out = spread_join(ruled, scores, ["host"], ["page_id"], "left")
     more = F.coalesce(F.col("distrust"), F.lit(0.0)) > limit * F.coalesce(F.col("trust"), F.lit(0.0))
     by_graph = F.when(more & (F.coalesce(F.col("share"), F.lit(0.0)) > least), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_graph).alias("verdict"), "trust", "distrust", "share")
