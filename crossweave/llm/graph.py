@@ -25,11 +25,13 @@ def _star(pairs: DataFrame, spread: int) -> DataFrame:
 
 
 def _round(edges: DataFrame, spread: int) -> DataFrame:
-    large = _star(_neighbours(edges), spread).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # a union of single partitions is made one again, so that nothing is exchanged
+    one = (lambda x: x) if spread else (lambda x: x.coalesce(1))
+    large = _star(one(_neighbours(edges)), spread).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     small = _star(cut(down) if spread else down, spread)
     linked = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return linked.where("a <> b").distinct()
+    return one(linked).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, edges_a_part: int = EDGES_A_PARTITION) -> DataFrame:

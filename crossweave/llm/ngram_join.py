@@ -39,6 +39,10 @@ from crossweave.llm.graph import components
 
 #: Bytes of text whose postings are packed together.
 PACK_BYTES = 4 << 20
+#: Postings of shared grams that a task holds before it sends them on.
+HELD_POSTINGS = 4_000_000
+#: Partitions beyond spark.sql.shuffle.partitions that a large input gets at most.
+PARTITIONS = 2048
 #: Documents of one pack that hold a gram, from which the gram counts as frequent.
 FREQUENT = 64
 #: Order of grams by one byte: the number of documents up to EXACT, then a step for each factor of STEP; RARE itself stands for a frequent gram.
@@ -161,7 +165,7 @@ def _post(words: int, n_grams: int, n_docs: int, frequent: int):
 def _shared(n_docs: int):
     """Postings in order of range of gram to the grams that two or more documents hold, by document; what is by document already goes on."""
 
-    def gathered(packs: list[tuple[np.ndarray, np.ndarray]], marks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def shared(packs: list[tuple[np.ndarray, np.ndarray]], marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         grams, uid = (np.concatenate(x) for x in zip(*packs, strict=True))
         order = np.argsort(grams, kind="stable")
         grams, uid = grams[order], uid[order]
@@ -172,12 +176,15 @@ def _shared(n_docs: int):
             rank[np.isin(grams[begin], np.concatenate(marks))] = RARE
         rank = np.repeat(rank, count)
         many = rank > 1
+        return uid[many], grams[many], rank[many].astype(np.uint8)
+
+    def out(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
-        _by_document(rows, uid[many], grams[many], rank[many], n_docs)
+        _by_document(rows, *(np.concatenate(x) for x in zip(*held, strict=True)), n_docs)
         yield from rows.batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, packs, marks = None, [], []
+        now, packs, marks, held = None, [], [], []
         for got in batches:
             late = pc.greater(got.column("kind"), _MARKS)
             if pc.any(late).as_py():
@@ -187,14 +194,19 @@ def _shared(n_docs: int):
                     continue
                 if (to := to.as_py()) != now:
                     if packs:
-                        yield from gathered(packs, marks)
+                        held.append(shared(packs, marks))
+                        if sum(len(x[0]) for x in held) >= HELD_POSTINGS:
+                            yield from out(held)
+                            held = []
                     now, packs, marks = to, [], []
                 if kind == _POSTINGS:
                     packs.append((_numbers(a.as_buffer()), _numbers(b.as_buffer())))
                 else:
                     marks.append(_numbers(a.as_buffer()))
         if packs:
-            yield from gathered(packs, marks)
+            held.append(shared(packs, marks))
+        if held:
+            yield from out(held)
 
     return run
 
@@ -271,8 +283,8 @@ def _documents(num: int, den: int):
 
 def document_grams(docs: DataFrame, words: int, num: int, den: int, frequent: int = FREQUENT) -> DataFrame:
     """A row of _DOC_ROWS for each row of `docs`, written to the shared folder."""
-    p = shuffle_partitions(docs.sparkSession)
-    n_grams, n_docs = 4 * p, 4 * p
+    p = max(shuffle_partitions(docs.sparkSession), min(2 * docs.rdd.getNumPartitions(), PARTITIONS))
+    n_grams, n_docs = 4 * p, 2 * p
     packs = docs.select("doc_id", "text").mapInArrow(_post(words, n_grams, n_docs, frequent), _PACKS)
     early = F.col("kind") <= _MARKS
     # in order, so that a task holds one range or bucket at a time
