@@ -1,14 +1,18 @@
 """BPE encoding and decoding of whole documents with a tokenizer file.
 
 Ordinary text: ASCII white space always separates pieces, whatever the tokenizer's own splitting, if the file says so (its normaliser and
-splitter drop white space); pieces are encoded by the library once and then looked up. Long unsplit text, one piece of more than
-LONG bytes, is encoded by tree concatenation: its parts between the tokenizer's own splits are halved down to leaves, the leaves are
+splitter drop white space); the different pieces of a batch are found by NumPy, encoded by the library once and then looked up. Long unsplit
+text, one piece of more than LONG bytes, is encoded by tree concatenation: its parts between the tokenizer's own splits are halved down to leaves, the leaves are
 encoded in parallel, and two neighbours are joined by re-encoding a window around the join that grows until its first token is the left
 side's and its last token is the right side's. A sequence of tokens is the BPE encoding of its text if every two neighbours are that of
 theirs, so the joined sequence equals an encoding in one go.
 
-Ids are binary: little-endian unsigned 32-bit integers. Defined results: a null text has no ids and decodes to an empty text; other
-columns pass through, but an input column named like an output column gives way to it; an empty table gives an empty result.
+Files whose merges depend on more than the text (unknown tokens, dropout, whole words before merges, bytes for unknown characters) have no
+trees; the library encodes their long pieces.
+
+Ids are binary: little-endian unsigned 32-bit integers. Defined results: a null or empty text has no ids and decodes to an empty text; a very
+long text is encoded in stretches between white space, whole; equal texts get equal ids; ids that the tokenizer doesn't have decode to
+nothing; other columns pass through, but an input column named like an output column gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from crossweave.llm import textkit
 from crossweave.llm.common import keep_first_names
 
 #: Bytes from which a piece without white space is encoded as a tree.
@@ -37,8 +42,12 @@ REMEMBERED = 120_000
 #: Bytes of a batch that goes back to Spark.
 BATCH_BYTES = 2 << 20
 
-#: Between an ASCII letter and an ASCII mark other than an apostrophe, which may begin a contraction.
-_MARK = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+#: Longest piece that is told apart by its bytes as two numbers.
+SHORT = 16
+#: ASCII letters, and ASCII marks other than the apostrophe, which may begin a contraction.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = True
 #: Letters whose classes no Unicode version has changed: ASCII and Latin-1, lower case.
 _WORD = re.compile("[a-zß-öø-ÿ]+")
 
@@ -63,6 +72,8 @@ class Encoder:
         # trees and pieces need a splitter that drops white space, and added tokens that take nothing around them
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
         self.by_space = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps) and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in added) and spec["model"]["type"] == "BPE"
+        model = spec["model"]
+        self.trees = not any(model.get(x) for x in ("unk_token", "ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix"))
         steps = (spec.get("normalizer") or {}).get("normalizers") or []
         self.lowers = self.by_space and bool(self.suffix) and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and all(x["content"].startswith("<") for x in added)
         tokens = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
@@ -115,17 +126,27 @@ class Encoder:
             elif part:
                 normal = self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part
                 for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal):
-                    out += self.tree(word) if len(word) > LEAF else self._ids(word, True)
+                    out += self.tree(word) if self.trees and len(word) > LEAF else self._ids(word, True)
         return out
 
     # -- texts
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        """Stretches of a text that the tokenizer treats one by one, each lower-cased if the tokenizer does that anyway."""
-        if not self.lowers or b"<" in text:  # special tokens are looked for before anything is lower-cased
-            return text.split()
-        # a letter always ends a word before these marks, as before white space
-        return _MARK.sub(b" ", text.lower()).split()
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, and start and end of the stretches that the tokenizer treats one by one.
+
+        plain: texts without a special token, which is looked for before anything is lower-cased. These are lower-cased if the tokenizer does so
+        anyway, and a letter of theirs always ends a word before a mark, as before white space.
+        """
+        starts, ends, _ = textkit.words(data, offsets)
+        if not self.lowers or not plain.any():
+            return data, starts, ends
+        low = textkit.lowered(data)
+        for r in np.flatnonzero(~plain):
+            low[offsets[r] : offsets[r + 1]] = data[offsets[r] : offsets[r + 1]]
+        cuts = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
+        text = np.searchsorted(offsets, cuts, side="right") - 1
+        cuts = cuts[plain[text] & (offsets[text] < cuts)]
+        return low, np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
 
     def learn(self, pieces: set[bytes]) -> None:
         new = [x for x in pieces if x not in self.known]
@@ -153,12 +174,72 @@ class Encoder:
             self.known[x] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        ids, ends = self.encode_column(pa.array(texts, pa.large_binary()))
+        return [ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin, with the end."""
         if not self.by_space:
-            return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast([x.decode(errors="replace") for x in texts], add_special_tokens=False)]
-        split = [self.pieces(x) for x in texts]
-        self.learn({piece for pieces in split for piece in pieces})
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+            got = [np.array(x.ids, "<u4") for x in self.whole.encode_batch_fast([(x or b"").decode(errors="replace") for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *got]), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
+        ids, sizes = [np.zeros(0, "<u4")], []
+        for _, _, data, offsets in textkit.byte_chunks(texts, BATCH_BYTES):
+            marked = np.searchsorted(offsets, np.flatnonzero(data == ord("<")), side="right") - 1
+            plain = np.ones(len(offsets) - 1, bool)
+            plain[marked] = False
+            size = np.zeros(len(plain), np.int64)
+            for i, j, edges in _stretches(data, offsets):
+                got, count = self._encode_chunk(data[i:j], edges, plain)
+                ids.append(got)
+                size += count
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+
+    def _encode_chunk(self, data: np.ndarray, offsets: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, and how many each has."""
+        data, starts, ends = self.pieces(data, offsets, plain)
+        size = ends - starts
+        padded = np.zeros(len(data) + SHORT, np.uint8)
+        padded[: len(data)] = data
+        wide = np.ndarray(len(data) + SHORT - 8, "<u8", padded, strides=(1,)) if len(data) else np.zeros(1, np.uint64)
+        short = np.flatnonzero(size <= SHORT)
+        at, n = starts[short], size[short]
+        # up to 16 bytes, zeros behind them, as two numbers; their mixture sorts pieces, and the numbers themselves tell whether equals are equal
+        a, b = wide[at] & textkit.MASKS[np.minimum(n, 8)], wide[np.minimum(at + 8, len(wide) - 1)] & textkit.MASKS[np.clip(n - 8, 0, 8)]
+        _, first, of = np.unique(textkit.mix64(a ^ textkit.mix64(b ^ (n.astype(np.uint64) << np.uint64(57)))), return_index=True, return_inverse=True)
+        real = (a == a[first][of]) & (b == b[first][of]) & (n == n[first][of])
+        lone = np.concatenate([np.flatnonzero(size > SHORT), short[~real]])
+        which = np.concatenate([short[first], lone])
+        raw = data.tobytes()
+        pieces = [raw[i:j] for i, j in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        self.learn(set(pieces))
+        got = list(map(self.known.__getitem__, pieces))
+        flat, count = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        code = np.empty(len(size), np.int64)
+        code[short] = of
+        code[lone] = len(first) + np.arange(len(lone))
+        n = count[code]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(count) - count)[code] - before[:-1], n) + np.arange(before[-1])]
+        return ids, np.diff(before[np.searchsorted(starts, offsets)])
+
+
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Begin, end and row offsets of stretches of a chunk of texts: the whole chunk, or a long text in parts that end in white space."""
+    if len(data) <= 2 * BATCH_BYTES or len(offsets) > 2:
+        yield 0, len(data), offsets
+        return
+    at = 0
+    while at < len(data):
+        end = min(at + BATCH_BYTES, len(data))
+        while end < len(data):
+            space = np.flatnonzero(textkit.is_space(data[end : end + BATCH_BYTES]))
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(end + BATCH_BYTES, len(data))
+        yield at, end, np.array([0, end - at])
+        at = end
 
 
 class Decoder:
@@ -173,15 +254,31 @@ class Decoder:
             self.library = Tokenizer.from_file(path)
             return
         named = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
-        self.tokens = [""] * (max(named.values()) + 1)
+        tokens = [b""] * (max(named.values()) + 1)
         for token, i in named.items():
-            self.tokens[i] = token
-
-    def decode(self, ids: np.ndarray) -> str:
-        if self.library is None:  # without a decoder the library puts spaces between tokens
-            tokens = self.tokens
-            return " ".join([tokens[i] for i in ids.tolist()])
-        return self.library.decode(ids.tolist(), skip_special_tokens=False)
+            tokens[i] = token.encode() + b" "
+        self.size = np.array([len(x) for x in tokens])
+        self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode_column(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids[ends[i] : ends[i + 1]]."""
+        if self.library is not None:
+            return pa.array([self.library.decode(ids[i:j].tolist(), skip_special_tokens=False) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.large_string())
+        # without a decoder the library puts spaces between tokens
+        known = ids < len(self.size)
+        size = np.where(known, self.size[np.where(known, ids, 0)], 0)
+        after = np.concatenate([[0], np.cumsum(size)])
+        parts = []
+        for at in range(0, len(ids), 1 << 19):
+            k = slice(at, min(at + (1 << 19), len(ids)))
+            n = size[k]
+            parts.append(self.bytes[np.repeat(self.begin[np.where(known[k], ids[k], 0)] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        data = np.concatenate([np.zeros(0, np.uint8), *parts])
+        edges = after[ends]
+        some = edges[1:] > edges[:-1]
+        data = np.delete(data, edges[1:][some] - 1)  # the space behind a text's last token
+        edges = edges - np.concatenate([[0], np.cumsum(some)])
+        return pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 _made: dict[tuple, Encoder | Decoder] = {}
@@ -194,22 +291,8 @@ def _once(kind: type, path: str):
     return _made[kind, path]
 
 
-def _runs(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes | None]]]:
-    """Rows of about `most` bytes: the first row's number, and values."""
-    at, held, size = 0, [], 0
-    for i, x in enumerate(column):
-        x = x.as_py()
-        held.append(x)
-        size += len(x or b"")
-        if size >= most:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
-
-
 def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work) -> DataFrame:
-    """`df` with columns that work(list of bytes) makes of a binary or string column."""
+    """`df` with columns that work(binary array) makes of a binary or string column."""
     rest = keep_first_names(df, list(new))
     df = df.select(*rest, df[source].cast("binary").alias("__in"))
     schema = T.StructType([f for f in df.schema.fields if f.name != "__in"] + [T.StructField(k, v) for k, v in new.items()])
@@ -217,21 +300,26 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for got in batches:
-                for at, values in _runs(got.column("__in"), BATCH_BYTES):
-                    part = got.slice(at, len(values))
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values)], names=[*rest, *new])
+                values = got.column("__in").cast(pa.large_binary())
+                for lo, hi, _, _ in textkit.byte_chunks(values, BATCH_BYTES):
+                    part = got.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values.slice(lo, hi - lo))], names=[*rest, *new])
         finally:
             _made.clear()  # a worker that goes on with other work doesn't hold the vocabulary
 
     return df.mapInArrow(run, schema)
 
 
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64) * 4), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
+
+
 def encode_documents(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """`docs` with ids (binary) and n_tokens (long) of each whole text."""
 
-    def work(texts: list[bytes | None]) -> list[pa.Array]:
-        ids = _once(Encoder, path).encode([x or b"" for x in texts])
-        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+    def work(texts: pa.Array) -> list[pa.Array]:
+        ids, ends = _once(Encoder, path).encode_column(texts)
+        return [_binary(ids, ends), pa.array(np.diff(ends), pa.int64())]
 
     return _mapped(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, work)
 
@@ -239,10 +327,9 @@ def encode_documents(docs: DataFrame, path: str, column: str = "text") -> DataFr
 def round_trip(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """`docs` with ids and n_tokens, and decoded, the text of these ids, in one pass."""
 
-    def work(texts: list[bytes | None]) -> list[pa.Array]:
-        ids = _once(Encoder, path).encode([x or b"" for x in texts])
-        decode = _once(Decoder, path).decode
-        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())]
+    def work(texts: pa.Array) -> list[pa.Array]:
+        ids, ends = _once(Encoder, path).encode_column(texts)
+        return [_binary(ids, ends), pa.array(np.diff(ends), pa.int64()), _once(Decoder, path).decode_column(ids, ends).cast(pa.string())]
 
     return _mapped(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}, work)
 
@@ -250,7 +337,11 @@ def round_trip(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
 def decode_documents(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """`docs` with decoded, the text of its ids, special tokens included."""
 
-    def work(values: list[bytes | None]) -> list[pa.Array]:
-        return [pa.array([_once(Decoder, path).decode(np.frombuffer(x or b"", "<u4")) for x in values], pa.string())]
+    def work(values: pa.Array) -> list[pa.Array]:
+        ids, ends = [np.zeros(0, "<u4")], [0]
+        for _, _, data, offsets in textkit.byte_chunks(values, BATCH_BYTES):
+            ids.append(data.tobytes() and np.frombuffer(data.tobytes(), "<u4"))
+            ends += (ends[-1] + offsets[1:] // 4).tolist()
+        return [_once(Decoder, path).decode_column(np.concatenate([x for x in ids if len(x)] or ids[:1]), np.array(ends)).cast(pa.string())]
 
     return _mapped(docs, column, {"decoded": T.StringType()}, work)

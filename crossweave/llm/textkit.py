@@ -21,6 +21,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))
@@ -100,7 +109,8 @@ def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 #: Bytes from which a span is hashed by a digest of its own; shorter ones are mixed eight bytes at a time, all at once.
 LONG_SPAN = 256
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: The low k bytes of a number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
@@ -120,7 +130,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
             out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest(), "little")
     at, left, h = starts[todo], size[todo], out[todo]
     while len(todo):
-        h = mix64(h ^ (wide[at] & _MASKS[np.minimum(left, 8)]))
+        h = mix64(h ^ (wide[at] & MASKS[np.minimum(left, 8)]))
         more = left > 8
         out[todo[~more]] = h[~more]
         todo, at, left, h = todo[more], at[more] + 8, left[more] - 8, h[more]
