@@ -5,11 +5,13 @@ Bloom filter: a slot holds a bit for each language, an n-gram's slots are ANDed,
 A text's n-grams are counted by language (popcounts of the slices); each count is corrected for the false positives that the fill of the
 language's slice makes likely, and the largest corrected share decides. The score is that share against the sum of the two best.
 
-The model is fitted on at most `sample` labelled texts of each language, chosen by hash of the id; everything else covers all rows.
+The model is fitted on about `sample` labelled texts of each language, the share of them that gives so many, chosen by hash of the id;
+everything else covers all rows.
 
-Defined results: null texts and texts without a letter are `und` with score 0; a text none of whose n-grams is known gets the most frequent
-language with score 0.5; ties go to the language first in alphabetical order; without labelled rows everything is `und`; extra columns
-pass through, but a column named like an output column gives way to it; an empty table gives an empty result.
+Defined results: null texts, empty texts and texts without a letter are `und` with score 0; very long texts are judged whole; a text none of
+whose n-grams is known gets the most frequent language with score 0.5; all ties, also of that frequency, go to the language first in
+alphabetical order; equal texts get equal results, and repeated labelled rows count as often as they are there; without labelled rows
+everything is `und`; extra columns pass through, but a column named like an output column gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from crossweave.llm.common import keep_first_names
 
 #: Lengths in bytes of the n-grams, of lower-cased text with a space for every run of other characters than letters.
 SIZES = (3, 4, 5)
-#: Labelled texts of a language that training reads at most.
+#: Labelled texts of a language that training reads, about.
 SAMPLE = 4000
 #: N-grams of a language.
 KEPT = 20_000
@@ -143,7 +145,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Model:
         for k in range(PROBES):
             slots[((grams >> np.uint64(SLOT_BITS * k)) & low).astype(np.int64)] |= np.uint64(1 << bit[lang])
     fill = np.array([np.count_nonzero(slots & np.uint64(1 << k)) / len(slots) for k in range(len(langs))])
-    return Model(langs, slots, fill**PROBES, bit[max(langs, key=lambda x: (frequency[x], x))])
+    return Model(langs, slots, fill**PROBES, bit[max(langs, key=lambda x: frequency[x])])  # langs are sorted: the first of the most frequent
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

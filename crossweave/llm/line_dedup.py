@@ -7,8 +7,9 @@ partitions: each partition then reports its number of documents and its largest
 rows a partition decide the split runs. What returns to the documents is one compressed bitmap of kept lines each.
 
 Defined results: null or empty text is one empty line; keys shorter than `min_chars` are never dropped; a null doc_id counts as the
-smallest id; rows with an equal doc_id are one document, so that repeated rows never drop each other's lines; an empty table gives an
-empty result; input columns named like an output column give way to it.
+smallest id; rows with an equal doc_id are one document, so that repeated rows never drop each other's lines; a line that one document holds
+several times goes or stays as a whole; very long texts and lines are handled whole, in a chunk of their own; an empty table gives an empty
+result; input columns named like an output column give way to it.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ tokens tell more. Nothing depends on what else the corpus holds: a token gets th
 Texts are read once; what goes on are spans.
 
 Defined results: positions count code points; a null text is empty and has no spans; rows with equal doc_id are scanned one by one; equal
-texts give equal spans; an empty table gives an empty result; other columns are not read.
+texts give equal spans; spans of one start are in the order of KINDS; very long texts are scanned whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ a lost executor leaves the same file.
 
 Tokens are given as bytes, `width` a token: id_tokens() cuts a tokenizer's ids to the width that its vocabulary needs, with the layout of
 id_layout(); byte_tokens() makes them of text, a byte a token, with 255, which UTF-8 never has, as end.
-Defined results: null and empty texts are an end token alone; equal rows are documents of their own; extra columns are not read; an empty
-table writes no shard and gives an empty manifest.
+The folder has to be one that pyarrow opens: local or shared files, hdfs://, s3://, gs://. Another is refused before any work.
+Defined results: null and empty texts are an end token alone; a very long text runs through as many sequences as it needs; equal rows are
+documents of their own, in table order, and no two sequences tie for a slot; extra columns are not read; an empty table writes no shard and
+gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +161,6 @@ def _writer(folder: str, layout: Layout):
     """Sorted pieces to shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(folder)
         now = file = digest = name = None
         done: list[tuple] = []
@@ -191,6 +192,9 @@ def _writer(folder: str, layout: Layout):
 def write_shards(docs: DataFrame, tokens: Column, folder: str, layout: Layout = Layout()) -> DataFrame:
     """Write the shards of a table scan to `folder`, a URI that all executors reach; returns its manifest, a row a shard, once they are written."""
     spark = docs.sparkSession
+    if "://" not in folder:
+        folder = "file://" + folder
+    fs.FileSystem.from_uri(folder)  # fails here rather than in a task
     rows = docs.select(F.spark_partition_id().alias("part"), tokens.alias("tokens"))
     counted = rows.groupBy("part").agg(F.sum(F.octet_length("tokens") + layout.width).alias("size"))
     sizes = {r["part"]: r["size"] // layout.width for r in counted.collect()}  # a row an input partition
@@ -200,8 +204,6 @@ def write_shards(docs: DataFrame, tokens: Column, folder: str, layout: Layout =
         total += sizes[part]
     if not total:
         return spark.createDataFrame([], _SHARDS)
-    if "://" not in folder:
-        folder = "file://" + folder
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     n_shards = -(-(-(-total // layout.length)) // layout.rows)
@@ -218,8 +220,6 @@ def shard_folder(docs: DataFrame, name: str = "token-shards") -> str:
 
 def read_slots(folder: str, first: int, n: int, layout: Layout = Layout()) -> Iterator[bytes]:
     """The records of slots first .. first + n - 1, in training order: a seek, then forward reads."""
-    from pyarrow import fs
-
     store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
     slot = first
     while slot < first + n:

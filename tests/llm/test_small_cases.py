@@ -142,3 +142,31 @@ def test_pipeline_of_odd_rows(spark, docs, none, tmp_path):
             now = out
         ids = {r.doc_id for r in now.collect()}
         assert ids == ({3, None, 5} if start is docs else set())
+
+
+def test_a_slow_rule_comes_last(spark):
+    """Measured over the sample, not by the job around it: the order is the same each time."""
+    slow = quality_rules.Rule("slow", "length(sha2(repeat(text, 100), 512)) < 0 OR word_chars > 15 * n_words")
+    rules = [slow, quality_rules.Rule("short", "n_words < 50"), quality_rules.Rule("digits", "10 * n_symbols > n_words")]
+    words = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('word and word ', cast(id % 40 as int)), repeat('#', cast(id % 7 as int)))").alias("text"))
+    for _ in range(3):
+        assert quality_rules.plan(words, rules)[-1].name == "slow"
+    assert [r.name for r in quality_rules.ordered(rules, [1.0, 1.0, 0.5], {"110": 4, "001": 2, "011": 1})] == ["digits", "slow", "short"]
+
+
+def test_shards_refuse_a_folder_that_tasks_cannot_write(none):
+    with pytest.raises(Exception, match="s3a"):
+        token_output.write_shards(none, token_output.byte_tokens(), "s3a://bucket/x")
+
+
+def test_shards_of_a_very_long_text(spark, tmp_path):
+    import numpy as np
+
+    text = "".join(chr(97 + i % 26) for i in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, text)], "doc_id long, text string").coalesce(1)
+    layout = token_output.Layout(length=1000, rows=50)
+    token_output.write_shards(docs, token_output.byte_tokens(), str(tmp_path / "long"), layout)
+    records = list(token_output.read_slots(str(tmp_path / "long"), 0, 1 << 40, layout))
+    order = token_output.Permutation(len(records), layout.key)
+    stream = b"".join(records[s] for s in order.slots(np.arange(len(records))))
+    assert stream.rstrip(b"\xff") == text.encode() + b"\xff\xff" + text.encode()
