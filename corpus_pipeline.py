@@ -2,6 +2,11 @@
 
 Language ID drops documents without a language, line dedup cuts repeated lines, the n-gram join keeps one document of each group of near
 copies, decontamination drops documents that hold a benchmark item, and BPE gives the token ids of what is left.
+
+Defined results, by stage. Null and empty texts: language ID drops them, and later stages keep what has none. Very long texts are handled whole.
+Ties: of near copies the smallest doc_id stays. Repeated rows, rows of one doc_id: one document to line dedup, the n-gram join and
+decontamination, which keep or drop all of them; rows without a doc_id stay. Empty tables give empty results. Other columns come
+through unchanged, whatever their names; n_chars, where the table has it, follows the text.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one that had text and has no word left goes. n_chars follows the text."""
     cut = dedup_lines(_packed(docs))
     kept = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" not in docs.columns:
+        return kept.transform(_unpacked, docs.columns)
     size = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others")["_n_chars"])
     return kept.withColumn("others", F.col("others").withField("_n_chars", size)).transform(_unpacked, docs.columns)
 
