@@ -2,8 +2,8 @@
 
 A BM25 inverted index of the test items is queried with every passage of every document, by block-max WAND: items lie in blocks, each term has
 a posting list by block, with its largest contribution there, and a passage is scored against a block's items only if the sum of these maxima
-can reach the lowest threshold of the block. The cheapest terms of a block that cannot reach it together are never looked up in search; their
-sum is added to the bound instead. An item is retrieved when its score reaches `share` of its score against itself, so the threshold needs
+can reach the lowest threshold of the block. The cheapest terms of a block, which together reach a small part of it, are never looked up in
+search; their sum is added to the bound instead. An item is retrieved when its score reaches `share` of its score against itself, so the threshold needs
 no tuning by corpus. Items of like length are searched together, with passages that overlap by half and are at least as wide as the item, so
 that one of them holds at least half of any copy. Retrieved items are verified by the overlap of their word 5-grams, those of the question
 and those of the answer.
@@ -37,6 +37,8 @@ WORDS_A_PART = 40_000
 PARTS_A_ROUND = 32
 #: Words of the narrowest passages; items of more words get passages of twice the width, and so on.
 WIDTH = 64
+#: Part of a block's threshold that the terms left out of search can reach together.
+SPARED = 0.1
 #: Places of temporary arrays in search: bounds memory, never what is searched.
 _ROOM = 1 << 20
 
@@ -113,7 +115,7 @@ class Part:
         head = np.flatnonzero(np.diff(block[order], prepend=-1))
         sums -= np.repeat(sums[head] - most[order][head], np.diff(np.append(head, len(order))))
         spared = np.zeros(len(order), bool)
-        spared[order] = sums < self.block_least[block[order]] - 1e-3
+        spared[order] = sums < SPARED * self.block_least[block[order]]
         self.spare = np.bincount(block[spared], most[spared], self.n_blocks)
         needed = np.flatnonzero(~spared)
         self.block, self.most = block[needed], most[needed]
