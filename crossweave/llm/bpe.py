@@ -38,7 +38,7 @@ LEAF = 512
 #: Tokens on each side of a join that are re-encoded first.
 WINDOW = 8
 #: Pieces that a task remembers; then it starts afresh.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Bytes of a batch that goes back to Spark.
 BATCH_BYTES = 2 << 20
 
@@ -143,7 +143,9 @@ class Encoder:
         low = textkit.lowered(data)
         for r in np.flatnonzero(~plain):
             low[offsets[r] : offsets[r + 1]] = data[offsets[r] : offsets[r + 1]]
-        cuts = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
+        letter = _LETTER[low]
+        letter[1:] |= (low[:-1] == 0xC3) & (low[1:] != 0x97) & (low[1:] != 0xB7)  # of Latin-1, but for two signs
+        cuts = np.flatnonzero(letter[:-1] & _MARK[low[1:]]) + 1
         text = np.searchsorted(offsets, cuts, side="right") - 1
         cuts = cuts[plain[text] & (offsets[text] < cuts)]
         return low, np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
@@ -310,16 +312,18 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64) * 4), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]).cast(pa.binary())
+def _binary(ids: np.ndarray, ends: np.ndarray, width: int = 4) -> pa.Array:
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"id {ids.max()} doesn't fit {width} bytes")
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64) * width), pa.py_buffer(ids.astype(f"<u{width}"))]).cast(pa.binary())
 
 
-def encode_documents(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """`docs` with ids (binary) and n_tokens (long) of each whole text."""
+def encode_documents(docs: DataFrame, path: str, column: str = "text", width: int = 4) -> DataFrame:
+    """`docs` with ids (binary, `width` bytes each, 2 or 4) and n_tokens (long) of each whole text; ids that don't fit fail."""
 
     def work(texts: pa.Array) -> list[pa.Array]:
         ids, ends = _once(Encoder, path).encode_column(texts)
-        return [_binary(ids, ends), pa.array(np.diff(ends), pa.int64())]
+        return [_binary(ids, ends, width), pa.array(np.diff(ends), pa.int64())]
 
     return _mapped(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, work)
 

@@ -16,7 +16,7 @@ from crossweave.llm.ngram_join import gram_components
 from crossweave.llm.quality_rules import base_failed, judged
 from crossweave.llm.secret_scan import BASE, listed, of_kinds, secret_spans
 from crossweave.llm.sharding import sharded
-from crossweave.llm.token_output import id_layout, id_tokens, shard_folder, write_shards
+from crossweave.llm.token_output import id_layout, shard_folder, write_shards
 from crossweave.llm.url_filter import UrlRule, judged_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +32,9 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     layout = id_layout(path)
-    encoded = encode_documents(_table(spark, sf_dir, "documents").select("text"), path)
+    encoded = encode_documents(_table(spark, sf_dir, "documents").select("text"), path, width=layout.width)
     # encoded once: counts and shards both come from the written ids
-    ids = materialise(encoded.select(id_tokens(layout.width).alias("ids")), "token-ids")
+    ids = materialise(encoded.select("ids"), "token-ids")
     return write_shards(ids, F.col("ids"), shard_folder(ids), layout)
 
 

@@ -11,8 +11,8 @@ the second checks that it reads what was counted and fails otherwise, so an inpu
 written wrongly. Shards are written under another name and renamed, and their bytes follow from the input alone: a task that runs again after
 a lost executor leaves the same file.
 
-Tokens are given as bytes, `width` a token: id_tokens() cuts a tokenizer's ids to the width that its vocabulary needs, with the layout of
-id_layout(); byte_tokens() makes them of text, a byte a token, with 255, which UTF-8 never has, as end.
+Tokens are given as bytes, `width` a token: a tokenizer's ids in the width that its vocabulary needs, with the layout of id_layout(), or
+byte_tokens(), of text, a byte a token, with 255, which UTF-8 never has, as end.
 The folder has to be one that pyarrow opens: local or shared files, hdfs://, s3://, gs://. Another is refused before any work.
 Defined results: null and empty texts are an end token alone; a very long text runs through as many sequences as it needs; equal rows are
 documents of their own, in table order, and no two sequences tie for a slot; extra columns are not read; an empty table writes no shard and
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
@@ -88,24 +87,6 @@ def byte_tokens(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-def id_tokens(width: int, ids: str = "ids") -> Column:
-    """Binary ids of 32 bits as little-endian ones of `width` bytes, 2 or 4; ids that don't fit fail."""
-    if width == 4:
-        return F.col(ids)
-
-    @F.pandas_udf("binary")
-    def cut(values: pd.Series) -> pd.Series:
-        def one(x: bytes | None) -> bytes:
-            wide = np.frombuffer(x or b"", "<u4")
-            if len(wide) and wide.max() > 0xFFFF:
-                raise ValueError(f"id {wide.max()} doesn't fit {width} bytes")
-            return wide.astype("<u2").tobytes()
-
-        return values.map(one)
-
-    return cut(F.col(ids))
-
-
 def id_layout(path: str, **others: int) -> Layout:
     """The layout for ids of a tokenizer file: its end token (the one named as an end of text, else the first id beyond the vocabulary)."""
     spec = json.load(open(path, encoding="utf-8"))
