@@ -39,20 +39,22 @@ def concentrated(picked: DataFrame, concentration: float = 1.0) -> DataFrame:
     return picked.withColumn("weight", F.lit(1.0) / n if concentration == 1 else F.when(n == 1, 1.0).otherwise(share))
 
 
-def nav(holdings: DataFrame, prices: DataFrame) -> DataFrame:
-    """(date, nav): buy and hold from (date, ticker, weight) to the next holdings' date, chained; missing prices earn nothing.
+def nav(holdings: DataFrame, prices: DataFrame, rebalance: DataFrame | None = None) -> DataFrame:
+    """(date, nav): buy and hold from (date, ticker, weight) to the next date, chained; missing prices earn nothing.
 
+    rebalance: the dates (date) of decisions, if some of them hold nothing; the value then stands still until the next.
     A period joins its holdings with the prices of its dates; only the chain of period ends, a row a rebalance, is sequential.
     """
-    starts = holdings.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date")))
-    held = holdings.join(F.broadcast(starts), "date").withColumnRenamed("date", "start")
+    starts = (holdings if rebalance is None else rebalance).select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date"))).withColumnRenamed("date", "start")
     begin = prices.select(F.col("date").alias("start"), "ticker", F.col("close").alias("p0"))
-    dated = prices.select("date").distinct().join(F.broadcast(starts.withColumnRenamed("date", "start")), (F.col("date") >= F.col("start")) & (F.col("date") <= F.coalesce("next", F.lit("9999-12-31").cast("date"))))
-    path = held.join(begin, ["start", "ticker"]).join(dated.select("start", "date"), "start").join(prices.select("date", "ticker", "close"), ["date", "ticker"], "left")
-    daily = path.groupBy("start", "next", "date").agg((1 + F.sum(F.col("weight") * F.coalesce(F.try_divide("close", "p0") - 1, F.lit(0.0)))).alias("growth"))
+    held = holdings.withColumnRenamed("date", "start").join(begin, ["start", "ticker"], "left")
+    dated = prices.select("date").distinct().join(starts, (F.col("date") >= F.col("start")) & (F.col("date") <= F.coalesce("next", F.lit("9999-12-31").cast("date"))))
+    path = dated.join(held, "start", "left").join(prices.select("date", "ticker", "close"), ["date", "ticker"], "left")
+    earned = F.sum(F.col("weight") * F.coalesce(F.try_divide("close", "p0") - 1, F.lit(0.0)))
+    daily = path.groupBy("start", "next", "date").agg((1 + F.coalesce(earned, F.lit(0.0))).alias("growth"))
     ends = daily.where(F.col("date") == F.col("next")).select("start", F.col("growth").alias("end"))
     chain = ends.withColumn("base", F.product("end").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
-    base = starts.select(F.col("date").alias("start")).join(chain, "start", "left").withColumn("base", F.coalesce(F.lag("base").over(Window.orderBy("start")), F.lit(1.0)))
+    base = starts.select("start").join(chain, "start", "left").withColumn("base", F.coalesce(F.lag("base").over(Window.orderBy("start")), F.lit(1.0)))
     out = daily.join(base.select("start", "base"), "start").where(F.col("next").isNull() | (F.col("date") < F.col("next")))
     return out.select("date", (F.col("base") * F.col("growth")).alias("nav"))
 

@@ -38,13 +38,28 @@ def ewma_beta(panel: DataFrame, window: int = BETA_WINDOW, half_life: float = BE
 
 
 def macro_betas(returns: DataFrame, series: DataFrame, window: int = BETA_WINDOW, half_life: float = BETA_HALF_LIFE) -> DataFrame:
-    """(ticker, date, series, beta): ewma_beta on each series (date, series, value) alone; a missing value counts as 0."""
+    """(ticker, date, series, beta, z): ewma_beta on each series (date, series, value) alone; a missing value counts as 0.
+
+    The series stand beside the calendar as columns, so that one window by ticker gives the moments of all of them.
+    """
     from crossweave.operators.xsection import zscore
 
-    names = F.broadcast(series.select("series").distinct())
-    rows = returns.crossJoin(names).join(series, ["date", "series"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    betas = ewma_beta(rows, window, half_life, x="value", keys=("ticker", "series"))
-    return zscore(betas.where(F.col("beta").isNotNull()), "beta", "z", keys=("date", "series")).select("ticker", "date", "series", "beta", "z")
+    names = sorted(r["series"] for r in series.select("series").distinct().collect())  # a handful, as wide as the result is long
+    wide = series.groupBy("date").pivot("series", names).agg(F.first("value")).toDF("date", *(f"__x{k}" for k in range(len(names))))
+    g, yy, w = _weight(half_life), F.coalesce(F.col("ret"), F.lit(0.0)), _rows(-window, -1)
+    terms = {"__g": g, "__gy": g * yy}
+    for k in range(len(names)):
+        x = F.coalesce(F.col(f"__x{k}"), F.lit(0.0))
+        terms |= {f"__gx{k}": g * x, f"__gxy{k}": g * x * yy, f"__gxx{k}": g * x * x}
+    sums = returns.select("ticker", "date", "i", "ret").join(wide, "date", "left").withColumns(terms).withColumns({c: F.sum(c).over(w) for c in terms} | {"__n": F.count("*").over(w)})
+    betas = []
+    for k, name in enumerate(names):
+        mx, my = F.col(f"__gx{k}") / F.col("__g"), F.col("__gy") / F.col("__g")
+        var = F.col(f"__gxx{k}") / F.col("__g") - mx * mx
+        beta = F.when((F.col("__n") >= window // 2) & (var > 1e-18), (F.col(f"__gxy{k}") / F.col("__g") - mx * my) / var)
+        betas.append(F.struct(F.lit(name).alias("series"), beta.alias("beta")))
+    long = sums.select("ticker", "date", F.inline(F.array(*betas))).where(F.col("beta").isNotNull())
+    return zscore(long, "beta", "z", keys=("date", "series"))
 
 
 def close_vol(panel: DataFrame, window: int = VOL_WINDOW, half_life: float = VOL_HALF_LIFE, periods: int = 252) -> DataFrame:
@@ -91,10 +106,14 @@ def price_momentum(panel: DataFrame, near: int = 21, far: int = 252) -> DataFram
     return panel.withColumn("mom121", F.try_divide(F.lag("close", near).over(w), F.lag("close", far).over(w)) - 1)
 
 
+def realised_vol(panel: DataFrame, rows: int = 126, periods: int = 252) -> DataFrame:
+    """Adds rvol: the annualised deviation of the returns between the last `rows` prices."""
+    return panel.withColumn("rvol", F.stddev_samp("ret").over(_rows(-(rows - 2), 0)) * math.sqrt(periods))
+
+
 def realised_vol_filter(panel: DataFrame, rows: int = 126, quantile: float = 0.8, periods: int = 252) -> DataFrame:
     """Rows whose realised volatility is at most the date's quantile; dates with fewer than 20 rows of history pass."""
-    w = _rows(-(rows - 2), 0)
-    out = panel.withColumns({"rvol": F.stddev_samp("ret").over(w) * math.sqrt(periods), "__n": F.count("*").over(w)})
+    out = realised_vol(panel, rows, periods).withColumn("__n", F.count("*").over(_rows(-(rows - 2), 0)))
     out = out.withColumn("__q", F.percentile("rvol", F.lit(quantile)).over(Window.partitionBy("date")))
     return out.where((F.col("__n") < 20) | (F.col("rvol") <= F.col("__q"))).drop("__q", "__n")
 
@@ -153,25 +172,25 @@ def cumulative(lambdas: DataFrame, value: str = "slope", keys: tuple[str, ...] =
     return lambdas.withColumn("cumulative", F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def ou_fit(residuals: DataFrame, window: int = 60, least: int = 30) -> DataFrame:
-    """Adds a, b, half_life and distance of an Ornstein-Uhlenbeck process fitted to the last `window` residuals before each row.
+def ou_fit(residuals: DataFrame, window: int = 60, least: int = 30, inclusive: bool = False) -> DataFrame:
+    """Adds a, b, half_life and distance of an Ornstein-Uhlenbeck process fitted to the last `window` residuals before each row, or with it if `inclusive`.
 
     The level is the compounded residual; its regression on the level before gives b between 0 and 1, the half-life, the mean it reverts to,
     and how many stationary deviations the level is from it. All are scale-free, so the level starts anew in no window.
     """
     rows = residuals.where(F.col("resid").isNotNull() & (F.col("resid") > -1))
-    w = Window.partitionBy("ticker").orderBy("date")
+    w, to = Window.partitionBy("ticker").orderBy("date"), 0 if inclusive else -1
     level = rows.withColumn("x", F.exp(F.sum(F.log1p("resid")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("__before", F.lag("x").over(w))
-    past = w.rowsBetween(-window + 1, -1)
+    past = w.rowsBetween(to - window + 2, to)
     fit = level.withColumns(
         {
-            "__n": F.count("x").over(w.rowsBetween(-window, -1)),
+            "__n": F.count("x").over(w.rowsBetween(to - window + 1, to)),
             "b": F.regr_slope("x", "__before").over(past),
             "a": F.regr_intercept("x", "__before").over(past),
             "__syy": F.regr_syy("x", "__before").over(past),
             "__sxy": F.regr_sxy("x", "__before").over(past),
             "__m": F.regr_count("x", "__before").over(past),
-            "__last": F.lag("x").over(w),
+            "__last": F.col("x") if inclusive else F.lag("x").over(w),
         }
     )
     ok = (F.col("__n") >= least) & (F.col("b") > 0) & (F.col("b") < 1)
@@ -179,3 +198,37 @@ def ou_fit(residuals: DataFrame, window: int = 60, least: int = 30) -> DataFrame
     sigma = F.sqrt(F.greatest(F.col("__syy") - F.col("b") * F.col("__sxy"), F.lit(0.0)) / F.col("__m"))
     fit = fit.withColumns({"half_life": F.when(ok & (mean > 0), math.log(2) / k), "distance": F.when(ok & (mean > 0), (F.col("__last") - mean) / F.nullif(sigma / F.sqrt(2 * k), F.lit(0.0)))})
     return fit.drop("__before", "__n", "__syy", "__sxy", "__m", "__last")
+
+
+def volume_normalised(panel: DataFrame, rows: int = 10, low: float = 0.5, high: float = 3.0) -> DataFrame:
+    """Divides resid by the last known volume over the last known mean of `rows` volumes, clipped; without either, resid is unknown."""
+    w = _rows(Window.unboundedPreceding, 0)
+    full = F.when(F.count("volume").over(_rows(-(rows - 1), 0)) == rows, F.avg("volume").over(_rows(-(rows - 1), 0)))
+    out = panel.withColumns({"__mean": full, "__v": F.last("volume", ignorenulls=True).over(w)}).withColumn("__mean", F.last("__mean", ignorenulls=True).over(w))
+    return out.withColumn("resid", F.col("resid") / clip(F.try_divide("__v", F.nullif("__mean", F.lit(0.0))), low, high)).drop("__mean", "__v")
+
+
+def reversion_inputs(residuals: DataFrame, window: int = 60, least: int = 30, back: int = 21) -> DataFrame:
+    """(ticker, date, half_life, distance, reversal) from residuals of dense dates, all strictly before the row's date.
+
+    reversal: the log change of the compounded residual over the last `back` dates, missing residuals counting as 0.
+    """
+    rows = residuals.select("ticker", "date", F.when(F.col("resid") > -1, F.col("resid")).alias("resid"))
+    w = Window.partitionBy("ticker").orderBy("date")
+    level = F.sum(F.log1p(F.coalesce("resid", F.lit(0.0)))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    fit = ou_fit(rows, window, least, inclusive=True).select("ticker", "date", F.struct("half_life", "distance").alias("__fit"))
+    out = rows.withColumn("__level", level).join(fit, ["ticker", "date"], "left")
+    # the fit of the last residual before the date, whether it succeeded or not
+    out = out.withColumns({"__fit": F.last("__fit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "reversal": F.lag("__level", 1).over(w) - F.lag("__level", back + 1).over(w)})
+    return out.select("ticker", "date", "__fit.half_life", "__fit.distance", "reversal")
+
+
+def ou_score(residuals: DataFrame, window: int = 60, least: int = 30, back: int = 21) -> DataFrame:
+    """(ticker, date, score): z-score of the blend of two ranks, distance below the mean and reversal; fast reversion weighs the first more."""
+    from crossweave.functions.scalar import ou_blend
+    from crossweave.operators.xsection import rank01, zscore
+
+    rows = reversion_inputs(residuals, window, least, back).withColumns({"distance": F.round("distance", 9), "reversal": F.round("reversal", 9)})
+    rows = rank01(rank01(rows, "distance", "__ou", single=None, descending=True), "reversal", "__rev", single=None, descending=True)
+    blend = rows.withColumn("__blend", ou_blend(F.col("__ou"), F.col("__rev"), F.col("half_life"))).where(F.col("__blend").isNotNull())
+    return zscore(blend, "__blend", "score").select("ticker", "date", "score")

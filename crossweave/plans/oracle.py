@@ -4,6 +4,8 @@ from __future__ import annotations
 
 #: Lifts exact halves off the rounding boundary, on both sides alike.
 NUDGE = 1 + 3e-13
+#: Doubles below this are compared to ten places, others to six.
+SMALL = 0.01
 
 #: Common table expressions; each query lists those it needs, after the ones they need.
 CTE = {
@@ -30,6 +32,8 @@ CTE = {
         SELECT *, (sxy / s - sx / s * (sy / s)) / (sxx / s - (sx / s) * (sx / s)) AS slope FROM (
         SELECT date, sum(w) AS s, sum(w * beta) AS sx, sum(w * ret) AS sy, sum(w * beta * beta) AS sxx, sum(w * beta * ret) AS sxy, sum(w * ret * ret) AS syy FROM known GROUP BY date) WHERE sxx / s - (sx / s) * (sx / s) > 1e-14)"""),
     "res": ("known lam", "SELECT k.date, k.ticker, k.ret, k.ret - l.intercept - l.slope * k.beta AS resid FROM known k JOIN lam l USING (date)"),
+    "vnorm": ("resid", """SELECT ticker, date, CASE WHEN y > -1 THEN y END AS r FROM (SELECT ticker, date, resid / CASE WHEN q IS NOT NULL THEN greatest(0.5, least(3.0, q)) END AS y FROM (SELECT *, vf / nullif(last_value(vm IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), 0) AS q FROM (
+        SELECT ticker, date, resid, last_value(volume IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS vf, CASE WHEN count(volume) OVER t = 10 THEN avg(volume) OVER t END AS vm FROM resid WINDOW t AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))))"""),
     "nav": ("ret", "SELECT date, exp(sum(ln(1 + m)) OVER (ORDER BY date)) AS nav FROM (SELECT DISTINCT date, mkt AS m FROM ret WHERE mkt IS NOT NULL)"),
     "fwdc": ("ret", """SELECT ticker, date, CASE WHEN count(*) OVER f = 4 AND count(ret) OVER f >= 2 THEN product(1 + coalesce(ret, 0)) OVER f - 1 END AS fwd FROM ret
         WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)"""),
@@ -49,7 +53,7 @@ CTE = {
         SELECT date, metric, median(value) FILTER (up <= k) AS top, median(value) FILTER (down <= k) AS bottom, stddev_samp(value) AS sd, count(*) AS n FROM (
           SELECT *, row_number() OVER (PARTITION BY date, metric ORDER BY fwd DESC, ticker) AS up, row_number() OVER (PARTITION BY date, metric ORDER BY fwd, ticker) AS down, greatest(1, floor(count(*) OVER (PARTITION BY date, metric) * 0.1)) AS k FROM (
             SELECT ticker, date, fwd, 'x' AS metric, x AS value FROM sig UNION ALL SELECT ticker, date, fwd, 'tax', round(tax, 9) FROM sig
-            UNION ALL SELECT ticker, date, fwd, 'returned', returned FROM sig UNION ALL SELECT ticker, date, fwd, 'volume', volume FROM sig) WHERE value IS NOT NULL AND fwd IS NOT NULL) GROUP BY date, metric)"""),
+            UNION ALL SELECT ticker, date, fwd, 'returned', returned FROM sig UNION ALL SELECT ticker, date, fwd, 'volume', volume FROM sig UNION ALL SELECT ticker, date, fwd, 'ahead', round(fwd + x, 9) FROM sig) WHERE value IS NOT NULL AND fwd IS NOT NULL) GROUP BY date, metric)"""),
     "f0": ("", """SELECT CAST(l_suppkey AS VARCHAR) AS ticker, year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS period, CAST(date_trunc('month', o_orderdate) AS DATE) AS download,
         sum(l_extendedprice) AS revenue, sum(l_extendedprice * (1 - l_discount)) AS profit FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"""),
     "want": ("sec", "SELECT ticker, CAST(d AS DATE) AS date, year(d) * 4 + quarter(d) - 1 AS feq FROM sec CROSS JOIN (SELECT unnest(generate_series(DATE '1994-01-01', DATE '1997-01-01', INTERVAL 6 MONTH)) AS d)"),
@@ -59,6 +63,10 @@ CTE = {
         JOIN f0 f ON f.ticker = w.ticker AND f.period = w.feq + t.k AND f.download <= w.date GROUP BY 1, 2, 3"""),
     "reb": ("cal", "SELECT DISTINCT (SELECT min(date) FROM cal WHERE date >= t.d) AS date FROM (SELECT CAST(unnest(generate_series(DATE '1993-01-10', (SELECT max(date) FROM cal), INTERVAL 60 DAY)) AS DATE) AS d) t"),
     "score": ("cs reb", "SELECT ticker, date, sector, x AS score FROM cs SEMI JOIN reb USING (date)"),
+    "fac": ("score ret filled", """SELECT s.ticker, s.date, s.sector, s.score AS factor, v.cap, v.rvol, v.momentum FROM score s LEFT JOIN (
+        SELECT r.ticker, r.date, r.cap, stddev_samp(r.ret) OVER (PARTITION BY r.ticker ORDER BY r.date ROWS BETWEEN 124 PRECEDING AND CURRENT ROW) * sqrt(252) AS rvol, lag(f.close, 4) OVER w / lag(f.close, 26) OVER w - 1 AS momentum
+        FROM ret r JOIN filled f ON f.ticker = r.ticker AND f.date = r.date WINDOW w AS (PARTITION BY r.ticker ORDER BY r.date)) v USING (ticker, date)"""),
+    "facs": ("fac", "SELECT * FROM fac WHERE month(date) NOT IN (3, 4)"),
     "rk": ("score", "SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rank, row_number() OVER (PARTITION BY date, sector ORDER BY score DESC, ticker) AS s FROM score"),
     "capped": ("rk", """SELECT ticker, date, rank FROM (SELECT r.ticker, r.date, row_number() OVER (PARTITION BY r.date ORDER BY r.score DESC, r.ticker) AS rank FROM rk r JOIN (
         SELECT date, min(c) AS c FROM (SELECT r.date, t.c FROM rk r CROSS JOIN (SELECT unnest(range(3, 21)) AS c) t GROUP BY 1, 2 HAVING count(*) FILTER (r.s <= t.c) >= 20 UNION ALL SELECT DISTINCT date, 20 FROM rk) GROUP BY date) m USING (date) WHERE r.s <= m.c) WHERE rank <= 20"""),
@@ -94,19 +102,29 @@ def _needs(name: str, seen: dict[str, str]) -> None:
 
 
 def _sql(ctes: str, keys: str, doubles: str, body: str) -> str:
-    """keys: columns as they are; doubles: rounded to six places."""
+    """keys: columns as they are; doubles: rounded to six places, small ones to ten."""
     seen: dict[str, str] = {}
     for name in ctes.split():
         if name not in seen:
             _needs(name, seen)
     head = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in seen.items()) + " " if seen else ""
-    columns = [*keys.split(), *(f"round(CAST({c} AS DOUBLE) * {NUDGE!r}, 6) + 0.0 AS {c}" for c in doubles.split())]
+    columns = [*keys.split(), *(f"CASE WHEN abs(CAST({c} AS DOUBLE)) < {SMALL} THEN round(CAST({c} AS DOUBLE) * {NUDGE!r}, 10) ELSE round(CAST({c} AS DOUBLE) * {NUDGE!r}, 6) END + 0.0 AS {c}" for c in doubles.split())]
     return f"{head}SELECT {', '.join(columns)} FROM ({body})"
 
 
 _TD = "ticker date"
 _R01 = "CASE WHEN n >= {least} AND {x} IS NOT NULL THEN CASE WHEN n > 1 THEN (rank() OVER (PARTITION BY {p} ORDER BY {x} {o}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) / 2.0 - 1) / (n - 1) ELSE {one} END END"
 
+def _backtest(picked: str) -> str:
+    """Value of the names picked (date, ticker, weight) for each date of `src`, from date to date."""
+    return f"""WITH src AS (SELECT r.date AS start, lead(r.date) OVER (ORDER BY r.date) AS next, (SELECT max(f.date) FROM fac f WHERE f.date <= r.date) AS source FROM reb r WHERE r.date IS NOT NULL),
+        held AS (SELECT s.start, p.ticker, p.weight, q.close AS p0 FROM src s JOIN ({picked}) p ON p.date = s.source LEFT JOIN filled q ON q.ticker = p.ticker AND q.date = s.start),
+        path AS (SELECT s.start, s.next, c.date, 1 + coalesce(sum(h.weight * coalesce(q.close / h.p0 - 1, 0)), 0) AS growth FROM src s JOIN cal c ON c.date >= s.start AND c.date <= coalesce(s.next, DATE '9999-12-31')
+          LEFT JOIN held h ON h.start = s.start LEFT JOIN filled q ON q.ticker = h.ticker AND q.date = c.date GROUP BY 1, 2, 3),
+        base AS (SELECT start, coalesce(product(e) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS base FROM (SELECT start, max(growth) FILTER (date = next) AS e FROM path GROUP BY start))
+        SELECT p.date, b.base * p.growth AS nav FROM path p JOIN base b USING (start) WHERE p.next IS NULL OR p.date < p.next"""
+
+
 SQL: dict[str, str] = {
     "panel_dense": _sql("dense", "ticker date i", "close", "FROM dense"),
     "ticker_clean": "SELECT s_suppkey AS id, upper(string_split(trim(' ' || regexp_replace(lower(s_name), '#', ' us #', 'g')), ' ')[1]) AS ticker FROM supplier",
@@ -177,13 +195,23 @@ SQL: dict[str, str] = {
     "latest_version": _sql("f0", "ticker period metric download", "value", "SELECT ticker, period, metric, max(download) AS download, arg_max(value, download) AS value FROM (SELECT ticker, period, download, 'revenue' AS metric, revenue AS value FROM f0 UNION ALL SELECT ticker, period, download, 'profit', profit FROM f0) WHERE download <= DATE '1996-01-01' GROUP BY 1, 2, 3"),
     "quarters_8_back": _sql("q8", "ticker date k", "value", "FROM q8"),
     "quarters_4_forward": _sql("q4", "ticker date k", "value", "FROM q4"),
-    "gs_blended": _sql("q8 q4", "ticker date n_forward", "actual forward", """SELECT a.ticker, a.date, coalesce(f.n, 0) AS n_forward, a.actual, f.forward FROM (
+    "gs_blended": _sql("q8 q4", "ticker date n_forward", "actual forward gs", """SELECT a.ticker, a.date, coalesce(f.n, 0) AS n_forward, a.actual, f.forward,
+        round(100 * CASE WHEN f.n > 0 THEN (f.n / 2.0 * f.forward + a.actual) / (f.n / 2.0 + 1) ELSE a.actual END, 2) AS gs FROM (
         SELECT n.ticker, n.date, median((n.value - o.value) / nullif(abs((n.value + o.value) / 2), 0)) AS actual FROM q8 n JOIN q8 o ON o.ticker = n.ticker AND o.date = n.date AND o.k = n.k - 4 WHERE n.k >= -4 GROUP BY 1, 2) a LEFT JOIN (
         SELECT n.ticker, n.date, median((n.value - o.value) / nullif(abs((n.value + o.value) / 2), 0)) AS forward, count((n.value - o.value) / nullif(abs((n.value + o.value) / 2), 0)) AS n FROM q4 n JOIN q8 o ON o.ticker = n.ticker AND o.date = n.date AND o.k = n.k - 4 WHERE n.value IS NOT NULL GROUP BY 1, 2) f USING (ticker, date)"""),
     "prefilter_topk": _sql("rk", "ticker date rank", "", "SELECT ticker, date, rank FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM rk) WHERE rank <= greatest(10, ceil(n * 0.4))"),
     "sector_cap_select": _sql("capped", "ticker date rank", "", "FROM capped"),
     "concentration_weights": _sql("rk", _TD, "weight", "SELECT ticker, date, CASE WHEN n = 1 THEN 1.0 WHEN rank <= ceil(n / 2.0) THEN 2.0 / 3 / ceil(n / 2.0) ELSE 1.0 / 3 / nullif(n - ceil(n / 2.0), 0) END AS weight FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM rk WHERE rank <= 20)"),
     "backtest_nav": _sql("bt", "date", "nav", "FROM bt"),
+    "backtest_blended": _sql("cal filled reb fac", "date", "nav", _backtest("""SELECT date, ticker, CASE WHEN rank <= 10 THEN 2.0 / 3 / 10 ELSE 1.0 / 3 / 10 END AS weight FROM (
+          SELECT r.date, r.ticker, row_number() OVER (PARTITION BY r.date ORDER BY r.score DESC, r.ticker) AS rank FROM blend r JOIN (
+            SELECT date, min(c) AS c FROM (SELECT r.date, t.c FROM blend r CROSS JOIN (SELECT unnest(range(5, 21)) AS c) t GROUP BY 1, 2 HAVING count(*) FILTER (r.s <= t.c) >= 20) GROUP BY date) m USING (date) WHERE r.s <= m.c) WHERE rank <= 20""").replace("WITH src", """WITH capped0 AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, quantile_cont(rvol, 0.8) OVER (PARTITION BY date) AS q FROM fac WHERE cap >= 1500),
+        calm AS (SELECT *, count(*) OVER (PARTITION BY date) AS m, row_number() OVER (PARTITION BY date ORDER BY factor DESC, ticker) AS r FROM capped0 WHERE n <= 20 OR q IS NULL OR rvol <= q),
+        kept AS (SELECT *, count(*) OVER (PARTITION BY date) AS k FROM calm WHERE m <= 20 OR r <= greatest(20, ceil(m * 0.6))),
+        mixed AS (SELECT date, ticker, sector, (coalesce((factor - avg(factor) OVER w) / nullif(stddev_samp(factor) OVER w, 0), 0) + 0.5 * CASE WHEN momentum IS NOT NULL THEN coalesce((momentum - avg(momentum) OVER w) / nullif(stddev_samp(momentum) OVER w, 0), 0) END) / 1.5 AS score FROM kept WHERE k >= 20 WINDOW w AS (PARTITION BY date)),
+        blend AS (SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY score DESC, ticker) AS s FROM mixed WHERE score IS NOT NULL QUALIFY count(*) OVER (PARTITION BY date) >= 20),
+        src""", 1)),
+    "backtest_skips": _sql("cal filled reb facs", "date", "nav", _backtest("SELECT date, ticker, 0.05 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, ticker) AS rank FROM facs WHERE cap >= 3000 QUALIFY count(*) OVER (PARTITION BY date) >= 20) WHERE rank <= 20").replace("fac f", "facs f") + " UNION ALL SELECT DATE '1992-12-31', 1.0"),
     "performance_stats": _sql("bt", "", "total years cagr vol sharpe max_drawdown", """SELECT total, years, cagr, vol, cagr / nullif(vol, 0) AS sharpe, max_drawdown FROM (SELECT l / f - 1 AS total, days / 365.25 AS years, pow(l / f, 365.25 / days) - 1 AS cagr, vol, max_drawdown FROM (
         SELECT arg_min(nav, date) AS f, arg_max(nav, date) AS l, date_diff('day', min(date), max(date)) AS days, stddev_samp(r) * sqrt(52) AS vol, min(dd) AS max_drawdown FROM (SELECT date, nav, nav / lag(nav) OVER (ORDER BY date) - 1 AS r, nav / max(nav) OVER (ORDER BY date) - 1 AS dd FROM bt)))"""),
     "holdings_matrix": _sql("rk", "date stock1 stock2 stock3 stock4 stock5", "", "SELECT date, " + ", ".join(f"max(ticker) FILTER (rank = {k}) AS stock{k}" for k in range(1, 6)) + " FROM rk WHERE rank <= 5 GROUP BY date"),
@@ -202,6 +230,19 @@ SQL: dict[str, str] = {
         SELECT ticker, date, count(x) OVER f AS n, regr_slope(x, p) OVER g AS b, regr_intercept(x, p) OVER g AS a, regr_syy(x, p) OVER g AS syy, regr_sxy(x, p) OVER g AS sxy, regr_count(x, p) OVER g AS m, p AS xl FROM (
           SELECT *, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS p FROM (SELECT ticker, date, exp(sum(ln(1 + resid)) OVER (PARTITION BY ticker ORDER BY date)) AS x FROM resid WHERE resid IS NOT NULL AND resid > -1))
         WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), g AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING)) WHERE n >= 30 AND b > 0 AND b < 1 AND a / (1 - b) > 0"""),
+    "ou_score": _sql("vnorm", _TD, "score", f"""SELECT ticker, date, coalesce((blend - avg(blend) OVER w) / nullif(stddev_samp(blend) OVER w, 0), 0) AS score FROM (
+        SELECT ticker, date, (wt * coalesce(ou, 0) + rev) / (wt + 1) AS blend FROM (
+          SELECT ticker, date, CASE WHEN h > 0 THEN least(30.0 / h, 10.0) ELSE 0.0 END AS wt, CASE WHEN d IS NOT NULL AND nd > 1 THEN (rank() OVER (PARTITION BY date ORDER BY d DESC NULLS LAST) + (count(*) OVER (PARTITION BY date, d) - 1) / 2.0 - 1) / (nd - 1) END AS ou,
+            CASE WHEN v IS NOT NULL AND nv > 1 THEN (rank() OVER (PARTITION BY date ORDER BY v DESC NULLS LAST) + (count(*) OVER (PARTITION BY date, v) - 1) / 2.0 - 1) / (nv - 1) END AS rev FROM (
+            SELECT *, count(d) OVER (PARTITION BY date) AS nd, count(v) OVER (PARTITION BY date) AS nv FROM (
+              SELECT ticker, date, fit.h AS h, round(fit.d, 9) AS d, round(v, 9) AS v FROM (
+                SELECT o.ticker, o.date, last_value(CASE WHEN f.ticker IS NOT NULL THEN {{'h': f.h, 'd': f.d}} END IGNORE NULLS) OVER (PARTITION BY o.ticker ORDER BY o.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fit, lag(l, 1) OVER u - lag(l, 22) OVER u AS v FROM (
+                  SELECT ticker, date, r, sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY ticker ORDER BY date) AS l FROM vnorm) o LEFT JOIN (
+                  SELECT ticker, date, CASE WHEN ok THEN ln(2) / -ln(b) END AS h, CASE WHEN ok THEN (x - a / (1 - b)) / nullif(sqrt(greatest(syy - b * sxy, 0) / m) / sqrt(2 * -ln(b)), 0) END AS d FROM (SELECT *, n >= 30 AND b > 0 AND b < 1 AND a / (1 - b) > 0 AS ok FROM (
+                    SELECT ticker, date, x, count(x) OVER f AS n, regr_slope(x, p) OVER g AS b, regr_intercept(x, p) OVER g AS a, regr_syy(x, p) OVER g AS syy, regr_sxy(x, p) OVER g AS sxy, regr_count(x, p) OVER g AS m FROM (
+                      SELECT *, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS p FROM (SELECT ticker, date, exp(sum(ln(1 + r)) OVER (PARTITION BY ticker ORDER BY date)) AS x FROM vnorm WHERE r IS NOT NULL))
+                    WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), g AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 58 PRECEDING AND CURRENT ROW)))) f USING (ticker, date)
+                WINDOW u AS (PARTITION BY o.ticker ORDER BY o.date)))))) WHERE blend IS NOT NULL WINDOW w AS (PARTITION BY date)"""),
     "resid_beta_sector": _sql("ret sec", _TD, "beta63 resid", """SELECT ticker, date, beta63, resid FROM (SELECT *, e - avg(e) OVER (PARTITION BY date, sector) AS resid FROM (SELECT *, fwd - beta63 * avg(fwd) OVER (PARTITION BY date) AS e FROM (
         SELECT *, coalesce(CASE WHEN count(mk) OVER f >= 20 THEN covar_samp(ret, mkt) OVER f / nullif(var_samp(mk) OVER f, 0) END, 1.0) AS beta63 FROM (
           SELECT r.ticker, r.date, s.sector, r.ret, r.mkt, CASE WHEN r.ret IS NOT NULL THEN r.mkt END AS mk, lead(d.close, 4) OVER (PARTITION BY r.ticker ORDER BY r.date) / d.close - 1 AS fwd FROM ret r JOIN dense d ON d.ticker = r.ticker AND d.date = r.date JOIN sec s ON s.ticker = r.ticker)

@@ -1,4 +1,4 @@
-"""Registered panel queries. Doubles are rounded to six places, integers are long, on the Spark and on the SQL side alike."""
+"""Registered panel queries. Doubles are rounded to six places, small ones to ten, integers are long, on the Spark and on the SQL side alike."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossweave.functions import scalar as S
+from crossweave.operators import backtest as T
 from crossweave.operators import fundamentals as Q
 from crossweave.operators import panel as P
 from crossweave.operators import portfolio as B
@@ -18,7 +19,7 @@ from crossweave.operators import signals as I
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.plans import panels, steps
-from crossweave.plans.oracle import NUDGE
+from crossweave.plans.oracle import NUDGE, SMALL
 from crossweave.sources import tables
 from crossweave.streaming.incremental import windowed_events
 
@@ -31,7 +32,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    kinds = {"double": lambda c: F.round(F.col(c) * NUDGE, 6) + F.lit(0.0), "int": lambda c: F.col(c).cast("long")}
+    kinds = {"double": lambda c: F.when(F.abs(c) < SMALL, F.round(F.col(c) * NUDGE, 10)).otherwise(F.round(F.col(c) * NUDGE, 6)) + F.lit(0.0), "int": lambda c: F.col(c).cast("long")}
     return df.select(*((kinds[k](c) if k in kinds else F.col(c)).alias(c) for c, k in df.dtypes))
 
 
@@ -256,10 +257,7 @@ def ou_fit(spark, d):
 
 @query
 def ou_score(spark, d):
-    rows = W.ou_fit(_resid(spark, d).select("ticker", "date", "resid")).withColumn("distance", F.round("distance", 9))
-    rows = X.rank01(X.rank01(rows, "distance", "ou", single=None, descending=True), "resid", "rev", single=None, descending=True)
-    blended = rows.withColumn("blend", S.ou_blend(F.col("ou"), F.col("rev"), F.col("half_life")))
-    return X.zscore(blended, "blend", "score").where(F.col("blend").isNotNull()).select("ticker", "date", "score")
+    return W.ou_score(W.volume_normalised(_resid(spark, d)))
 
 
 # -- regressions
@@ -397,7 +395,7 @@ def rolling_ic(spark, d):
 
 
 def _spreads(spark, d):
-    rows = _signal(spark, d).withColumn("tax", F.round("tax", 9)).unpivot(["ticker", "date", "fwd"], ["x", "tax", "returned", "volume"], "metric", "value")
+    rows = _signal(spark, d).withColumns({"tax": F.round("tax", 9), "ahead": F.round(F.col("fwd") + F.col("x"), 9)}).unpivot(["ticker", "date", "fwd"], ["x", "tax", "returned", "volume", "ahead"], "metric", "value")
     return I.decile_spread(rows, "value", "fwd", keys=("date", "metric"))
 
 
@@ -435,7 +433,7 @@ def quarters_4_forward(spark, d):
 
 @query
 def gs_blended(spark, d):
-    return Q.blended_growth(panels.facts(spark, d), _wanted(spark, d), "revenue").select("ticker", "date", "actual", "forward", "n_forward")
+    return Q.blended_growth(panels.facts(spark, d), _wanted(spark, d), "revenue").select("ticker", "date", "actual", "forward", "n_forward", "gs")
 
 
 @query
@@ -477,6 +475,32 @@ def backtest_nav(spark, d):
     return _nav(spark, d)
 
 
+def _factors(spark, d):
+    """Scores with capitalisation, volatility and momentum of the date."""
+    filled = P.forward_fill(panels.dense(spark, d), "close")
+    rows = W.realised_vol(panels.returns(spark, d)).select("ticker", "date", "cap", "rvol")
+    rows = rows.join(W.price_momentum(filled, 4, 26).select("ticker", "date", F.col("mom121").alias("momentum")), ["ticker", "date"])
+    return _scores(spark, d).withColumnRenamed("score", "factor").join(rows, ["ticker", "date"], "left"), filled.select("date", "ticker", "close")
+
+
+def _backtest(spark, d, config, only=None, start=None):
+    factors, prices = _factors(spark, d)
+    rebalance = P.rebalance_calendar(P.calendar(_disc(spark, d)), "1993-01-10", 60)
+    return T.backtest(factors if only is None else factors.where(only), rebalance, prices, config, start)
+
+
+@query
+def backtest_blended(spark, d):
+    """All options: cap floor, volatility filter, prefilter, momentum, sector cap, concentration."""
+    return _backtest(spark, d, T.Config(20, cap_floor=1500.0, vol_quantile=0.8, prefilter=0.6, momentum_weight=0.5, sector_cap=5, concentration=2.0))
+
+
+@query
+def backtest_skips(spark, d):
+    """Dates with too few large names hold nothing; dates without factors buy the last names again."""
+    return _backtest(spark, d, T.Config(20, cap_floor=3000.0), "month(date) NOT IN (3, 4)", "1992-12-31")
+
+
 @query
 def performance_stats(spark, d):
     return B.performance(_nav(spark, d), 52)
@@ -502,7 +526,7 @@ def _model_rows(spark, d):
     series = series.withColumn("value", F.col("level") / F.lag("level").over(macro.orderBy("date")) - 1).where(F.col("value").isNotNull()).select("date", "series", "value")
     betas = W.macro_betas(panels.returns(spark, d).select("ticker", "date", "i", "ret"), series).groupBy("ticker", "date").pivot("series", ["price", "orders"]).agg(F.first("z")).withColumnsRenamed({"price": "macro_price", "orders": "macro_orders"})
     names = sorted(r["sector"] for r in panels.sectors(spark, d).select("sector").distinct().collect())  # a handful of sectors
-    dummies = X.sector_dummies(panels.sectors(spark, d), names).select("ticker", *(F.col("x")[k].alias(f"sector{k}") for k in range(5)))
+    dummies = X.sector_dummies(panels.sectors(spark, d), names).select("ticker", *(F.col("x")[k].alias(f"sector{k}") for k in range(len(names))))
     quality = quality_composite(spark, d).select("ticker", "date", F.col("score").alias("quality"))
     value = X.rank01(X.reflected_value(_disc(spark, d).withColumn("x", F.round(F.col("x") - 0.05, 9)), "x", "v"), "v", "value", ("date", "sector"), least=3).select("ticker", "date", "value")
     si = si_composite(spark, d)
@@ -514,27 +538,28 @@ def _model_rows(spark, d):
 
 
 def _chain(spark, d, version):
-    return steps.run_steps(_model_rows(spark, d), version, MIN_NAMES)
+    rows = _model_rows(spark, d)
+    return steps.run_steps(rows, version(sum(c.startswith("sector") for c in rows.columns)), MIN_NAMES)
 
 
 @query
 def factor_chain_v1(spark, d):
-    return _chain(spark, d, steps.V1)[0]
+    return _chain(spark, d, steps.version1)[0]
 
 
 @query
 def factor_chain_v2(spark, d):
-    return _chain(spark, d, steps.V2)[0]
+    return _chain(spark, d, steps.version2)[0]
 
 
 @query
 def variance_table(spark, d):
-    return N.variance_table(_chain(spark, d, steps.V1)[1])
+    return N.variance_table(_chain(spark, d, steps.version1)[1])
 
 
 @query
 def consolidated_intercept(spark, d):
-    return N.consolidated_intercept(_chain(spark, d, steps.V1)[0])
+    return N.consolidated_intercept(_chain(spark, d, steps.version1)[0])
 
 
 @query

@@ -37,36 +37,48 @@ def momentum(resid: DataFrame) -> DataFrame:
 
 
 def _reversion(resid: DataFrame) -> DataFrame:
-    rows = W.ou_fit(resid, 30, 15).withColumn("distance", F.round(-F.col("distance"), 9))
-    return X.zscore(X.rank01(rows, "distance", "__r", single=None), "__r", "reversion").select("date", "ticker", "reversion")
-
-
-_MACRO, _SECTOR = ("macro_price", "macro_orders"), tuple(f"sector{k}" for k in range(5))
-
-V1 = (
-    Step("market", ("beta",)),
-    Step("size", ("size",), ("beta",)),
-    Step("macro", _MACRO, ("beta", "size"), GRID_MACRO, 0.5),
-    Step("sectors", _SECTOR, ("beta", "size", *_MACRO), GRID_SECTOR, 2.0),
-    Step("quality", ("quality",), ("beta", "size", *_MACRO, *_SECTOR)),
-    Step("short_interest", ("si",), ("beta", "size", *_MACRO, *_SECTOR, "quality")),
-    Step("vol", ("gk",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si")),
-    Step("momentum", ("momentum",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si", "gk"), made=momentum),
-    Step("value", ("value",), ("beta", "size", *_MACRO, *_SECTOR, "quality", "si", "gk", "momentum")),
-    Step("reversion", ("reversion",), made=_reversion),
-)
-V2 = (
-    Step("market", ("beta",)),
-    Step("quality", ("quality",), ("beta",)),
-    Step("momentum", ("momentum",), ("beta", "quality"), made=momentum),
-    Step("size", ("size",), ("beta", "quality", "momentum")),
-    Step("value", ("value",), ("beta", "quality", "momentum", "size")),
-    Step("short_interest", ("si",), ("beta", "quality", "momentum", "size", "value")),
-    Step("vol", ("gk",), ("beta", "quality", "momentum", "size", "value", "si")),
-    Step("macro", _MACRO, (), GRID_MACRO, 0.5),
-    Step("sectors", _SECTOR, (), GRID_SECTOR, 2.0),
-    Step("reversion", ("reversion",), made=_reversion),
-)
+    return W.ou_score(resid, 30, 15, 4).select("date", "ticker", F.col("score").alias("reversion"))
+
+
+_MACRO = ("macro_price", "macro_orders")
+
+
+def sector_columns(sectors: int) -> tuple[str, ...]:
+    return tuple(f"sector{k}" for k in range(sectors))
+
+
+def version1(sectors: int) -> tuple[Step, ...]:
+    """Market, size, macro and sectors first, then the names' own characteristics, each orthogonal to all before."""
+    industry = sector_columns(sectors)
+    base = ("beta", "size", *_MACRO, *industry)
+    return (
+        Step("market", ("beta",)),
+        Step("size", ("size",), ("beta",)),
+        Step("macro", _MACRO, ("beta", "size"), GRID_MACRO, 0.5),
+        Step("sectors", industry, ("beta", "size", *_MACRO), GRID_SECTOR, 2.0),
+        Step("quality", ("quality",), base),
+        Step("short_interest", ("si",), (*base, "quality")),
+        Step("vol", ("gk",), (*base, "quality", "si")),
+        Step("momentum", ("momentum",), (*base, "quality", "si", "gk"), made=momentum),
+        Step("value", ("value",), (*base, "quality", "si", "gk", "momentum")),
+        Step("reversion", ("reversion",), made=_reversion),
+    )
+
+
+def version2(sectors: int) -> tuple[Step, ...]:
+    """Characteristics first, macro and sectors on what they leave."""
+    return (
+        Step("market", ("beta",)),
+        Step("quality", ("quality",), ("beta",)),
+        Step("momentum", ("momentum",), ("beta", "quality"), made=momentum),
+        Step("size", ("size",), ("beta", "quality", "momentum")),
+        Step("value", ("value",), ("beta", "quality", "momentum", "size")),
+        Step("short_interest", ("si",), ("beta", "quality", "momentum", "size", "value")),
+        Step("vol", ("gk",), ("beta", "quality", "momentum", "size", "value", "si")),
+        Step("macro", _MACRO, (), GRID_MACRO, 0.5),
+        Step("sectors", sector_columns(sectors), (), GRID_SECTOR, 2.0),
+        Step("reversion", ("reversion",), made=_reversion),
+    )
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ def _stub(monkeypatch, spark):
 
 def test_variance_table_has_every_step(monkeypatch, spark):
     _stub(monkeypatch, spark)
-    assert [r.step for r in queries.QUERIES["variance_table"](spark, FOLDER).orderBy("k").collect()] == ["raw", *(s.name for s in steps.V1)]
+    assert [r.step for r in queries.QUERIES["variance_table"](spark, FOLDER).orderBy("k").collect()] == ["raw", *(s.name for s in steps.version1(5))]
 
 
 def test_consolidated_intercept_sums_every_step(monkeypatch, spark):
     _stub(monkeypatch, spark)
-    assert [r.alpha for r in queries.QUERIES["consolidated_intercept"](spark, FOLDER).collect()] == [float(sum(range(1, len(steps.V1) + 1)))]
+    assert [r.alpha for r in queries.QUERIES["consolidated_intercept"](spark, FOLDER).collect()] == [float(sum(range(1, len(steps.version1(5)) + 1)))]
 
 
 def test_factor_chain_has_three_steps(spark):
