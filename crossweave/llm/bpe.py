@@ -66,6 +66,7 @@ class Encoder:
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.path, self.plain = path, {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
         self._models: dict[bool, object] = {}
+        self._bare = None
         added = spec.get("added_tokens") or []
         self.special = {x["content"]: x["id"] for x in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
@@ -81,6 +82,15 @@ class Encoder:
         self.bare = [t[: -len(self.suffix)] if e else t for t, e in zip(tokens, self.ends, strict=True)]
         self.known: dict[bytes, bytes] = {}
 
+    def _letters(self, words: list[str]) -> np.ndarray:
+        """The ids of words of a-z: nothing to normalise, split within or map to bytes."""
+        if self._bare is None:
+            from tokenizers import Tokenizer
+
+            spec = json.load(open(self.path, encoding="utf-8"))
+            self._bare = Tokenizer.from_str(json.dumps(spec | self.plain | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        return np.array(self._bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+
     # -- trees
 
     def _ids(self, text: str, final: bool) -> list[int]:
@@ -155,23 +165,27 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(pieces)
-        short, words = [], []
+        short, words, ascii_words = [], [], []
         for x in new:
             if len(x) > LONG:
                 self.known[x] = np.array(self.long_piece(x.decode(errors="replace")), "<u4").tobytes()
+            elif self.lowers and x.isascii() and x.islower() and x.isalpha():
+                ascii_words.append((x, x.decode()))
             elif self.lowers and _WORD.fullmatch(y := x.decode(errors="replace")):
                 words.append((x, y))
             else:
                 short.append(x)
         # words of plain letters in one call: each ends with the token that has the suffix
-        if words:
-            ids = np.array(self.whole.encode_batch_fast([" ".join(y for _, y in words)], add_special_tokens=False)[0].ids, "<u4")
+        for group, encode in ((ascii_words, self._letters), (words, lambda y: np.array(self.whole.encode_batch_fast([" ".join(y)], add_special_tokens=False)[0].ids, "<u4"))):
+            if not group:
+                continue
+            ids = encode([y for _, y in group])
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(words):
-                for (x, _), i, j in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    self.known[x] = ids[i:j].tobytes()
+            if len(ends) == len(group):
+                raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update(zip([x for x, _ in group], map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
             else:
-                short += [x for x, _ in words]
+                short += [x for x, _ in group]
         for x, got in zip(short, self.whole.encode_batch_fast([x.decode(errors="replace") for x in short], add_special_tokens=False), strict=True):
             self.known[x] = np.array(got.ids, "<u4").tobytes()
 
@@ -286,8 +300,13 @@ class Decoder:
 _made: dict[tuple, Encoder | Decoder] = {}
 
 
+def release() -> None:
+    """Forget encoders and decoders: for work that follows in the same Python worker."""
+    _made.clear()
+
+
 def _once(kind: type, path: str):
-    """The task's encoder or decoder of a file, made once."""
+    """The worker's encoder or decoder of a file, made once and kept for its next tasks."""
     if (kind, path) not in _made:
         _made[kind, path] = kind(path)
     return _made[kind, path]
@@ -300,14 +319,11 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work) -> Dat
     schema = T.StructType([f for f in df.schema.fields if f.name != "__in"] + [T.StructField(k, v) for k, v in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for got in batches:
-                values = got.column("__in").cast(pa.large_binary())
-                for lo, hi, _, _ in textkit.byte_chunks(values, BATCH_BYTES):
-                    part = got.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values.slice(lo, hi - lo))], names=[*rest, *new])
-        finally:
-            _made.clear()  # a worker that goes on with other work doesn't hold the vocabulary
+        for got in batches:
+            values = got.column("__in").cast(pa.large_binary())
+            for lo, hi, _, _ in textkit.byte_chunks(values, BATCH_BYTES):
+                part = got.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values.slice(lo, hi - lo))], names=[*rest, *new])
 
     return df.mapInArrow(run, schema)
 

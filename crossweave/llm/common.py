@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` as Parquet to a new place in the shared folder and read it back: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

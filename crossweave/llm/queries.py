@@ -34,7 +34,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = id_layout(path)
     encoded = encode_documents(_table(spark, sf_dir, "documents").select("text"), path, width=layout.width)
     # encoded once: counts and shards both come from the written ids
-    ids = materialise(encoded.select("ids"), "token-ids")
+    ids = materialise(encoded.select("ids"), "token-ids", compression="zstd")
     return write_shards(ids, F.col("ids"), shard_folder(ids), layout)
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm import textkit
+from crossweave.llm.bpe import release
 from crossweave.llm.common import shared_dir
 
 END_BYTE = b"\xff"
@@ -102,6 +103,7 @@ def _pieces(offsets: dict[int, tuple[int, int]], total: int, layout: Layout):
     order, w, length, end = Permutation(n, layout.key), layout.width, layout.length, layout.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, at, most = None, 0, 0
         held, begin, size = [], 0, 0
 
