@@ -39,8 +39,8 @@ LEAF = 512
 WINDOW = 8
 #: Pieces that a task remembers; then it starts afresh.
 REMEMBERED = 300_000
-#: Bytes of a batch that goes back to Spark.
-BATCH_BYTES = 2 << 20
+#: Bytes of text of a batch.
+BATCH_BYTES = 4 << 20
 
 #: Longest piece that is told apart by its bytes as two numbers.
 SHORT = 16

@@ -40,19 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of narrow tables that one task handles.
-ROWS_A_PART = 250_000
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], within: Sequence[str], how: str = "inner", rows_a_part: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], within: Sequence[str], how: str = "inner") -> DataFrame:
     """`left` joined with `right`, which has a row or none for each key, without one task for a key that holds much of `left`.
 
     `left` is dealt by range of (keys, within), so that a frequent key covers several ranges, and written with the range's number; the rows of
-    `right` are copied to the ranges of their key, and key and range together are what the join shuffles by.
+    `right` are copied to the ranges of their key, and key and range together are what the join shuffles by. Adaptive execution merges
+    ranges of few bytes before they are written.
     """
-    written = materialise(left, "spread")
-    n = 1 + written.count() // (rows_a_part or ROWS_A_PART)
-    dealt = materialise(written.repartitionByRange(n, *keys, *within).withColumn("__part", F.spark_partition_id()), "spread")
+    dealt = materialise(left.repartitionByRange(*keys, *within).withColumn("__part", F.spark_partition_id()), "spread")
     cells = dealt.select(*keys, "__part").distinct().join(right, list(keys))
     return dealt.join(cells, [*keys, "__part"], how).drop("__part")
 

@@ -18,13 +18,13 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _star(pairs: DataFrame, spread: int) -> DataFrame:
-    """(u, v) with m, the least of u and its v; spread: rows that a task handles, or 0 for a table of one partition."""
+def _star(pairs: DataFrame, spread: bool) -> DataFrame:
+    """(u, v) with m, the least of u and its v; spread: the table has more than one partition."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return spread_join(pairs, least, ["u"], ["v"], rows_a_part=spread) if spread else pairs.join(least, "u")
+    return spread_join(pairs, least, ["u"], ["v"]) if spread else pairs.join(least, "u")
 
 
-def _round(edges: DataFrame, spread: int) -> DataFrame:
+def _round(edges: DataFrame, spread: bool) -> DataFrame:
     # a union of single partitions is made one again, so that nothing is exchanged
     one = (lambda x: x) if spread else (lambda x: x.coalesce(1))
     large = _star(one(_neighbours(edges)), spread).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -39,7 +39,7 @@ def components(edges: DataFrame, edges_a_part: int = EDGES_A_PARTITION) -> DataF
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     # edges never become more; a graph of one partition needs no exchange at all
     parts = 1 + edges.count() // edges_a_part
-    spread = edges_a_part if parts > 1 else 0
+    spread = parts > 1
     edges = edges.coalesce(parts)
     before = None
     while True:

@@ -28,7 +28,7 @@ def wide(spark):
 def test_spread_join(wide):
     left = wide.range(100_000).select(F.when(F.col("id") < 99_000, 7).otherwise(F.col("id")).alias("k"), "id")
     right = wide.range(100_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).where("k % 3 <> 0")
-    got = common.spread_join(left, right, ["k"], ["id"], "left", rows_a_part=5_000)
+    got = common.spread_join(left, right, ["k"], ["id"], "left")
     assert most_in_a_task(got) < 50_000 / 2
     assert got.where("v IS NULL").count() == sum(1 for i in range(99_000, 100_000) if i % 3 == 0) and got.where("v = 14").count() == 99_000
 
@@ -38,7 +38,7 @@ def test_components_of_a_star(wide):
     got = graph.components(edges, edges_a_part=2_000)
     assert {(r["component"], r["count"]) for r in got.groupBy("component").count().collect()} == {(0, 30_001), (50_000, 11)}
     pairs = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    assert most_in_a_task(graph._star(pairs, 2_000)) < 10_000
+    assert most_in_a_task(graph._star(pairs, True)) < 10_000
 
 
 def plain_shards(rows, ring):
@@ -101,8 +101,7 @@ def test_hot_ids_and_repeated_rows_are_spread(wide):
     assert sorted(r.first + k for r in ranked.collect() for k in range(r["count"])) == list(range(40_000))
 
 
-def test_a_host_with_most_pages(wide, monkeypatch):
-    monkeypatch.setattr(common, "ROWS_A_PART", 2_000)
+def test_a_host_with_most_pages(wide):
     rules = [url_filter.UrlRule("block", "hot.com", "/en/"), url_filter.UrlRule("allow", "com", "/en/7")]
     pages = wide.range(30_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://hot.com/"), F.when(F.col("id") % 2 == 0, "en/").otherwise("de/"), "id").alias("url"), F.lit(None).cast("string").alias("html"))
     got = url_filter.judged_urls(pages, rules)
