@@ -125,8 +125,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     dealt = materialise(line_keys(docs, min_chars), "line-keys").repartitionByRange(n, "h1", "h2", "id").sortWithinPartitions("h1", "h2", F.col("id").desc(), "t", "pos")
     marks = materialise(dealt.mapInArrow(_marker(min_docs), _MARKS), "line-marks")
     split_runs = marks.where(F.col("kind") == _RUN).groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
-    # at most two runs a partition
-    late = marks.where(F.col("kind") == _OPEN).join(split_runs, ["h1", "h2"]).where(F.col("id") < F.col("top"))
+    # at most two runs of 40 bytes a partition: 80 MB for a million partitions
+    late = marks.where(F.col("kind") == _OPEN).join(F.broadcast(split_runs), ["h1", "h2"]).where(F.col("id") < F.col("top"))
     gone = marks.where(F.col("kind") == _DROP).select("id", "t", "pos").unionByName(late.select("id", "t", "pos"))
     return gone.groupBy("id", "t").agg(F.collect_set("pos").alias("gone")).mapInArrow(_bitmaps, "id long, t long, keep binary")
 
