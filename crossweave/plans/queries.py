@@ -161,7 +161,7 @@ def value_reflexivity(spark, d):
 
 @query
 def sector_dummies(spark, d):
-    names = sorted(r["sector"] for r in panels.sectors(spark, d).select("sector").distinct().collect())  # a handful of sectors
+    names = _sector_names(spark, d)
     rows = X.sector_dummies(panels.sectors(spark, d), names)
     return rows.select("ticker", F.posexplode("x").alias("k", "x"))
 
@@ -518,6 +518,10 @@ def events_by_day(spark, d):
 
 # -- reports and the whole model
 
+def _sector_names(spark, d):
+    return sorted(r["sector"] for r in panels.sectors(spark, d).select("sector").distinct().collect())  # a handful
+
+
 def _model_rows(spark, d):
     rows = _sized(spark, d)
     macro = P.Window.partitionBy("series")
@@ -525,7 +529,7 @@ def _model_rows(spark, d):
     series = o.unpivot(["date"], ["price", "orders"], "series", "level")
     series = series.withColumn("value", F.col("level") / F.lag("level").over(macro.orderBy("date")) - 1).where(F.col("value").isNotNull()).select("date", "series", "value")
     betas = W.macro_betas(panels.returns(spark, d).select("ticker", "date", "i", "ret"), series).groupBy("ticker", "date").pivot("series", ["price", "orders"]).agg(F.first("z")).withColumnsRenamed({"price": "macro_price", "orders": "macro_orders"})
-    names = sorted(r["sector"] for r in panels.sectors(spark, d).select("sector").distinct().collect())  # a handful of sectors
+    names = _sector_names(spark, d)
     dummies = X.sector_dummies(panels.sectors(spark, d), names).select("ticker", *(F.col("x")[k].alias(f"sector{k}") for k in range(len(names))))
     quality = quality_composite(spark, d).select("ticker", "date", F.col("score").alias("quality"))
     value = X.rank01(X.reflected_value(_disc(spark, d).withColumn("x", F.round(F.col("x") - 0.05, 9)), "x", "v"), "v", "value", ("date", "sector"), least=3).select("ticker", "date", "value")
@@ -538,8 +542,7 @@ def _model_rows(spark, d):
 
 
 def _chain(spark, d, version):
-    rows = _model_rows(spark, d)
-    return steps.run_steps(rows, version(sum(c.startswith("sector") for c in rows.columns)), MIN_NAMES)
+    return steps.run_steps(_model_rows(spark, d), version(len(_sector_names(spark, d))), MIN_NAMES)
 
 
 @query
