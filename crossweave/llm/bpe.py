@@ -39,6 +39,8 @@ LEAF = 512
 WINDOW = 8
 #: Pieces that a task remembers; then it starts afresh.
 REMEMBERED = 300_000
+#: Words of a text that the library encodes at once.
+WORDS = 500
 #: Bytes of text of a batch.
 BATCH_BYTES = 4 << 20
 
@@ -48,8 +50,6 @@ SHORT = 16
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[97:123] = True
 _MARK[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = True
-#: Letters whose classes no Unicode version has changed: ASCII and Latin-1, lower case.
-_WORD = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Encoder:
@@ -82,14 +82,15 @@ class Encoder:
         self.bare = [t[: -len(self.suffix)] if e else t for t, e in zip(tokens, self.ends, strict=True)]
         self.known: dict[bytes, bytes] = {}
 
-    def _letters(self, words: list[str]) -> np.ndarray:
-        """The ids of words of a-z: nothing to normalise, split within or map to bytes."""
-        if self._bare is None:
+    def _words(self, words: list[bytes], ascii_only: bool) -> np.ndarray:
+        """The ids of words of letters; those of a-z have nothing to normalise, split within or map to bytes."""
+        if ascii_only and self._bare is None:
             from tokenizers import Tokenizer
 
             spec = json.load(open(self.path, encoding="utf-8"))
             self._bare = Tokenizer.from_str(json.dumps(spec | self.plain | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
-        return np.array(self._bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        texts = [b" ".join(words[i : i + WORDS]).decode() for i in range(0, len(words), WORDS)]
+        return np.concatenate([np.array(x.ids, "<u4") for x in (self._bare if ascii_only else self.whole).encode_batch_fast(texts, add_special_tokens=False)])
 
     # -- trees
 
@@ -160,34 +161,61 @@ class Encoder:
         cuts = cuts[plain[text] & (offsets[text] < cuts)]
         return low, np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = [x for x in pieces if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(pieces)
-        short, words, ascii_words = [], [], []
-        for x in new:
-            if len(x) > LONG:
-                self.known[x] = np.array(self.long_piece(x.decode(errors="replace")), "<u4").tobytes()
-            elif self.lowers and x.isascii() and x.islower() and x.isalpha():
-                ascii_words.append((x, x.decode()))
-            elif self.lowers and _WORD.fullmatch(y := x.decode(errors="replace")):
-                words.append((x, y))
-            else:
-                short.append(x)
-        # words of plain letters in one call: each ends with the token that has the suffix
-        for group, encode in ((ascii_words, self._letters), (words, lambda y: np.array(self.whole.encode_batch_fast([" ".join(y)], add_special_tokens=False)[0].ids, "<u4"))):
-            if not group:
+    def learn(self, pieces: list[bytes], kind: np.ndarray) -> list[bytes]:
+        """The ids of pieces. kind: 2 of words of a-z, 1 of words of these and of Latin-1 letters, 0 of others."""
+        out: list[bytes | None] = [None] * len(pieces)
+        # words of plain letters are encoded many at a time: each ends with the token that has the suffix
+        for k in (2, 1):
+            at = np.flatnonzero(kind == k).tolist()
+            if not at:
                 continue
-            ids = encode([y for _, y in group])
+            ids = self._words(list(map(pieces.__getitem__, at)), k == 2)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(group):
+            if len(ends) == len(at):
                 raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.known.update(zip([x for x, _ in group], map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
-            else:
-                short += [x for x, _ in group]
-        for x, got in zip(short, self.whole.encode_batch_fast([x.decode(errors="replace") for x in short], add_special_tokens=False), strict=True):
-            self.known[x] = np.array(got.ids, "<u4").tobytes()
+                for i, begin, end in zip(at, edges, edges[1:], strict=False):
+                    out[i] = raw[begin:end]
+        rest = [i for i, x in enumerate(out) if x is None]
+        short = [i for i in rest if len(pieces[i]) <= LONG]
+        for i, got in zip(short, self.whole.encode_batch_fast([pieces[i].decode(errors="replace") for i in short], add_special_tokens=False), strict=True):
+            out[i] = np.array(got.ids, "<u4").tobytes()
+        trees: dict[bytes, bytes] = {}
+        for i in rest:
+            if out[i] is None:
+                x = pieces[i]
+                if x not in trees:
+                    trees[x] = np.array(self.long_piece(x.decode(errors="replace")), "<u4").tobytes()
+                out[i] = trees[x]
+        return out
+
+    def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What learn() takes as kind, of pieces of `data`."""
+        if not self.lowers:
+            return np.zeros(len(starts), np.int8)
+        plain = _LETTER[data]
+        latin = plain.copy()
+        pair = (data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7)  # lower-case letters: no upper-case ones, no sign
+        latin[:-1] |= pair
+        latin[1:] |= pair
+        size = ends - starts
+        every = lambda flags: (before := np.concatenate([[0], np.cumsum(flags, dtype=np.int32)]))[ends] - before[starts] == size
+        return np.where(size > LONG, 0, every(latin).astype(np.int8) + every(plain))
+
+    def recall(self, pieces: list[bytes], kind: np.ndarray) -> list[bytes]:
+        """The ids of pieces, those not yet known learned first."""
+        got = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(got) if x is None]
+        if not new:
+            return got
+        fresh = list(map(pieces.__getitem__, new))
+        learned = self.learn(fresh, kind[new])
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.known.update((x, y) for x, y in zip(pieces, got, strict=True) if y is not None)
+        self.known.update(zip(fresh, learned, strict=True))
+        for i, x in zip(new, learned, strict=True):
+            got[i] = x
+        return got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         ids, ends = self.encode_column(pa.array(texts, pa.large_binary()))
@@ -228,8 +256,7 @@ class Encoder:
         which = np.concatenate([short[first], lone])
         raw = data.tobytes()
         pieces = [raw[i:j] for i, j in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-        self.learn(set(pieces))
-        got = list(map(self.known.__getitem__, pieces))
+        got = self.recall(pieces, self.kinds(data, starts[which], ends[which]))
         flat, count = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
         code = np.empty(len(size), np.int64)
         code[short] = of
