@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from crossweave.operators import regress as R
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
+from crossweave.sources.tables import exists, upsert_dates
 
 GRID_MACRO = (0.0, 0.01, 0.05, 0.1, 0.5, 1.0, 2.0)
 GRID_SECTOR = (0.0, 0.1, 0.5, 1.0, 2.0, 5.0)
@@ -91,17 +92,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int) -> tuple[DataFrame, DataFrame]:
+def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(figures (k, step, date, intercept, slopes, r2, ridge), residuals (k, step, date, ticker, x)) of rows (date, ticker, ret, w, w0, characteristics).
 
-    Residuals of k = 0 are the returns themselves.
+    Residuals of k = 0 are the returns themselves. history: residuals of earlier dates as returned here; characteristics made from residuals see
+    them too, so that a run over new dates alone gives what a run over all dates gives for these. Dates of `rows` in it don't count.
     """
     rows = checkpointed(rows)
+    if history is not None:
+        history = history.join(F.broadcast(rows.select("date").distinct()), "date", "left_anti")
     resid = rows.where(F.col("ret").isNotNull()).select("date", "ticker", F.col("ret").alias("resid"))
     figures, residuals = [], [resid.select(F.lit(0).alias("k"), F.lit("raw").alias("step"), "date", "ticker", F.col("resid").alias("x"))]
     for k, step in enumerate(steps, 1):
         if step.made is not None:
-            rows = rows.join(step.made(resid), ["date", "ticker"], "left")
+            past = resid if history is None else history.where(F.col("k") == k - 1).select("date", "ticker", F.col("x").alias("resid")).unionByName(resid)
+            rows = rows.join(step.made(past), ["date", "ticker"], "left")
         for c in step.columns if step.priors else ():
             perp = R.orthogonalised_many(rows, c, [p for p in step.priors if p not in step.columns], min_names).withColumnRenamed("perp", "__perp")
             rows = rows.join(perp, ["date", "ticker"], "left").withColumn(c, F.col("__perp")).drop("__perp")
@@ -113,3 +118,12 @@ def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int) -> tuple[D
         residuals.append(got.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "ticker", F.col("resid").alias("x")))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(figures), union(residuals)
+
+
+def update_model(rows: DataFrame, steps: Sequence[Step], min_names: int, figures: str, residuals: str) -> None:
+    """Run the steps over the dates of `rows` on the residuals stored at `residuals`, and replace these dates in both tables. Repeating it changes nothing."""
+    spark = rows.sparkSession
+    history = spark.read.parquet(residuals).withColumn("date", F.to_date("date")) if exists(spark, residuals) else None
+    new_figures, new_residuals = run_steps(rows, steps, min_names, history)
+    upsert_dates(new_figures, figures)
+    upsert_dates(new_residuals, residuals)

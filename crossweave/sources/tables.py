@@ -17,7 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def wide_to_long(wide: DataFrame, date: str, value: str) -> DataFrame:
     """(date, ticker, value) of a table with a column a ticker; names are cleaned, of equal ones the first column counts."""
     names = [c for c in wide.columns if c != date]
-    long = wide.select(F.to_date(date).alias("date"), *(nan_to_null(F.try_cast(f"`{c}`", "double") if hasattr(F, "try_cast") else F.col(f"`{c}`").cast("double")).alias(c) for c in names))
+    long = wide.select(F.to_date(date).alias("date"), *(nan_to_null(F.col(f"`{c}`").try_cast("double")).alias(c) for c in names))
     long = long.unpivot(["date"], names, "__name", value)
     place = F.array_position(F.array(*map(F.lit, names)), F.col("__name"))
     rows = long.withColumns({"ticker": clean_ticker(F.col("__name")), "__k": place})
