@@ -37,8 +37,8 @@ LONG = 2048
 LEAF = 512
 #: Tokens on each side of a join that are re-encoded first.
 WINDOW = 8
-#: Pieces that a task remembers; then it starts afresh.
-REMEMBERED = 300_000
+#: Short pieces that a task remembers, some 60 bytes each, and eight for each longer one; beyond that it starts afresh.
+REMEMBERED = 1_000_000
 #: Words of a text that the library encodes at once.
 WORDS = 500
 #: Bytes of text of a batch.
@@ -81,6 +81,8 @@ class Encoder:
         self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in tokens])
         self.bare = [t[: -len(self.suffix)] if e else t for t, e in zip(tokens, self.ends, strict=True)]
         self.known: dict[bytes, bytes] = {}
+        self.short_keys = tuple(np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.uint64, np.int64))
+        self.short_ids = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _words(self, words: list[bytes], ascii_only: bool) -> np.ndarray:
         """The ids of words of letters; those of a-z have nothing to normalise, split within or map to bytes."""
@@ -188,35 +190,65 @@ class Encoder:
                 out[i] = trees[x]
         return out
 
-    def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """What learn() takes as kind, of pieces of `data`."""
-        if not self.lowers:
-            return np.zeros(len(starts), np.int8)
+    def kinds(self, pieces: list[bytes]) -> np.ndarray:
+        """What learn() takes as kind."""
+        if not self.lowers or not pieces:
+            return np.zeros(len(pieces), np.int8)
+        data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(size)
+        starts = ends - size
         plain = _LETTER[data]
         latin = plain.copy()
         pair = (data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7)  # lower-case letters: no upper-case ones, no sign
         latin[:-1] |= pair
         latin[1:] |= pair
-        size = ends - starts
-        every = lambda flags: (before := np.concatenate([[0], np.cumsum(flags, dtype=np.int32)]))[ends] - before[starts] == size
+        every = lambda flags: (before := np.concatenate([[0], np.cumsum(flags, dtype=np.int64)]))[ends] - before[starts] == size
         return np.where(size > LONG, 0, every(latin).astype(np.int8) + every(plain))
 
-    def recall(self, pieces: list[bytes], kind: np.ndarray) -> list[bytes]:
+    def recall(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pieces, those not yet known learned first."""
         got = list(map(self.known.get, pieces))
         new = [i for i, x in enumerate(got) if x is None]
         if not new:
             return got
         fresh = list(map(pieces.__getitem__, new))
-        learned = self.learn(fresh, kind[new])
-        if len(self.known) + len(new) > REMEMBERED:
+        learned = self.learn(fresh, self.kinds(fresh))
+        if len(self.known) + len(new) > REMEMBERED // 8:
             self.known.clear()
-            self.known.update((x, y) for x, y in zip(pieces, got, strict=True) if y is not None)
         self.known.update(zip(fresh, learned, strict=True))
         for i, x in zip(new, learned, strict=True):
             got[i] = x
         return got
 
+    def recall_short(self, raw: bytes, starts: np.ndarray, keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """As recall(), of different pieces of `raw` of up to SHORT bytes: the ids of all, and how many each has.
+
+        keys: mixture, in ascending order, both numbers and size of each piece. What is known is kept by these in arrays.
+        """
+        old, (flat, begin, count) = self.short_keys, self.short_ids
+        at = np.searchsorted(old[0], keys[0])
+        near = np.minimum(at, max(len(old[0]) - 1, 0))
+        hit = np.logical_and.reduce([x[near] == y for x, y in zip(old, keys, strict=True)]) if len(old[0]) else np.zeros(len(starts), bool)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            i, j = starts[new], starts[new] + keys[3][new]
+            fresh = [raw[x:y] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            learned = self.learn(fresh, self.kinds(fresh))
+            n = np.fromiter(map(len, learned), np.int64, len(learned)) // 4
+            first = len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, np.frombuffer(b"".join(learned), "<u4")])
+        begins, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begins[hit], counts[hit] = begin[near[hit]], count[near[hit]]
+        if len(new):
+            begins[new], counts[new] = first, n
+            if len(old[0]) + len(new) > REMEMBERED:  # afresh, with what this batch has
+                self.short_keys, flat, begins = keys, *_gathered(flat, begins, counts)
+                self.short_ids = flat, begins, counts
+            else:
+                self.short_keys = tuple(np.insert(x, at[new], y[new]) for x, y in zip(old, keys, strict=True))
+                self.short_ids = flat, np.insert(begin, at[new], first), np.insert(count, at[new], n)
+        return *_gathered(flat, begins, counts)[:1], counts
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         ids, ends = self.encode_column(pa.array(texts, pa.large_binary()))
         return [ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -250,23 +282,41 @@ class Encoder:
         at, n = starts[short], size[short]
         # up to 16 bytes, zeros behind them, as two numbers; their mixture sorts pieces, and the numbers themselves tell whether equals are equal
         a, b = wide[at] & textkit.MASKS[np.minimum(n, 8)], wide[np.minimum(at + 8, len(wide) - 1)] & textkit.MASKS[np.clip(n - 8, 0, 8)]
-        _, first, of = np.unique(textkit.mix64(a ^ textkit.mix64(b ^ (n.astype(np.uint64) << np.uint64(57)))), return_index=True, return_inverse=True)
+        mixed = textkit.mix64(a ^ textkit.mix64(b ^ (n.astype(np.uint64) << np.uint64(57))))
+        order = np.argsort(mixed)
+        ordered = mixed[order]
+        begins = np.concatenate([np.ones(min(len(order), 1), bool), ordered[1:] != ordered[:-1]])
+        first, of = order[begins], np.empty(len(order), np.int64)
+        of[order] = np.cumsum(begins) - 1
         real = (a == a[first][of]) & (b == b[first][of]) & (n == n[first][of])
         lone = np.concatenate([np.flatnonzero(size > SHORT), short[~real]])
-        which = np.concatenate([short[first], lone])
         raw = data.tobytes()
-        pieces = [raw[i:j] for i, j in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-        got = self.recall(pieces, self.kinds(data, starts[which], ends[which]))
-        flat, count = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, count = self.recall_short(raw, at[first], (mixed[first], a[first], b[first], n[first]))
+        others = self.recall([raw[i:j] for i, j in zip(starts[lone].tolist(), ends[lone].tolist(), strict=True)])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(others), "<u4")])
+        count = np.concatenate([count, np.fromiter(map(len, others), np.int64, len(others)) // 4])
         code = np.empty(len(size), np.int64)
         code[short] = of
         code[lone] = len(first) + np.arange(len(lone))
-        n = count[code]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat((np.cumsum(count) - count)[code] - before[:-1], n) + np.arange(before[-1])]
+        ids, before = _taken(flat, count, code)
         return ids, np.diff(before[np.searchsorted(starts, offsets)])
 
 
+def _taken(flat: np.ndarray, count: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat`, `count` ids each, in the order of `code`, and where each begins, with the end."""
+    edges = np.concatenate([[0], np.cumsum(count)]) * 4
+    runs = pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(flat))]).take(pa.array(code))
+    _, at, data = runs.buffers()
+    before = np.frombuffer(at, np.int64, len(code) + 1) // 4
+    return np.frombuffer(data, "<u4", int(before[-1])) if data is not None else flat[:0], before
+
+
+def _gathered(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[begin : begin + count] one after another, and where each begins then."""
+    at = np.cumsum(counts) - counts
+    return flat[np.repeat(begins - at, counts) + np.arange(int(counts.sum()))], at
+
+
 def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Begin, end and row offsets of stretches of a chunk of texts: the whole chunk, or a long text in parts that end in white space."""
     if len(data) <= 2 * BATCH_BYTES or len(offsets) > 2:
