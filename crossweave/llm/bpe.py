@@ -42,7 +42,7 @@ REMEMBERED = 1_000_000
 #: Words of a text that the library encodes at once.
 WORDS = 500
 #: Bytes of text of a batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: Longest piece that is told apart by its bytes as two numbers.
 SHORT = 16
@@ -380,6 +380,7 @@ _made: dict[tuple, Encoder | Decoder] = {}
 def release() -> None:
     """Forget encoders and decoders: for work that follows in the same Python worker."""
     _made.clear()
+    textkit.give_back()
 
 
 def _once(kind: type, path: str):
@@ -401,6 +402,7 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work) -> Dat
             for lo, hi, _, _ in textkit.byte_chunks(values, BATCH_BYTES):
                 part = got.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), *work(values.slice(lo, hi - lo))], names=[*rest, *new])
+        textkit.give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossweave.llm import textkit
+from crossweave.llm.bpe import release
 from crossweave.llm.common import keep_first_names
 
 #: Lengths in bytes of the n-grams, of lower-cased text with a space for every run of other characters than letters.
@@ -70,6 +71,7 @@ def _grams(text: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for got in batches:
         langs = np.array(got.column("lang").to_pylist(), object)
         names, of = np.unique(langs.astype(str), return_inverse=True)
@@ -155,6 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if not f.name.startswith("__")] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for got in batches:
             for lo, hi, data, offsets in textkit.byte_chunks(got.column("__lower")):
                 letter = got.column("__letter").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
@@ -162,6 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 part = got.slice(lo, hi - lo)
                 named = pa.array(["und" if k < 0 else model.langs[k] for k in bits], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(rest))), named, pa.array(score)], names=[*rest, "lang_pred", "score"])
+        textkit.give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ Texts of a batch are handled as one byte array, so the cost per character is a f
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -39,6 +40,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: its worker lives on beside an executor's other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def byte_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets) for runs of rows of about `size` bytes; null is an empty text."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
