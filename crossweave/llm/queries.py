@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.llm import chat_format
 from crossweave.llm.bpe import encode_documents, round_trip
 from crossweave.llm.common import materialise
 from crossweave.llm.decontaminate import contaminated
@@ -18,6 +19,7 @@ from crossweave.llm.secret_scan import BASE, listed, of_kinds, secret_spans
 from crossweave.llm.sharding import sharded
 from crossweave.llm.token_output import id_layout, shard_folder, write_shards
 from crossweave.llm.url_filter import UrlRule, judged_urls
+from crossweave.llm.vector_codes import compressed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +99,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(listed(of_kinds("spans", *BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"  # the template's own control strings
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat_format.chat_digests(rows.unionByName(extra))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
@@ -108,6 +121,8 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_chat_format": op11_chat_format,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,8 +187,59 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+#: Openings by the role before and the role, closings by role, and one backslash for each control string, escaped or not, inside a text.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), s AS (
+  SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*(s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\]|ROLE\]|/ROLE\])')) AS chars,
+         CASE WHEN pos = 1 AND role = 'system' THEN 18 WHEN pos = 1 AND role = 'user' OR before = 'assistant' AND role = 'user' THEN 10
+              WHEN before = 'system' AND role = 'user' THEN 0 WHEN before = 'user' AND role = 'assistant' THEN 1 END AS opening,
+         19 + length(role) + len(regexp_extract_all(role, '<\\*(s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\]|ROLE\]|/ROLE\])')) AS spelt,
+         CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 8 ELSE 5 END AS closing
+  FROM s
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(coalesce(opening, spelt) + chars + closing)::BIGINT AS formatted_chars, count(*) FILTER (opening IS NULL) = 0 AND arg_max(role, pos) = 'assistant' AS valid
+FROM e GROUP BY conv_id
+"""
+
+_OP12_NEAREST = """
+  SELECT vec_id, label, p, x, e, d FROM (
+    SELECT v.vec_id, v.label, v.p, v.x, b.e, list_sum(list_transform(list_zip(v.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN {books} b ON b.p = v.p
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1
+"""
+_OP12_MEANS = """
+  SELECT b.p, b.e, CASE WHEN n IS NULL THEN b.c ELSE list_transform(range(1, len(b.c) + 1), lambda i: (s[i] - ((s[i] % n) + n) % n) // n) END AS c FROM {books} b LEFT JOIN (
+    SELECT p, e, count(*) AS n, list_transform(range(1, max(len(x)) + 1), lambda i: list_sum(list_transform(list(x), lambda y: y[i]))::BIGINT) AS s FROM {assigned} GROUP BY p, e
+  ) m ON m.p = b.p AND m.e = b.e
+"""
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+  SELECT vec_id, label, p, x[p * len(x) // 16 + 1:(p + 1) * len(x) // 16] AS x FROM kept, range(16) t(p)
+), b0 AS (
+  SELECT p, e, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+), a0 AS ({_OP12_NEAREST.format(books="b0")}), b1 AS ({_OP12_MEANS.format(books="b0", assigned="a0")}), a1 AS ({_OP12_NEAREST.format(books="b1")}
+), b2 AS ({_OP12_MEANS.format(books="b1", assigned="a1")}), a2 AS ({_OP12_NEAREST.format(books="b2")}
+), out AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM out
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_chat_format": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
