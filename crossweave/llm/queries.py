@@ -14,6 +14,7 @@ from crossweave.llm.decontaminate import contaminated
 from crossweave.llm.language_id import fit, held_out, predict
 from crossweave.llm.line_dedup import dedup_lines
 from crossweave.llm.ngram_join import gram_components
+from crossweave.llm.prefix_trie import conversations, rebuilt, trie
 from crossweave.llm.quality_rules import base_failed, judged
 from crossweave.llm.secret_scan import BASE, listed, of_kinds, secret_spans
 from crossweave.llm.sharding import sharded
@@ -110,6 +111,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie(rebuilt(conversations(rows), family=5, most=9))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
@@ -123,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_chat_format": op11_chat_format,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -236,10 +243,39 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM out
 """
 
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, t.pos, 0 AS own, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= h
+  UNION ALL SELECT c.conv_id, t.pos, 1, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS d, strlen(text)::BIGINT AS n, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+), e AS (
+  SELECT c.conv_id, coalesce(max_by(path, d), '') AS path FROM c LEFT JOIN p USING (conv_id) GROUP BY c.conv_id
+), n AS (
+  SELECT path, d::BIGINT AS depth, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(n) AS bytes FROM (SELECT * FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM c) GROUP BY path, d
+), leaves AS (
+  SELECT path FROM n WHERE path NOT IN (SELECT path[1:32 * (depth - 1)] FROM n WHERE depth > 0)
+)
+SELECT n.conv_id, n.depth, (SELECT m.conv_id FROM n m WHERE m.path = n.path[1:32 * (n.depth - 1)] AND n.depth > 0) AS parent_conv_id, n.n_convs,
+       (SELECT count(*) FROM n m WHERE m.depth = n.depth + 1 AND starts_with(m.path, n.path))::BIGINT AS n_children,
+       (SELECT count(*) FROM leaves l WHERE starts_with(l.path, n.path))::BIGINT AS n_leaves,
+       (SELECT sum((m.n_convs - 1) * m.bytes) FROM n m WHERE starts_with(m.path, n.path))::BIGINT AS saved_tokens,
+       sha256(coalesce((SELECT string_agg(e.conv_id::VARCHAR, ',' ORDER BY e.conv_id) FROM e WHERE e.path = n.path), '')) AS ends_sha256
+FROM n
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op9_quality_rules": OP9_SQL,
     "op11_chat_format": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
