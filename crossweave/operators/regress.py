@@ -1,14 +1,10 @@
-"""Cross-sectional regressions by date: weighted least squares in closed form for one regressor, grouped-map algebra for several.
-
-Grouped-map functions see one date at a time: as many rows as there are tickers, never the panel.
-"""
+"""Cross-sectional regressions by date: weighted least squares in closed form for one regressor; gram.py has those of several."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,75 +50,6 @@ def orthogonalised(rows: DataFrame, x: str, prior: str, min_names: int, w: str =
     return known.withColumn("perp", F.when(F.col("__n") >= min_names, X - fit).otherwise(X)).drop("__p", "__w", "__mp", "__mx", "__vp", "__c", "__n")
 
 
-def _solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
-    """Intercept and slopes; the ridge holds for the slopes alone; without one, of least norm."""
-    a = np.column_stack([np.ones(len(y)), x])
-    gram = a.T @ (a * w[:, None])
-    gram[1:, 1:] += ridge * np.eye(x.shape[1])
-    return np.linalg.solve(gram, a.T @ (w * y)) if ridge > 0 else np.linalg.lstsq(gram, a.T @ (w * y), rcond=None)[0]
-
-
-def orthogonalised_many(rows: DataFrame, x: str, priors: Sequence[str], min_names: int, w: str = "w0") -> DataFrame:
-    """(date, ticker, perp): x less its weighted fit on several priors, by date."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[x].notna()].sort_values("ticker")
-        out = pdf[["date", "ticker"]].assign(perp=pdf[x].astype(float))
-        if len(pdf) >= min_names:
-            weight = pdf[w].fillna(0.0).to_numpy(float)
-            weight = weight if weight.sum() > 0 else np.ones(len(pdf))
-            prior = pdf[list(priors)].fillna(0.0).to_numpy(float)
-            beta = _solve(prior, out["perp"].to_numpy(), weight / weight.sum(), 0.0)
-            out["perp"] -= beta[0] + prior @ beta[1:]
-        return out
-
-    return rows.select("date", "ticker", x, *priors, w).groupBy("date").applyInPandas(run, "date date, ticker string, perp double")
-
-
-def _folds(n: int, k: int) -> list[np.ndarray]:
-    return np.array_split(np.random.default_rng(42).permutation(n), k)
-
-
-def ridge_step(rows: DataFrame, y: str, xs: Sequence[str], min_names: int, grid: Sequence[float], k_folds: int = 5, default: float = 0.5, w: str = "w") -> DataFrame:
-    """(date, ticker, resid, intercept, lambdas, r2, ridge): y on several regressors with the ridge of the least cross-validated variance.
-
-    The grid's first value wins ties; folds follow the tickers' order. One row a ticker; the date's figures repeat on its rows.
-    """
-    xs = list(xs)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[y, *xs]).sort_values("ticker")
-        n = len(pdf)
-        names = ["date", "ticker", "resid", "intercept", "lambdas", "r2", "ridge"]
-        if n < max(min_names, 10):
-            return pd.DataFrame(columns=names)
-        x, t = pdf[xs].to_numpy(float), pdf[y].to_numpy(float)
-        weight = pdf[w].to_numpy(float)
-        weight = weight / weight.sum()
-        best, ridge = np.inf, default
-        if len(grid) > 1:
-            splits = [(f, np.setdiff1d(np.arange(n), f)) for f in _folds(n, k_folds)]
-            splits = [(f, rest) for f, rest in splits if len(f) >= 5 and len(rest) >= min_names // 2]
-            for g in grid:
-                scores = []
-                for f, rest in splits:
-                    b = _solve(x[rest], t[rest], weight[rest] / weight[rest].sum(), g)
-                    scores.append(np.var(t[f] - b[0] - x[f] @ b[1:]))
-                if scores and np.mean(scores) < best:
-                    best, ridge = np.mean(scores), g
-        else:
-            ridge = grid[0] if grid else default
-        b = _solve(x, t, weight, ridge)
-        e = t - b[0] - x @ b[1:]
-        spread = float(weight @ (t - weight @ t) ** 2)
-        out = pdf[["date", "ticker"]].assign(resid=e, intercept=b[0], r2=1 - float(weight @ e**2) / spread if spread > 0 else 0.0, ridge=float(ridge))
-        out["lambdas"] = [b[1:].tolist()] * n
-        return out[names]
-
-    schema = "date date, ticker string, resid double, intercept double, lambdas array<double>, r2 double, ridge double"
-    return rows.select("date", "ticker", y, *xs, w).groupBy("date").applyInPandas(run, schema)
-
-
 def residualised(rows: DataFrame, y: str, x: str, out: str = "resid", keys: tuple[str, ...] = ("date",)) -> DataFrame:
     by = Window.partitionBy(*keys)
     return rows.withColumn(out, F.col(y) - F.regr_intercept(y, x).over(by) - F.regr_slope(y, x).over(by) * F.col(x))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crossweave.functions import scalar as S
 from crossweave.operators import backtest as T
 from crossweave.operators import fundamentals as Q
+from crossweave.operators import gram as G
 from crossweave.operators import panel as P
 from crossweave.operators import portfolio as B
 from crossweave.operators import regress as R
@@ -303,13 +304,15 @@ def orthogonalize_1(spark, d):
 @query
 def orthogonalize_k(spark, d):
     rows = W.price_momentum(P.forward_fill(panels.dense(spark, d), "close"), 4, 26).select("ticker", "date", "mom121")
-    return R.orthogonalised_many(_sized(spark, d).join(rows, ["ticker", "date"], "left"), "mom121", ["beta", "size"], MIN_NAMES)
+    perp = G.orthogonalised_by(_sized(spark, d).join(rows, ["ticker", "date"], "left"), ["mom121"], ["beta", "size"], MIN_NAMES)
+    return perp.select("ticker", "date", F.col("mom121").alias("perp")).where(F.col("perp").isNotNull())
 
 
 @query
 def ridge_cv_step(spark, d):
     rows = R.weights(_sized(spark, d))
-    return R.ridge_step(rows, "ret", ["beta", "size"], MIN_NAMES, grid=(0.0, 0.01, 0.1, 0.5, 1.0, 2.0)).select("ticker", "date", "resid", "intercept", "r2", "ridge")
+    resid, fits = G.ridge_path_step(rows, "ret", ["beta", "size"], MIN_NAMES, grid=(0.0, 0.01, 0.1, 0.5, 1.0, 2.0), hold=steps.checkpointed)
+    return resid.join(fits.select("date", "intercept", "r2", "ridge"), "date").select("ticker", "date", "resid", "intercept", "r2", "ridge")
 
 
 def _lambdas(spark, d):
@@ -319,14 +322,13 @@ def _lambdas(spark, d):
 @query
 def factor_chain(spark, d):
     """Three steps: beta on returns, then size and the momentum of what is left, each orthogonal to those before, on what is left."""
-    rows = _sized(spark, d)
+    rows = steps.checkpointed(_sized(spark, d).select("date", "ticker", "ret", "beta", "size", "w", "w0"))
     one, l1 = R.factor_step(rows, "ret", "beta", MIN_NAMES)
     two_rows = R.orthogonalised(rows, "size", "beta", MIN_NAMES).select("date", "ticker", "perp", "w").join(one, ["date", "ticker"])
     two, l2 = R.factor_step(two_rows, "resid", "perp", MIN_NAMES)
     two = steps.checkpointed(two)
-    three_rows = rows.join(steps.momentum(two), ["date", "ticker"])
-    perp = R.orthogonalised_many(three_rows, "momentum", ["beta", "size"], MIN_NAMES).join(rows.select("date", "ticker", "w"), ["date", "ticker"]).join(two, ["date", "ticker"])
-    l3 = R.factor_step(perp, "resid", "perp", MIN_NAMES)[1]
+    perp = G.orthogonalised_by(rows.join(steps.momentum(two), ["date", "ticker"]), ["momentum"], ["beta", "size"], MIN_NAMES).withColumnRenamed("momentum", "perp")
+    l3 = R.factor_step(perp.join(rows.select("date", "ticker", "w"), ["date", "ticker"]).join(two, ["date", "ticker"]), "resid", "perp", MIN_NAMES)[1]
     named = (part.withColumn("factor", F.lit(factor)) for part, factor in ((l1, "beta"), (l2, "size"), (l3, "momentum")))
     return functools.reduce(DataFrame.unionByName, named)
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.operators import regress as R
+from crossweave.operators import gram as G
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.sources.tables import exists, upsert_dates
@@ -107,15 +107,19 @@ def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: D
         if step.made is not None:
             past = resid if history is None else history.where(F.col("k") == k - 1).select("date", "ticker", F.col("x").alias("resid")).unionByName(resid)
             rows = rows.join(step.made(past), ["date", "ticker"], "left")
-        for c in step.columns if step.priors else ():
-            perp = R.orthogonalised_many(rows, c, [p for p in step.priors if p not in step.columns], min_names).withColumnRenamed("perp", "__perp")
-            rows = rows.join(perp, ["date", "ticker"], "left").withColumn(c, F.col("__perp")).drop("__perp")
+        if step.priors:
+            perp = G.orthogonalised_by(rows, step.columns, [p for p in step.priors if p not in step.columns], min_names)
+            rows = rows.drop(*step.columns).join(perp, ["date", "ticker"], "left")
         rows = checkpointed(rows)
-        got = R.ridge_step(rows.join(resid, ["date", "ticker"]), "resid", step.columns, min_names, step.grid or (0.0,), default=step.default)
-        got = checkpointed(got)
-        resid = got.select("date", "ticker", "resid")
-        figures.append(got.groupBy("date").agg(*(F.first(c).alias(c) for c in ("intercept", "lambdas", "r2", "ridge"))).select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "intercept", F.col("lambdas").alias("slopes"), "r2", "ridge"))
-        residuals.append(got.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "ticker", F.col("resid").alias("x")))
+        known = rows.select("date", "ticker", "w", *step.columns).join(resid, ["date", "ticker"])
+        if step.grid:
+            resid, fits = G.ridge_path_step(known, "resid", step.columns, min_names, step.grid, default=step.default, hold=checkpointed)
+        else:
+            resid, fits = G.joint_step(known, "resid", step.columns, max(min_names, 10), hold=checkpointed)
+        resid = checkpointed(resid)
+        ridge = F.col("ridge") if step.grid else F.lit(0.0)
+        figures.append(fits.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "intercept", "slopes", "r2", ridge.alias("ridge")))
+        residuals.append(resid.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "ticker", F.col("resid").alias("x")))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(figures), union(residuals)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossweave.functions import scalar as S
 from crossweave.operators import fundamentals as Q
+from crossweave.operators import gram as G
 from crossweave.operators import panel as P
 from crossweave.operators import portfolio as B
 from crossweave.operators import regress as R
@@ -161,38 +162,10 @@ def test_one_regressor_step(panel):
 def test_one_and_many_priors_agree(panel):
     rows = panel.withColumn("w0", F.log("cap"))
     one = R.orthogonalised(rows, "y", "x", 5).select("date", "ticker", "perp")
-    many = R.orthogonalised_many(rows, "y", ["x"], 5).withColumnRenamed("perp", "p2")
+    many = G.orthogonalised_by(rows, ["y"], ["x"], 5).withColumnRenamed("y", "p2")
     assert all(abs(r.perp - r.p2) < 1e-9 for r in one.join(many, ["date", "ticker"]).collect())
 
 
-def test_ridge_step(panel):
-    rows = R.weights(panel)
-    got = R.ridge_step(rows, "y", ["x", "z"], 5, grid=(0.0, 0.1, 1.0)).toPandas()
-    pdf = rows.toPandas()
-    for date, g in list(pdf.groupby("date"))[:6]:
-        g = g.sort_values("ticker")
-        a = np.column_stack([np.ones(len(g)), g["x"], g["z"]])
-        y, w = g["y"].to_numpy(), g["w"].to_numpy()
-
-        def fit(k, ridge, a=a, y=y, w=w):
-            ww = w[k] / w[k].sum()
-            return np.linalg.solve(a[k].T @ (a[k] * ww[:, None]) + ridge * np.diag([0, 1, 1]), a[k].T @ (ww * y[k]))
-
-        folds = np.array_split(np.random.default_rng(42).permutation(len(g)), 5)
-        scores = []
-        for ridge in (0.0, 0.1, 1.0):
-            s = []
-            for f in folds:
-                rest = np.setdiff1d(np.arange(len(g)), f)
-                if len(f) >= 5:
-                    s.append(np.var(y[f] - a[f] @ fit(rest, ridge)))
-            scores.append(np.mean(s) if s else np.inf)
-        best = (0.0, 0.1, 1.0)[int(np.argmin(scores))] if np.isfinite(scores).any() else 0.5
-        own = got[got["date"] == date].sort_values("ticker")
-        assert set(own["ridge"]) == {best}
-        assert np.allclose(own["resid"], y - a @ fit(np.arange(len(g)), best))
-
-
 def test_rank_ic_needs_ten_names(panel):
     few = panel.where("ticker < 'T05'")
     assert {r.ic for r in I.rank_ic(few, "x", "y").collect()} == {None}
