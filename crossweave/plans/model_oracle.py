@@ -75,7 +75,18 @@ CTE |= {
 _CHAIN3 = f"(SELECT c.date, c.ticker, c.w, c.resid, p.perp FROM chain3 c JOIN ({perp('(SELECT s.date, s.ticker, s.beta, s.size, s.w0, m.momentum FROM sized s JOIN (' + _momentum('SELECT * FROM chain2') + ') m USING (date, ticker))', 'momentum', _BS, 5, 'w0')}) p USING (date, ticker))"
 _LINE = "SELECT '{}' AS factor, date, b0 AS intercept, b1 AS slope, r2 FROM ({})"
 
+_VOLS = "SELECT v.date, v.vol, g.gk, g.gk / nullif(v.vol, 0) AS ratio FROM ccv v JOIN gkv g USING (ticker, date) QUALIFY dense_rank() OVER (ORDER BY v.date DESC) = 1"
+CTE |= {
+    "ccv": ("ret", """SELECT ticker, date, sqrt(252 * sum(e * ret * ret) OVER w / sum(e) OVER w) AS vol FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN exp(i * (ln(2) / 42)) END AS e FROM ret)
+        WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 83 PRECEDING AND 1 PRECEDING)"""),
+    "gkv": ("dense", """SELECT ticker, date, CASE WHEN n >= 42 AND v > 0 THEN sqrt(252 * v) END AS gk FROM (SELECT ticker, date, count(*) OVER w AS n, sum(e * greatest(0.5 * pow(ln(h / l), 2) - (2 * ln(2) - 1) * pow(ln(close / b), 2), 0)) OVER w / sum(e) OVER w AS v FROM (
+        SELECT ticker, date, close, b, exp(i * (ln(2) / 42)) AS e, CASE WHEN close IS NOT NULL AND b IS NOT NULL THEN greatest(close, b) * (1 + greatest(0, least(0.1, tax))) END AS h, CASE WHEN close IS NOT NULL AND b IS NOT NULL THEN least(close, b) * (1 - greatest(0, least(0.1, tax))) END AS l FROM (
+        SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS b FROM dense)) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 84 PRECEDING AND 1 PRECEDING))"""),
+}
+_VOL_FIGURES = [f"{c}_{n}" for c in ("vol", "gk", "ratio") for n in ("mean", "median", "min", "max")]
+
 SQL: dict[str, str] = {
+    "vol_comparison": _sql("ccv gkv", "", " ".join([*_VOL_FIGURES, "below", "missing"]), "SELECT " + ", ".join(f"{f}({c}) AS {c}_{n}" for c in ("vol", "gk", "ratio") for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"))) + f", avg(CAST(ratio < 1 AS INT)) AS below, avg(CAST(gk IS NULL AS INT)) AS missing FROM ({_VOLS})"),
     "joint_2": _sql("sized", "date n", "intercept b_beta b_size r2", _named(solved("sized", "ret", _BS, 12), _BS)),
     "joint_3": _sql("three", "date n", "intercept b_beta b_size b_mom r2", _named(solved("three", "ret", _BSM, 12), _BSM)),
     "joint_3_resid": _sql("three", "date ticker", "resid", left("three", "ret", _BSM, 12)),

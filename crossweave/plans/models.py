@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crossweave.operators import gram as G
 from crossweave.operators import panel as P
+from crossweave.operators import reports as N
 from crossweave.operators import signals as I
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
@@ -65,13 +66,21 @@ def ridge_in_sample(spark, d):
     return _coefficients(G.ridge_path_step(_sized(spark, d), "ret", xs, LEAST, GRID, choice="in_sample")[1], xs, "ridge")
 
 
+def _ridge_momentum(spark, d) -> DataFrame:
+    vol = X.zscore(W.garman_klass(panels.ohlc(spark, d)).where(F.col("gk").isNotNull()), "gk", "vol").select("ticker", "date", "vol")
+    rows = _three(spark, d).join(vol, ["ticker", "date"]).join(si_composite(spark, d), ["ticker", "date"])
+    return G.ridge_path_step(rows, "ret", ["vol", "si", "mom"], LEAST, GRID, default=0.2)[1]
+
+
 @query
 def ridge_momentum(spark, d):
     """Volatility, short interest and momentum at once, with a cross-validated ridge."""
-    vol = X.zscore(W.garman_klass(panels.ohlc(spark, d)).where(F.col("gk").isNotNull()), "gk", "vol").select("ticker", "date", "vol")
-    rows = _three(spark, d).join(vol, ["ticker", "date"]).join(si_composite(spark, d), ["ticker", "date"])
-    xs = ["vol", "si", "mom"]
-    return _coefficients(G.ridge_path_step(rows, "ret", xs, LEAST, GRID, default=0.2)[1], xs, "ridge")
+    return _coefficients(_ridge_momentum(spark, d), ["vol", "si", "mom"], "ridge")
+
+
+@query
+def ridge_counts(spark, d):
+    return N.ridge_counts(_ridge_momentum(spark, d))
 
 
 @query
