@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.functions.scalar import safe_ratio, symmetric_growth
+from crossweave.operators.panel import asof_both
 from crossweave.operators.xsection import demeaned, quantile_bucket
 
 
@@ -57,9 +58,8 @@ def first_estimated(facts: DataFrame, status: DataFrame, dates: DataFrame, metri
     From the status (ticker, feq, checked) the quarter is taken back by a quarter for each 90 days; of that one and its neighbours, the first
     whose revenue changed by more than `tolerance` between the last download by the date and the next one is it, else that one itself.
     """
-    downloads = facts.where(F.col("metric") == metric).select("ticker", "download").distinct()
-    pairs = status.crossJoin(F.broadcast(dates.select("date").distinct()))
-    near = pairs.join(downloads, "ticker").groupBy("ticker", "date", "feq", "checked").agg(F.max(F.when(F.col("download") <= F.col("date"), F.col("download"))).alias("before"), F.min(F.when(F.col("download") > F.col("date"), F.col("download"))).alias("after"))
+    downloads = facts.where(F.col("metric") == metric).select("ticker", F.col("download").alias("date"))
+    near = asof_both(status.crossJoin(F.broadcast(dates.select("date").distinct())), downloads)
     near = near.where(F.col("before").isNotNull()).withColumn("steps", F.bround(F.datediff("checked", "date") / 90.0, 0).cast("int"))
     near = near.withColumn("guess", F.col("feq") - F.col("steps"))
     candidates = near.select("ticker", "date", "before", "after", "guess", F.explode(F.array(F.col("guess") - 1, F.col("guess"), F.col("guess") + 1)).alias("period"))
@@ -70,6 +70,24 @@ def first_estimated(facts: DataFrame, status: DataFrame, dates: DataFrame, metri
     return b.groupBy("ticker", "date", "guess").agg(F.min(F.when(changed, F.col("period"))).alias("hit")).select("ticker", "date", F.coalesce("hit", "guess").alias("feq"))
 
 
+def first_changed(facts: DataFrame, wanted: DataFrame, metric: str, unit: float = 1e6, places: int = 1) -> DataFrame:
+    """(ticker, date, feq) of wanted (ticker, date): the first quarter whose value, in units and rounded, differs between the downloads around the date.
+
+    Without one: the first quarter that only the later download has. Rows without a later or an earlier download, or without any such quarter, are left out.
+    """
+    rows = facts.where((F.col("metric") == metric) & F.col("value").isNotNull())
+    near = asof_both(wanted.select("ticker", "date").distinct(), facts.where(F.col("metric") == metric).select("ticker", F.col("download").alias("date"))).dropna(subset=["before", "after"])
+    sides = near.select("ticker", "date", F.inline(F.array(F.struct(F.col("before").alias("download"), F.lit(0).alias("late")), F.struct(F.col("after").alias("download"), F.lit(1).alias("late")))))
+    values = rows.select("ticker", "download", "period", F.round(F.col("value") / unit, places).alias("v"))
+    both = sides.join(values, ["ticker", "download"]).groupBy("ticker", "date", "period").agg(F.max(F.when(F.col("late") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("late") == 1, F.col("v"))).alias("v1"))
+    found = both.groupBy("ticker", "date").agg(
+        F.min(F.when(F.col("v0") != F.col("v1"), F.col("period"))).alias("changed"),
+        F.min(F.when(F.col("v0").isNull(), F.col("period"))).alias("new"),
+        F.count("v0").alias("olds"),
+    )
+    return found.where("olds > 0").select("ticker", "date", F.coalesce("changed", "new").alias("feq")).where(F.col("feq").isNotNull())
+
+
 def point_in_time_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sales: str, earnings: str, shares: str) -> DataFrame:
     """(ticker, date, cap, ps, pe, gs, gs_vol, gs_adj) of wanted (ticker, date, feq), all tickers and dates in one plan.
 

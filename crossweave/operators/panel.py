@@ -88,6 +88,15 @@ def asof_backward(target: DataFrame, source: DataFrame, values: list[str], key:
     return out.select(*target.columns, *(F.col("__v")[v].alias(v) for v in values))
 
 
+def asof_both(target: DataFrame, source: DataFrame, key: str = "ticker") -> DataFrame:
+    """Adds before and after to each row of `target` (key, date): the last date of `source` (key, date) up to it and the first one later; linear, one shuffle."""
+    rows = target.withColumns({"__side": F.lit(1), "__d": F.lit(None).cast("date")})
+    both = rows.unionByName(source.select(key, "date", F.lit(0).alias("__side"), F.col("date").alias("__d")).distinct(), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("date", "__side")
+    out = both.withColumns({"before": F.last("__d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("__d", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    return out.where("__side = 1").drop("__side", "__d")
+
+
 def latest_version(rows: DataFrame, keys: list[str], value: str, version: str, as_of: Column | None = None) -> DataFrame:
     """The value of each key's latest version, not after `as_of` if given."""
     seen = rows if as_of is None else rows.where(F.col(version) <= as_of)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,26 +52,3 @@ def orthogonalised(rows: DataFrame, x: str, prior: str, min_names: int, w: str =
 def residualised(rows: DataFrame, y: str, x: str, out: str = "resid", keys: tuple[str, ...] = ("date",)) -> DataFrame:
     by = Window.partitionBy(*keys)
     return rows.withColumn(out, F.col(y) - F.regr_intercept(y, x).over(by) - F.regr_slope(y, x).over(by) * F.col(x))
-
-
-def pooled_ols(rows: DataFrame, y: str, xs: Sequence[str]) -> dict[str, float | list[float]]:
-    """Coefficients (intercept first), t statistics, r2 and n of one regression over all rows; only the Gram matrix comes to the driver."""
-    terms = [F.lit(1.0), *(F.col(x) for x in xs), F.col(y)]
-    known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (y, *xs)))
-    k = len(terms)
-    sums = known.agg(*(F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    a, b, n = gram[:-1, :-1], gram[:-1, -1], gram[0, 0]
-    beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    sse = gram[-1, -1] - b @ beta
-    total = gram[-1, -1] - gram[0, -1] ** 2 / n
-    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a)) * sse / max(n - k + 1, 1), 0))
-    return {"beta": beta.tolist(), "t": [float(x / e) if e > 0 else float(np.sign(x) * np.inf) if x else 0.0 for x, e in zip(beta, errors, strict=True)], "r2": float(1 - sse / total) if total > 0 else 0.0, "n": int(n)}
-
-
-def interaction_gain(rows: DataFrame, y: str, a: str, b: str) -> dict[str, float | bool]:
-    """Whether a * (1 - b) adds to a and b: its t statistic, the gain in r2, and both beyond 2 and 0.005."""
-    both = rows.withColumn("__ab", F.col(a) * (1 - F.col(b))).where(F.col("__ab").isNotNull())
-    base, full = pooled_ols(both, y, [a, b]), pooled_ols(both, y, [a, b, "__ab"])
-    gain = full["r2"] - base["r2"]
-    return {"t": full["t"][-1], "gain": gain, "significant": abs(full["t"][-1]) > 2 and gain > 0.005}

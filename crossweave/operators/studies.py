@@ -167,10 +167,8 @@ def window_sums(facts: DataFrame, wanted: DataFrame, metric: str, first: int, la
 def last_changed_quarter(facts: DataFrame, wanted: DataFrame, metric: str, back: int = 2, ahead: int = 1, tolerance: float = 0.01) -> DataFrame:
     """(ticker, date, feq): of the candidates feq - back .. feq + ahead, the most recent that changed between the last two downloads by the date, else feq."""
     rows = facts.where(F.col("metric") == metric)
-    downloads = rows.select("ticker", "download").distinct()
-    seen = wanted.select("ticker", "date", "feq").join(downloads, "ticker").where(F.col("download") <= F.col("date"))
-    newest = seen.groupBy("ticker", "date", "feq").agg(F.max("download").alias("d1"))
-    older = seen.join(newest.select("ticker", "date", "d1"), ["ticker", "date"]).where(F.col("download") < F.col("d1")).groupBy("ticker", "date", "feq", "d1").agg(F.max("download").alias("d0"))
+    downloads = rows.select("ticker", F.col("download").alias("date")).distinct().withColumns({"d1": F.col("date"), "d0": F.lag("date").over(Window.partitionBy("ticker").orderBy("date"))})
+    older = asof_backward(wanted.select("ticker", "date", "feq"), downloads, ["d0", "d1"]).where(F.col("d0").isNotNull())
     asked = older.select("ticker", "date", "feq", "d0", "d1", F.explode(F.sequence(F.col("feq") - back, F.col("feq") + ahead)).alias("period"))
     values = rows.select("ticker", "period", "download", "value")
     a = asked.join(values.withColumnsRenamed({"download": "d0", "value": "v0"}), ["ticker", "period", "d0"], "left")

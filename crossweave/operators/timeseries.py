@@ -232,3 +232,53 @@ def ou_score(residuals: DataFrame, window: int = 60, least: int = 30, back: int
     rows = rank01(rank01(rows, "distance", "__ou", single=None, descending=True), "reversal", "__rev", single=None, descending=True)
     blend = rows.withColumn("__blend", ou_blend(F.col("__ou"), F.col("__rev"), F.col("half_life"))).where(F.col("__blend").isNotNull())
     return zscore(blend, "__blend", "score").select("ticker", "date", "score")
+
+
+def ou_diagnostic(residuals: DataFrame, prices: DataFrame, window: int = 60, least: int = 30, back: int = 21, low: float = 0.5, high: float = 3.0, cap: float = 10.0) -> DataFrame:
+    """A row a ticker of the last date's mean reversion, out of its last `window` residuals alone.
+
+    residuals: (ticker, date, resid), with `scalar` if they are to be divided by it, the last known one clipped to low .. high; a ticker without any
+    stays as it is. prices: (ticker, date, close). Level, mean and deviation are in units of the last price. half_life is rounded to one place before it weighs the
+    rank of the distance; a fit without reversion, deviation or price weighs 0. Compounded residuals of the last `back` dates give the reversal.
+    """
+    from crossweave.functions.scalar import ou_weight
+    from crossweave.operators.xsection import rank01
+
+    path = Window.partitionBy("ticker").orderBy("date")
+    if "scalar" in residuals.columns:
+        held = F.last("scalar", ignorenulls=True).over(path.rowsBetween(Window.unboundedPreceding, 0))
+        some = F.count("scalar").over(Window.partitionBy("ticker")) > 0
+        residuals = residuals.withColumn("resid", F.when(some, F.try_divide("resid", clip(held, low, high))).otherwise(F.col("resid")))
+    rows = residuals.select("ticker", "date", "resid")
+    known = rows.where(F.col("resid").isNotNull())
+    # the filter on the rank prunes each ticker's rows before they are shuffled
+    last = known.withColumn("__k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where(F.col("__k") <= window)
+    last = last.withColumn("x", F.product(1 + F.col("resid")).over(path.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.lag("x").over(path))
+    fit = last.groupBy("ticker").agg(
+        F.count("*").alias("n"), F.min("date").alias("__first"), F.max_by("x", "date").alias("__x"), F.regr_slope("x", "__b").alias("b"), F.regr_intercept("x", "__b").alias("a"),
+        F.regr_syy("x", "__b").alias("__syy"), F.regr_sxy("x", "__b").alias("__sxy"), F.regr_count("x", "__b").alias("__m"),
+    )
+    priced = prices.where(F.col("close").isNotNull()).join(fit.select("ticker", "__first"), "ticker").groupBy("ticker").agg(
+        F.min_by("close", F.when(F.col("date") >= F.col("__first"), F.col("date"))).alias("__anchor"), F.max_by("close", "date").alias("__price")
+    )
+    fit = fit.join(priced, "ticker", "left")
+    dates = rows.select("date").distinct().orderBy(F.desc("date")).limit(back + 1)  # a few dates
+    counted = dates.agg(F.count("*").alias("__dates"), F.min("date").alias("__oldest"))
+    steps = rows.join(F.broadcast(counted), F.col("date") > F.col("__oldest")).where(F.col("__dates") > back)
+    reversal = steps.groupBy("ticker").agg(F.when(F.min(F.coalesce("resid", F.lit(0.0))) > -1, F.sum(F.log1p(F.when(F.col("resid") > -1, F.col("resid")).otherwise(0.0)))).alias("st_reversal"))
+    k = -F.ln(F.when((F.col("b") > 0) & (F.col("b") < 1), F.col("b")))
+    scale = F.try_divide("__price", F.nullif("__x", F.lit(0.0)))
+    deviation = F.sqrt(F.greatest(F.col("__syy") - F.col("b") * F.col("__sxy"), F.lit(0.0)) / F.col("__m"))
+    mean = F.col("a") / (1 - F.col("b")) * scale
+    fit = fit.withColumns({"__k": k, "__mean": mean, "__sd": F.nullif(deviation * scale, F.lit(0.0))})
+    valid = (F.col("n") >= least) & (F.col("__anchor") > 0) & (F.col("__price") > 0) & F.col("__k").isNotNull() & F.col("__sd").isNotNull() & (F.col("__mean") > 0)
+    fit = fit.withColumn("ou_valid", F.coalesce(valid, F.lit(False)))
+    when = lambda c: F.when(F.col("ou_valid"), c)
+    fit = fit.withColumns({"ou_dist": when(F.round((F.col("__price") - F.col("__mean")) / (F.col("__sd") / F.sqrt(2 * F.col("__k"))), 4)), "lt_mean": when(F.col("__mean")), "mr_speed": when(F.col("__k")), "mr_halflife": when(F.round(math.log(2) / F.col("__k"), 1)), "resid_vol": when(F.col("__sd"))})
+    out = rows.select("ticker").distinct().join(fit, "ticker", "left").join(reversal, "ticker", "left").withColumns({"ou_valid": F.coalesce("ou_valid", F.lit(False)), "__all": F.lit(1)})
+    out = rank01(rank01(out, "ou_dist", "ou_rank", ("__all",), descending=True), "st_reversal", "rev_rank", ("__all",), descending=True)  # a row a ticker
+    out = out.withColumn("ou_weight", when(ou_weight(F.col("mr_halflife"), cap=cap)).otherwise(0.0))
+    out = out.withColumn("final_score", (F.col("ou_weight") * F.coalesce("ou_rank", F.lit(0.0)) + F.col("rev_rank")) / (F.col("ou_weight") + 1))
+    place = F.rank().over(Window.partitionBy("__all").orderBy(F.desc("final_score")))
+    out = out.withColumn("final_rank", F.when(F.col("final_score").isNotNull(), place))
+    return out.select("ticker", "ou_dist", "lt_mean", "mr_speed", "mr_halflife", "resid_vol", "st_reversal", "ou_valid", "ou_weight", "ou_rank", "rev_rank", "final_score", "final_rank")

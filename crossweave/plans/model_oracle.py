@@ -85,7 +85,92 @@ CTE |= {
 }
 _VOL_FIGURES = [f"{c}_{n}" for c in ("vol", "gk", "ratio") for n in ("mean", "median", "min", "max")]
 
+def last_coef(src: str, y: str, order: list[str], key: str) -> str:
+    """(key, n, coef, error, t, freedom, r2) of the last term of `order`, which has the constant 1.0 too, out of a pooled regression of y."""
+    t, m = [*order, y], len(order)
+    cells = [(i, j) for i in range(m + 1) for j in range(i, m + 1)]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in t)
+    sql = f"SELECT {key} AS key, count(*) AS n, {', '.join(f'avg({t[i]} * {t[j]}) AS g{i}_{j}' for i, j in cells)}, avg({y} * {y}) - avg({y}) * avg({y}) AS total FROM {src} WHERE {known} GROUP BY {key}"
+    for p in range(m - 1):
+        sql = f"SELECT key, n, total, {', '.join(f'g{i}_{j} - g{p}_{i} * g{p}_{j} / g{p}_{p} AS g{i}_{j}' for i, j in cells if i > p)} FROM ({sql})"
+    a, b, c = f"g{m - 1}_{m - 1}", f"g{m - 1}_{m}", f"g{m}_{m}"
+    sql = f"SELECT key, n, {b} / {a} AS coef, sqrt(({c} - {b} * {b} / {a}) / (n - {m}) / {a}) AS error, n - {m} AS freedom, 1 - ({c} - {b} * {b} / {a}) / total AS r2 FROM ({sql})"
+    return f"SELECT *, coef / error AS t FROM ({sql})"
+
+
+def _p(t: str, v: str, steps: int = 4000) -> str:
+    """1 - twice the integral of Student's density from 0 to |t|, by Simpson's rule."""
+    return f"""greatest(1 - 2 * exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * (least(abs({t}), 60.0) / {steps}) / 3
+        * list_sum(list_transform(range(0, {steps + 1}), lambda i: CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(i * least(abs({t}), 60.0) / {steps}, 2) / {v}, -({v} + 1) / 2.0))), 0)"""
+
+
+def _interaction(key: str, name: str) -> str:
+    full, base = last_coef("rnk", "ry", ["1.0", "x", "tax", "mixed"], key), last_coef("rnk", "ry", ["1.0", "x", "tax"], key)
+    return f"SELECT f.key AS {name}, f.n, f.coef, f.t, {_p('f.t', 'f.freedom')} AS p, f.r2 - b.r2 AS gain, CAST(abs(f.t) > 2 AND f.r2 - b.r2 > 0.005 AS INT) AS significant FROM ({full}) f JOIN ({base}) b USING (key)"
+
+
+_AVG_RANK = "(rank() OVER (PARTITION BY date, sector ORDER BY {c}) + (count(*) OVER (PARTITION BY date, sector, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY date, sector)"
+_XTR = ["x", "tax", "returned"]
+_HOT = [f"sector_{s}" for s in ("america", "asia", "europe", "middle_east")]
+CTE |= {
+    "rnk0": ("sig", f"SELECT ticker, date, sector, fwd, fwd - avg(fwd) OVER (PARTITION BY date, sector) AS dem, {', '.join(f'{_AVG_RANK.format(c=c)} AS {n}' for c, n in (('x', 'x'), ('tax', 'tax'), ('returned', 'returned'), ('fwd', 'ry')))} FROM (SELECT * REPLACE (round(tax, 9) AS tax, round(returned, 9) AS returned) FROM sig WHERE fwd IS NOT NULL)"),
+    "rnk": ("rnk0", "SELECT *, x * (1 - tax) AS mixed, year(date) AS year, 0 AS every, " + ", ".join(f"CAST(lower(replace(sector, ' ', '_')) = '{h[7:]}' AS DOUBLE) AS {h}" for h in _HOT) + " FROM rnk0"),
+}
+_TERMS = ["1.0", *_XTR, *_HOT]
+_SECOND = [f"SELECT n, r2, '{name}' AS factor, coef, error, t, {_p('t', 'freedom')} AS p FROM ({last_coef('rnk', 'dem', [*(o for o in _TERMS if o != c), c], 'every')})" for c, name in zip(_TERMS, ["intercept", *_XTR, *_HOT], strict=True)]
+
+CTE |= {
+    "anc": ("cal", "SELECT a.d AS anchor, max(c.i) AS i FROM (SELECT CAST(unnest(generate_series(DATE '1992-03-15', DATE '1998-09-15', INTERVAL 3 MONTH)) AS DATE) AS d) a JOIN cal c ON c.date <= a.d GROUP BY a.d"),
+    "afwd": ("anc dense sec", "SELECT a.anchor, a.i, s.ticker, c.sector, e.close / s.close - 1 AS fwd, avg(e.close / s.close - 1) OVER (PARTITION BY a.anchor) AS mkt FROM anc a JOIN dense s ON s.i = a.i JOIN dense e ON e.ticker = s.ticker AND e.i = a.i + 8 LEFT JOIN sec c ON c.ticker = s.ticker WHERE e.close / s.close IS NOT NULL"),
+    "size0": ("ret anc", "SELECT anchor, ticker, arg_max(cap, date) AS size FROM anc JOIN ret ON ret.date <= anchor GROUP BY 1, 2"),
+}
+
+
+def _betas(names: str) -> str:
+    """(anchor, ticker, beta) of names (anchor, i, ticker) from days on which all of them have a return."""
+    return f"""SELECT n.anchor, n.ticker, CASE WHEN n.i < 20 THEN 1.0 ELSE coalesce(b.beta, 1.0) END AS beta FROM {names} n LEFT JOIN (
+        SELECT anchor, ticker, CASE WHEN count(r) >= 10 THEN covar_samp(r, m) / nullif(var_samp(m), 0) END AS beta FROM (
+          SELECT *, avg(r) OVER (PARTITION BY anchor, j) AS m FROM (SELECT *, max(f) OVER (PARTITION BY anchor) AS start FROM (
+            SELECT *, p / lag(p) OVER (PARTITION BY anchor, ticker ORDER BY j) - 1 AS r, min(CASE WHEN close IS NOT NULL THEN j END) OVER (PARTITION BY anchor, ticker) AS f FROM (
+              SELECT n.anchor, n.ticker, d.i AS j, d.close, last_value(d.close IGNORE NULLS) OVER (PARTITION BY n.anchor, n.ticker ORDER BY d.i) AS p FROM {names} n JOIN dense d ON d.ticker = n.ticker AND d.i > n.i - 63 AND d.i <= n.i))) WHERE j > start)
+        GROUP BY anchor, ticker) b USING (anchor, ticker)"""
+
+
+_PRICED = "(SELECT * FROM afwd WHERE sector IS NOT NULL QUALIFY count(*) OVER (PARTITION BY anchor) >= 10)"
+_SIZED = "(SELECT a.*, ln(z.size) AS z FROM afwd a JOIN size0 z USING (anchor, ticker) WHERE a.sector IS NOT NULL AND z.size > 0 QUALIFY count(*) OVER (PARTITION BY a.anchor) >= 10)"
+_OFF = "SELECT n.*, b.beta, n.fwd - b.beta * n.mkt - avg(n.fwd - b.beta * n.mkt) OVER (PARTITION BY n.anchor, n.sector) AS y FROM {0} n JOIN ({1}) b USING (anchor, ticker)"
+
 SQL: dict[str, str] = {
+    "resid_prices": _sql("afwd", "ticker date", "beta resid", f"SELECT ticker, anchor AS date, beta, y AS resid FROM ({_OFF.format(_PRICED, _betas(_PRICED))})"),
+    "resid_prices_size": _sql("afwd size0", "ticker date", "beta resid", f"""SELECT ticker, anchor AS date, beta, y - sum(y * q) OVER (PARTITION BY anchor) / nullif(sum(q * q) OVER (PARTITION BY anchor), 0) * q AS resid FROM (
+        SELECT *, z - avg(z) OVER (PARTITION BY anchor, sector) AS q FROM ({_OFF.format(_SIZED, _betas(_SIZED))}))"""),
+    "resid_stored": _sql("resid", "ticker date", "resid", """SELECT ticker, anchor AS date, product(1 + resid) - 1 AS resid FROM (SELECT a.anchor, a.i, r.ticker, r.resid FROM (
+          SELECT d.anchor, coalesce(max(c.i), 0) AS i FROM (SELECT CAST(unnest(generate_series(DATE '1992-03-15', DATE '1998-09-15', INTERVAL 3 MONTH)) AS DATE) AS anchor) d LEFT JOIN cal c ON c.date <= d.anchor GROUP BY 1) a
+        JOIN cal c ON c.i > a.i AND c.i <= a.i + 8 JOIN resid r ON r.date = c.date WHERE r.resid IS NOT NULL AND a.i + 8 <= (SELECT max(i) FROM cal)) GROUP BY 1, 2 HAVING count(*) >= 4 QUALIFY count(*) OVER (PARTITION BY anchor) >= 10"""),
+    "ou_diagnostic": _sql("resid dense", "ticker ou_valid final_rank", "ou_dist lt_mean mr_speed mr_halflife resid_vol st_reversal ou_weight ou_rank rev_rank final_score", """SELECT *, CASE WHEN final_score IS NOT NULL THEN rank() OVER (ORDER BY final_score DESC NULLS LAST) END AS final_rank FROM (
+        SELECT *, (ou_weight * coalesce(ou_rank, 0) + rev_rank) / (ou_weight + 1) AS final_score FROM (
+          SELECT *, CASE WHEN ou_valid = 1 THEN least(30 / mr_halflife, 10) ELSE 0.0 END AS ou_weight, CASE WHEN ou_dist IS NOT NULL THEN CASE WHEN count(ou_dist) OVER () > 1 THEN (rank() OVER (ORDER BY ou_dist DESC NULLS LAST) + (count(*) OVER (PARTITION BY ou_dist) - 1) / 2.0 - 1) / (count(ou_dist) OVER () - 1) ELSE 0.5 END END AS ou_rank,
+            CASE WHEN st_reversal IS NOT NULL THEN CASE WHEN count(st_reversal) OVER () > 1 THEN (rank() OVER (ORDER BY st_reversal DESC NULLS LAST) + (count(*) OVER (PARTITION BY st_reversal) - 1) / 2.0 - 1) / (count(st_reversal) OVER () - 1) ELSE 0.5 END END AS rev_rank FROM (
+            SELECT u.ticker, CAST(coalesce(ok, false) AS INT) AS ou_valid, CASE WHEN ok THEN round((px - mu) / (sd / sqrt(2 * k)), 4) END AS ou_dist, CASE WHEN ok THEN mu END AS lt_mean, CASE WHEN ok THEN k END AS mr_speed, CASE WHEN ok THEN round(ln(2) / k, 1) END AS mr_halflife, CASE WHEN ok THEN sd END AS resid_vol, v.st_reversal
+            FROM (SELECT DISTINCT ticker FROM resid) u LEFT JOIN (
+              SELECT *, coalesce(n >= 30 AND p0 > 0 AND px > 0 AND k IS NOT NULL AND sd <> 0 AND mu > 0, false) AS ok FROM (
+                SELECT f.ticker, n, px, (SELECT arg_min(close, date) FROM dense d WHERE d.ticker = f.ticker AND d.date >= f.d0 AND d.close IS NOT NULL) AS p0, CASE WHEN b > 0 AND b < 1 THEN -ln(b) END AS k, a / (1 - b) * px / xl AS mu, sqrt(greatest(syy - b * sxy, 0) / m) * px / xl AS sd FROM (
+                  SELECT ticker, count(*) AS n, min(date) AS d0, arg_max(x, date) AS xl, regr_slope(x, q) AS b, regr_intercept(x, q) AS a, regr_syy(x, q) AS syy, regr_sxy(x, q) AS sxy, regr_count(x, q) AS m FROM (
+                    SELECT *, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS q FROM (SELECT ticker, date, product(1 + r) OVER (PARTITION BY ticker ORDER BY date) AS x FROM (
+                      SELECT * FROM scaled WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 60))) GROUP BY ticker) f
+                LEFT JOIN (SELECT ticker, arg_max(close, date) AS px FROM dense WHERE close IS NOT NULL GROUP BY ticker) z USING (ticker))) o USING (ticker)
+            LEFT JOIN (SELECT ticker, sum(ln(1 + coalesce(r, 0))) AS st_reversal FROM scaled WHERE date IN (SELECT DISTINCT date FROM resid ORDER BY date DESC LIMIT 21) GROUP BY ticker) v USING (ticker))))""".replace("SELECT *, CASE WHEN final_score", """WITH scaled AS (SELECT ticker, date, CASE WHEN count(s) OVER (PARTITION BY ticker) > 0 THEN resid / CASE WHEN h IS NOT NULL THEN greatest(0.5, least(3.0, h)) END ELSE resid END AS r FROM (
+          SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS h FROM (SELECT ticker, date, resid, CASE WHEN c IS NOT NULL THEN greatest(0.5, least(3.0, c)) END AS s FROM (SELECT *, volume / nullif(avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) AS c FROM resid))))
+        SELECT *, CASE WHEN final_score""", 1)),
+    "interaction_test": _sql("rnk", "n significant", "coef t p gain", _interaction("every", "every")),
+    "interaction_by_year": _sql("rnk", "year n significant", "coef t p gain", _interaction("year", "year")),
+    "two_phase_ics": _sql("rnk", "factor n selected", "ic", " UNION ALL ".join(f"SELECT '{c}' AS factor, count(*) AS n, corr({c}, ry) AS ic, CAST(abs(corr({c}, ry)) > 0.01 AS INT) AS selected FROM rnk" for c in _XTR)),
+    "two_phase_model": _sql("rnk", "n factor", "r2 coef error t p", " UNION ALL ".join(_SECOND)),
+    "two_phase_resid": _sql("rnk", "ticker date", "resid", f"SELECT r.ticker, r.date, r.dem - f.b0{''.join(f' - f.b{j} * r.{c}' for j, c in enumerate([*_XTR, *_HOT], 1))} AS resid FROM rnk r CROSS JOIN ({solved('(SELECT * REPLACE (0 AS date) FROM rnk)', 'dem', [*_XTR, *_HOT], 1, '1.0')}) f"),
+    "feq_first_change": _sql("want f0", "ticker date feq", "", """SELECT * FROM (SELECT n.ticker, n.date, coalesce(min(c.period) FILTER (c.v0 <> c.v1), min(c.period) FILTER (c.v0 IS NULL AND c.v1 IS NOT NULL))::BIGINT AS feq FROM (
+        SELECT w.ticker, w.date, max(f.download) FILTER (f.download <= w.date) AS before, min(f.download) FILTER (f.download > w.date) AS after FROM want w JOIN f0 f ON f.ticker = w.ticker GROUP BY 1, 2) n
+        JOIN LATERAL (SELECT period, max(CASE WHEN f.download = n.before THEN round(revenue / 1e3, 1) END) AS v0, max(CASE WHEN f.download = n.after THEN round(revenue / 1e3, 1) END) AS v1 FROM f0 f WHERE f.ticker = n.ticker AND f.download IN (n.before, n.after) GROUP BY period) c ON true
+        WHERE n.before IS NOT NULL AND n.after IS NOT NULL GROUP BY n.ticker, n.date HAVING count(c.v0) > 0) WHERE feq IS NOT NULL"""),
     "vol_comparison": _sql("ccv gkv", "", " ".join([*_VOL_FIGURES, "below", "missing"]), "SELECT " + ", ".join(f"{f}({c}) AS {c}_{n}" for c in ("vol", "gk", "ratio") for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"))) + f", avg(CAST(ratio < 1 AS INT)) AS below, avg(CAST(gk IS NULL AS INT)) AS missing FROM ({_VOLS})"),
     "joint_2": _sql("sized", "date n", "intercept b_beta b_size r2", _named(solved("sized", "ret", _BS, 12), _BS)),
     "joint_3": _sql("three", "date n", "intercept b_beta b_size b_mom r2", _named(solved("three", "ret", _BSM, 12), _BSM)),

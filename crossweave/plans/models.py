@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossweave.operators import fundamentals as Q
 from crossweave.operators import gram as G
+from crossweave.operators import horizon as H
 from crossweave.operators import panel as P
+from crossweave.operators import pooled as L
 from crossweave.operators import reports as N
 from crossweave.operators import signals as I
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.plans import panels, steps
-from crossweave.plans.queries import _sector_names, _sized, query, si_composite
+from crossweave.plans.queries import _resid, _sector_names, _signal, _sized, _wanted, query, si_composite
 
 #: Names that a date needs for several regressors.
 LEAST = 12
@@ -116,3 +119,88 @@ def first_model(spark, d):
     full = G.joint_step(rows.join(steps.momentum(left), ["date", "ticker"]), "ret", xs, LEAST)[1]
     full = full.select(F.lit("momentum").alias("step"), "date", "n", "intercept", "slopes", "r2")
     return fits.drop("k").unionByName(full).select("step", "date", "n", "intercept", "r2", F.posexplode("slopes").alias("factor", "slope"))
+
+
+# -- pooled regressions over ranks
+
+_FACTORS = ["x", "tax", "returned"]
+
+
+def _ranked(spark, d) -> DataFrame:
+    rows = _signal(spark, d).where(F.col("fwd").isNotNull()).withColumns({c: F.round(c, 9) for c in ("tax", "returned")})
+    rows = L.ranked_factors(rows, _FACTORS)
+    return X.percent_rank(rows, "fwd", "y", ("date", "sector")).withColumn("both", F.col("x") * (1 - F.col("tax")))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.withColumn("significant", F.col("significant").cast("int"))
+
+
+@query
+def interaction_test(spark, d):
+    """Whether a high first rank with a low second one adds to both ranks, over all rows."""
+    return _counted(L.interaction_gain(_ranked(spark, d), "y", ["x", "tax"], "both"))
+
+
+@query
+def interaction_by_year(spark, d):
+    return _counted(L.interaction_gain(_ranked(spark, d).withColumn("year", F.year("date")), "y", ["x", "tax"], "both", ("year",)))
+
+
+@query
+def two_phase_ics(spark, d):
+    return L.factor_ics(_ranked(spark, d), "fwd", _FACTORS).withColumn("selected", F.col("selected").cast("int"))
+
+
+def _second(spark, d) -> tuple[DataFrame, DataFrame]:
+    ranked = _ranked(spark, d)
+    return L.second_phase(ranked, "fwd", L.selected_factors(L.factor_ics(ranked, "fwd", _FACTORS, least=0.0)), _sector_names(spark, d))
+
+
+@query
+def two_phase_model(spark, d):
+    """Sector-neutral returns on the ranks of the factors selected and sector dummies."""
+    return _second(spark, d)[0].withColumn("factor", F.lower(F.regexp_replace("factor", " ", "_")))
+
+
+@query
+def two_phase_resid(spark, d):
+    return _second(spark, d)[1].select("ticker", "date", "resid")
+
+
+@query
+def feq_first_change(spark, d):
+    """The first quarter that differs between the downloads around a date."""
+    return Q.first_changed(panels.facts(spark, d), _wanted(spark, d), "revenue", unit=1e3)
+
+
+# -- forward returns less market, sector and size
+
+def _quarters(spark) -> DataFrame:
+    return spark.sql("SELECT explode(sequence(date'1992-03-15', date'1998-09-15', interval 3 months)) AS date")
+
+
+@query
+def resid_prices(spark, d):
+    """Market beta and sector off the returns of the eight weeks after each anchor."""
+    return H.price_residuals(panels.dense(spark, d), _quarters(spark), panels.sectors(spark, d), 8, least=10)
+
+
+@query
+def resid_prices_size(spark, d):
+    """The same with log size: the amount of the last year up to the anchor."""
+    sizes = P.asof_backward(panels.sectors(spark, d).select("ticker").crossJoin(F.broadcast(_quarters(spark))), panels.returns(spark, d).select("ticker", "date", "cap"), ["cap"])
+    return H.price_residuals(panels.dense(spark, d), _quarters(spark), panels.sectors(spark, d), 8, sizes.withColumnRenamed("cap", "size"), least=10)
+
+
+@query
+def resid_stored(spark, d):
+    return H.residual_returns(H.Source.STORED, _quarters(spark), 8, residuals=_resid(spark, d).select("ticker", "date", "resid"), least_days=4, least=10)
+
+
+@query
+def ou_diagnostic(spark, d):
+    """Mean reversion of each name on the last date."""
+    rows = W.volume_scalar(_resid(spark, d))
+    out = W.ou_diagnostic(rows.select("ticker", "date", "resid", "scalar"), panels.dense(spark, d).select("ticker", "date", "close"))
+    return out.withColumn("ou_valid", F.col("ou_valid").cast("int"))

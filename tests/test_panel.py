@@ -284,15 +284,6 @@ def test_growth_value_factor(spark):
     assert column(Q.growth_value_factor(rows), "factor", "ticker") == pytest.approx([-2.0, -0.5, 0.0, 0.25, 0.4])
 
 
-def test_pooled_regression(panel):
-    got = R.pooled_ols(panel, "y", ["x", "z"])
-    pdf = panel.toPandas()
-    a = np.column_stack([np.ones(len(pdf)), pdf["x"], pdf["z"]])
-    assert np.allclose(got["beta"], np.linalg.lstsq(a, pdf["y"], rcond=None)[0]) and got["n"] == len(pdf)
-    strong = panel.withColumn("y", F.col("x") * (1 - F.col("z")))
-    assert R.interaction_gain(strong, "y", "x", "z")["significant"] and not R.interaction_gain(panel, "y", "x", "z")["significant"]
-
-
 def test_repair(spark):
     rows = frame(spark, [("A", day(i), v) for i, v in enumerate([10.0, 10.0, 100.0, 12.0, 12.0, 30.0, 30.0])], "ticker string, date date, value double")
     assert column(W.repaired(rows), "value", "date") == [10.0, 10.0, 11.0, 12.0, 12.0, 30.0, 30.0]
