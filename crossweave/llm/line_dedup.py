@@ -1,13 +1,13 @@
 """Line deduplication over a whole corpus.
 
-Each long enough line becomes (128-bit digest of its key, doc_id, position). These rows, never the texts, are dealt by range of (hash, doc_id) and
+Each long enough line becomes (128-bit digest of its key, doc_id, position). These rows, never the texts, are dealt by range of all of these and
 sorted by hash, then doc_id from the largest, then position; one pass over each partition streams the first occurrence of every hash and
-marks the others. A hash whose rows fill more than one range (a line that a third of all documents share) is split by doc_id over
-partitions: each partition then reports its number of documents and its largest doc_id for the runs at its two ends, and these at most two
-rows a partition decide the split runs. What returns to the documents is one compressed bitmap of kept lines each.
+marks the others. A hash whose rows fill more than one range (a line that a third of all documents share, or that one doc_id, or rows without
+any, hold very often) is split over partitions: each partition then reports its number of documents, its largest and its smallest doc_id for the runs
+at its two ends, and these at most two rows a partition decide the split runs. What returns to the documents is one compressed bitmap of kept lines each.
 
 Defined results: null or empty text is one empty line; keys shorter than `min_chars` are never dropped; a null doc_id counts as the
-smallest id; rows with an equal doc_id are one document, so that repeated rows never drop each other's lines; a line that one document holds
+smallest id, -2 ** 63; rows with an equal doc_id are one document, so that repeated rows never drop each other's lines; a line that one document holds
 several times goes or stays as a whole; very long texts and lines are handled whole, in a chunk of their own; an empty table gives an empty
 result; input columns named like an output column give way to it.
 """
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +67,8 @@ def _marker(min_docs: int):
     def at_end(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n_docs = 1 + int(np.count_nonzero(x["id"][1:] != x["id"][:-1]))
         yield batch(_OPEN, x, np.zeros(len(x["h1"])))
-        yield batch(_RUN, {c: v[:1] for c, v in x.items()}, np.array([n_docs]))
+        # id and t: the run's largest and smallest id
+        yield batch(_RUN, {c: v[:1] for c, v in x.items()} | {"t": x["id"][-1:]}, np.array([n_docs]))
 
     def decide(x: dict[str, np.ndarray], at: np.ndarray) -> pa.RecordBatch:
         """The drops of complete runs that begin at at[:-1]."""
@@ -122,9 +123,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """(id, t, keep) of the documents that lose a line."""
     n = shuffle_partitions(docs.sparkSession)
     # written first: dealing by range reads its input twice
-    dealt = materialise(line_keys(docs, min_chars), "line-keys").repartitionByRange(n, "h1", "h2", "id").sortWithinPartitions("h1", "h2", F.col("id").desc(), "t", "pos")
+    dealt = materialise(line_keys(docs, min_chars), "line-keys").repartitionByRange(n, *_COLS).sortWithinPartitions("h1", "h2", F.col("id").desc(), "t", "pos")
     marks = materialise(dealt.mapInArrow(_marker(min_docs), _MARKS), "line-marks")
-    split_runs = marks.where(F.col("kind") == _RUN).groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
+    # a document whose rows go on in the next range counts once; a hash has as many notes as ranges at most
+    again = (F.col("t") == F.lag("id").over(Window.partitionBy("h1", "h2").orderBy("t", "id"))).cast("int")
+    notes = marks.where(F.col("kind") == _RUN).withColumn("docs", F.col("docs") - F.coalesce(again, F.lit(0)))
+    split_runs = notes.groupBy("h1", "h2").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs)
     # at most two runs of 40 bytes a partition: 80 MB for a million partitions
     late = marks.where(F.col("kind") == _OPEN).join(F.broadcast(split_runs), ["h1", "h2"]).where(F.col("id") < F.col("top"))
     gone = marks.where(F.col("kind") == _DROP).select("id", "t", "pos").unionByName(late.select("id", "t", "pos"))
