@@ -11,7 +11,7 @@ Only hosts, edges summed by host pair, and rules are joined with each other. Pag
 host with many pages, or the empty host, is spread over tasks. Walks take as many rounds as leave TOLERANCE of their weight unsettled.
 
 Defined results: a null url, or one without `://`, has empty host and path and is allowed; hosts without pages take part in the graph but
-are not reported; rows with equal page_id are judged one by one; equal rules count once, and of equally long ones a block wins; without
+are not reported; a host of more than 253 characters, which no name has, is judged by rules and pages, but has no edge to a parent domain; rows with equal page_id are judged one by one; equal rules count once, and of equally long ones a block wins; without
 rules every page is allowed; a null or empty html has no links, and one of any length is searched whole; an empty table gives an empty
 result; other columns, also of the names of results, are not read.
 """
@@ -36,6 +36,8 @@ ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 LIMIT = 2.0
 #: A walk ends at its own host with about half of its weight: half of the pages of a host blocked, and none beside it, reach this share.
 LEAST = 0.25
+#: Characters of a domain name at most.
+NAME = 253
 
 
 @dataclass(frozen=True)
@@ -59,10 +61,11 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and each domain above it."""
+def _suffixes(host: Column, most: int) -> Column:
+    """The host and each domain above it, of at most `most` labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    ends = F.slice(labels, -F.least(F.size(labels), F.lit(most)), F.lit(most))
+    return F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.array_join(F.slice(ends, i, F.size(ends) - i + 1), "."))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -72,8 +75,9 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 
 def parent_edges(hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight 1) between each host and its parent domain, either way; the last label alone is no parent."""
-    up = hosts.select(F.explode(F.filter(_suffixes(F.col("host")), lambda x: x.contains("."))).alias("src")).distinct()
+    """(src, dst, weight 1) between each host and its parent domain, either way; the last label alone is no parent, a host too long for a name has none."""
+    named = hosts.where(F.length("host") <= NAME)
+    up = named.select(F.explode(F.filter(_suffixes(F.col("host"), NAME), lambda x: x.contains("."))).alias("src")).distinct()
     up = up.withColumn("dst", F.regexp_replace("src", r"^[^.]*\.", "")).where(F.col("dst").contains("."))
     return up.select("src", "dst", F.lit(1.0).alias("weight")).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight")))
 
@@ -109,7 +113,8 @@ def judged_urls(pages: DataFrame, rules: Sequence[UrlRule], limit: float = LIMIT
     literal = [F.struct(F.lit(r.host).alias("of"), F.lit(r.path).alias("path"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in rules]
     table = spark.range(1).select(F.explode(F.array(*literal)).alias("r")).select("r.*") if rules else spark.createDataFrame([], "of string, path string, rule string, verdict string")
     hosts = thin.select("host").distinct().where("host <> ''")
-    fitting = hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("of")).join(table, "of").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("size"), "verdict", "path", "rule")).alias("rules"))
+    most = max((r.host.count(".") + 1 for r in rules), default=1)
+    fitting = hosts.select("host", F.explode(_suffixes(F.col("host"), most)).alias("of")).join(table, "of").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("size"), "verdict", "path", "rule")).alias("rules"))
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["path"])))  # the longest, then block over allow
     ruled = spread_join(thin, fitting, ["host"], ["page_id"], "left").select("page_id", "host", "path", best.alias("best"))
     ruled = materialise(ruled, "ruled-urls")
