@@ -5,12 +5,12 @@ Bloom filter: a slot holds a bit for each language, an n-gram's slots are ANDed,
 A text's n-grams are counted by language (popcounts of the slices); each count is corrected for the false positives that the fill of the
 language's slice makes likely, and the largest corrected share decides. The score is that share against the sum of the two best.
 
-The model is fitted on about `sample` labelled texts of each language, the share of them that gives so many, chosen by hash of the id;
-everything else covers all rows.
+The model is fitted on about `sample` different labelled texts of each language, all of them where there are no more: those whose hash is below the
+share that gives so many. Copies of a text count once, whatever their ids. Everything else covers all rows.
 
 Defined results: null texts, empty texts and texts without a letter are `und` with score 0; very long texts are judged whole; a text none of
 whose n-grams is known gets the most frequent language with score 0.5; all ties, also of that frequency, go to the language first in
-alphabetical order; equal texts get equal results, and repeated labelled rows count as often as they are there; without labelled rows
+alphabetical order; equal texts get equal results, and repeated labelled rows count once; without labelled rows
 everything is `und`; extra columns pass through, but a column named like an output column gives way to it; an empty table gives an empty result.
 """
 
@@ -33,6 +33,8 @@ from crossweave.llm.common import keep_first_names
 SIZES = (3, 4, 5)
 #: Labelled texts of a language that training reads, about.
 SAMPLE = 4000
+#: A language of fewer different texts keeps n-grams that occur once.
+FEW = 100
 #: N-grams of a language.
 KEPT = 20_000
 #: A kept n-gram's share of a language's text is at least this part of its share of any other.
@@ -122,21 +124,30 @@ class Model:
         return np.where(has, best, -1), np.where(has, score, 0.0)
 
 
+def sampled(rows: DataFrame, texts: dict[str, int], sample: int) -> DataFrame:
+    """(lang, text): about `sample` different texts of each language of rows (lang, text, h); texts: how many there are, about."""
+    # all of them where there are no more, so that no language is lost
+    share = F.create_map(*(F.lit(x) for lang, n in texts.items() for x in (lang, 1.0 if n <= 1.1 * sample else sample / n)))
+    below = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("lang")]
+    return rows.where(below).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Model:
     """A model of the rows (doc_id, text, lang) of `labelled`; up to 64 languages."""
-    rows = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequency = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).collect()  # a row a language
+    frequency, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     langs = sorted(frequency)
     if len(langs) > 64:
         raise ValueError("at most 64 languages")
-    # about `sample` texts of each language: a hash below the share that gives so many
-    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, sample / frequency[lang])))) if langs else None
     if not langs:
         return Model([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0), -1)
-    picked = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share[F.col("lang")]).select("lang", "text")
+    picked = sampled(rows, texts, sample)
     counts = picked.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the sample bounds the number of n-grams; those seen once tell nothing
-    shares = counts.where("n > 1").withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    # the sample bounds the number of n-grams; those seen once tell nothing where there are many texts
+    few = [lang for lang in langs if texts[lang] < FEW]
+    shares = counts.where((F.col("n") > 1) | F.col("lang").isin(few)).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     shares = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= DISTINCT * F.col("most"))
     best = shares.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= kept).select("lang", "gram").collect()  # kept a language
     slots = np.zeros(1 << SLOT_BITS, np.uint64)
