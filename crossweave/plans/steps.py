@@ -7,14 +7,18 @@ would otherwise plan all earlier ones again.
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from crossweave.operators import gram as G
+from crossweave.operators import panel as P
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.sources.tables import exists, upsert_dates
@@ -33,12 +37,17 @@ class Step:
     made: Callable[[DataFrame], DataFrame] | None = None
 
 
+#: Calendar days of residuals that characteristics made from them see before a date; more than their windows span.
+HISTORY_DAYS = 400
+
+
 def momentum(resid: DataFrame) -> DataFrame:
-    return X.zscore(W.idio_momentum(resid, 26, 4), "mom", "momentum", flat=0.0).select("date", "ticker", "momentum")
+    """Windows count dates, whether a name has a residual on them or not."""
+    return X.zscore(W.idio_momentum(P.densify(resid), 26, 4), "mom", "momentum", flat=0.0).select("date", "ticker", "momentum")
 
 
 def _reversion(resid: DataFrame) -> DataFrame:
-    return W.ou_score(resid, 30, 15, 4).select("date", "ticker", F.col("score").alias("reversion"))
+    return W.ou_score(P.densify(resid), 30, 15, 4).select("date", "ticker", F.col("score").alias("reversion"))
 
 
 _MACRO = ("macro_price", "macro_orders")
@@ -95,8 +104,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(figures (k, step, date, intercept, slopes, r2, ridge), residuals (k, step, date, ticker, x)) of rows (date, ticker, ret, w, w0, characteristics).
 
-    Residuals of k = 0 are the returns themselves. history: residuals of earlier dates as returned here; characteristics made from residuals see
-    them too, so that a run over new dates alone gives what a run over all dates gives for these. Dates of `rows` in it don't count.
+    Residuals of k = 0 are the returns themselves. history: residuals of earlier dates as returned here, of HISTORY_DAYS at least; characteristics
+    made from residuals see them too, so that a run over new dates alone gives what a run over all dates gives for these. Dates of `rows` in it don't count.
     """
     rows = checkpointed(rows)
     if history is not None:
@@ -124,10 +133,47 @@ def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: D
     return union(figures), union(residuals)
 
 
+def recent(spark: SparkSession, residuals: str, first: datetime.date, last: datetime.date, days: int = HISTORY_DAYS) -> DataFrame:
+    """The stored residuals from `days` before the first date up to the last; other dates' partitions are not read."""
+    held = spark.read.parquet(residuals)
+    held = held.where((F.col("date") >= F.lit(first - datetime.timedelta(days=days))) & (F.col("date") <= F.lit(last)))
+    return held.withColumn("date", F.to_date("date"))
+
+
 def update_model(rows: DataFrame, steps: Sequence[Step], min_names: int, figures: str, residuals: str) -> None:
-    """Run the steps over the dates of `rows` on the residuals stored at `residuals`, and replace these dates in both tables. Repeating it changes nothing."""
+    """Run the steps over the dates of `rows` on the recent residuals stored at `residuals`, and replace these dates in both tables.
+
+    Repeating it changes nothing. What is read and computed depends on the dates of `rows` and HISTORY_DAYS, not on how much is stored.
+    """
     spark = rows.sparkSession
-    history = spark.read.parquet(residuals).withColumn("date", F.to_date("date")) if exists(spark, residuals) else None
+    span = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    if span["first"] is None:
+        return
+    history = recent(spark, residuals, span["first"], span["last"]) if exists(spark, residuals) else None
     new_figures, new_residuals = run_steps(rows, steps, min_names, history)
     upsert_dates(new_figures, figures)
     upsert_dates(new_residuals, residuals)
+
+
+def missing_dates(rows: DataFrame, residuals: str, days: int = HISTORY_DAYS) -> DataFrame:
+    """(date): dates of the last `days` of `rows` that the stored residuals lack, late ones among them."""
+    spark = rows.sparkSession
+    span = rows.agg(F.max("date").alias("last")).first()
+    if span["last"] is None or not exists(spark, residuals):
+        return rows.select("date").distinct()
+    asked = rows.where(F.col("date") >= F.lit(span["last"] - datetime.timedelta(days=days))).select("date").distinct()
+    return asked.join(recent(spark, residuals, span["last"], span["last"], days).select("date").distinct(), "date", "left_anti")
+
+
+def stream_model(spark: SparkSession, source: str, schema: StructType | str, steps: Sequence[Step], min_names: int, figures: str, residuals: str, checkpoint: str) -> StreamingQuery:
+    """Update the model by the dates of all files that are new under `source`, a table partitioned by date, and stop.
+
+    Each batch reads the partitions of its dates whole, so that a date that comes in several files is computed from all of them; a replay replaces it.
+    """
+
+    def batch(arrived: DataFrame, _: int) -> None:
+        dates = sorted(r["date"] for r in arrived.select("date").distinct().collect())  # those of the new files
+        if dates:
+            update_model(spark.read.schema(schema).parquet(source).where(F.col("date").isin(dates)), steps, min_names, figures, residuals)
+
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

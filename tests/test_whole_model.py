@@ -10,6 +10,7 @@ from test_gram import chosen, solve
 
 from crossweave.operators import reports as N
 from crossweave.plans import queries, steps
+from crossweave.sources.tables import upsert_dates
 
 FOLDER = "/root/testdata/sf0.001"
 LEAST, SECTORS = 12, 3
@@ -40,21 +41,14 @@ def rows():
 
 
 def plain_momentum(resid):
-    """{(date, ticker): z-score of the residuals 26 to 5 rows back}, in the order of each ticker's own rows."""
-    by = {}
-    for (date, t), e in sorted(resid.items()):
-        by.setdefault(t, []).append((date, e))
-    raw = {}
-    for t, path in by.items():
-        for i, (date, _) in enumerate(path):
-            if i + 1 >= 28:
-                raw[date, t] = sum(e for _, e in path[i - 26 : i - 4])
+    """{(date, ticker): z-score of the residuals 26 to 5 dates back}, missing ones as 0."""
+    dates, names = sorted({d for d, _ in resid}), sorted({t for _, t in resid})
     out = {}
-    for date in {d for d, _ in raw}:
-        names = [k for k in raw if k[0] == date]
-        x = np.array([raw[k] for k in names])
-        sd = x.std(ddof=1) if len(x) > 1 else 0.0
-        out |= {k: (v - x.mean()) / sd if sd > 0 else 0.0 for k, v in zip(names, x, strict=True)}
+    for i, date in enumerate(dates):
+        if i + 1 >= 28:
+            x = np.array([sum(resid.get((d, t), 0.0) for d in dates[i - 26 : i - 4]) for t in names])
+            sd = x.std(ddof=1)
+            out |= {(date, t): v for t, v in zip(names, (x - x.mean()) / sd if sd > 0 else 0 * x, strict=True)}
     return out
 
 
@@ -96,12 +90,51 @@ def loop(spark, rows, version):
     return out
 
 
+FIGURES = "k int, step string, date date, intercept double, slopes array<double>, r2 double, ridge double"
+RESIDUALS = "k int, step string, date date, ticker string, x double"
+
+
+def by_date_equals(spark, rows, order, figures, residuals, folder):
+    """The last two dates, each updated by a file that a stream finds, on what is stored of those before."""
+    dates = sorted({r[0] for r in rows})
+    paths = [str(folder / n) for n in ("figures", "residuals")]
+    for path, stored, schema in zip(paths, (figures, residuals), (FIGURES, RESIDUALS), strict=True):
+        upsert_dates(spark.createDataFrame([r for r in stored if r.date < dates[-2]], schema), path)
+    source = str(folder / "rows")
+    frame = spark.createDataFrame(rows, SCHEMA).where(F.col("date") >= F.lit(dates[-4]))
+    assert sorted(r.date for r in steps.missing_dates(frame, paths[1]).collect()) == dates[-2:]
+    for date in dates[-2:]:
+        upsert_dates(frame.where(F.col("date") == F.lit(date)), source)
+        query = steps.stream_model(spark, source, frame.schema, order, LEAST, *paths, str(folder / "checkpoint"))
+        query.awaitTermination()
+        assert query.exception() is None
+    for path, whole, value in zip(paths, (figures, residuals), ("intercept", "x"), strict=True):
+        got = {(r.k, r.date, r.asDict().get("ticker")): r[value] for r in spark.read.parquet(path).withColumn("date", F.to_date("date")).where(F.col("date") >= F.lit(dates[-2])).collect()}
+        full = {(r.k, r.date, r.asDict().get("ticker")): r[value] for r in whole if r.date >= dates[-2]}
+        assert got.keys() == full.keys() and len(full) > 0
+        np.testing.assert_allclose([got[k] for k in full], [*full.values()], rtol=1e-8, atol=1e-10)
+    assert steps.missing_dates(frame, paths[1]).count() == 0
+
+
+def test_history_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "residuals")
+    days = [dt.date(2015, 1, 1) + dt.timedelta(days=30 * k) for k in range(60)]
+    upsert_dates(spark.createDataFrame([(1, "market", d, "A", 1.0) for d in days], RESIDUALS), path)
+    held = steps.recent(spark, path, days[-1], days[-1], 100)
+    assert sorted(r.date for r in held.collect()) == days[-4:]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "numFiles" not in plan
+    scan = held._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() <= 8
+
+
 @pytest.mark.parametrize("version", [steps.version1, steps.version2])
-def test_every_step_equals_the_loop(spark, rows, version):
+def test_every_step_equals_the_loop(spark, rows, version, tmp_path):
     order = version(SECTORS)
     want = loop(spark, rows, order)
     figures, residuals = steps.run_steps(spark.createDataFrame(rows, SCHEMA), order, LEAST)
     figures, residuals = figures.collect(), residuals.collect()
+    by_date_equals(spark, rows, order, figures, residuals, tmp_path)
     assert [s.name for s in order] == [r.step for r in sorted({(r.k, r.step): r for r in figures}.values(), key=lambda r: r.k)]
     for k, (step, (left, by_date)) in enumerate(zip(order, want, strict=True), 1):
         got = {(r.date, r.ticker): r.x for r in residuals if r.k == k}
