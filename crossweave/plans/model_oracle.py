@@ -140,7 +140,34 @@ _PRICED = "(SELECT * FROM afwd WHERE sector IS NOT NULL QUALIFY count(*) OVER (P
 _SIZED = "(SELECT a.*, ln(z.size) AS z FROM afwd a JOIN size0 z USING (anchor, ticker) WHERE a.sector IS NOT NULL AND z.size > 0 QUALIFY count(*) OVER (PARTITION BY a.anchor) >= 10)"
 _OFF = "SELECT n.*, b.beta, n.fwd - b.beta * n.mkt - avg(n.fwd - b.beta * n.mkt) OVER (PARTITION BY n.anchor, n.sector) AS y FROM {0} n JOIN ({1}) b USING (anchor, ticker)"
 
+_REGIMES = [(n, t) for n in (26, 52, 104) for t in (0.25, 0.5, 1.0)]
+CTE |= {
+    "at6": ("cal", "SELECT date, i FROM cal WHERE i % 6 = 0 AND i > 30"),
+    "rank6": ("cs at6 mom26 ccv", """SELECT ticker, date, metric, CASE WHEN n > 1 THEN (rank() OVER (PARTITION BY date, sector, metric ORDER BY w) + (count(*) OVER (PARTITION BY date, sector, metric, w) - 1) / 2.0 - 1) / (n - 1) ELSE 0.5 END AS r FROM (
+        SELECT *, greatest(quantile_cont(v, 0.01) OVER g, least(quantile_cont(v, 0.99) OVER g, v)) AS w, count(*) OVER g AS n FROM (
+          SELECT ticker, date, sector, m.metric, CASE m.metric WHEN 'x' THEN x WHEN 'tax' THEN round(tax, 9) WHEN 'returned' THEN round(returned, 9) WHEN 'volume' THEN volume WHEN 'mom' THEN round(mom, 9) ELSE round(vol, 9) END AS v
+          FROM cs JOIN at6 USING (date) LEFT JOIN mom26 USING (ticker, date) LEFT JOIN ccv USING (ticker, date) CROSS JOIN (SELECT unnest(['x', 'tax', 'returned', 'volume', 'mom', 'vol']) AS metric) m)
+        WHERE v IS NOT NULL WINDOW g AS (PARTITION BY date, sector, metric)) WHERE n >= 3"""),
+    "after": ("resid at6 cal", """SELECT date, ticker, horizon, round(y, 9) AS resid FROM (SELECT a.date, h.horizon, r.ticker, product(1 + r.resid) - 1 AS y, count(*) AS k FROM at6 a CROSS JOIN (SELECT unnest([4, 8]) AS horizon) h JOIN cal c ON c.i > a.i AND c.i <= a.i + h.horizon
+        JOIN resid r ON r.date = c.date WHERE r.resid IS NOT NULL AND a.i + h.horizon <= (SELECT max(i) FROM cal) GROUP BY 1, 2, 3) WHERE k >= horizon // 2 QUALIFY count(*) OVER (PARTITION BY date, horizon) >= 10"""),
+    "side6": ("after", "SELECT ticker, date, horizon, CASE WHEN up <= k THEN 1 ELSE -1 END AS side FROM (SELECT *, row_number() OVER (PARTITION BY date, horizon ORDER BY resid DESC, ticker) AS up, count(*) OVER (PARTITION BY date, horizon) AS n, greatest(1, floor(count(*) OVER (PARTITION BY date, horizon) * 0.1)) AS k FROM after) WHERE up <= k OR up > n - k"),
+    "wgt": ("rank6 side6", """SELECT conservative, metric, avg, t, greatest(t, 0) / sum(greatest(t, 0)) OVER (PARTITION BY conservative) AS weight FROM (SELECT *, median(avg) OVER w AS ma, median(t) OVER w AS mt FROM (
+        SELECT conservative, metric, avg(a) AS avg, avg(t) AS t FROM (SELECT year(date) IN (1996, 1997) AS conservative, metric, horizon, avg(z) AS a, avg(z) / nullif(stddev_samp(z) / sqrt(count(*)), 0) AS t FROM (
+          SELECT s.date, s.horizon, r.metric, (median(r.r) FILTER (s.side = 1) - median(r.r) FILTER (s.side = -1)) / any_value(d.sd) AS z FROM side6 s JOIN rank6 r USING (ticker, date)
+          JOIN (SELECT date, metric, stddev_samp(r) AS sd FROM rank6 GROUP BY 1, 2) d ON d.date = s.date AND d.metric = r.metric WHERE d.sd > 0 GROUP BY 1, 2, 3) WHERE z IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2)
+        WINDOW w AS (PARTITION BY conservative)) WHERE avg > 0 AND avg > ma AND t > mt"""),
+    "mix6": ("cs at6 rank6 wgt", """SELECT n.ticker, n.date, CASE WHEN (SELECT bool_or(NOT conservative) FROM wgt) THEN coalesce(g, 0) END AS g, CASE WHEN (SELECT bool_or(conservative) FROM wgt) THEN coalesce(c, 0) END AS c
+        FROM (SELECT DISTINCT ticker, date FROM cs JOIN at6 USING (date)) n LEFT JOIN (SELECT ticker, date, sum(weight * r) FILTER (NOT conservative) AS g, sum(weight * r) FILTER (conservative) AS c FROM rank6 JOIN wgt USING (metric) GROUP BY 1, 2) s USING (ticker, date)"""),
+    "reg6": ("nav at6", " UNION ALL ".join(f"""SELECT {n} AS win, {t}::DOUBLE AS threshold, a.date, coalesce((SELECT arg_max(q, date) FROM (
+        SELECT date, CASE WHEN m IS NULL THEN 0.5 WHEN v - m > {t} THEN 1.0 WHEN v - m < -{t} THEN 0.0 ELSE 0.5 END AS q FROM (SELECT date, nav * 100 AS v, CASE WHEN count(*) OVER w >= {n // 2} THEN avg(nav * 100) OVER w END AS m FROM nav WINDOW w AS (ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))) x WHERE x.date <= a.date), 0.5) AS q FROM at6 a""" for n, t in _REGIMES)),
+    "side7": ("after mix6", "SELECT ticker, date, horizon, CASE WHEN up <= k THEN 1 ELSE -1 END AS side FROM (SELECT *, row_number() OVER (PARTITION BY date, horizon ORDER BY resid DESC, ticker) AS up, count(*) OVER (PARTITION BY date, horizon) AS n, greatest(1, floor(count(*) OVER (PARTITION BY date, horizon) * 0.1)) AS k FROM after JOIN (SELECT ticker, date FROM mix6 WHERE g IS NOT NULL AND c IS NOT NULL) USING (ticker, date)) WHERE n >= 10 AND (up <= k OR up > n - k)"),
+}
+
 SQL: dict[str, str] = {
+    "regime_weights": _sql("wgt", "conservative metric", "avg t weight", "SELECT CAST(conservative AS INT) AS conservative, metric, avg, t, weight FROM wgt"),
+    "regime_grid": _sql("side7 reg6", '"window" horizon n_dates', "threshold mean_spread_z t_stat consistency", """SELECT win AS "window", threshold, horizon, avg(z) AS mean_spread_z, avg(z) / nullif(stddev_samp(z) / sqrt(count(*)), 0) AS t_stat, 100.0 * avg(CAST(z > 0 AS INT)) AS consistency, count(*) AS n_dates FROM (
+        SELECT r.win, r.threshold, s.date, s.horizon, (median(round((1 - r.q) * m.g + r.q * m.c, 12)) FILTER (s.side = 1) - median(round((1 - r.q) * m.g + r.q * m.c, 12)) FILTER (s.side = -1)) / any_value(d.sd) AS z FROM side7 s JOIN mix6 m USING (ticker, date) JOIN reg6 r ON r.date = s.date
+        JOIN (SELECT r.win, r.threshold, r.date, stddev_samp(round((1 - r.q) * m.g + r.q * m.c, 12)) AS sd FROM mix6 m JOIN reg6 r USING (date) GROUP BY 1, 2, 3) d ON d.win = r.win AND d.threshold = r.threshold AND d.date = s.date WHERE d.sd > 0 GROUP BY 1, 2, 3, 4) WHERE z IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2"""),
     "resid_prices": _sql("afwd", "ticker date", "beta resid", f"SELECT ticker, anchor AS date, beta, y AS resid FROM ({_OFF.format(_PRICED, _betas(_PRICED))})"),
     "resid_prices_size": _sql("afwd size0", "ticker date", "beta resid", f"""SELECT ticker, anchor AS date, beta, y - sum(y * q) OVER (PARTITION BY anchor) / nullif(sum(q * q) OVER (PARTITION BY anchor), 0) * q AS resid FROM (
         SELECT *, z - avg(z) OVER (PARTITION BY anchor, sector) AS q FROM ({_OFF.format(_SIZED, _betas(_SIZED))}))"""),

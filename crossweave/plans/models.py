@@ -10,12 +10,13 @@ from crossweave.operators import gram as G
 from crossweave.operators import horizon as H
 from crossweave.operators import panel as P
 from crossweave.operators import pooled as L
+from crossweave.operators import regimes as Z
 from crossweave.operators import reports as N
 from crossweave.operators import signals as I
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.plans import panels, steps
-from crossweave.plans.queries import _resid, _sector_names, _signal, _sized, _wanted, query, si_composite
+from crossweave.plans.queries import _disc, _market_path, _resid, _sector_names, _signal, _sized, _wanted, query, si_composite
 
 #: Names that a date needs for several regressors.
 LEAST = 12
@@ -204,3 +205,37 @@ def ou_diagnostic(spark, d):
     rows = W.volume_scalar(_resid(spark, d))
     out = W.ou_diagnostic(rows.select("ticker", "date", "resid", "scalar"), panels.dense(spark, d).select("ticker", "date", "close"))
     return out.withColumn("ou_valid", F.col("ou_valid").cast("int"))
+
+
+# -- a composite whose weights depend on the regime
+
+_METRICS = ["x", "tax", "returned", "volume", "mom", "vol"]
+_GUARDED = (1996, 1997)
+#: Names that a date needs in the composite's spreads.
+_SPREAD_LEAST = 10
+
+
+def _anchored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(metrics at every sixth date, what followed over four and eight weeks)."""
+    dates = P.calendar(panels.weekly(spark, d)).where("i % 6 = 0 AND i > 30").select("date")
+    vol = W.close_vol(panels.returns(spark, d)).select("ticker", "date", F.round("vol", 9).alias("vol"))
+    rows = _disc(spark, d).withColumns({c: F.round(c, 9) for c in ("tax", "returned")}).join(F.broadcast(dates), "date")
+    rows = rows.join(_momentum(spark, d).withColumn("mom", F.round("mom", 9)), ["ticker", "date"], "left").join(vol, ["ticker", "date"], "left")
+    left = _resid(spark, d).select("ticker", "date", "resid")
+    after = [H.stored_residuals(left, dates, h, least_days=h // 2, least=_SPREAD_LEAST).select("ticker", "date", F.lit(h).alias("horizon"), F.round("resid", 9).alias("resid")) for h in (4, 8)]
+    return rows, after[0].unionByName(after[1])
+
+
+@query
+def regime_weights(spark, d):
+    rows, after = _anchored(spark, d)
+    spreads = Z.metric_spreads(Z.ranked_metrics(rows, _METRICS), Z.deciles(after, _SPREAD_LEAST))
+    return Z.regime_weights(spreads, _GUARDED).withColumn("conservative", F.col("conservative").cast("int"))
+
+
+@query
+def regime_grid(spark, d):
+    """Nine settings of the regime, each with its weights' composite evaluated over two horizons."""
+    rows, after = _anchored(spark, d)
+    rates = _market_path(spark, d).select("date", (F.col("nav") * 100).alias("value"))
+    return Z.evaluated_grid(rows, _METRICS, after, rates, (26, 52, 104), (0.25, 0.5, 1.0), _GUARDED, _SPREAD_LEAST, hold=steps.checkpointed)
