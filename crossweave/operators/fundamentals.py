@@ -88,8 +88,29 @@ def first_changed(facts: DataFrame, wanted: DataFrame, metric: str, unit: float
     return found.where("olds > 0").select("ticker", "date", F.coalesce("changed", "new").alias("feq")).where(F.col("feq").isNotNull())
 
 
+def valuation_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sales: str, earnings: str, gross: str, shares: str) -> DataFrame:
+    """(ticker, date, cap, ps, pe, pgp, gs, gs_vol, gs_adj) as reported, of wanted (ticker, date, feq) with a price (ticker, date, close).
+
+    Multiples: capitalisation over four times the median of the eight quarters before feq, zeros left out. gs_vol: deviation of the four yearly growth rates back and
+    those ahead, in percent with one place, over 10 and at least 1, 1 with fewer than two rates; shown with three places. gs_adj: gs over it, with two.
+    """
+    back = eight_back(facts.where(F.col("metric") == sales), wanted, sales)
+    old = back.select("ticker", "date", (F.col("k") + 4).alias("k"), F.col("value").alias("before"))
+    ahead = four_forward(facts, wanted, sales)
+    pairs = back.where("k >= -4").unionByName(ahead).join(old, ["ticker", "date", "k"]).withColumn("g", F.round(100 * symmetric_growth(F.col("value"), F.col("before")), 1))
+    spread = pairs.groupBy("ticker", "date").agg(F.when(F.count("g") >= 2, F.greatest(F.stddev_samp("g") / 10, F.lit(1.0))).otherwise(1.0).alias("__vol"))
+    medians = [eight_back(facts, wanted, m).groupBy("ticker", "date").agg(F.median(F.nullif("value", F.lit(0.0))).alias(f"__{n}")) for n, m in (("ps", sales), ("pe", earnings), ("pgp", gross))]
+    count = eight_back(facts, wanted, shares).groupBy("ticker", "date").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("shares"))
+    out = count.join(prices.select("ticker", "date", "close"), ["ticker", "date"]).withColumn("cap", F.col("shares") * F.col("close"))
+    for part in (*medians, blended_growth(facts, wanted, sales).select("ticker", "date", "gs"), spread):
+        out = out.join(part, ["ticker", "date"], "left")
+    multiples = (safe_ratio(F.col("cap"), F.col(f"__{n}")).alias(n) for n in ("ps", "pe", "pgp"))
+    vol = F.coalesce("__vol", F.lit(1.0))
+    return out.select("ticker", "date", "cap", *multiples, "gs", F.round(vol, 3).alias("gs_vol"), F.round(F.col("gs") / vol, 2).alias("gs_adj"))
+
+
 def point_in_time_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sales: str, earnings: str, shares: str) -> DataFrame:
-    """(ticker, date, cap, ps, pe, gs, gs_vol, gs_adj) of wanted (ticker, date, feq), all tickers and dates in one plan.
+    """(ticker, date, cap, ps, pe, gs, gs_vol, gs_adj) of wanted (ticker, date, feq), all tickers and dates in one plan; the shorter form of valuation_metrics().
 
     Capitalisation: the last known share count times the price of the date. Multiples: capitalisation over four times the median quarter of the
     last four. gs_vol: deviation of the four yearly growth rates in percent over 10, at least 1.

@@ -108,9 +108,12 @@ def drawdown(path: DataFrame, value: str = "nav", keys: tuple[str, ...] = ()) ->
     return path.withColumn("drawdown", F.col(value) / F.max(value).over(w) - 1)
 
 
-def dynamic_cap(prices: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Adds cap to (ticker, date, close): the last size snapshot (ticker, date, size), moved by the price since."""
+def dynamic_cap(prices: DataFrame, snapshots: DataFrame, backfill: bool = False) -> DataFrame:
+    """Adds cap to (ticker, date, close): the last size snapshot (ticker, date, size), moved by the price since; backfill: before a ticker's first one, that one."""
     at = snapshots.join(prices.select("ticker", "date", F.col("close").alias("snap_close")), ["ticker", "date"], "left")
     held = asof_backward(prices, at.select("ticker", "date", "size", "snap_close"), ["size", "snap_close"])
+    if backfill:
+        first = at.where(F.col("size").isNotNull()).groupBy("ticker").agg(F.min_by(F.struct("size", "snap_close"), "date").alias("__f"))
+        held = held.join(first, "ticker", "left").withColumns({"snap_close": F.when(F.col("size").isNull(), F.col("__f.snap_close")).otherwise(F.col("snap_close")), "size": F.coalesce("size", "__f.size")}).drop("__f")
     moved = F.col("size") / F.nullif("snap_close", F.lit(0.0)) * F.col("close")
     return held.withColumn("cap", F.coalesce(moved, "size")).drop("size", "snap_close")

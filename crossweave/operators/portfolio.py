@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def nav(holdings: DataFrame, prices: DataFrame, rebalance: DataFrame | None = No
     return out.select("date", (F.col("base") * F.col("growth")).alias("nav"))
 
 
+def daily_nav(holdings: DataFrame, prices: DataFrame, rebalance: DataFrame | None = None) -> DataFrame:
+    """(date, nav): equal weights again each day, from (date, ticker) up to the day before the next date, chained.
+
+    A day earns the mean change of the held names' prices, filled within the period; names without a price count as unchanged, a period's first
+    day earns nothing, and the value stands still where nothing is held. rebalance: as in nav().
+    """
+    starts = (holdings if rebalance is None else rebalance).select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date"))).withColumnRenamed("date", "start")
+    dated = prices.select("date").distinct().join(starts, (F.col("date") >= F.col("start")) & (F.col("next").isNull() | (F.col("date") < F.col("next")))).select("date", "start")
+    held = dated.join(holdings.select(F.col("date").alias("start"), "ticker"), "start").join(prices.select("date", "ticker", "close"), ["date", "ticker"], "left")
+    w = Window.partitionBy("start", "ticker").orderBy("date")
+    held = held.withColumn("__p", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    change = F.coalesce(F.try_divide("__p", F.nullif(F.lag("__p").over(w), F.lit(0.0))) - 1, F.lit(0.0))
+    daily = dated.join(held.withColumn("__r", change).groupBy("date").agg(F.avg("__r").alias("__r")), "date", "left")
+    chain = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a date
+    return daily.select("date", F.product(1 + F.coalesce("__r", F.lit(0.0))).over(chain).alias("nav"))
+
+
+def compared(baseline: DataFrame, alternative: DataFrame, periods: int = 252, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(portfolio, total, years, cagr, vol, sharpe, max_drawdown, final, ahead) of two paths (date, nav) over the dates of both; ahead: share of dates, in percent, with the higher value.
+
+    hold: applied to the two paths, a row a date, which are read four times, e.g. a checkpoint.
+    """
+    both = hold(baseline.select("date", F.col("nav").alias("a")).join(alternative.select("date", F.col("nav").alias("b")), "date"))
+    out = None
+    for name, own, other in (("baseline", "a", "b"), ("alternative", "b", "a")):
+        path = both.select("date", F.col(own).alias("nav"))
+        lead = both.agg(F.max_by(own, "date").alias("final"), F.avg(F.when(F.col(own) > F.col(other), 100.0).otherwise(0.0)).alias("ahead"))
+        figures = performance(path, periods).crossJoin(lead).select(F.lit(name).alias("portfolio"), "*")  # one row each
+        out = figures if out is None else out.unionByName(figures)
+    return out
+
+
 def performance(path: DataFrame, periods: int = 252) -> DataFrame:
     """(total, years, cagr, vol, sharpe, max_drawdown) of (date, nav)."""
     w = Window.orderBy("date")  # a row a date

@@ -16,10 +16,12 @@ def positive_share(c: str) -> Column:
     return F.avg(F.when(F.col(c) > 0, 100.0).when(F.col(c).isNotNull(), 0.0))
 
 
-def sector_ic(rows: DataFrame, signal: str, target: str, least: int = 10, keys: tuple[str, ...] = ("date",)) -> DataFrame:
-    """(keys, ic, n): Spearman within sectors of at least `least` names, averaged by their numbers of names."""
+def sector_ic(rows: DataFrame, signal: str, target: str, least: int = 10, keys: tuple[str, ...] = ("date",), positive: bool = False) -> DataFrame:
+    """(keys, ic, n): Spearman within sectors of at least `least` names, averaged by their numbers of names; positive: signals that are not are dropped."""
     inner = (*keys, "sector")
-    known = rows.where(F.col(signal).isNotNull() & F.col(target).isNotNull()).withColumn("__n", F.count("*").over(Window.partitionBy(*inner))).where(F.col("__n") >= least)
+    known = rows.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
+    known = known.where(F.col(signal) > 0) if positive else known
+    known = known.withColumn("__n", F.count("*").over(Window.partitionBy(*inner))).where(F.col("__n") >= least)
     known = winsorized(winsorized(known, signal, "__s", inner), target, "__t", inner)
     ranked = known.withColumns({"__rs": average_rank("__s", inner), "__rt": average_rank("__t", inner)})
     by = ranked.groupBy(*inner).agg(F.corr("__rs", "__rt").alias("ic"), F.count("*").alias("n")).where(F.col("ic").isNotNull() & ~F.isnan("ic"))

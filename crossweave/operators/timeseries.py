@@ -87,8 +87,11 @@ def idio_momentum(residuals: DataFrame, long: int = MOM_LONG, skip: int = MOM_SK
 
 
 def scaled_idio_momentum(residuals: DataFrame, low: float = 0.5, high: float = 3.0, long: int = MOM_LONG, skip: int = MOM_SKIP) -> DataFrame:
-    """idio_momentum of residuals times the clipped volume scalar."""
-    return idio_momentum(residuals.withColumn("__r", F.col("resid") * clip(F.col("scalar"), low, high)), long, skip, "__r").drop("__r")
+    """idio_momentum of residuals times the clipped volume scalar, where all but ten dates of the window, at least, have a scalar of any name."""
+    days = residuals.groupBy("date").agg(F.max(F.col("scalar").isNotNull().cast("int")).alias("__has"))
+    days = days.withColumn("__overlap", F.sum("__has").over(Window.orderBy("date").rowsBetween(-long, -skip - 1))).select("date", "__overlap")  # a row a date
+    out = idio_momentum(residuals.withColumn("__r", F.col("resid") * clip(F.col("scalar"), low, high)), long, skip, "__r").drop("__r").join(days, "date")
+    return out.withColumn("mom", F.when(F.col("__overlap") >= long - skip - 10, F.col("mom"))).drop("__overlap")
 
 
 def volume_scalar(panel: DataFrame, rows: int = 10, low: float = 0.5, high: float = 3.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossweave.plans.oracle import CTE, _sql
+from crossweave.plans.oracle import CTE, _backtest, _sql
 
 CTE |= {
     "sized": ("beta", """SELECT * REPLACE (coalesce((s - ms) / nullif(sds, 0), 0) AS s), coalesce((s - ms) / nullif(sds, 0), 0) AS size, greatest(s, 0) AS w0 FROM (
@@ -163,7 +163,63 @@ CTE |= {
     "side7": ("after mix6", "SELECT ticker, date, horizon, CASE WHEN up <= k THEN 1 ELSE -1 END AS side FROM (SELECT *, row_number() OVER (PARTITION BY date, horizon ORDER BY resid DESC, ticker) AS up, count(*) OVER (PARTITION BY date, horizon) AS n, greatest(1, floor(count(*) OVER (PARTITION BY date, horizon) * 0.1)) AS k FROM after JOIN (SELECT ticker, date FROM mix6 WHERE g IS NOT NULL AND c IS NOT NULL) USING (ticker, date)) WHERE n >= 10 AND (up <= k OR up > n - k)"),
 }
 
+def _eight(metric: str, table: str) -> str:
+    return f"""SELECT ticker, date, k, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker, date ORDER BY k) AS value FROM (
+        SELECT w.ticker, w.date, t.k, arg_max(f.{metric}, f.download) AS v FROM want w CROSS JOIN (SELECT unnest(range(-8, 0)) AS k) t LEFT JOIN {table} f ON f.ticker = w.ticker AND f.period = w.feq + t.k GROUP BY 1, 2, 3)"""
+
+
+_G = "(n.value - o.value) / nullif(abs((n.value + o.value) / 2), 0)"
+CTE |= {
+    "f1": ("", """SELECT CAST(l_suppkey AS VARCHAR) AS ticker, year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS period, CAST(date_trunc('month', o_orderdate) AS DATE) AS download,
+        sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS gross, sum(l_quantity)::DOUBLE AS shares FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"""),
+    "q8e": ("want f0", _eight("profit", "f0")),
+    "q8g": ("want f1", _eight("gross", "f1")),
+    "q8s": ("want f1", _eight("shares", "f1")),
+    "val": ("q8 q8e q8g q8s q4 filled", f"""SELECT *, round(gs / vol, 2) AS gs_adj FROM (SELECT s.ticker, s.date, s.shares * p.close AS cap, s.shares * p.close AS c0, m.m AS m_ps, e.m AS m_pe, h.m AS m_pgp, g.gs, coalesce(v.vol, 1.0) AS vol FROM (SELECT ticker, date, arg_max(value, k) FILTER (value IS NOT NULL) AS shares FROM q8s GROUP BY 1, 2) s
+        JOIN (SELECT w.ticker, w.date, arg_max(f.close, f.date) AS close FROM want w JOIN filled f ON f.ticker = w.ticker AND f.date <= w.date WHERE f.close IS NOT NULL GROUP BY 1, 2) p USING (ticker, date)
+        LEFT JOIN (SELECT ticker, date, median(nullif(value, 0)) AS m FROM q8 GROUP BY 1, 2) m USING (ticker, date) LEFT JOIN (SELECT ticker, date, median(nullif(value, 0)) AS m FROM q8e GROUP BY 1, 2) e USING (ticker, date) LEFT JOIN (SELECT ticker, date, median(nullif(value, 0)) AS m FROM q8g GROUP BY 1, 2) h USING (ticker, date)
+        LEFT JOIN (SELECT ticker, date, CASE WHEN count(g) >= 2 THEN greatest(stddev_samp(g) / 10, 1) ELSE 1.0 END AS vol FROM (SELECT n.ticker, n.date, round(100 * {_G}, 1) AS g FROM (SELECT * FROM q8 WHERE k >= -4 UNION ALL SELECT * FROM q4 WHERE value IS NOT NULL) n JOIN q8 o ON o.ticker = n.ticker AND o.date = n.date AND o.k = n.k - 4) GROUP BY 1, 2) v USING (ticker, date)
+        LEFT JOIN (SELECT a.ticker, a.date, round(100 * CASE WHEN f.n > 0 THEN (f.n / 2.0 * f.forward + a.actual) / (f.n / 2.0 + 1) ELSE a.actual END, 2) AS gs FROM (
+          SELECT n.ticker, n.date, median({_G}) AS actual FROM q8 n JOIN q8 o ON o.ticker = n.ticker AND o.date = n.date AND o.k = n.k - 4 WHERE n.k >= -4 GROUP BY 1, 2) a LEFT JOIN (
+          SELECT n.ticker, n.date, median({_G}) AS forward, count({_G}) AS n FROM q4 n JOIN q8 o ON o.ticker = n.ticker AND o.date = n.date AND o.k = n.k - 4 WHERE n.value IS NOT NULL GROUP BY 1, 2) f USING (ticker, date)) g USING (ticker, date))"""),
+}
+_MULTIPLES = ("ps", "pe", "pgp")
+_QUINTILE = "CASE WHEN {c} > 0 AND count(CASE WHEN {c} > 0 THEN 1 END) OVER (PARTITION BY date) > 1 THEN greatest(1, ceil((row_number() OVER (PARTITION BY date ORDER BY CASE WHEN {c} > 0 THEN {c} END NULLS LAST, ticker) - 1) * 5 / (count(CASE WHEN {c} > 0 THEN 1 END) OVER (PARTITION BY date) - 1))) END"
+
+
+def _compared(a: str, b: str) -> str:
+    """The figures of two paths over the dates of both."""
+    line = """SELECT '{name}' AS portfolio, total, years, cagr, vol, cagr / nullif(vol, 0) AS sharpe, max_drawdown, l AS final, ahead FROM (SELECT l / f - 1 AS total, days / 365.25 AS years, pow(l / f, 365.25 / days) - 1 AS cagr, vol, max_drawdown, l, ahead FROM (
+        SELECT arg_min(nav, date) AS f, arg_max(nav, date) AS l, date_diff('day', min(date), max(date)) AS days, stddev_samp(r) * sqrt(52) AS vol, min(dd) AS max_drawdown, 100.0 * avg(CAST(nav > other AS INT)) AS ahead FROM (
+          SELECT date, nav, other, nav / lag(nav) OVER (ORDER BY date) - 1 AS r, nav / max(nav) OVER (ORDER BY date) - 1 AS dd FROM (SELECT x.date, x.nav, y.nav AS other FROM ({own}) x JOIN ({other}) y USING (date)))))"""
+    return line.format(name="baseline", own=a, other=b) + " UNION ALL " + line.format(name="alternative", own=b, other=a)
+
+
+_PLAIN = "SELECT date, ticker, 0.05 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY factor DESC, ticker) AS rank FROM fac WHERE factor IS NOT NULL QUALIFY count(*) OVER (PARTITION BY date) >= 20) WHERE rank <= 20"
+_CAPPED = """SELECT date, ticker, 0.05 AS weight FROM (SELECT r.date, r.ticker, row_number() OVER (PARTITION BY r.date ORDER BY r.factor DESC, r.ticker) AS rank FROM ranked r JOIN (
+        SELECT date, min(c) AS c FROM (SELECT r.date, t.c FROM ranked r CROSS JOIN (SELECT unnest(range(5, 21)) AS c) t GROUP BY 1, 2 HAVING count(*) FILTER (r.s <= t.c) >= 20) GROUP BY date) m USING (date) WHERE r.s <= m.c) WHERE rank <= 20"""
+CTE["sicp"] = (CTE["sic"][0], CTE["sic"][1].replace("FROM sig WHERE x IS NOT NULL", "FROM (SELECT * REPLACE (round(x - 0.04, 9) AS x) FROM sig) WHERE x > 0"))
+CTE["ranked"] = ("fac", "SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY factor DESC, ticker) AS s FROM fac WHERE factor IS NOT NULL QUALIFY count(*) OVER (PARTITION BY date) >= 20")
+
 SQL: dict[str, str] = {
+    "valuation_metrics": _sql("val", "ticker date", "cap ps pe pgp gs gs_vol gs_adj", "SELECT ticker, date, cap, " + ", ".join(f"round(c0 / nullif(4 * m_{c}, 0), 2) * 1000 AS {c}" for c in _MULTIPLES) + ", gs, round(vol, 3) AS gs_vol, gs_adj FROM val"),
+    "growth_value": _sql("val sec", "ticker date", "factor", f"""SELECT ticker, date, g / nullif(list_median, 0) AS factor FROM (SELECT ticker, date, g, list_aggregate(list_filter([{', '.join(f'q_{c}::DOUBLE' for c in _MULTIPLES)}], lambda z: z IS NOT NULL), 'median') AS list_median FROM (
+        SELECT ticker, date, gs_adj - median(gs_adj) OVER (PARTITION BY date, sector) AS g, {', '.join(_QUINTILE.format(c=c) + f' AS q_{c}' for c in _MULTIPLES)} FROM (
+          SELECT v.ticker, v.date, s.sector, v.gs_adj, {', '.join(f'round(1000 * c0 / nullif(4 * m_{c}, 0), 2) AS {c}' for c in _MULTIPLES)} FROM val v JOIN sec s USING (ticker)))) WHERE g / nullif(list_median, 0) IS NOT NULL"""),
+    "nav_daily": _sql("capped filled cal", "date", "nav", """SELECT date, product(1 + coalesce(r, 0)) OVER (ORDER BY date) AS nav FROM (SELECT d.date, avg(x.r) AS r FROM (
+          SELECT c.date, s.start, s.next FROM cal c JOIN (SELECT date AS start, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM capped)) s ON c.date >= s.start AND (s.next IS NULL OR c.date < s.next)) d
+        LEFT JOIN (SELECT start, date, coalesce(p / nullif(lag(p) OVER (PARTITION BY start, ticker ORDER BY date), 0) - 1, 0) AS r FROM (
+          SELECT h.date AS start, h.ticker, c.date, last_value(f.close IGNORE NULLS) OVER (PARTITION BY h.date, h.ticker ORDER BY c.date) AS p FROM capped h JOIN (SELECT date AS start, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM capped)) s ON s.start = h.date
+          JOIN cal c ON c.date >= s.start AND (s.next IS NULL OR c.date < s.next) LEFT JOIN filled f ON f.ticker = h.ticker AND f.date = c.date)) x ON x.date = d.date GROUP BY d.date)"""),
+    "backtest_compared": _sql("cal filled reb fac ranked", "portfolio", "total years cagr vol sharpe max_drawdown final ahead", _compared(_backtest(_PLAIN), _backtest(_CAPPED))),
+    "dynamic_size_backfilled": _sql("px", "ticker date", "cap", """SELECT p.ticker, p.date, coalesce(coalesce(s.size, b.size) / nullif(CASE WHEN s.size IS NULL THEN b.snap ELSE s.snap END, 0) * p.close, s.size, b.size) / 1e6 AS cap FROM px p ASOF LEFT JOIN snaps s ON p.ticker = s.ticker AND p.date >= s.date
+        LEFT JOIN (SELECT ticker, arg_min(size, date) AS size, arg_min(snap, date) AS snap FROM snaps GROUP BY ticker) b ON b.ticker = p.ticker""").replace(" SELECT ticker, date, CASE", ", snaps AS (SELECT g.ticker, g.date, g.size, px.close AS snap FROM (SELECT ticker, max(date) AS date, sum(amount) AS size FROM px WHERE date >= DATE '1993-01-01' GROUP BY ticker, date_trunc('quarter', date)) g LEFT JOIN px USING (ticker, date)) SELECT ticker, date, CASE", 1),
+    "ic_positive": _sql("sicp", "date n", "ic", "FROM sicp"),
+    "portfolio_risk": _sql("beta lam perp1", "", "factor_risk idio_risk total", f"""SELECT sqrt(f) AS factor_risk, sqrt(o) AS idio_risk, sqrt(f + o) AS total FROM (SELECT 52 * (bb * bb * vb + bs * bs * vs + 2 * bb * bs * c) AS f FROM (
+          SELECT sum(beta / n) AS bb, sum(z / n) AS bs FROM (SELECT *, CASE WHEN beta IS NOT NULL THEN count(*) FILTER (beta IS NOT NULL) OVER () END AS n FROM (
+            SELECT date, beta, coalesce((s - avg(s) OVER ()) / nullif(stddev_samp(s) OVER (), 0), 0) AS z FROM (SELECT date, beta, ln(greatest(coalesce(cap, 1), 1)) AS s FROM beta WHERE date = (SELECT max(date) FROM beta WHERE beta IS NOT NULL)))) WHERE beta IS NOT NULL) CROSS JOIN (
+          SELECT (SELECT var_samp(slope) FROM lam) AS vb, (SELECT var_samp(b1) FROM ({solved('perp1', 'resid', ['perp'], 5)})) AS vs, (SELECT covar_samp(l.slope, r.b1) FROM lam l JOIN ({solved('perp1', 'resid', ['perp'], 5)}) r USING (date)) AS c)) CROSS JOIN (
+        SELECT 52 * sum(v / n / n) AS o FROM (SELECT ticker, count(*) OVER () AS n FROM beta WHERE date = (SELECT max(date) FROM beta WHERE beta IS NOT NULL) AND beta IS NOT NULL) JOIN (SELECT ticker, var_samp(ret) AS v FROM ret GROUP BY 1 HAVING v IS NOT NULL) USING (ticker))"""),
     "regime_weights": _sql("wgt", "conservative metric", "avg t weight", "SELECT CAST(conservative AS INT) AS conservative, metric, avg, t, weight FROM wgt"),
     "regime_grid": _sql("side7 reg6", '"window" horizon n_dates', "threshold mean_spread_z t_stat consistency", """SELECT win AS "window", threshold, horizon, avg(z) AS mean_spread_z, avg(z) / nullif(stddev_samp(z) / sqrt(count(*)), 0) AS t_stat, 100.0 * avg(CAST(z > 0 AS INT)) AS consistency, count(*) AS n_dates FROM (
         SELECT r.win, r.threshold, s.date, s.horizon, (median(round((1 - r.q) * m.g + r.q * m.c, 12)) FILTER (s.side = 1) - median(round((1 - r.q) * m.g + r.q * m.c, 12)) FILTER (s.side = -1)) / any_value(d.sd) AS z FROM side7 s JOIN mix6 m USING (ticker, date) JOIN reg6 r ON r.date = s.date

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from crossweave.operators import fundamentals as Q
 from crossweave.operators import gram as G
 from crossweave.operators import horizon as H
+from crossweave.operators import backtest as T
 from crossweave.operators import panel as P
 from crossweave.operators import pooled as L
+from crossweave.operators import portfolio as B
 from crossweave.operators import regimes as Z
 from crossweave.operators import reports as N
 from crossweave.operators import signals as I
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.plans import panels, steps
-from crossweave.plans.queries import _disc, _market_path, _resid, _sector_names, _signal, _sized, _wanted, query, si_composite
+from crossweave.plans.queries import _backtest, _disc, _market_path, _resid, _scores, _sector_names, _signal, _sized, _wanted, query, si_composite
 
 #: Names that a date needs for several regressors.
 LEAST = 12
@@ -239,3 +241,50 @@ def regime_grid(spark, d):
     rows, after = _anchored(spark, d)
     rates = _market_path(spark, d).select("date", (F.col("nav") * 100).alias("value"))
     return Z.evaluated_grid(rows, _METRICS, after, rates, (26, 52, 104), (0.25, 0.5, 1.0), _GUARDED, _SPREAD_LEAST, hold=steps.checkpointed)
+
+
+# -- variants
+
+@query
+def valuation_metrics(spark, d):
+    wanted = _wanted(spark, d)
+    filled = P.forward_fill(panels.dense(spark, d), "close")
+    at = P.asof_backward(wanted.select("ticker", "date"), filled.where(F.col("close").isNotNull()).select("ticker", "date", "close"), ["close"])
+    out = Q.valuation_metrics(panels.statements(spark, d), wanted, at.where(F.col("close").isNotNull()), "revenue", "profit", "gross", "shares")
+    return out.withColumns({c: F.col(c) * 1000 for c in ("ps", "pe", "pgp")})
+
+
+@query
+def growth_value(spark, d):
+    """Growth adjusted for its deviation, less the sector's median, over the median quintile of three multiples."""
+    wanted = _wanted(spark, d)
+    filled = P.forward_fill(panels.dense(spark, d), "close")
+    at = P.asof_backward(wanted.select("ticker", "date"), filled.where(F.col("close").isNotNull()).select("ticker", "date", (F.col("close") * 1000).alias("close")), ["close"])
+    metrics = Q.valuation_metrics(panels.statements(spark, d), wanted, at.where(F.col("close").isNotNull()), "revenue", "profit", "gross", "shares")
+    return Q.growth_value_factor(metrics.join(panels.sectors(spark, d), "ticker")).select("ticker", "date", "factor")
+
+
+@query
+def nav_daily(spark, d):
+    """The capped selection, weighted equally again each date."""
+    held = B.sector_capped(_scores(spark, d), 20, 3)
+    return B.daily_nav(held, P.forward_fill(panels.dense(spark, d), "close").select("date", "ticker", "close"))
+
+
+@query
+def backtest_compared(spark, d):
+    """The plain selection against one with a sector cap."""
+    return B.compared(_backtest(spark, d, T.Config(20)), _backtest(spark, d, T.Config(20, sector_cap=5)), 52, hold=steps.checkpointed)
+
+
+@query
+def dynamic_size_backfilled(spark, d):
+    rows = panels.prices(spark, d).select("ticker", "date", "close", "amount")
+    snaps = rows.where("date >= date'1993-01-01'").withColumn("__m", F.date_trunc("quarter", "date")).groupBy("ticker", "__m").agg(F.max("date").alias("date"), F.sum("amount").alias("size")).drop("__m")
+    return P.dynamic_cap(rows.drop("amount"), snaps, backfill=True).select("ticker", "date", (F.col("cap") / 1e6).alias("cap"))
+
+
+@query
+def ic_positive(spark, d):
+    """Information coefficients of positive signals alone."""
+    return I.sector_ic(_signal(spark, d).withColumn("x", F.round(F.col("x") - 0.04, 9)), "x", "fwd", least=5, positive=True)

@@ -56,6 +56,18 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     return sums.unpivot(["ticker", "period", "download"], ["revenue", "profit"], "metric", "value")
 
 
+def statements(spark: SparkSession, folder: str) -> DataFrame:
+    """facts() with two metrics more: gross (after tax) and shares (quantities)."""
+    li, o = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_suppkey").cast("string").alias("ticker"), (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).alias("period"), F.date_trunc("month", "o_orderdate").cast("date").alias("download"),
+        (price * (1 + F.col("l_tax"))).alias("gross"), F.col("l_quantity").cast("double").alias("shares"),
+    )
+    sums = rows.groupBy("ticker", "period", "download").agg(F.sum("gross").alias("gross"), F.sum("shares").alias("shares"))
+    return facts(spark, folder).unionByName(sums.unpivot(["ticker", "period", "download"], ["gross", "shares"], "metric", "value"))
+
+
 def short_interest(spark: SparkSession, folder: str) -> DataFrame:
     rows = weekly(spark, folder)
     return rows.select("ticker", "date", F.when(F.col("returned") > 0, F.col("tax")).alias("si_pct"), (F.col("volume") * F.col("returned")).alias("si_shares"), F.col("volume").alias("si_available"))

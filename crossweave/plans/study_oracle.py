@@ -81,9 +81,4 @@ SQL: dict[str, str] = {
         LEFT JOIN f0 n ON n.ticker = a.ticker AND n.period = a.period AND n.download = a.d1 LEFT JOIN f0 o ON o.ticker = a.ticker AND o.period = a.period AND o.download = a.d0 GROUP BY a.ticker, a.date, a.feq"""),
     "capw_mean_clipped": _sql("cs", "date sector n", "mean", "SELECT date, sector, count(*) AS n, sum(greatest(lo, least(hi, x)) * volume) / sum(volume) AS mean FROM (SELECT *, quantile_cont(x, 0.02) OVER w AS lo, quantile_cont(x, 0.98) OVER w AS hi FROM cs WHERE x IS NOT NULL AND volume > 0 WINDOW w AS (PARTITION BY date, sector)) GROUP BY 1, 2"),
     "moved_caps": _sql("px", "ticker", "cap", "SELECT ticker, s.size * l.close / nullif(p.close, 0) AS cap FROM (SELECT ticker, max(date) AS date, arg_max(amount, date) / 1000 AS size FROM px WHERE date < DATE '1996-06-01' GROUP BY 1) s JOIN px p USING (ticker, date) JOIN (SELECT ticker, arg_max(close, date) AS close FROM px GROUP BY 1) l USING (ticker)"),
-    "portfolio_risk": _sql("beta lam", "", "factor_risk idio_risk total", """SELECT sqrt(f) AS factor_risk, sqrt(o) AS idio_risk, sqrt(f + o) AS total FROM (SELECT 52 * (bb * bb * vb + bs * bs * vs + 2 * bb * bs * c) AS f FROM (
-          SELECT sum(beta / n) AS bb, sum(z / n) AS bs FROM (SELECT *, CASE WHEN beta IS NOT NULL THEN count(*) FILTER (beta IS NOT NULL) OVER () END AS n FROM (
-            SELECT date, beta, coalesce((s - avg(s) OVER ()) / nullif(stddev_samp(s) OVER (), 0), 0) AS z FROM (SELECT date, beta, ln(greatest(coalesce(cap, 1), 1)) AS s FROM beta WHERE date = (SELECT max(date) FROM beta WHERE beta IS NOT NULL)))) WHERE beta IS NOT NULL) CROSS JOIN (
-          SELECT (SELECT var_samp(slope) FROM lam) AS vb, (SELECT var_samp(mkt) FROM (SELECT DISTINCT date, mkt FROM ret WHERE mkt IS NOT NULL)) AS vs, (SELECT covar_samp(l.slope, r.mkt) FROM lam l JOIN (SELECT DISTINCT date, mkt FROM ret WHERE mkt IS NOT NULL) r USING (date)) AS c)) CROSS JOIN (
-        SELECT 52 * sum(v / n / n) AS o FROM (SELECT ticker, count(*) OVER () AS n FROM beta WHERE date = (SELECT max(date) FROM beta WHERE beta IS NOT NULL) AND beta IS NOT NULL) JOIN (SELECT ticker, var_samp(ret) AS v FROM ret GROUP BY 1 HAVING v IS NOT NULL) USING (ticker))"""),
 }
