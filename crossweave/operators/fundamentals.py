@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweave.functions.scalar import safe_ratio, symmetric_growth
+from crossweave.functions.scalar import safe_ratio, symmetric_growth, zero_to_null
 from crossweave.operators.panel import asof_both
 from crossweave.operators.xsection import demeaned, quantile_bucket
 
@@ -99,7 +99,7 @@ def valuation_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sa
     ahead = four_forward(facts, wanted, sales)
     pairs = back.where("k >= -4").unionByName(ahead).join(old, ["ticker", "date", "k"]).withColumn("g", F.round(100 * symmetric_growth(F.col("value"), F.col("before")), 1))
     spread = pairs.groupBy("ticker", "date").agg(F.when(F.count("g") >= 2, F.greatest(F.stddev_samp("g") / 10, F.lit(1.0))).otherwise(1.0).alias("__vol"))
-    medians = [eight_back(facts, wanted, m).groupBy("ticker", "date").agg(F.median(F.nullif("value", F.lit(0.0))).alias(f"__{n}")) for n, m in (("ps", sales), ("pe", earnings), ("pgp", gross))]
+    medians = [eight_back(facts, wanted, m).groupBy("ticker", "date").agg(F.median(zero_to_null(F.col("value"))).alias(f"__{n}")) for n, m in (("ps", sales), ("pe", earnings), ("pgp", gross))]
     count = eight_back(facts, wanted, shares).groupBy("ticker", "date").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("shares"))
     out = count.join(prices.select("ticker", "date", "close"), ["ticker", "date"]).withColumn("cap", F.col("shares") * F.col("close"))
     for part in (*medians, blended_growth(facts, wanted, sales).select("ticker", "date", "gs"), spread):
