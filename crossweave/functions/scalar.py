@@ -11,6 +11,15 @@ def clean_ticker(c: Column) -> Column:
     return F.upper(F.split(F.trim(c), " ")[0])
 
 
+def with_suffix(c: Column, suffix: str = " US") -> Column:
+    return F.concat(c, F.lit(suffix))
+
+
+def without_suffix(c: Column, suffix: str = " US") -> Column:
+    """Without the suffix wherever it stands, as it is written."""
+    return F.replace(c, F.lit(suffix), F.lit(""))
+
+
 def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 

@@ -52,6 +52,13 @@ def blended_growth(facts: DataFrame, wanted: DataFrame, metric: str) -> DataFram
     return out.withColumn("gs", F.round(100 * F.when(F.col("n_forward") > 0, (m * F.col("forward") + F.col("actual")) / (m + 1)).otherwise(F.col("actual")), 2))
 
 
+def reported_growth(facts: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
+    """(ticker, date, gs): the median symmetric yearly growth of the last four quarters alone, in percent with two places."""
+    back = eight_back(facts, wanted, metric)
+    pair = back.withColumn("__b", F.lag("value", 4).over(Window.partitionBy("ticker", "date").orderBy("k")))
+    return pair.groupBy("ticker", "date").agg(F.round(100 * F.median(symmetric_growth(F.col("value"), F.col("__b"))), 2).alias("gs"))
+
+
 def first_estimated(facts: DataFrame, status: DataFrame, dates: DataFrame, metric: str, tolerance: float = 0.01) -> DataFrame:
     """(ticker, date, feq): which quarter was the first estimate at each date.
 
@@ -127,14 +134,14 @@ def point_in_time_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame
     return out.select("ticker", "date", "cap", safe_ratio(F.col("cap"), F.col("__s")).alias("ps"), safe_ratio(F.col("cap"), F.col("__e")).alias("pe"), "gs", "gs_vol", (F.col("gs") / F.col("gs_vol")).alias("gs_adj"))
 
 
-def growth_value_factor(metrics: DataFrame) -> DataFrame:
-    """Adds factor to (date, ticker, sector, gs_adj, multiples): growth less its sector's median, over the median quintile of the positive multiples."""
-    rows = demeaned(metrics, "gs_adj", "__g", by_median=True)
+def growth_value_factor(metrics: DataFrame, growth: str = "gs_adj", complete: bool = False) -> DataFrame:
+    """Adds factor to (date, ticker, sector, growth, multiples): growth less its sector's median, over the median quintile of the positive multiples; complete: of all of them only."""
+    rows = demeaned(metrics, growth, "__g", by_median=True)
     multiples = [c for c in ("ps", "pe", "pgp") if c in metrics.columns]
     for c in multiples:
         rows = quantile_bucket(rows.withColumn(f"__{c}", F.when(F.col(c) > 0, F.col(c))), f"__{c}", f"__q_{c}")
     known = F.array_sort(F.filter(F.array(*(F.col(f"__q_{c}").cast("double") for c in multiples)), lambda x: x.isNotNull()))
     n = F.size(known)
-    middle = F.when(n > 0, (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2)
+    middle = F.when(n > (len(multiples) - 1 if complete else 0), (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2)
     out = rows.withColumn("factor", F.try_divide("__g", middle)).where(F.col("factor").isNotNull())
     return out.select(*metrics.columns, "factor")

@@ -58,6 +58,12 @@ def valid_dates(returns: DataFrame, min_names: int) -> DataFrame:
     return returns.groupBy("date").agg(F.count("ret").alias("n")).where(F.col("n") >= min_names).select("date")
 
 
+def complete_dates(dense: DataFrame, column: str, drop: str = "any") -> DataFrame:
+    """The dates of a dense panel less those on which any name, or with drop="all" every name, lacks the column."""
+    known = F.col(column).isNotNull()
+    return dense.groupBy("date").agg((F.every(known) if drop == "any" else F.some(known)).alias("__kept")).where("__kept").select("date")
+
+
 def spike_filter(prices: DataFrame, up: float = 3.0, down: float = 0.2, band: float = 0.15, price: str = "close") -> DataFrame:
     """Adds spike and cleaned: a jump that comes back within two rows to `band` of where it started is dropped and filled forward."""
     w = by_ticker()
@@ -88,6 +94,11 @@ def asof_backward(target: DataFrame, source: DataFrame, values: list[str], key:
     return out.select(*target.columns, *(F.col("__v")[v].alias(v) for v in values))
 
 
+def equality_filled(target: DataFrame, source: DataFrame, values: list[str], backfill: bool = False) -> DataFrame:
+    """Adds the values of source rows of the same (ticker, date), then carries them forward; what source has on dates that target lacks is lost, unlike in asof_backward()."""
+    return forward_fill(target.join(source.select("ticker", "date", *values), ["ticker", "date"], "left"), *values, backfill=backfill)
+
+
 def asof_both(target: DataFrame, source: DataFrame, key: str = "ticker") -> DataFrame:
     """Adds before and after to each row of `target` (key, date): the last date of `source` (key, date) up to it and the first one later; linear, one shuffle."""
     rows = target.withColumns({"__side": F.lit(1), "__d": F.lit(None).cast("date")})

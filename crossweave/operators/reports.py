@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.operators.signals import t_statistic
+from crossweave.sources.tables import first_of, normalised
 
 
 def universe(prices: DataFrame, sectors: DataFrame, reporting: DataFrame, start, lookback: int = 252, least: int = 126, not_stocks: DataFrame | None = None) -> DataFrame:
@@ -112,6 +113,13 @@ def derived_metrics(rows: DataFrame, pairs: dict[str, tuple[str, str, str]]) ->
     return rows.withColumns({name: one(*spec) for name, spec in pairs.items()})
 
 
+def snapshot(rows: DataFrame, on: str, numeric: list[str], pairs: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """One row a ticker of one date with its numbers read and its derived metrics; of tickers that read alike, the first as written."""
+    rows = rows.where((F.col("date") == F.lit(on).cast("date")) & F.col("ticker").isNotNull()).withColumn("__raw", F.col("ticker"))
+    rows = first_of(normalised(rows), ["ticker"], "__raw").drop("__raw")
+    return derived_metrics(rows.withColumns({c: F.col(c).try_cast("double") for c in numeric if c in rows.columns}), pairs)
+
+
 def regime_composite(rows: DataFrame, growth: str, conservative: str, regime: str, out: str = "score") -> DataFrame:
     """(1 - q) growth + q conservative."""
     return rows.withColumn(out, (1 - F.col(regime)) * F.col(growth) + F.col(regime) * F.col(conservative))

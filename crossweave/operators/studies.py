@@ -133,6 +133,30 @@ def scored_momentum(rows: DataFrame, value: str, least: int = 5) -> DataFrame:
     return zscore(known, value, "momentum", flat=None).select("ticker", "date", "momentum")
 
 
+def momentum_at(residuals: DataFrame, wanted: DataFrame, long: int = 252, skip: int = 21, least: int = 5, scaled: bool = False) -> DataFrame:
+    """(ticker, date, momentum) of wanted (ticker, date): z-scores of the sum of residuals from `long` to `skip` + 1 dates back, all strictly before the date.
+
+    A date needs `long` + 1 dates of residuals before it and `least` names; a name without residuals in the window has a sum of 0, one without any has none.
+    scaled: residuals times the column scalar, as it is, where all but ten dates of the window, at least, have a scalar of any name; a name that never has one has none then.
+    """
+    has = F.max(F.col("scalar").isNotNull().cast("int")) if scaled else F.max(F.lit(0))
+    days = residuals.groupBy("date").agg(has.alias("__has")).withColumn("__asked", F.lit(0))
+    both = days.unionByName(wanted.select("date").distinct().select("date", F.lit(0).alias("__has"), F.lit(1).alias("__asked")))
+    upto = Window.orderBy("date", F.desc("__asked")).rowsBetween(Window.unboundedPreceding, 0)  # a row a date: an asked date stands before the residuals of its day
+    both = both.withColumn("__i", F.sum(1 - F.col("__asked")).over(upto) + F.col("__asked"))
+    both = both.withColumn("__overlap", F.sum("__has").over(Window.orderBy("__i").rangeBetween(-long, -skip - 1)))
+    product = F.col("resid") * F.col("scalar") if scaled else F.lit(None).cast("double")
+    rows = residuals.join(both.where("__asked = 0").select("date", "__i"), "date").select("ticker", "date", "__i", "resid", product.alias("__p"), F.lit(0).alias("__asked"), F.lit(0).cast("long").alias("__overlap"))
+    names = residuals.groupBy("ticker").agg(has.alias("__has"))
+    asked = wanted.select("ticker", "date").distinct().join(both.where((F.col("__asked") == 1) & (F.col("__i") >= long + 2)).select("date", "__i", "__overlap"), "date").join(names, "ticker")
+    nothing = F.lit(None).cast("double")
+    line = rows.withColumn("__has", F.lit(0)).unionByName(asked.withColumns({"resid": nothing, "__p": nothing, "__asked": F.lit(1)}))
+    total = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy("ticker").orderBy("__i").rangeBetween(-long, -skip - 1)), F.lit(0.0))
+    use = F.lit(scaled) & (F.coalesce("__overlap", F.lit(0)) >= long - skip - 10)
+    out = line.withColumn("__m", F.when(use, F.when(F.col("__has") == 1, total("__p"))).otherwise(total("resid"))).where("__asked = 1")
+    return scored_momentum(out.select("ticker", "date", "__m"), "__m", least)
+
+
 def top_names(scores: DataFrame, reference: str, n: int, columns: list[str]) -> DataFrame:
     """(date, ticker, rank, columns): the best n names by score of the last date up to the reference."""
     upto = scores.where(F.col("date") <= F.lit(reference))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweave.functions.scalar import clip, log_return
+from crossweave.functions.scalar import clip, log_return, zero_to_null
 
 BETA_WINDOW, BETA_HALF_LIFE = 252, 126
 VOL_WINDOW, VOL_HALF_LIFE = 84, 42
@@ -98,6 +98,14 @@ def volume_scalar(panel: DataFrame, rows: int = 10, low: float = 0.5, high: floa
     return panel.withColumn("scalar", clip(F.try_divide("volume", F.nullif(F.avg("volume").over(_rows(-(rows - 1), 0)), F.lit(0.0))), low, high))
 
 
+def prior_volume_scalar(panel: DataFrame, rows: int = 10, low: float = 0.5, high: float = 3.0) -> DataFrame:
+    """Adds scalar: the volume over the mean of the `rows` rows before, clipped; zeros and gaps are filled from before. A name's first `rows` rows have none."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    filled = panel.withColumn("__v", F.last(zero_to_null(F.col("volume")), ignorenulls=True).over(_rows(Window.unboundedPreceding, 0)))
+    share = F.try_divide("__v", zero_to_null(F.avg("__v").over(_rows(-rows, -1))))
+    return filled.withColumn("scalar", F.when(F.row_number().over(w) > rows, clip(share, low, high))).drop("__v")
+
+
 def reversal(panel: DataFrame, rows: int = 21) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
     return panel.withColumn("reversal", log_return(F.lag("close", 1).over(w), F.lag("close", rows + 1).over(w)))

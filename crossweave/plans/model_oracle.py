@@ -201,7 +201,26 @@ _CAPPED = """SELECT date, ticker, 0.05 AS weight FROM (SELECT r.date, r.ticker,
 CTE["sicp"] = (CTE["sic"][0], CTE["sic"][1].replace("FROM sig WHERE x IS NOT NULL", "FROM (SELECT * REPLACE (round(x - 0.04, 9) AS x) FROM sig) WHERE x > 0"))
 CTE["ranked"] = ("fac", "SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY factor DESC, ticker) AS s FROM fac WHERE factor IS NOT NULL QUALIFY count(*) OVER (PARTITION BY date) >= 20")
 
+_SCORED = "SELECT ticker, date, (m - avg(m) OVER d) / nullif(stddev_samp(m) OVER d, 0) AS momentum FROM ({}) WHERE m IS NOT NULL WINDOW d AS (PARTITION BY date) QUALIFY count(*) OVER (PARTITION BY date) >= 5"
+_WINDOW = "PARTITION BY ticker ORDER BY date ROWS BETWEEN"
+
 SQL: dict[str, str] = {
+    "growth_value_first": _sql("val q8 sec", "ticker date", "factor", f"""SELECT ticker, date, g / nullif(list_median, 0) AS factor FROM (SELECT ticker, date, g, q_ps, q_pe, q_pgp, list_aggregate([{', '.join(f'q_{c}::DOUBLE' for c in _MULTIPLES)}], 'median') AS list_median FROM (
+        SELECT ticker, date, gs - median(gs) OVER (PARTITION BY date, sector) AS g, {', '.join(_QUINTILE.format(c=c) + f' AS q_{c}' for c in _MULTIPLES)} FROM (
+          SELECT v.ticker, v.date, s.sector, h.gs, {', '.join(f'round(1000 * c0 / nullif(4 * m_{c}, 0), 2) AS {c}' for c in _MULTIPLES)} FROM val v JOIN sec s USING (ticker)
+          LEFT JOIN (SELECT n.ticker, n.date, round(100 * median({_G}), 2) AS gs FROM q8 n JOIN q8 o ON o.ticker = n.ticker AND o.date = n.date AND o.k = n.k - 4 GROUP BY 1, 2) h USING (ticker, date)))
+        WHERE q_ps IS NOT NULL AND q_pe IS NOT NULL AND q_pgp IS NOT NULL) WHERE g / nullif(list_median, 0) IS NOT NULL"""),
+    "momentum_raw_volume": _sql("resid", "ticker date", "momentum", _SCORED.format(f"""SELECT ticker, date, CASE WHEN i >= 254 THEN coalesce(sum(resid * q) OVER ({_WINDOW} 252 PRECEDING AND 22 PRECEDING), 0) END AS m FROM (
+        SELECT *, CASE WHEN i > 10 AND v / prior IS NOT NULL THEN greatest(0.5, least(3.0, v / prior)) END AS q FROM (SELECT *, nullif(avg(v) OVER ({_WINDOW} 10 PRECEDING AND 1 PRECEDING), 0) AS prior FROM (
+          SELECT *, last_value(nullif(volume, 0) IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS v FROM resid)))""")),
+    "momentum_at_rebalance": _sql("resid score", "ticker date", "momentum", _SCORED.format(f"""SELECT * FROM (SELECT ticker, date, CASE WHEN i >= 254 THEN coalesce(sum(resid * q) OVER ({_WINDOW} 252 PRECEDING AND 22 PRECEDING), 0) END AS m FROM (
+        SELECT *, volume / nullif(avg(volume) OVER ({_WINDOW} 9 PRECEDING AND CURRENT ROW), 0) AS q FROM resid)) SEMI JOIN score USING (ticker, date)""")),
+    "size_equality_filled": _sql("dense wk", "ticker date", "size", """SELECT ticker, date, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date), first_value(s IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS size FROM (
+        SELECT d.ticker, d.date, q.s FROM dense d LEFT JOIN (SELECT ticker, CAST(date_trunc('quarter', date) AS DATE) AS date, sum(amount) AS s FROM wk GROUP BY 1, 2) q ON q.ticker = d.ticker AND q.date = d.date)"""),
+    "complete_dates": _sql("ret", "date kept", "", "SELECT date, 'all' AS kept FROM ret GROUP BY date HAVING bool_and(ret IS NOT NULL) UNION ALL SELECT date, 'some' FROM ret GROUP BY date HAVING bool_or(ret IS NOT NULL)"),
+    "quality_snapshot": _sql("cs", "ticker date sector", "x tax returned by_vol by_r2", """SELECT 'N' || ticker AS ticker, date, sector, x, tax, returned, x / greatest(volume, 1) AS by_vol, tax * returned AS by_r2 FROM (
+        SELECT * REPLACE (round(tax, 9) AS tax, round(returned, 9) AS returned) FROM cs WHERE date = DATE '1995-01-02')"""),
+    "ticker_suffix": "SELECT s_suppkey AS id, upper(s_name) || ' US' AS marked, upper(s_name) AS bare FROM supplier",
     "valuation_metrics": _sql("val", "ticker date", "cap ps pe pgp gs gs_vol gs_adj", "SELECT ticker, date, cap, " + ", ".join(f"round(c0 / nullif(4 * m_{c}, 0), 2) * 1000 AS {c}" for c in _MULTIPLES) + ", gs, round(vol, 3) AS gs_vol, gs_adj FROM val"),
     "growth_value": _sql("val sec", "ticker date", "factor", f"""SELECT ticker, date, g / nullif(list_median, 0) AS factor FROM (SELECT ticker, date, g, list_aggregate(list_filter([{', '.join(f'q_{c}::DOUBLE' for c in _MULTIPLES)}], lambda z: z IS NOT NULL), 'median') AS list_median FROM (
         SELECT ticker, date, gs_adj - median(gs_adj) OVER (PARTITION BY date, sector) AS g, {', '.join(_QUINTILE.format(c=c) + f' AS q_{c}' for c in _MULTIPLES)} FROM (

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossweave.functions import scalar as S_
 from crossweave.operators import fundamentals as Q
 from crossweave.operators import gram as G
 from crossweave.operators import horizon as H
@@ -15,6 +18,7 @@ from crossweave.operators import portfolio as B
 from crossweave.operators import regimes as Z
 from crossweave.operators import reports as N
 from crossweave.operators import signals as I
+from crossweave.operators import studies as S
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.plans import panels, steps
@@ -264,6 +268,62 @@ def growth_value(spark, d):
     return Q.growth_value_factor(metrics.join(panels.sectors(spark, d), "ticker")).select("ticker", "date", "factor")
 
 
+@query
+def growth_value_first(spark, d):
+    """The same with reported growth as it is, of names with all three multiples."""
+    wanted = _wanted(spark, d)
+    filled = P.forward_fill(panels.dense(spark, d), "close")
+    at = P.asof_backward(wanted.select("ticker", "date"), filled.where(F.col("close").isNotNull()).select("ticker", "date", (F.col("close") * 1000).alias("close")), ["close"])
+    facts = panels.statements(spark, d)
+    multiples = Q.valuation_metrics(facts, wanted, at.where(F.col("close").isNotNull()), "revenue", "profit", "gross", "shares").drop("gs")
+    rows = multiples.join(Q.reported_growth(facts, wanted, "revenue"), ["ticker", "date"], "left").join(panels.sectors(spark, d), "ticker")
+    return Q.growth_value_factor(rows, "gs", complete=True).select("ticker", "date", "factor")
+
+
+@query
+def momentum_raw_volume(spark, d):
+    """Momentum of residuals times their volume over that of the ten dates before."""
+    rows = W.prior_volume_scalar(_resid(spark, d)).withColumn("scaled", F.col("resid") * F.col("scalar"))
+    return S.scored_momentum(W.idio_momentum(rows, value="scaled"), "mom")
+
+
+@query
+def momentum_at_rebalance(spark, d):
+    """Momentum of residuals at rebalance dates, weighted by volume without bounds."""
+    rows = W.volume_scalar(_resid(spark, d), low=0.0, high=math.inf)
+    return S.momentum_at(rows.select("ticker", "date", "resid", "scalar"), _scores(spark, d), scaled=True)
+
+
+@query
+def size_equality_filled(spark, d):
+    """Quarterly sums on the dates that have prices, carried forward, and back before a name's first."""
+    rows = panels.weekly(spark, d)
+    quarterly = rows.groupBy("ticker", F.date_trunc("quarter", "date").cast("date").alias("date")).agg(F.sum("amount").alias("size"))
+    return P.equality_filled(panels.dense(spark, d).select("ticker", "date"), quarterly, ["size"], backfill=True)
+
+
+@query
+def complete_dates(spark, d):
+    """Dates on which all names have a return, and those on which one has."""
+    rows = panels.returns(spark, d)
+    both = P.complete_dates(rows, "ret").withColumn("kept", F.lit("all")).unionByName(P.complete_dates(rows, "ret", drop="all").withColumn("kept", F.lit("some")))
+    return both.select("date", "kept")
+
+
+@query
+def quality_snapshot(spark, d):
+    """One date's metrics, read from text, with those derived from them."""
+    rows = _disc(spark, d).withColumn("ticker", F.concat(F.lit(" n"), "ticker", F.lit(" us"))).withColumns({c: F.round(c, 9).cast("string") for c in ("tax", "returned")})
+    out = N.snapshot(rows, "1995-01-02", ["tax", "returned"], {"by_vol": ("x", "vol", "volume"), "by_r2": ("tax", "r2", "returned")})
+    return out.select("ticker", "date", "sector", "x", "tax", "returned", "by_vol", "by_r2")
+
+
+@query
+def ticker_suffix(spark, d):
+    rows = panels.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), S_.with_suffix(F.upper("s_name")).alias("marked"))
+    return rows.withColumn("bare", S_.without_suffix(F.col("marked")))
+
+
 @query
 def nav_daily(spark, d):
     """The capped selection, weighted equally again each date."""

@@ -24,6 +24,12 @@ def wide_to_long(wide: DataFrame, date: str, value: str) -> DataFrame:
     return rows.groupBy("date", "ticker").agg(F.min_by(value, "__k").alias(value))
 
 
+def normalised(rows: DataFrame, ticker: str = "ticker", date: str | None = None) -> DataFrame:
+    """The key columns in one form: the ticker's first word upper-cased, the date as a date; what is no date becomes NULL."""
+    out = rows.withColumn(ticker, clean_ticker(F.col(ticker)))
+    return out if date is None else out.withColumn(date, F.col(date).try_cast("date"))
+
+
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
 
