@@ -286,3 +286,4 @@ SQL: dict[str, str] = {
     "first_model": _sql("first4", "step date n factor", "intercept r2 slope", " UNION ALL ".join([*(_long(s, solved("first", "ret", xs, 12), len(xs)) for s, xs in _SETS[:3]), _long("momentum", solved("first4", "ret", [*_SETS[2][1], "momentum"], 12), 7)])),
     "factor_chain": _sql("chain3", "factor date", "intercept slope r2", " UNION ALL ".join([_LINE.format("beta", solved("sized", "ret", ["beta"], 5)), _LINE.format("size", solved("perp1", "resid", ["perp"], 5)), _LINE.format("momentum", solved(_CHAIN3, "resid", ["perp"], 5))])),
 }
+SQL["model_by_date"] = SQL["factor_chain"]  # dates one by one give what all at once give

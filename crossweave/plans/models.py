@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from crossweave.operators import studies as S
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
 from crossweave.plans import panels, steps
-from crossweave.plans.queries import _backtest, _disc, _market_path, _resid, _scores, _sector_names, _signal, _sized, _wanted, query, si_composite
+from crossweave.plans.queries import MIN_NAMES, _backtest, _disc, _market_path, _resid, _scores, _sector_names, _signal, _sized, _wanted, query, si_composite
 
 #: Names that a date needs for several regressors.
 LEAST = 12
@@ -128,6 +129,22 @@ def first_model(spark, d):
     return fits.drop("k").unionByName(full).select("step", "date", "n", "intercept", "r2", F.posexplode("slopes").alias("factor", "slope"))
 
 
+_BY_DATE = (steps.Step("beta", ("beta",)), steps.Step("size", ("size",), ("beta",)), steps.Step("momentum", ("momentum",), ("beta", "size"), made=steps.momentum))
+
+
+@query
+def model_by_date(spark, d):
+    """Three steps over all dates but the last two, then over these one by one, from the residuals stored before; what the store holds at the end."""
+    rows = steps.checkpointed(_sized(spark, d).select("date", "ticker", "ret", "beta", "size", "w", "w0"))
+    last = [r["date"] for r in rows.select("date").distinct().orderBy(F.desc("date")).limit(2).collect()]
+    stored = f"{steps.shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    figures, residuals = f"{stored}/figures", f"{stored}/residuals"
+    for part in (~F.col("date").isin(last), *(F.col("date") == x for x in reversed(last))):
+        steps.update_model(rows.where(part), _BY_DATE, MIN_NAMES, figures, residuals)
+    held = spark.read.schema("k int, step string, intercept double, slopes array<double>, r2 double, ridge double, date date").parquet(figures)
+    return held.select(F.col("step").alias("factor"), "date", "intercept", F.get("slopes", F.lit(0)).alias("slope"), "r2")
+
+
 # -- pooled regressions over ranks
 
 _FACTORS = ["x", "tax", "returned"]
