@@ -6,12 +6,14 @@ in which a random token is still uniform, and three statistics compare it with u
 of the character counts, the number of runs of the alphabet's halves, and the correlation of neighbours; each as a normal deviate, combined
 as the root of their squares. A candidate is reported if the combined deviate is below what about one random token in a thousand exceeds, and
 if false discoveries are controlled: bundled statistics of words (pairs of letters, changes of case, digits, marks) give the likelihood of the
-token as text, uniform characters that of a random one, and text must have at most `rate` of the odds where both are equally common. Longer
-tokens tell more. Nothing depends on what else the corpus holds: a token gets the same verdict in every table.
+token as text, uniform characters that of a random one. The ratio of the two is at most the chance that text looks as random as that, so the
+Benjamini-Hochberg step over it bounds the share of text among what is reported. It is taken by class of length, over all different candidates
+of the table: where a share q of a class is reported, text must have at most q * `rate` of the odds. A class of random tokens alone keeps the
+odds of `rate`; one random token among ten thousand words must be ten thousand times clearer. The ratios are counted by eighths of a bit.
 
 Texts are read once; what goes on are spans.
 
-Defined results: positions count code points; a null text is empty and has no spans; rows with equal doc_id are scanned one by one; equal
+Defined results: what a text reports beyond the fixed patterns depends on the other texts of the table; positions count code points; a null text is empty and has no spans; rows with equal doc_id are scanned one by one; equal
 texts give equal spans; spans of one start are in the order of KINDS; very long texts are scanned whole; an empty table gives an empty
 result; other columns are not read.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.llm.common import materialise
@@ -55,6 +57,8 @@ ENCODINGS = {
 #: The root of the 99.9 % point of chi-squared with three degrees of freedom.
 MOST_DEVIATE = 4.033
 RATE = 0.05
+#: Bins a bit of likelihood has, bits beyond which all count alike, and classes of length that a doubling has. At most 62 classes of 16,001 bins.
+BINS, FARTHEST, CLASSES = 8, 1000, 2
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Row a, column b: how much likelier b is after a in words (English, German, French, Spanish, Italian, Dutch) than any letter; m is 0, a letter half a bit.
 _PAIRS = (
@@ -145,6 +149,19 @@ def _text_bits(body: Column, k: Column) -> Column:
     return F.aggregate(coded, begin, step, lambda a: a["bits"])
 
 
+def _limits(tested: DataFrame, rate: float) -> DataFrame:
+    """(class, limit): the bits that reported tokens of each class of length stay below; no row for a class without any.
+
+    A row of `tested` (class, token, deviate, bits) a candidate; equal tokens count once. Both tables that follow are bounded by BINS, FARTHEST and CLASSES.
+    """
+    place = F.floor(F.greatest(F.least(F.col("bits"), F.lit(float(FARTHEST))), F.lit(-float(FARTHEST))) * BINS)
+    bins = tested.withColumns({"bin": place, "passed": F.col("deviate") < MOST_DEVIATE}).select("class", "token", "bin", "passed").distinct()
+    bins = bins.groupBy("class", "bin").agg(F.count("*").alias("n"), F.count_if("passed").alias("k"))
+    share = F.sum("k").over(Window.partitionBy("class").orderBy("bin")) / F.sum("n").over(Window.partitionBy("class"))
+    limits = bins.withColumn("limit", F.log2(share) + math.log2(rate / (1 - rate)))
+    return limits.where((F.col("bin") + 1) / BINS <= F.col("limit")).groupBy("class").agg(F.max("limit").alias("limit"))
+
+
 def _ranked(kind: str, rank: int) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
 
@@ -165,8 +182,10 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     tokens = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("__text"), s["start"] + 1, s["end"] - s["start"]).alias("token")))
     held = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", tokens.alias("tokens")), "secret-spans")
     tested = _deviates(held.select("row", F.explode("tokens").alias("t")).select("row", "t.*"))
-    tested = materialise(tested.select("row", "start", "end", "deviate", "bits"), "secret-tokens")
-    found = tested.where((F.col("deviate") < MOST_DEVIATE) & (F.col("bits") < math.log2(rate / (1 - rate))))
+    length = F.floor(CLASSES * F.log2(F.col("n").cast("double"))).cast("int")
+    tested = materialise(tested.select("row", "start", "end", "deviate", "bits", length.alias("class"), F.xxhash64("token").alias("token")), "secret-tokens")
+    passed = tested.where((F.col("deviate") < MOST_DEVIATE) & (F.col("bits") < math.log2(rate / (1 - rate))))
+    found = passed.join(F.broadcast(_limits(tested, rate)), "class").where(F.col("bits") < F.col("limit"))  # a row a class
     extra = found.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), "end")).alias("extra"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
     named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["end"].alias("end")))
