@@ -20,6 +20,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,8 @@ ENCODINGS = {
 #: The root of the 99.9 % point of chi-squared with three degrees of freedom.
 MOST_DEVIATE = 4.033
 RATE = 0.05
+#: Spans of a kind up to which looking at all is less work than halving.
+FEW = 16
 #: Bins a bit of likelihood has, bits beyond which all count alike, and classes of length that a doubling has. At most 62 classes of 16,001 bins.
 BINS, FARTHEST, CLASSES = 8, 1000, 2
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -75,9 +78,12 @@ _FOLLOWS = ((0.88, 0.04, 0.03, 0.05), (0.15, 0.77, 0.04, 0.04), (0.06, 0.04, 0.7
 _SIZES = (26, 26, 10, 2)
 
 
-def _spans(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
-    """Adds column `kind`: array of (start, end) of the leftmost non-overlapping matches whose group has `least` characters."""
-    gaps, found, held, out = (f"__{kind}_{x}" for x in ("gaps", "found", "held", "out"))
+def _spans(rows: DataFrame, kind: str, pattern: str, group: int, least: int, token: bool = False) -> DataFrame:
+    """Adds column `kind`: array of (start, end) of the leftmost non-overlapping matches whose group has `least` characters; token: with the match.
+
+    Matches are placed in blocks of about the root of their number: totals of blocks first, then each block from where it starts.
+    """
+    gaps, found, held, blocks, begins = (f"__{kind}_{x}" for x in ("gaps", "found", "held", "blocks", "begins"))
     some = F.col("__text").rlike(_HINTS[kind])
     none = F.array().cast("array<string>")
     rows = rows.withColumns(
@@ -87,16 +93,33 @@ def _spans(rows: DataFrame, kind: str, pattern: str, group: int, least: int) ->
             held: F.when(some, F.regexp_extract_all("__text", F.lit(pattern), F.lit(group))).otherwise(none),
         }
     )
+    n = F.size(found)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    fields = "start:int,end:int,token:string" if token else "start:int,end:int"
+    empty = F.array().cast(f"array<struct<{fields}>>")
+    inside = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda b: F.sequence(b * width, F.least((b + 1) * width, n) - 1))
+    rows = rows.withColumn(blocks, F.when(n > 0, inside).otherwise(F.array().cast("array<array<int>>")))
+    size = lambda i: F.length(F.get(F.col(gaps), i)) + F.length(F.get(F.col(found), i))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda at, i: at + size(i)))
+    rows = rows.withColumn(begins, F.aggregate(totals, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t))))
 
     def step(a: Column, i: Column) -> Column:
         start = a["at"] + F.length(F.get(F.col(gaps), i))
         end = start + F.length(F.get(F.col(found), i))
-        kept = F.when(F.length(F.get(F.col(held), i)) >= least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        one = F.struct(start.alias("start"), end.alias("end"), *([F.get(F.col(found), i).alias("token")] if token else []))
+        kept = F.when(F.length(F.get(F.col(held), i)) >= least, F.array(one)).otherwise(empty)
         return F.struct(end.alias("at"), F.concat(a["out"], kept).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    located = F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda a: a["out"])).otherwise(begin["out"])
-    return rows.withColumn(kind, located).drop(gaps, found, held, out)
+    placed = F.transform(blocks, lambda x, b: F.aggregate(x, F.struct(F.get(F.col(begins), b).alias("at"), empty.alias("out")), step, lambda a: a["out"]))
+    return rows.withColumn(kind, F.flatten(placed)).drop(gaps, found, held, blocks, begins)
+
+
+def _meets(span: Column, kind: str) -> Column:
+    """Whether a span meets one of the column `kind`, spans in order that do not overlap: the last one that starts before its end, found by halving."""
+    few = F.exists(kind, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    before = lambda k: F.coalesce(F.get(F.col(kind), k - 1)["start"] < span["end"], F.lit(False))
+    last = F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), lambda at, width: F.when(before(at + width), at + width).otherwise(at))
+    return F.when(F.size(kind) <= FEW, few).otherwise(F.coalesce(F.get(F.col(kind), last - 1)["end"] > span["start"], F.lit(False)))
 
 
 def _deviates(tokens: DataFrame) -> DataFrame:
@@ -175,12 +198,11 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     for kind, (pattern, group, least) in BASE.items():
         rows = _spans(rows, kind, pattern, group, least)
-    rows = _spans(rows, "random", RANDOM, 0, 20)
+    rows = _spans(rows, "random", RANDOM, 0, 20, token=True)
     base = F.concat(*(_ranked(kind, k) for k, kind in enumerate(BASE)))
     rows = rows.withColumn("base", F.array_sort(base))
-    free = F.filter("random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    tokens = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("__text"), s["start"] + 1, s["end"] - s["start"]).alias("token")))
-    held = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", tokens.alias("tokens")), "secret-spans")
+    free = F.filter("random", lambda s: ~functools.reduce(lambda a, b: a | b, (_meets(s, kind) for kind in BASE)))
+    held = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", free.alias("tokens")), "secret-spans")
     tested = _deviates(held.select("row", F.explode("tokens").alias("t")).select("row", "t.*"))
     length = F.floor(CLASSES * F.log2(F.col("n").cast("double"))).cast("int")
     tested = materialise(tested.select("row", "start", "end", "deviate", "bits", length.alias("class"), F.xxhash64("token").alias("token")), "secret-tokens")

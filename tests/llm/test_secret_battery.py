@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -127,3 +128,24 @@ def test_no_class_without_candidates(spark):
     limits = {r["class"]: r.limit for r in S._limits(one, 0.05).collect()}
     assert limits == {8: pytest.approx(math.log2(0.05 / 0.95)), 10: pytest.approx(math.log2(0.05 / 0.95))}
     assert one.where(F.col("class") == 9).count() == 1
+
+
+def test_many_matches_of_one_text(spark):
+    """Places of tens of thousands of matches, in time that grows with them; candidates that meet a fixed match are none."""
+    rng = random.Random(8)
+    kinds = [lambda: "password=" + "".join(rng.choices(LOWER, k=rng.randint(3, 9))), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(20, 40))), lambda: "AKIA" + "".join(rng.choices(UPPER, k=rng.randint(10, 20))), lambda: "".join(rng.choices(UPPER + LOWER + DIGITS, k=30)), lambda: "é", lambda: "token: " + "".join(rng.choices(UPPER + LOWER + DIGITS, k=30))]
+    long = {n: " ".join(rng.choice(kinds)() for _ in range(n)) for n in (1, 2, 3, 17, 500, 10_000, 40_000)}
+    took = {}
+    for n, x in long.items():
+        begin = time.time()
+        (got,) = S.secret_spans(spark.createDataFrame([(1, x)], "doc_id long, text string")).collect()
+        took[n] = time.time() - begin
+        want = [(m.start(), kind, m.end()) for kind, (pattern, group, least) in S.BASE.items() for m in re.finditer(pattern, x) if len(m.group(group)) >= least]
+        assert [tuple(s) for s in got.spans if s.kind != "random"] == sorted(want, key=lambda s: (s[0], S.KINDS.index(s[1]))), n
+        taken = [False] * len(x)
+        for a, _, b in want:
+            taken[a:b] = [True] * (b - a)
+        free = [m.group() for m in re.finditer(S.RANDOM, x) if not any(taken[m.start() : m.end()])]
+        keep = reported(free)
+        assert [x[s.start : s.end] for s in got.spans if s.kind == "random"] == [t for t in free if t in keep], n
+    assert took[40_000] < 8 * took[10_000] + 5, took
