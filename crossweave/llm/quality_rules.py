@@ -144,5 +144,9 @@ def cascade(measured_docs: DataFrame, in_order: Sequence[Rule]) -> DataFrame:
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """`docs` with the columns of measured(), failed_rule and kept."""
+    """`docs` with the columns of measured(), failed_rule and kept.
+
+    kept is the same in every run; failed_rule is the rule met first, in an order that follows costs measured on the machine, so that of several rules that
+    reject a document another may be named in another run.
+    """
     return cascade(measured(docs), plan(docs, rules))
