@@ -79,7 +79,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (
     UrlRule("block", "com", "/en/"),
     UrlRule("allow", "example.com", "/en/7"),
-    UrlRule("block", "net", "/de/"),
+    UrlRule("allow", "net", "/de/"),
     UrlRule("block", "example.net", "/de/8"),
     UrlRule("block", "org", "/es/"),
 )
