@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossweave.operators.xsection import average_rank, percent_rank, winsorized
+from crossweave.operators.xsection import average_rank, dealt, percent_rank, winsorized
 
 
 def t_statistic(c: str) -> Column:
@@ -21,6 +21,7 @@ def sector_ic(rows: DataFrame, signal: str, target: str, least: int = 10, keys:
     inner = (*keys, "sector")
     known = rows.where(F.col(signal).isNotNull() & F.col(target).isNotNull())
     known = known.where(F.col(signal) > 0) if positive else known
+    known = dealt(known.select(*inner, signal, target), inner)
     known = known.withColumn("__n", F.count("*").over(Window.partitionBy(*inner))).where(F.col("__n") >= least)
     known = winsorized(winsorized(known, signal, "__s", inner), target, "__t", inner)
     ranked = known.withColumns({"__rs": average_rank("__s", inner), "__rt": average_rank("__t", inner)})
