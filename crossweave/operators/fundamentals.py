@@ -5,6 +5,8 @@ Periods are quarter numbers (functions.scalar.quarter_index).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from crossweave.functions.scalar import safe_ratio, symmetric_growth, zero_to_nu
 from crossweave.operators.panel import asof_both
 from crossweave.operators.xsection import demeaned, quantile_bucket
 
+Hold = Callable[[DataFrame], DataFrame]
+
 
 def quarters(facts: DataFrame, wanted: DataFrame, metric: str, first: int, last: int, known_by_date: bool) -> DataFrame:
     """(ticker, date, feq, k, value): the latest value of the quarters feq + first .. feq + last of each wanted (ticker, date, feq).
@@ -37,13 +41,14 @@ def four_forward(facts: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
     return quarters(facts, wanted, metric, 0, 3, known_by_date=True).where(F.col("value").isNotNull())
 
 
-def blended_growth(facts: DataFrame, wanted: DataFrame, metric: str) -> DataFrame:
+def blended_growth(facts: DataFrame, wanted: DataFrame, metric: str, back: DataFrame | None = None, ahead: DataFrame | None = None) -> DataFrame:
     """(ticker, date, actual, forward, n_forward, gs): median symmetric yearly growth of the last four quarters and of the forward ones.
 
     gs = (2 n/4 forward + actual) / (2 n/4 + 1), in percent, with n forward quarters; actual alone without any.
+    back, ahead: eight_back() and four_forward(), where the caller has them.
     """
-    back = eight_back(facts, wanted, metric)
-    ahead = four_forward(facts, wanted, metric)
+    back = eight_back(facts, wanted, metric) if back is None else back
+    ahead = four_forward(facts, wanted, metric) if ahead is None else ahead
     old = back.select("ticker", "date", (F.col("k") + 4).alias("k"), F.col("value").alias("before"))
     actual = back.where("k >= -4").join(old, ["ticker", "date", "k"]).groupBy("ticker", "date").agg(F.median(symmetric_growth(F.col("value"), F.col("before"))).alias("actual"))
     forward = ahead.join(old, ["ticker", "date", "k"]).withColumn("g", symmetric_growth(F.col("value"), F.col("before"))).groupBy("ticker", "date").agg(F.median("g").alias("forward"), F.count("g").alias("n_forward"))
@@ -95,21 +100,21 @@ def first_changed(facts: DataFrame, wanted: DataFrame, metric: str, unit: float
     return found.where("olds > 0").select("ticker", "date", F.coalesce("changed", "new").alias("feq")).where(F.col("feq").isNotNull())
 
 
-def valuation_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sales: str, earnings: str, gross: str, shares: str) -> DataFrame:
+def valuation_metrics(facts: DataFrame, wanted: DataFrame, prices: DataFrame, sales: str, earnings: str, gross: str, shares: str, hold: Hold = lambda df: df) -> DataFrame:
     """(ticker, date, cap, ps, pe, pgp, gs, gs_vol, gs_adj) as reported, of wanted (ticker, date, feq) with a price (ticker, date, close).
 
     Multiples: capitalisation over four times the median of the eight quarters before feq, zeros left out. gs_vol: deviation of the four yearly growth rates back and
     those ahead, in percent with one place, over 10 and at least 1, 1 with fewer than two rates; shown with three places. gs_adj: gs over it, with two.
+    hold: applied to the quarters of sales, which four branches read, e.g. a checkpoint.
     """
-    back = eight_back(facts.where(F.col("metric") == sales), wanted, sales)
+    back, ahead = hold(eight_back(facts, wanted, sales)), hold(four_forward(facts, wanted, sales))
     old = back.select("ticker", "date", (F.col("k") + 4).alias("k"), F.col("value").alias("before"))
-    ahead = four_forward(facts, wanted, sales)
     pairs = back.where("k >= -4").unionByName(ahead).join(old, ["ticker", "date", "k"]).withColumn("g", F.round(100 * symmetric_growth(F.col("value"), F.col("before")), 1))
     spread = pairs.groupBy("ticker", "date").agg(F.when(F.count("g") >= 2, F.greatest(F.stddev_samp("g") / 10, F.lit(1.0))).otherwise(1.0).alias("__vol"))
-    medians = [eight_back(facts, wanted, m).groupBy("ticker", "date").agg(F.median(zero_to_null(F.col("value"))).alias(f"__{n}")) for n, m in (("ps", sales), ("pe", earnings), ("pgp", gross))]
+    medians = [(back if m == sales else eight_back(facts, wanted, m)).groupBy("ticker", "date").agg(F.median(zero_to_null(F.col("value"))).alias(f"__{n}")) for n, m in (("ps", sales), ("pe", earnings), ("pgp", gross))]
     count = eight_back(facts, wanted, shares).groupBy("ticker", "date").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("shares"))
     out = count.join(prices.select("ticker", "date", "close"), ["ticker", "date"]).withColumn("cap", F.col("shares") * F.col("close"))
-    for part in (*medians, blended_growth(facts, wanted, sales).select("ticker", "date", "gs"), spread):
+    for part in (*medians, blended_growth(facts, wanted, sales, back, ahead).select("ticker", "date", "gs"), spread):
         out = out.join(part, ["ticker", "date"], "left")
     multiples = (safe_ratio(F.col("cap"), F.col(f"__{n}")).alias(n) for n in ("ps", "pe", "pgp"))
     vol = F.coalesce("__vol", F.lit(1.0))
