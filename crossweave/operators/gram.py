@@ -95,7 +95,7 @@ def joint_step(rows: DataFrame, y: str, xs: Sequence[str], min_names: int, ridge
     sums = known.groupBy(*keys).agg(F.count("*").alias("n"), *_sums([F.lit(1.0), *(F.col(c).cast("double") for c in (*xs, y))], F.col(w), "__c"))
     fits = _figures(sums.where(F.col("n") >= min_names).select(*keys, "n", _matrix(size, "__c", F.col("__c0")).alias("__g")), size, F.lit(len(xs)), F.lit(float(ridge)))
     fits = hold(fits.where(F.col("rank") == len(xs)).drop("rank"))
-    resid = known.join(fits.select(*keys, "intercept", "slopes"), keys).select(*keys, "ticker", (F.col(y) - fitted(xs)).alias("resid"))
+    resid = known.join(F.broadcast(fits.select(*keys, "intercept", "slopes")), keys).select(*keys, "ticker", (F.col(y) - fitted(xs)).alias("resid"))
     return resid, fits
 
 
@@ -119,7 +119,7 @@ def nested_steps(rows: DataFrame, y: str, sets: Sequence[tuple[str, Sequence[str
     fits = _figures(by_set.where(F.col("n") >= min_names).select("date", "k", "n", _matrix(size, "__c", F.col("__c0")).alias("__g")), size, used, F.lit(0.0))
     fits = hold(fits.where(F.col("rank") == used).drop("rank"))
     name = F.element_at(F.array(*(F.lit(n) for n, _ in sets)), F.col("k"))
-    each = known.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("__sets")))).join(fits.select("date", "k", "intercept", "slopes"), ["date", "k"])
+    each = known.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("__sets")))).join(F.broadcast(fits.select("date", "k", "intercept", "slopes")), ["date", "k"])
     fit = F.col("intercept")
     for j, c in enumerate(columns):
         fit = fit + F.coalesce(F.get(F.col("slopes"), F.lit(j)) * F.col(c), F.lit(0.0))
@@ -127,38 +127,39 @@ def nested_steps(rows: DataFrame, y: str, sets: Sequence[tuple[str, Sequence[str
     return resid, fits.select("k", name.alias("step"), "date", "n", "intercept", "slopes", "r2")
 
 
-def orthogonalised_by(rows: DataFrame, columns: Sequence[str], priors: Sequence[str], min_names: int, w: str | None = "w0") -> DataFrame:
-    """(date, ticker, *columns): each column less its weighted fit on the priors, by date.
+def orthogonalised_by(rows: DataFrame, columns: Sequence[str], priors: Sequence[str], min_names: int, w: str | None = "w0", hold: Hold = lambda df: df, keep: bool = False) -> DataFrame:
+    """(date, ticker, *columns): each column less its weighted fit on the priors, by date; keep: with all other columns of `rows` as they are.
 
     Missing priors count as 0, a column's missing values stay. Dates with fewer than `min_names` values keep them; without any positive weight, or with
-    w = None, all names weigh the same.
+    w = None, all names weigh the same. hold: applied to the coefficients, a row a date.
     """
     priors = list(priors)
     weight = F.lit(1.0) if w is None else F.coalesce(F.col(w), F.lit(0.0))
     has = [F.col(c).isNotNull() for c in columns]
     totals = rows.groupBy("date").agg(*(F.sum(F.when(h, weight)).alias(f"__t{i}") for i, h in enumerate(has)))
     filled = {f"__p{j}": F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for j, p in enumerate(priors)}
-    rows = rows.select("date", "ticker", *columns, weight.alias("__w"), *(x.alias(n) for n, x in filled.items())).join(totals, "date")
+    names = rows.columns if keep else ["date", "ticker", *columns]
+    rows = rows.select(*names, weight.alias("__w"), *(x.alias(n) for n, x in filled.items()))
     size = len(priors) + 2
     cells = []
     for i, c in enumerate(columns):
         own = F.when(has[i], F.when(F.col(f"__t{i}") > 0, F.col("__w")).otherwise(1.0)).otherwise(0.0)
         cells += [F.count(c).alias(f"__n{i}"), *_sums([F.lit(1.0), *(F.col(n) for n in filled), F.coalesce(F.col(c).cast("double"), F.lit(0.0))], own, f"__c{i}_")]
-    sums = rows.groupBy("date").agg(*cells)
+    sums = rows.join(F.broadcast(totals), "date").groupBy("date").agg(*cells)
     kept = ["date"]
     for i in range(len(columns)):
         fit = swept(F.col("__g"), F.lit(size - 1))
         sums = sums.withColumn("__g", F.when(F.col(f"__n{i}") >= min_names, _matrix(size, f"__c{i}_", F.col(f"__c{i}_0")))).withColumn("__s", fit)
         sums = sums.withColumn(f"__b{i}", F.transform("__s", lambda line: F.get(line, F.lit(size - 1))))
         kept.append(f"__b{i}")
-    rows = rows.join(sums.select(*kept), "date")
-    out = []
+    rows = rows.join(F.broadcast(hold(sums.select(*kept))), "date")
+    out = {}
     for i, c in enumerate(columns):
         fit = F.get(F.col(f"__b{i}"), F.lit(0))
         for j, n in enumerate(filled):
             fit = fit + F.get(F.col(f"__b{i}"), F.lit(j + 1)) * F.col(n)
-        out.append((F.col(c) - F.coalesce(fit, F.lit(0.0))).alias(c))
-    return rows.select("date", "ticker", *out)
+        out[c] = (F.col(c) - F.coalesce(fit, F.lit(0.0))).alias(c)
+    return rows.select(*(out.get(c, F.col(c)) for c in names))
 
 
 # -- ridge paths
@@ -277,7 +278,8 @@ def ridge_path_step(
             yield pd.DataFrame(out, columns=["date", "n", "intercept", "slopes", "r2", "ridge"])
 
     fits = hold(by_date.mapInPandas(run, "date date, n long, intercept double, slopes array<double>, r2 double, ridge double"))
-    resid = known.join(fits.select("date", "intercept", "slopes"), "date").select("date", "ticker", (F.col(y) - fitted(xs)).alias("resid"))
+    # dates without enough names have no fit
+    resid = rows.dropna(subset=[y, *xs]).join(F.broadcast(fits.select("date", "intercept", "slopes")), "date").select("date", "ticker", (F.col(y) - fitted(xs)).alias("resid"))
     return resid, fits
 
 

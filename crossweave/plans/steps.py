@@ -1,14 +1,13 @@
 """The sequential factor model as data: a list of steps, each stripping its characteristics from what the steps before left.
 
 A step regresses the previous residual on its characteristics, made orthogonal to those of earlier steps first. Steps whose characteristic is
-computed from the residual (momentum, mean reversion) name a function of it. Each step's rows are checkpointed reliably: ten chained steps
-would otherwise plan all earlier ones again.
+computed from the residual (momentum, mean reversion) name a function of it. Each step's coefficients, a row a date, are stored, and the rows after
+every few steps: ten chained steps would otherwise plan all earlier ones again.
 """
 
 from __future__ import annotations
 
 import datetime
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from crossweave.operators import gram as G
 from crossweave.operators import panel as P
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
-from crossweave.sources.tables import exists, upsert_dates
+from crossweave.sources.tables import checkpointed, exists, shared_folder, upsert_dates  # noqa: F401  callers take them from here
 
 GRID_MACRO = (0.0, 0.01, 0.05, 0.1, 0.5, 1.0, 2.0)
 GRID_SECTOR = (0.0, 0.1, 0.5, 1.0, 2.0, 5.0)
@@ -41,6 +40,10 @@ class Step:
 HISTORY_DAYS = 400
 
 
+#: Steps after which the rows are written anew; between, each step adds its expressions to the plan.
+STEPS_A_HOLD = 3
+
+
 def momentum(resid: DataFrame) -> DataFrame:
     """Windows count dates, whether a name has a residual on them or not."""
     return X.zscore(W.idio_momentum(P.densify(resid), 26, 4), "mom", "momentum", flat=0.0).select("date", "ticker", "momentum")
@@ -91,51 +94,37 @@ def version2(sectors: int) -> tuple[Step, ...]:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; without that setting, on a local master, a folder made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="crossweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(figures (k, step, date, intercept, slopes, r2, ridge), residuals (k, step, date, ticker, x)) of rows (date, ticker, ret, w, w0, characteristics).
 
     Residuals of k = 0 are the returns themselves. history: residuals of earlier dates as returned here, of HISTORY_DAYS at least; characteristics
     made from residuals see them too, so that a run over new dates alone gives what a run over all dates gives for these. Dates of `rows` in it don't count.
     """
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.withColumn("resid", F.col("ret")))
     if history is not None:
         history = history.join(F.broadcast(rows.select("date").distinct()), "date", "left_anti")
-    resid = rows.where(F.col("ret").isNotNull()).select("date", "ticker", F.col("ret").alias("resid"))
-    figures, residuals = [], [resid.select(F.lit(0).alias("k"), F.lit("raw").alias("step"), "date", "ticker", F.col("resid").alias("x"))]
+    left = lambda k, name: rows.where(F.col("resid").isNotNull()).select(F.lit(k).alias("k"), F.lit(name).alias("step"), "date", "ticker", F.col("resid").alias("x"))
+    figures, residuals = [], [left(0, "raw")]
     for k, step in enumerate(steps, 1):
         if step.made is not None:
+            resid = rows.where(F.col("resid").isNotNull()).select("date", "ticker", "resid")
             past = resid if history is None else history.where(F.col("k") == k - 1).select("date", "ticker", F.col("x").alias("resid")).unionByName(resid)
-            rows = rows.join(step.made(past), ["date", "ticker"], "left")
+            rows = checkpointed(rows.join(step.made(past), ["date", "ticker"], "left"))
+        # what follows reads the rows in place: coefficients are a row a date, and only they are stored
         if step.priors:
-            perp = G.orthogonalised_by(rows, step.columns, [p for p in step.priors if p not in step.columns], min_names)
-            rows = rows.drop(*step.columns).join(perp, ["date", "ticker"], "left")
-        rows = checkpointed(rows)
-        known = rows.select("date", "ticker", "w", *step.columns).join(resid, ["date", "ticker"])
+            rows = G.orthogonalised_by(rows, step.columns, [p for p in step.priors if p not in step.columns], min_names, hold=checkpointed, keep=True)
+        known = rows.select("date", "ticker", "w", "resid", *step.columns)
         if step.grid:
-            resid, fits = G.ridge_path_step(known, "resid", step.columns, min_names, step.grid, default=step.default, hold=checkpointed)
+            fits = G.ridge_path_step(known, "resid", step.columns, min_names, step.grid, default=step.default, hold=checkpointed)[1]
         else:
-            resid, fits = G.joint_step(known, "resid", step.columns, max(min_names, 10), hold=checkpointed)
-        resid = checkpointed(resid)
+            fits = G.joint_step(known, "resid", step.columns, max(min_names, 10), hold=checkpointed)[1]
         ridge = F.col("ridge") if step.grid else F.lit(0.0)
         figures.append(fits.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "intercept", "slopes", "r2", ridge.alias("ridge")))
-        residuals.append(resid.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "ticker", F.col("resid").alias("x")))
+        # a name without all of the columns, and a date without a fit, is left out from here on
+        rows = rows.join(F.broadcast(fits.select("date", "intercept", "slopes")), "date", "left").withColumn("resid", F.col("resid") - G.fitted(step.columns)).drop("intercept", "slopes")
+        residuals.append(left(k, step.name))
+        if k % STEPS_A_HOLD == 0:
+            rows = checkpointed(rows)
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(figures), union(residuals)
 
