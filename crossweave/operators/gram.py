@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +128,72 @@ def nested_steps(rows: DataFrame, y: str, sets: Sequence[tuple[str, Sequence[str
     return resid, fits.select("k", name.alias("step"), "date", "n", "intercept", "slopes", "r2")
 
 
+def _prior_sums(priors: int, columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches (date, weight, priors, columns): for each date of a task, and each column, its count and the Gram matrices of (1, priors, column), weighted and plain.
+
+    A product of matrices a date: with a dozen priors, as many sums in one aggregate no longer fit Spark's generated code. A task holds a few KB a date.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            days = batch.column(0).cast(pa.int32()).to_numpy(zero_copy_only=False)
+            order = np.argsort(days, kind="stable")
+            days = days[order]
+            line = lambda k: batch.column(k).fill_null(0.0).to_numpy(zero_copy_only=False)[order]  # noqa: B023, E731
+            fixed = np.column_stack([np.ones(len(days)), *(line(2 + j) for j in range(priors))])
+            weight, own = line(1), [line(2 + priors + i) for i in range(columns)]
+            has = [batch.column(2 + priors + i).is_valid().to_numpy(zero_copy_only=False)[order].astype(float) for i in range(columns)]
+            starts = np.flatnonzero(np.r_[True, days[1:] != days[:-1]])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(days)], strict=True):
+                found = []
+                for x, h in zip(own, has, strict=True):
+                    each = np.column_stack([fixed[lo:hi], x[lo:hi]])
+                    found.append([h[lo:hi].sum()])
+                    for v in (weight[lo:hi] * h[lo:hi], h[lo:hi]):
+                        found.append((each.T @ (each * v[:, None])).ravel())
+                part = np.concatenate(found)
+                day = int(days[lo])
+                parts[day] = parts[day] + part if day in parts else part
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()).cast(pa.date32()), pa.array([p.tolist() for p in parts.values()], pa.list_(pa.float64()))], ["date", "part"])
+
+    return run
+
+
+def _swept_first(g: np.ndarray, pivots: int) -> np.ndarray:
+    """swept() of one matrix."""
+    a = g.copy()
+    for p in range(pivots):
+        d, row, column = a[p, p], a[p].copy(), a[:, p].copy()
+        if d > TOLERANCE * g[p, p]:
+            a -= np.outer(column, row) / d
+            a[p], a[:, p] = row / d, -column / d
+            a[p, p] = 1 / d
+        else:
+            a[p], a[:, p] = 0.0, 0.0
+    return a
+
+
+def _prior_fits(priors: int, columns: int, min_names: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One date's parts of _prior_sums(), a row a task, to each column's coefficients; NULL with too few values."""
+    size = priors + 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = np.sum([np.asarray(p) for p in pdf["part"]], axis=0).reshape(columns, 1 + 2 * size * size)
+        out = {"date": [pdf["date"].iloc[0]]}
+        for i, part in enumerate(whole):
+            weighted, plain = part[1:].reshape(2, size, size)
+            g = weighted if weighted[0, 0] > 0 else plain
+            fit = part[0] >= min_names and g[0, 0] > 0
+            out[f"__b{i}"] = [_swept_first(g / g[0, 0], size - 1)[:-1, -1].tolist() if fit else None]
+        return pd.DataFrame(out)
+
+    return run
+
+
 def orthogonalised_by(rows: DataFrame, columns: Sequence[str], priors: Sequence[str], min_names: int, w: str | None = "w0", hold: Hold = lambda df: df, keep: bool = False) -> DataFrame:
     """(date, ticker, *columns): each column less its weighted fit on the priors, by date; keep: with all other columns of `rows` as they are.
 
@@ -135,24 +202,14 @@ def orthogonalised_by(rows: DataFrame, columns: Sequence[str], priors: Sequence[
     """
     priors = list(priors)
     weight = F.lit(1.0) if w is None else F.coalesce(F.col(w), F.lit(0.0))
-    has = [F.col(c).isNotNull() for c in columns]
-    totals = rows.groupBy("date").agg(*(F.sum(F.when(h, weight)).alias(f"__t{i}") for i, h in enumerate(has)))
     filled = {f"__p{j}": F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for j, p in enumerate(priors)}
+    values = rows.where(F.col("date").isNotNull()).select("date", weight.cast("double").alias("__w"), *(x.alias(n) for n, x in filled.items()), *(F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)))
+    sums = values.mapInArrow(_prior_sums(len(priors), len(columns)), "date date, part array<double>")
+    fits = ", ".join(f"__b{i} array<double>" for i in range(len(columns)))
+    coefficients = sums.groupBy("date").applyInPandas(_prior_fits(len(priors), len(columns), min_names), f"date date, {fits}")
     names = rows.columns if keep else ["date", "ticker", *columns]
-    rows = rows.select(*names, weight.alias("__w"), *(x.alias(n) for n, x in filled.items()))
-    size = len(priors) + 2
-    cells = []
-    for i, c in enumerate(columns):
-        own = F.when(has[i], F.when(F.col(f"__t{i}") > 0, F.col("__w")).otherwise(1.0)).otherwise(0.0)
-        cells += [F.count(c).alias(f"__n{i}"), *_sums([F.lit(1.0), *(F.col(n) for n in filled), F.coalesce(F.col(c).cast("double"), F.lit(0.0))], own, f"__c{i}_")]
-    sums = rows.join(F.broadcast(totals), "date").groupBy("date").agg(*cells)
-    kept = ["date"]
-    for i in range(len(columns)):
-        fit = swept(F.col("__g"), F.lit(size - 1))
-        sums = sums.withColumn("__g", F.when(F.col(f"__n{i}") >= min_names, _matrix(size, f"__c{i}_", F.col(f"__c{i}_0")))).withColumn("__s", fit)
-        sums = sums.withColumn(f"__b{i}", F.transform("__s", lambda line: F.get(line, F.lit(size - 1))))
-        kept.append(f"__b{i}")
-    rows = rows.join(F.broadcast(hold(sums.select(*kept))), "date")
+    rows = rows.select(*names, *(x.alias(n) for n, x in filled.items()))
+    rows = rows.join(F.broadcast(hold(coefficients)), "date")
     out = {}
     for i, c in enumerate(columns):
         fit = F.get(F.col(f"__b{i}"), F.lit(0))
