@@ -1,56 +1,54 @@
 """The sequential factor model as data: a list of steps, each stripping its characteristics from what the steps before left.
 
 A step regresses the previous residual on its characteristics, made orthogonal to those of earlier steps first. Steps whose characteristic is
-computed from the residual (momentum, mean reversion) name a function of it. Each step's coefficients, a row a date, are stored, and the rows after
-every few steps: ten chained steps would otherwise plan all earlier ones again.
+computed from the residual (momentum, mean reversion) name a function of it. The steps from one such to the next are fitted together (operators/blocks.py).
+Their coefficients, a row a date, are stored; the rows are written once, before the first step.
 """
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from crossweave.operators import gram as G
 from crossweave.operators import panel as P
 from crossweave.operators import timeseries as W
 from crossweave.operators import xsection as X
+from crossweave.operators.blocks import Step, block_fits, stripped
 from crossweave.sources.tables import checkpointed, exists, shared_folder, upsert_dates  # noqa: F401  callers take them from here
 
 GRID_MACRO = (0.0, 0.01, 0.05, 0.1, 0.5, 1.0, 2.0)
 GRID_SECTOR = (0.0, 0.1, 0.5, 1.0, 2.0, 5.0)
 
 
-@dataclass(frozen=True)
-class Step:
-    name: str
-    columns: tuple[str, ...]
-    priors: tuple[str, ...] = ()
-    grid: tuple[float, ...] = ()
-    default: float = 0.5
-    made: Callable[[DataFrame], DataFrame] | None = None
-
-
 #: Calendar days of residuals that characteristics made from them see before a date; more than their windows span.
 HISTORY_DAYS = 400
 
 
-#: Steps after which the rows are written anew; between, each step adds its expressions to the plan.
-STEPS_A_HOLD = 3
+def _placed(rows: DataFrame, dates: DataFrame | None) -> DataFrame:
+    """Rows on the dates with residuals, dense, with __named: the name has a residual on any date."""
+    dates = rows.where(F.col("resid").isNotNull()).select("date").distinct() if dates is None else dates
+    return P.densify(rows, dates=dates).withColumn("__named", F.count("resid").over(Window.partitionBy("ticker")) > 0)
 
 
-def momentum(resid: DataFrame) -> DataFrame:
-    """Windows count dates, whether a name has a residual on them or not."""
-    return X.zscore(W.idio_momentum(P.densify(resid), 26, 4), "mom", "momentum", flat=0.0).select("date", "ticker", "momentum")
+def momentum(rows: DataFrame, dates: DataFrame | None = None, hold=None) -> DataFrame:
+    """Adds momentum to rows (date, ticker, resid, ...). Windows count dates, whether a name has a residual on them or not."""
+    kept = [c for c in rows.columns if c not in ("date", "ticker")]
+    out = W.idio_momentum(_placed(rows, dates), 26, 4).withColumn("mom", F.when(F.col("__named"), F.col("mom"))).select("date", "ticker", *kept, "mom")
+    out = X.zscore(out, "mom", "momentum", flat=0.0) if hold is None else X.zscores_held(out, {"mom": "momentum"}, hold)
+    return out.select("date", "ticker", *(c for c in kept if c != "resid" or hold is not None), "momentum")
 
 
-def _reversion(resid: DataFrame) -> DataFrame:
-    return W.ou_score(P.densify(resid), 30, 15, 4).select("date", "ticker", F.col("score").alias("reversion"))
+def _reversion(rows: DataFrame, dates: DataFrame | None = None, hold=None) -> DataFrame:
+    kept = [c for c in rows.columns if c not in ("date", "ticker", "resid")]
+    dense = _placed(rows, dates).withColumn("__resid", F.col("resid"))
+    inputs = W.reversion_inputs(dense, 30, 15, 4, keep=("__resid", "__named", *kept)).withColumn("reversal", F.when(F.col("__named"), F.col("reversal")))
+    out = X.zscore(W.reversion_blend(inputs), "__blend", "reversion")
+    return out.select("date", "ticker", F.col("__resid").alias("resid"), *kept, "reversion")
 
 
 _MACRO = ("macro_price", "macro_orders")
@@ -94,37 +92,48 @@ def version2(sectors: int) -> tuple[Step, ...]:
     )
 
 
-def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _blocks(steps: Sequence[Step]) -> list[tuple[int, list[Step]]]:
+    """(place of the first, steps) of each run of steps up to the next one made from residuals."""
+    out: list[tuple[int, list[Step]]] = []
+    for k, step in enumerate(steps, 1):
+        if step.made is not None or not out:
+            out.append((k, []))
+        out[-1][1].append(step)
+    return out
+
+
+def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None, held: bool = False) -> tuple[DataFrame, DataFrame]:
     """(figures (k, step, date, intercept, slopes, r2, ridge), residuals (k, step, date, ticker, x)) of rows (date, ticker, ret, w, w0, characteristics).
 
     Residuals of k = 0 are the returns themselves. history: residuals of earlier dates as returned here, of HISTORY_DAYS at least; characteristics
     made from residuals see them too, so that a run over new dates alone gives what a run over all dates gives for these. Dates of `rows` in it don't count.
+    held: the rows are cheap to read again, as they are when tables.held_by() dealt them by ticker; rows without a date don't count.
     """
-    rows = checkpointed(rows.withColumn("resid", F.col("ret")))
+    rows = rows.where(F.col("date").isNotNull()).withColumn("resid", F.col("ret"))
+    rows = rows if held else checkpointed(rows)
     if history is not None:
         history = history.join(F.broadcast(rows.select("date").distinct()), "date", "left_anti")
-    left = lambda k, name: rows.where(F.col("resid").isNotNull()).select(F.lit(k).alias("k"), F.lit(name).alias("step"), "date", "ticker", F.col("resid").alias("x"))
-    figures, residuals = [], [left(0, "raw")]
-    for k, step in enumerate(steps, 1):
-        if step.made is not None:
-            resid = rows.where(F.col("resid").isNotNull()).select("date", "ticker", "resid")
-            past = resid if history is None else history.where(F.col("k") == k - 1).select("date", "ticker", F.col("x").alias("resid")).unionByName(resid)
-            rows = checkpointed(rows.join(step.made(past), ["date", "ticker"], "left"))
-        # what follows reads the rows in place: coefficients are a row a date, and only they are stored
-        if step.priors:
-            rows = G.orthogonalised_by(rows, step.columns, [p for p in step.priors if p not in step.columns], min_names, hold=checkpointed, keep=True)
-        known = rows.select("date", "ticker", "w", "resid", *step.columns)
-        if step.grid:
-            fits = G.ridge_path_step(known, "resid", step.columns, min_names, step.grid, default=step.default, hold=checkpointed)[1]
-        else:
-            fits = G.joint_step(known, "resid", step.columns, max(min_names, 10), hold=checkpointed)[1]
-        ridge = F.col("ridge") if step.grid else F.lit(0.0)
-        figures.append(fits.select(F.lit(k).alias("k"), F.lit(step.name).alias("step"), "date", "intercept", "slopes", "r2", ridge.alias("ridge")))
-        # a name without all of the columns, and a date without a fit, is left out from here on
-        rows = rows.join(F.broadcast(fits.select("date", "intercept", "slopes")), "date", "left").withColumn("resid", F.col("resid") - G.fitted(step.columns)).drop("intercept", "slopes")
-        residuals.append(left(k, step.name))
-        if k % STEPS_A_HOLD == 0:
-            rows = checkpointed(rows)
+    figures, earlier = [], []
+    residuals = [rows.where(F.col("resid").isNotNull()).select(F.lit(0).alias("k"), F.lit("raw").alias("step"), "date", "ticker", F.col("resid").alias("x"))]
+    for first, block in _blocks(steps):
+        if block[0].made is not None:
+            dates = None
+            if history is not None:
+                past = history.where(F.col("k") == first - 1).select("date", "ticker", F.col("x").alias("resid"))
+                rows = rows.withColumn("__own", F.lit(True)).unionByName(past, allowMissingColumns=True)
+            else:
+                rows = rows.withColumn("__own", F.lit(True))
+                if earlier:  # a date that has a fit has residuals
+                    done, fits = earlier[-1]
+                    dates = fits.where(F.get("steps", F.lit(len(done) - 1)).getField("intercept").isNotNull()).select("date")
+            rows = block[0].made(rows, dates, checkpointed).where("__own").drop("__own")
+        fits = block_fits(rows, block, min_names, checkpointed, earlier)
+        name = F.element_at(F.array(*(F.lit(s.name) for s in block)), F.col("pos") + 1)
+        each = fits.select("date", F.posexplode("steps")).where(F.col("col.intercept").isNotNull())
+        figures.append(each.select((F.col("pos") + first).cast("int").alias("k"), name.alias("step"), "date", "col.intercept", "col.slopes", "col.r2", "col.ridge"))
+        rows, left = stripped(rows, fits, block, [s for done, _ in earlier for s in done])
+        residuals.append(left.withColumnRenamed("k", "pos").select((F.col("pos") + first).cast("int").alias("k"), name.alias("step"), "date", "ticker", "x"))
+        earlier.append((block, fits))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(figures), union(residuals)
 
