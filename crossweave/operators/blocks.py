@@ -25,7 +25,7 @@ FOLDS = 5
 #: Groups that a task holds before it hands their sums on.
 GROUPS = 20_000
 _PARTS = "date date, step int, fold int, known long, part array<double>"
-_FITS = "date date, steps array<struct<intercept:double,slopes:array<double>,r2:double,ridge:double,orth:array<array<double>>>>, groups array<struct<known:bigint,lines:array<array<double>>>>"
+_FITS = "date date, given struct<n:double,total:double,squares:double>, steps array<struct<intercept:double,slopes:array<double>,r2:double,ridge:double,orth:array<array<double>>,left:struct<n:double,total:double,squares:double>>>, groups array<struct<known:bigint,lines:array<array<double>>>>"
 
 
 @dataclass(frozen=True)
@@ -172,9 +172,10 @@ def _date_fits(steps: Sequence[Step], min_names: int, earlier: Sequence[Step]) -
     size = len(columns) + 2
     upper = np.triu_indices(size)
     dealt = sum(1 << j for j, c in enumerate((*columns, "resid")) if c in _dealt(steps, earlier))
-    kind = pa.list_(pa.struct([("intercept", pa.float64()), ("slopes", pa.list_(pa.float64())), ("r2", pa.float64()), ("ridge", pa.float64()), ("orth", pa.list_(pa.list_(pa.float64())))]))
+    sums = pa.struct([(c, pa.float64()) for c in ("n", "total", "squares")])
+    kind = pa.list_(pa.struct([("intercept", pa.float64()), ("slopes", pa.list_(pa.float64())), ("r2", pa.float64()), ("ridge", pa.float64()), ("orth", pa.list_(pa.list_(pa.float64()))), ("left", sums)]))
     of_groups = pa.list_(pa.struct([("known", pa.int64()), ("lines", pa.list_(pa.list_(pa.float64())))]))
-    schema = pa.schema([("date", pa.date32()), ("steps", kind), ("groups", of_groups)])
+    schema = pa.schema([("date", pa.date32()), ("given", sums), ("steps", kind), ("groups", of_groups)])
 
     def squares(part: np.ndarray) -> np.ndarray:
         flat = part.reshape(-1, len(upper[0]))
@@ -216,6 +217,12 @@ def _date_fits(steps: Sequence[Step], min_names: int, earlier: Sequence[Step]) -
             for c, (used, explained) in new.items():
                 lines[used, 1 + columns.index(c)] -= explained
         out, left = [], [[] for _ in groups]
+
+        def moments() -> dict[str, float]:
+            y, p = lines[alive, -1], plain[alive]
+            return {"n": float(p[:, 0, 0].sum()), "total": float(np.einsum("qs,qs->", y, p[:, 0])), "squares": float(np.einsum("qs,qst,qt->", y, p, y))}
+
+        given = moments()
         for k, step in enumerate(steps):
             at = [1 + columns.index(c) for c in step.columns]
             before = [0, *(1 + columns.index(p) for p in step.before)]
@@ -261,18 +268,18 @@ def _date_fits(steps: Sequence[Step], min_names: int, earlier: Sequence[Step]) -
                     row["slopes"] = b.tolist()
                     alive = used
                     lines[used, -1] -= row["intercept"] * lines[used, 0] + np.einsum("p,qps->qs", b, lines[used][:, at])
-            out.append(row)
+            out.append(row | {"left": moments()})
             for q, of_group in enumerate(left):
                 of_group.append(lines[q, -1].tolist() if alive[q] else None)
         by_group = [{"known": g, "lines": of_group} for g, of_group in zip(groups, left, strict=True) if of_group[0] is not None]
-        return pa.Table.from_arrays([pa.array([date.as_py()], pa.date32()), pa.array([out], kind), pa.array([by_group], of_groups)], schema=schema)
+        return pa.Table.from_arrays([pa.array([date.as_py()], pa.date32()), pa.array([given], sums), pa.array([out], kind), pa.array([by_group], of_groups)], schema=schema)
 
     return run
 
 
 def block_fits(rows: DataFrame, steps: Sequence[Step], min_names: int, hold: Hold = lambda df: df, earlier: Sequence[tuple[Sequence[Step], DataFrame]] = ()) -> DataFrame:
-    """(date, steps, groups) out of rows (date, ticker, w, w0, resid, columns as given): the fits of each step, intercept and slopes NULL without one, and for
-    each set of known values what is left after each step as a combination of (1, columns, resid).
+    """(date, given, steps, groups) out of rows (date, ticker, w, w0, resid, columns as given): the fits of each step, intercept and slopes NULL without one, with number,
+    sum and sum of squares of what it leaves, as of what is given; and for each set of known values what each step leaves as a combination of (1, columns, resid).
 
     hold: applied to what is a row a date or a few. earlier: steps and fits of earlier blocks, in order; resid is what these left.
     """

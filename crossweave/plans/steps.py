@@ -103,7 +103,12 @@ def _blocks(steps: Sequence[Step]) -> list[tuple[int, list[Step]]]:
 
 
 def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None, held: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(figures (k, step, date, intercept, slopes, r2, ridge), residuals (k, step, date, ticker, x)) of rows (date, ticker, ret, w, w0, characteristics).
+    """The first two of run_with_moments()."""
+    return run_with_moments(rows, steps, min_names, history, held)[:2]
+
+
+def run_with_moments(rows: DataFrame, steps: Sequence[Step], min_names: int, history: DataFrame | None = None, held: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(figures (k, step, date, intercept, slopes, r2, ridge), residuals (k, step, date, ticker, x), their moments (k, step, date, n, total, squares)) of rows (date, ticker, ret, w, w0, characteristics).
 
     Residuals of k = 0 are the returns themselves. history: residuals of earlier dates as returned here, of HISTORY_DAYS at least; characteristics
     made from residuals see them too, so that a run over new dates alone gives what a run over all dates gives for these. Dates of `rows` in it don't count.
@@ -113,7 +118,7 @@ def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: D
     rows = rows if held else checkpointed(rows)
     if history is not None:
         history = history.join(F.broadcast(rows.select("date").distinct()), "date", "left_anti")
-    figures, earlier = [], []
+    figures, moments, earlier = [], [], []
     residuals = [rows.where(F.col("resid").isNotNull()).select(F.lit(0).alias("k"), F.lit("raw").alias("step"), "date", "ticker", F.col("resid").alias("x"))]
     for first, block in _blocks(steps):
         if block[0].made is not None:
@@ -131,11 +136,14 @@ def run_steps(rows: DataFrame, steps: Sequence[Step], min_names: int, history: D
         name = F.element_at(F.array(*(F.lit(s.name) for s in block)), F.col("pos") + 1)
         each = fits.select("date", F.posexplode("steps")).where(F.col("col.intercept").isNotNull())
         figures.append(each.select((F.col("pos") + first).cast("int").alias("k"), name.alias("step"), "date", "col.intercept", "col.slopes", "col.r2", "col.ridge"))
+        if not moments:
+            moments.append(fits.select(F.lit(0).alias("k"), F.lit("raw").alias("step"), "date", "given.*"))
+        moments.append(fits.select("date", F.posexplode("steps")).select((F.col("pos") + first).cast("int").alias("k"), name.alias("step"), "date", "col.left.*"))
         rows, left = stripped(rows, fits, block, [s for done, _ in earlier for s in done])
         residuals.append(left.withColumnRenamed("k", "pos").select((F.col("pos") + first).cast("int").alias("k"), name.alias("step"), "date", "ticker", "x"))
         earlier.append((block, fits))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(figures), union(residuals)
+    return union(figures), union(residuals), union(moments)
 
 
 def recent(spark: SparkSession, residuals: str, first: datetime.date, last: datetime.date, days: int = HISTORY_DAYS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crossweave.operators import blocks as K
 from crossweave.operators import gram as G
+from crossweave.operators import reports as N
 from crossweave.plans import steps
 from crossweave.sources import tables
 
@@ -57,7 +58,12 @@ def _one_by_one(rows):
 
 def test_a_block_equals_its_steps_one_by_one(spark):
     rows = tables.checkpointed(_rows(spark))
-    figures, residuals = (df.collect() for df in steps.run_steps(rows, ORDER, 5))
+    figures, left, moments = steps.run_with_moments(rows, ORDER, 5)
+    want, got = (df.orderBy("k").collect() for df in (N.variance_table(left), N.variance_of_moments(moments)))
+    assert [(r.k, r.step, r.n) for r in want] == [(r.k, r.step, r.n) for r in got] and len(want) == 1 + len(ORDER)
+    for c in ("variance", "of_raw", "of_previous"):
+        np.testing.assert_allclose(np.array([r[c] for r in got], float), np.array([r[c] for r in want], float), rtol=1e-9)
+    figures, residuals = figures.collect(), left.collect()
     for k, (fits, left) in enumerate(_one_by_one(rows), 1):
         got = {r["date"]: (r["intercept"], *r["slopes"], r["ridge"]) for r in figures if r["k"] == k}
         assert got.keys() == fits.keys() and len(fits) > 5
